@@ -11,32 +11,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinfold.fixed import CHANNEL_MEAN, CHANNEL_STD
+from kinfold.functions.scores import let
+
+
+def _limits(values: Column) -> Column:
+    return F.struct(F.array_min(values).cast("double").alias("low"), F.array_max(values).cast("double").alias("high"))
 
 
 def to_byte_range(plane: Column) -> Column:
     """Wide-range values to 0..255 by the image's own minimum and maximum, truncated; a flat image gives 0."""
-    low, high = F.array_min(plane).cast("double"), F.array_max(plane).cast("double")
-    scale = F.lit(255.0) / F.when(high > low, high - low)
-    return F.transform(plane, lambda v: F.coalesce(F.floor((v.cast("double") - low) * scale), F.lit(0)).cast("int"))
+    def scaled(lim: Column) -> Column:
+        scale = F.lit(255.0) / F.when(lim["high"] > lim["low"], lim["high"] - lim["low"])
+        return let(scale, lambda f: F.transform(
+            plane, lambda v: F.coalesce(F.floor((v.cast("double") - lim["low"]) * f), F.lit(0)).cast("int")))
+
+    return let(_limits(plane), scaled)
 
 
 def unit_scale(values: Column) -> Column:
     """(v - min) / (max - min); a flat array gives zeros."""
-    low, high = F.array_min(values).cast("double"), F.array_max(values).cast("double")
-    span = F.when(high > low, high - low)
-    return F.transform(values, lambda v: F.coalesce((v.cast("double") - low) / span, F.lit(0.0)))
+    def scaled(lim: Column) -> Column:
+        span = F.when(lim["high"] > lim["low"], lim["high"] - lim["low"])
+        return F.transform(values, lambda v: F.coalesce((v.cast("double") - lim["low"]) / span, F.lit(0.0)))
+
+    return let(_limits(values), scaled)
 
 
 def over_white(rgba: Column) -> Column:
     """Interleaved RGBA to RGB, composited over white and rounded to whole levels."""
-    pixels = F.sequence(F.lit(0), F.size(rgba) / 4 - 1)
+    pixels = F.sequence(F.lit(0), F.floor(F.size(rgba) / 4).cast("int") - 1)
 
     def blend(p: Column, c: int) -> Column:
-        alpha = F.element_at(rgba, (p * 4 + 4).cast("int")).cast("double") / 255.0
-        level = F.element_at(rgba, (p * 4 + 1 + c).cast("int")).cast("double")
+        alpha = F.element_at(rgba, p * 4 + 4).cast("double") / 255.0
+        level = F.element_at(rgba, p * 4 + 1 + c).cast("double")
         return F.floor(level * alpha + 255.0 * (1.0 - alpha) + 0.5).cast("int")
 
-    return F.flatten(F.transform(pixels.cast("array<int>"), lambda p: F.array(blend(p, 0), blend(p, 1), blend(p, 2))))
+    return F.flatten(F.transform(pixels, lambda p: F.array(blend(p, 0), blend(p, 1), blend(p, 2))))
 
 
 def grey_to_rgb(plane: Column) -> Column:
@@ -57,17 +67,22 @@ def luminance(rgb: Column) -> Column:
 def autocontrast(image: Column, tone: Column, cut_percent: int = 1) -> Column:
     """One linear stretch for all channels. ``tone`` is the luminance plane; ``cut_percent`` of its pixels
     are ignored at each end, so the cut points are two positions of the sorted plane."""
-    ordered = F.array_sort(tone)
     cut = F.floor(F.size(tone) * cut_percent / 100).cast("int")
-    low = F.element_at(ordered, cut + 1).cast("double")
-    high = F.element_at(ordered, F.size(tone) - cut).cast("double")
-    scale = F.lit(255.0) / F.when(high > low, high - low)
 
-    def stretch(v: Column) -> Column:
-        moved = v.cast("double") * scale - low * scale
-        return F.coalesce(F.least(F.greatest(F.floor(moved), F.lit(0)), F.lit(255)), v.cast("bigint")).cast("int")
+    def limits(ordered: Column) -> Column:
+        low, high = F.element_at(ordered, cut + 1), F.element_at(ordered, F.size(ordered) - cut)
+        return F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+    def stretched(lim: Column) -> Column:
+        scale = F.lit(255.0) / F.when(lim["high"] > lim["low"], lim["high"] - lim["low"])
+
+        def level(v: Column, f: Column) -> Column:
+            moved = F.floor(v.cast("double") * f - lim["low"] * f)
+            return F.coalesce(F.least(F.greatest(moved, F.lit(0)), F.lit(255)), v.cast("bigint")).cast("int")
+
+        return let(scale, lambda f: F.transform(image, lambda v: level(v, f)))
 
-    return F.transform(image, stretch)
+    return let(let(F.array_sort(tone), limits), stretched)
 
 
 def center_crop(plane: Column, height: int | Column, width: int | Column, size: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,11 +48,21 @@ def label_index(label: Column, classes: Sequence[str]) -> Column:
     return F.when(position > 0, (position - 1).cast("int")).otherwise(F.raise_error(unknown).cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row. Inside an array lambda a plain column
+    expression would be evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits: Column) -> Column:
     """Softmax of an array, shifted by its maximum so that exp cannot overflow."""
-    shifted = F.transform(logits, lambda v: F.exp(v.cast("double") - F.array_max(logits).cast("double")))
-    total = F.aggregate(shifted, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-    return F.transform(shifted, lambda v: v / total)
+    exps = let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda v: F.exp(v.cast("double") - top)))
+
+    def normalised(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+        return let(total, lambda t: F.transform(e, lambda v: v / t))
+
+    return let(exps, normalised)
 
 
 def ranked_scores(scores: Column, classes: Sequence[str]) -> Column:

@@ -158,8 +158,9 @@ def replicate_auc(
     ties = collapsed(scored(df, classes, label, [group]), ITEM_LEVEL).unionByName(collapsed(drawn, GROUP_LEVEL))
     ties = ties.withColumn("p", F.when(F.col("positive"), F.col("n")).otherwise(F.lit(0))).withColumn("q", F.col("n") - F.col("p"))
     placed = bucketed(ties, ["level", "k"], max(bucket_cells // n_boot, 1)).drop("p", "q")
-    repeats = drawn.select(group, "draws", (F.col("n_items") * len(classes)).alias("__size"))
-    weighted = attach(placed, repeats, [group], "__size", "score")
+    # A group has at most its items x classes rows here.
+    sizes = drawn.select(group, (F.col("n_items") * len(classes)).alias("__size"))
+    weighted = attach(placed, drawn.select(group, "draws"), [group], "score", sizes=sizes)
     cells = ["level", "k", "bucket", "cut"]
     parts = weighted.select(*cells, "score", "positive", "n", "draws").groupBy(*cells).applyInArrow(_bucket_sums(n_boot), _SUMS_DDL)
     long_parts = parts.select(*cells, F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s")).select(*cells, "b", "s.*")

@@ -19,35 +19,42 @@ HOT_FLOOR = 200_000
 BUCKET_DIGITS = 3
 
 
-def hot_keys(sizes: DataFrame, keys: Sequence[str], size: str, parts: int = HOT_PARTS, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with more than ``1/parts`` of all rows and more than ``floor`` rows, and in how many pieces
-    (``__pieces``) to cut each. At most ``parts`` rows come out by arithmetic."""
-    total = sizes.agg(F.sum(size).alias("total")).scalar()
-    pieces = F.ceil(F.col(size) * parts / total).cast("int")
-    return sizes.where((F.col(size) > floor) & (F.col(size) * parts > total)).select(*keys, pieces.alias("__pieces"))
+def key_sizes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+
+
+def hot_keys(sizes: DataFrame, keys: Sequence[str], parts: int = HOT_PARTS, floor: int = HOT_FLOOR) -> DataFrame:
+    """Of a table with one row and ``__size`` per key: the keys with more than ``1/parts`` of all rows and more
+    than ``floor`` rows, and in how many pieces (``__pieces``) to cut each. Fewer than ``parts`` rows come
+    out by arithmetic."""
+    total = sizes.agg(F.sum("__size").alias("total")).scalar()
+    pieces = F.ceil(F.col("__size") * parts / total).cast("int")
+    return sizes.where((F.col("__size") > floor) & (F.col("__size") * parts > total)).select(*keys, pieces.alias("__pieces"))
 
 
 def attach(
     rows: DataFrame,
     facts: DataFrame,
     keys: Sequence[str],
-    size: str,
     spread: str,
     how: str = "inner",
+    sizes: DataFrame | None = None,
     parts: int = HOT_PARTS,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
-    """``rows`` joined to ``facts`` (one row per key; ``size`` = how many rows the key has).
+    """``rows`` joined to ``facts`` (one row per key). ``sizes`` may give the row count per key (``__size``)
+    where it is known already, or an upper bound; else it is counted.
 
     The rows of a hot key are spread over several join partitions by a hash of ``spread``, and its one
     fact row is repeated once per piece. Other keys are shuffled as usual; adaptive execution turns
     the join into a broadcast when the facts turn out to be small. Each row comes out once."""
     keys = list(keys)
-    hot = F.broadcast(hot_keys(facts, keys, size, parts, floor))
+    # Fewer than ``parts`` rows, see hot_keys.
+    hot = F.broadcast(hot_keys(key_sizes(rows, keys) if sizes is None else sizes, keys, parts, floor))
     pieces = F.coalesce("__pieces", F.lit(1))
     salted = rows.join(hot, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(spread), pieces).cast("int"))
     repeated = facts.join(hot, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return salted.drop("__pieces").join(repeated.drop("__pieces", size), [*keys, "__piece"], how).drop("__piece")
+    return salted.drop("__pieces").join(repeated.drop("__pieces"), [*keys, "__piece"], how).drop("__piece")
 
 
 def hashed_rank(
@@ -70,8 +77,7 @@ def hashed_rank(
     hashed = df.withColumn("__digest", digest(seed, F.col(key)))
     bucket = hex_prefix(F.col("__digest"), BUCKET_DIGITS).cast("int")
     if hot_only:
-        sizes = df.groupBy(*parents).agg(F.count(F.lit(1)).alias("__size"))
-        hot = F.broadcast(hot_keys(sizes, parents, "__size", parts, floor))
+        hot = F.broadcast(hot_keys(key_sizes(df, parents), parents, parts, floor))
         hashed = hashed.join(hot, parents, "left")
         bucket = F.when(F.col("__pieces").isNotNull(), bucket).otherwise(F.lit(0))
     hashed = hashed.withColumn("__bucket", bucket).drop("__pieces")

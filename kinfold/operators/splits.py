@@ -1,7 +1,7 @@
 """Leakage-free stratified folds over groups.
 
 Folds are decided on the group table (one row per group) and only then attached to item rows, so all
-rows of a group land on one side. A fold is stored as its validation groups; training is the rest."""
+rows of a group land on one side. The fold table says which fold validates a group; training is the rest."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from kinfold.functions.hashing import digest
 from kinfold.functions.scores import class_array
 from kinfold.operators.manifest import check_choice
 from kinfold.operators.skew import HOT_FLOOR, attach, hashed_rank
+from kinfold.sources.shared import settle
 
 SHOWN = 5
 
@@ -50,11 +51,15 @@ def make_folds(
     label: str = "species",
     group: str = "isolate_id",
 ) -> DataFrame:
-    """Validation membership ``fold, group, label, n_items`` for holdout, kfold or loio (leave one group out)."""
+    """``fold, group, label, n_items``, one row per group: the fold that validates it, NULL when none does.
+    Strategies: holdout, kfold, loio (leave one group out).
+
+    The item rows are read once, into the group table; it and the result are written, because the later
+    steps read them several times."""
     check_choice("split", strategy, SPLIT_STRATEGIES)
     if not 0 < val_fraction < 1:
         raise ValueError("val_fraction must be in (0, 1)")
-    groups = group_table(df, label, group)
+    groups = settle(group_table(df, label, group))
     if strategy == "loio":
         named = groups.withColumn("fold", F.concat(F.lit("loio_"), F.col(group)))
     elif strategy == "kfold":
@@ -62,25 +67,24 @@ def make_folds(
         named = dealt.withColumn("fold", F.concat(F.lit("fold"), F.col("fold_index").cast("string")))
     else:
         dealt = deal(groups, holdout_splits(val_fraction), seed, label, group)
-        named = dealt.where(F.col("fold_index") == 0).withColumn("fold", F.lit("holdout"))
-    return named.select("fold", group, label, "n_items")
+        named = dealt.withColumn("fold", F.when(F.col("fold_index") == 0, F.lit("holdout")))
+    return settle(named.select("fold", group, label, "n_items"))
 
 
 def assign_folds(
-    df: DataFrame, folds: DataFrame, label: str = "species", group: str = "isolate_id", item: str = "image_path",
-    how: str = "left", floor: int = HOT_FLOOR,
+    df: DataFrame, folds: DataFrame, group: str = "isolate_id", item: str = "image_path", floor: int = HOT_FLOOR
 ) -> DataFrame:
     """Adds ``fold`` = the fold that validates the row (NULL: trained on in every fold). The table keeps
     its size: training rows of a fold are those with another ``fold``."""
-    return attach(df, folds.drop(label), [group], "n_items", item, how, floor=floor)
+    sizes = folds.select(group, F.col("n_items").alias("__size"))
+    return attach(df, folds.select("fold", group), [group], item, sizes=sizes, floor=floor)
 
 
 def fold_sides(assigned: DataFrame, fold: str) -> DataFrame:
     """All rows with ``side`` = val or train for one fold."""
-    is_val = F.coalesce(F.col("fold") == fold, F.lit(False))
-    return assigned.drop("fold").withColumn("fold", F.lit(fold)).withColumn(
-        "side", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))
-    )
+    side = F.when(F.col("fold") == fold, F.lit("val")).otherwise(F.lit("train"))
+    others = [c for c in assigned.columns if c != "fold"]
+    return assigned.select(*others, side.alias("side"), F.lit(fold).alias("fold"))
 
 
 def leaking_groups(sides: DataFrame, group: str = "isolate_id") -> DataFrame:
@@ -123,24 +127,19 @@ def assert_assignment(df: DataFrame, assigned: DataFrame, group: str = "isolate_
 
 
 def describe_folds(
-    df: DataFrame,
-    folds: DataFrame,
-    classes: Sequence[str],
-    names: Sequence[str] = (),
-    label: str = "species",
-    group: str = "isolate_id",
+    folds: DataFrame, classes: Sequence[str], names: Sequence[str] = (), label: str = "species"
 ) -> DataFrame:
     """Items and groups per fold and side, and the classes without a validation group (class order).
 
     Groups are disjoint, so train = total - val and only validation membership is aggregated: linear in
     the number of groups even with one fold per group. ``names`` adds folds that drew no group."""
-    per_fold = folds.groupBy("fold").agg(
+    per_fold = folds.where(F.col("fold").isNotNull()).groupBy("fold").agg(
         F.sum("n_items").alias("val_items"), F.count(F.lit(1)).alias("val_groups"), F.collect_set(label).alias("present")
     )
     if names:
-        listed = df.sparkSession.range(1).select(F.explode(class_array(names)).alias("fold"))
+        listed = folds.sparkSession.range(1).select(F.explode(class_array(names)).alias("fold"))
         per_fold = listed.join(per_fold, "fold", "left").na.fill(0, ["val_items", "val_groups"])
-    totals = group_table(df, label, group).agg(F.sum("n_items").alias("items"), F.count(F.lit(1)).alias("groups"))
+    totals = folds.agg(F.sum("n_items").alias("items"), F.count(F.lit(1)).alias("groups"))
     totals = totals.select(F.struct("items", "groups").alias("t")).scalar()
     present = F.coalesce("present", F.array().cast("array<string>"))
     return per_fold.withColumn("__t", totals).select(

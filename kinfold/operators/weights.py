@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.fixed import IMBALANCE_MODES
@@ -20,13 +21,12 @@ def balanced_weights(
     """Adds ``weight`` = 1 / (groups in the item's class x items in its group).
 
     The counts come from one (group, label) reduction; the item rows are joined once, hot groups split."""
-    pairs = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__pair_items"))
+    pairs = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items"))
     per_class = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("__groups"))
-    per_group = pairs.groupBy(group).agg(F.sum("__pair_items").alias("__items"))
-    facts = pairs.join(per_group, group).join(per_class, label).select(
-        group, label, F.col("__pair_items").alias("__size"), (F.lit(1.0) / (F.col("__groups") * F.col("__items"))).alias("weight")
-    )
-    return attach(df, facts, [group, label], "__size", item, floor=floor)
+    in_group = F.sum("__items").over(W.partitionBy(group))
+    facts = pairs.withColumn("__items", in_group).join(per_class, label)
+    weight = F.lit(1.0) / (F.col("__groups") * F.col("__items"))
+    return attach(df, facts.select(group, label, weight.alias("weight")), [group, label], item, floor=floor)
 
 
 def class_loss_weights(df: DataFrame, classes: Sequence[str], label: str = "species") -> DataFrame:

@@ -250,7 +250,7 @@ def leakage_check(spark, sf_dir):
 @query
 def fold_coverage(spark, sf_dir):
     rows = clean_events(spark, sf_dir)
-    assigned = splits.assign_folds(rows, splits.make_folds(rows, "kfold", 5, seed=SEED))
+    assigned = settle(splits.assign_folds(rows, splits.make_folds(rows, "kfold", 5, seed=SEED)))
     sides = reduce(DataFrame.unionByName, [splits.fold_sides(assigned, name) for name in splits.fold_names("kfold", 5)])
     return splits.fold_coverage(rows, sides)
 
@@ -259,14 +259,14 @@ def fold_coverage(spark, sf_dir):
 def describe_folds(spark, sf_dir):
     rows = clean_events(spark, sf_dir)
     folds = splits.make_folds(rows, "kfold", 5, seed=SEED)
-    info = splits.describe_folds(rows, folds, EVENT_CLASSES, splits.fold_names("kfold", 5))
+    info = splits.describe_folds(folds, EVENT_CLASSES, splits.fold_names("kfold", 5))
     return info.withColumn("val_classes_without_groups", F.array_join("val_classes_without_groups", ","))
 
 
 @query
 def describe_loio_folds(spark, sf_dir):
     rows = clean_events(spark, sf_dir)
-    info = splits.describe_folds(rows, splits.make_folds(rows, "loio"), EVENT_CLASSES)
+    info = splits.describe_folds(splits.make_folds(rows, "loio"), EVENT_CLASSES)
     return info.withColumn("val_classes_without_groups", F.array_join("val_classes_without_groups", ","))
 
 

@@ -49,13 +49,13 @@ def cross_validate(
     check_parameters(imbalance=imbalance, strategy=strategy, val_fraction=val_fraction)
     require_rows(df, "training")
     names = resolve_classes(df, classes)
-    folds = settle(make_folds(df, strategy, n_folds, val_fraction, seed))
-    listed = [r[0] for r in folds.select("fold").distinct().orderBy("fold").limit(max_folds + 1).collect()]
+    folds = make_folds(df, strategy, n_folds, val_fraction, seed)
+    listed = [r[0] for r in folds.select("fold").where(F.col("fold").isNotNull()).distinct().orderBy("fold").limit(max_folds + 1).collect()]
     if len(listed) > max_folds:
         raise ValueError(f"{strategy} needs more than {max_folds} fits; raise max_folds or use kfold")
     assigned = settle(assign_folds(df, folds))
     assert_assignment(df, assigned)
-    info = describe_folds(df, folds, names, fold_names(strategy, n_folds))
+    info = describe_folds(folds, names, fold_names(strategy, n_folds))
 
     tables, losses, models = [], [], {}
     for fold in listed:
