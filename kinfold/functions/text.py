@@ -6,19 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# --- fixed values: the characters that count as white space at the ends of a cell ---
+WHITESPACE = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+))
+
+
 def strip(col: Column) -> Column:
-    """Strip any Unicode whitespace on both ends (``trim`` alone leaves tabs and newlines)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Strip any Unicode white space on both ends (``trim`` alone leaves tabs and newlines)."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def is_absolute(path: Column) -> Column:
-    return path.startswith("/") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/")
+    return path.startswith("/") | (path.contains(":/") & path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"))
 
 
 def resolve_path(path: Column, root: str) -> Column:
     """Absolute path: relative ones hang below ``root``; ``.``, ``..`` and doubled slashes are collapsed.
-    Links are not followed: object stores have none."""
+    Links are not followed: object stores have none. Plain string tests keep tidy paths off the slow branch."""
     joined = F.when(is_absolute(path), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    after_scheme = F.locate(":/", joined) + 3
+    untidy = (
+        joined.contains("/.") | joined.endswith("/") | joined.startswith("//")
+        | (F.call_function("locate", F.lit("//"), joined, after_scheme) > 0)
+    )
     scheme = F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*:/{1,3}[^/]*|)", 1)
     below = F.substring(joined, F.length(scheme) + 1, F.length(joined))
 
@@ -30,9 +41,7 @@ def resolve_path(path: Column, root: str) -> Column:
         )
 
     kept = F.aggregate(F.split(below, "/"), F.array().cast("array<string>"), step)
-    collapsed = F.concat(scheme, F.lit("/"), F.array_join(kept, "/"))
-    untidy = below.rlike(r"(^|/)\.{0,2}/|/\.{0,2}$") & below.rlike(r"//|/\.{1,2}(/|$)|/$")
-    return F.when(untidy, collapsed).otherwise(joined)
+    return F.when(untidy, F.concat(scheme, F.lit("/"), F.array_join(kept, "/"))).otherwise(joined)
 
 
 def stem(path: Column) -> Column:

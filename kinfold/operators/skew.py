@@ -64,6 +64,7 @@ def hashed_rank(
     seed: object,
     across: Sequence[Column] = (),
     hot_only: bool = False,
+    sizes: DataFrame | None = None,
     parts: int = HOT_PARTS,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
@@ -71,13 +72,15 @@ def hashed_rank(
 
     No task ranks a whole parent: the leading hash digits cut it into sub-buckets that are already in
     rank order, rows are ranked inside (parent, sub-bucket), and the running count of the earlier
-    sub-buckets is added. With ``hot_only`` just the hot parents are cut, for tables with very many parents.
+    sub-buckets is added. With ``hot_only`` just the hot parents are cut, for tables with very many parents
+    (``sizes``: their row counts as ``__size``, if known).
     ``across`` orders the parents themselves: the rank then continues from one parent to the next."""
     parents = list(parents)
     hashed = df.withColumn("__digest", digest(seed, F.col(key)))
     bucket = hex_prefix(F.col("__digest"), BUCKET_DIGITS).cast("int")
     if hot_only:
-        hot = F.broadcast(hot_keys(key_sizes(df, parents), parents, parts, floor))
+        # Fewer than ``parts`` rows, see hot_keys.
+        hot = F.broadcast(hot_keys(key_sizes(df, parents) if sizes is None else sizes, parents, parts, floor))
         hashed = hashed.join(hot, parents, "left")
         bucket = F.when(F.col("__pieces").isNotNull(), bucket).otherwise(F.lit(0))
     hashed = hashed.withColumn("__bucket", bucket).drop("__pieces")

@@ -13,6 +13,7 @@ from kinfold.functions.hashing import draw_below
 from kinfold.functions.scores import class_array
 from kinfold.operators.manifest import check_choice
 from kinfold.operators.skew import HOT_FLOOR, HOT_PARTS, attach, hashed_rank
+from kinfold.sources.shared import settle
 
 
 def balanced_weights(
@@ -20,13 +21,14 @@ def balanced_weights(
 ) -> DataFrame:
     """Adds ``weight`` = 1 / (groups in the item's class x items in its group).
 
-    The counts come from one (group, label) reduction; the item rows are joined once, hot groups split."""
-    pairs = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items"))
+    The counts come from one (group, label) reduction, written once; the item rows are joined once, hot groups split."""
+    pairs = settle(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items")))
     per_class = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("__groups"))
     in_group = F.sum("__items").over(W.partitionBy(group))
     facts = pairs.withColumn("__items", in_group).join(per_class, label)
     weight = F.lit(1.0) / (F.col("__groups") * F.col("__items"))
-    return attach(df, facts.select(group, label, weight.alias("weight")), [group, label], item, floor=floor)
+    sizes = pairs.withColumnRenamed("__items", "__size")
+    return attach(df, facts.select(group, label, weight.alias("weight")), [group, label], item, sizes=sizes, floor=floor)
 
 
 def class_loss_weights(df: DataFrame, classes: Sequence[str], label: str = "species") -> DataFrame:
@@ -69,7 +71,7 @@ def weighted_resample(
     each uniform. Every item row serves as one draw slot. A class with few groups is drawn far more often
     than a group partition should hold; its expected share is known beforehand, so those draws are split
     by that share. Draws are counted before they meet the items."""
-    groups = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items"))
+    groups = settle(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items")))
     ranked = hashed_rank(groups, [label], group, seed).select(
         label, group, "__items", F.col("ordinal").alias("__g"), F.col("parent_size").alias("__groups")
     )
@@ -91,7 +93,8 @@ def weighted_resample(
         label, group, draw_below(F.col("__items"), seed, "item", F.col("__slot")).alias("ordinal")
     )
     copies = drawn.groupBy(label, group, "ordinal").agg(F.count(F.lit(1)).alias("copies"))
-    numbered = hashed_rank(df, [label, group], item, seed, hot_only=True, floor=floor).drop("parent_size")
+    sizes = groups.withColumnRenamed("__items", "__size")
+    numbered = hashed_rank(df, [label, group], item, seed, hot_only=True, sizes=sizes, floor=floor).drop("parent_size")
     return numbered.join(copies, [label, group, "ordinal"]).drop("ordinal")
 
 
