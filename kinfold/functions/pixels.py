@@ -19,11 +19,13 @@ def _limits(values: Column) -> Column:
 
 
 def to_byte_range(plane: Column) -> Column:
-    """Wide-range values to 0..255 by the image's own minimum and maximum, truncated; a flat image gives 0."""
+    """Wide-range values to 0..255 by the image's own minimum and maximum, truncated; a flat image gives 0.
+    In single precision, where the maximum reaches exactly 255 after truncation."""
     def scaled(lim: Column) -> Column:
-        scale = F.lit(255.0) / F.when(lim["high"] > lim["low"], lim["high"] - lim["low"])
+        scale = (F.lit(255.0) / F.when(lim["high"] > lim["low"], lim["high"] - lim["low"])).cast("float")
+        low = lim["low"].cast("float")
         return let(scale, lambda f: F.transform(
-            plane, lambda v: F.coalesce(F.floor((v.cast("double") - lim["low"]) * f), F.lit(0)).cast("int")))
+            plane, lambda v: F.coalesce(F.floor((v.cast("float") - low) * f), F.lit(0)).cast("int")))
 
     return let(_limits(plane), scaled)
 
@@ -78,7 +80,7 @@ def autocontrast(image: Column, tone: Column, cut_percent: int = 1) -> Column:
 
         def level(v: Column, f: Column) -> Column:
             moved = F.floor(v.cast("double") * f - lim["low"] * f)
-            return F.coalesce(F.least(F.greatest(moved, F.lit(0)), F.lit(255)), v.cast("bigint")).cast("int")
+            return F.when(f.isNull(), v.cast("bigint")).otherwise(F.least(F.greatest(moved, F.lit(0)), F.lit(255))).cast("int")
 
         return let(scale, lambda f: F.transform(image, lambda v: level(v, f)))
 

@@ -205,7 +205,7 @@ PLANES = """px AS (
   SELECT vec_id, (unnest(range(64)))::BIGINT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 lim AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY vec_id),
 levels AS (
-  SELECT px.vec_id, i, CASE WHEN hi > lo THEN floor((v - lo) * (255.0::DOUBLE / (hi - lo))) ELSE 0 END::INTEGER AS v
+  SELECT px.vec_id, i, CASE WHEN hi > lo THEN floor((v::FLOAT - lo::FLOAT) * (255.0::DOUBLE / (hi - lo))::FLOAT) ELSE 0 END::INTEGER AS v
   FROM px JOIN lim ON lim.vec_id = px.vec_id)"""
 
 
@@ -486,5 +486,4 @@ FROM levels l JOIN alpha ON alpha.vec_id = l.vec_id AND p = l.i // 4 WHERE l.i %
 axis AS (SELECT o, j, w / sum(w) OVER (PARTITION BY o) AS w FROM tri)""") + f"""
 SELECT vec_id, y.o * 4 + x.o AS i, round(sum(v * y.w * x.w), {R}) AS value
 FROM px JOIN axis y ON y.j = i // 8 JOIN axis x ON x.j = i % 8 GROUP BY vec_id, y.o, x.o"""
-    # DuckDB accepts the last CTE of ``stretch`` with its SELECT attached.
     return sql
