@@ -40,9 +40,9 @@ def coarse_bucket(score: Column) -> Column:
     """Order-preserving bucket 0..129 on the log-odds scale, where both ends of [0, 1] get room; NaN last."""
     log_odds = F.ln(score / (1 - score))
     inside = 1 + F.floor((F.least(F.greatest(log_odds, F.lit(-32.0)), F.lit(31.75)) + 32) * 2)
-    return (
-        F.when(F.isnan(score), F.lit(NAN_BUCKET)).when(score <= 0, F.lit(0)).when(score >= 1, F.lit(129)).otherwise(inside)
-    ).cast("int")
+    bucket = F.when(F.isnan(score), F.lit(NAN_BUCKET)).when(score <= 0, F.lit(0)).when(score >= 1, F.lit(129)).otherwise(inside)
+    # Never NULL, and visibly so: a join on it then needs no NULL filter, which would make its input differ.
+    return F.coalesce(bucket.cast("int"), F.lit(NAN_BUCKET))
 
 
 def bucketed(ties: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:

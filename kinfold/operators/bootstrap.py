@@ -149,7 +149,9 @@ def replicate_auc(
     Rows of one group with the same score collapse first. Score buckets are sized so that
     rows x replicates stays in memory, and each is one Arrow call."""
     def collapsed(rows: DataFrame, level: str) -> DataFrame:
-        exploded = rows.select(group, "true_k", F.posexplode("scores").alias("k", "score"))
+        # Rows without a group belong to no draw. Saying so here gives the bucket statistics the same input
+        # as the join below, so that Spark computes the collapsed rows once for both.
+        exploded = rows.where(F.col(group).isNotNull()).select(group, "true_k", F.posexplode("scores").alias("k", "score"))
         if auc_decimals is not None:
             exploded = exploded.withColumn("score", F.round("score", auc_decimals))
         counted = exploded.groupBy(group, "true_k", "k", "score").agg(F.count(F.lit(1)).alias("n"))
