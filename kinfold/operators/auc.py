@@ -19,10 +19,6 @@ from kinfold.functions.scores import ratio
 
 #: Buckets with more tie groups than this are cut again.
 BUCKET_ROWS = 100_000
-#: At most this many buckets can be cut again (each holds more than 1/CUT_PARTS of all tie groups),
-#: which bounds the broadcast list. Larger tables get larger buckets: the ranking inside one is a
-#: sort that spills, so it stays correct.
-CUT_PARTS = 65_536
 NAN_BUCKET = 130
 
 
@@ -48,7 +44,9 @@ def coarse_bucket(score: Column) -> Column:
 def bucketed(ties: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``bucket`` and ``cut``; (bucket, cut) is in score order within ``keys``.
 
-    The cuts depend on counts, minima and maxima only, so a retried task finds the same ones."""
+    The cuts depend on counts, minima and maxima only, so a retried task finds the same ones. The table of
+    buckets to cut has at most 131 rows per value of ``keys`` (report keys and the class), whatever the
+    number of rows: that bounds its broadcast."""
     keys = list(keys)
     coarse = ties.withColumn("bucket", coarse_bucket(F.col("score")))
     stats = coarse.groupBy(*keys, "bucket").agg(
@@ -57,10 +55,8 @@ def bucketed(ties: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROW
     )
     # Asking for __items makes this branch read p and q like the main one, so that Spark sees the same
     # tie-group shuffle twice and computes it once.
-    stats = stats.where(F.col("__items") > 0)
-    total = stats.agg(F.sum("__rows").alias("total")).scalar()
     crowded = stats.where(
-        (F.col("__rows") > bucket_rows) & (F.col("__rows") * CUT_PARTS > total) & (F.col("__high") > F.col("__low"))
+        (F.col("__rows") > bucket_rows) & (F.col("__items") > 0) & (F.col("__high") > F.col("__low"))
     ).select(*keys, "bucket", "__low", "__high", F.ceil(2 * F.col("__rows") / bucket_rows).alias("__cuts"))
     position = F.floor((F.col("score") - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.col("__cuts"))
     cut = F.coalesce(F.least(position, F.col("__cuts") - 1), F.lit(0)).cast("bigint")

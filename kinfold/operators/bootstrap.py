@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.fixed import CLASS_METRICS, GROUP_LEVEL, ITEM_LEVEL, POOLED_METHOD, STRATIFIED_METHOD
@@ -23,6 +24,8 @@ from kinfold.sources.shared import settle
 LOW, HIGH = 0.025, 0.975
 #: Cells (rows x replicates) that one score bucket may hold in memory.
 BUCKET_CELLS = 20_000_000
+#: Cells with this many times the planned rows (equal scores cannot be cut apart) take the SQL way.
+OVERFULL = 4
 _CHUNK_ROWS = 4096
 
 
@@ -146,27 +149,54 @@ def replicate_auc(
     """``level, b, k, auc`` of every replicate and class. ``drawn`` is the group summary with its draws;
     groups that no replicate drew are absent from it, and so drop out of the join.
 
-    Rows of one group with the same score collapse first. Score buckets are sized so that
-    rows x replicates stays in memory, and each is one Arrow call."""
+    Rows of one group with the same score collapse first. Score buckets are sized so that rows x replicates
+    stays in memory, and each is one Arrow call; buckets that cannot be cut that small are summed in SQL."""
     def collapsed(rows: DataFrame, level: str) -> DataFrame:
-        # Rows without a group belong to no draw. Saying so here gives the bucket statistics the same input
-        # as the join below, so that Spark computes the collapsed rows once for both.
-        exploded = rows.where(F.col(group).isNotNull()).select(group, "true_k", F.posexplode("scores").alias("k", "score"))
+        exploded = rows.select(group, "true_k", F.posexplode("scores").alias("k", "score"))
         if auc_decimals is not None:
             exploded = exploded.withColumn("score", F.round("score", auc_decimals))
         counted = exploded.groupBy(group, "true_k", "k", "score").agg(F.count(F.lit(1)).alias("n"))
         return counted.select(F.lit(level).alias("level"), group, "k", "score", (F.col("true_k") == F.col("k")).alias("positive"), "n")
 
-    ties = collapsed(scored(df, classes, label, [group]), ITEM_LEVEL).unionByName(collapsed(drawn, GROUP_LEVEL))
-    ties = ties.withColumn("p", F.when(F.col("positive"), F.col("n")).otherwise(F.lit(0))).withColumn("q", F.col("n") - F.col("p"))
-    placed = bucketed(ties, ["level", "k"], max(bucket_cells // n_boot, 1)).drop("p", "q")
-    # A group has at most its items x classes rows here.
-    sizes = drawn.select(group, (F.col("n_items") * len(classes)).alias("__size"))
-    weighted = attach(placed, drawn.select(group, "draws"), [group], "score", sizes=sizes)
+    # Read three times below (bucket limits, cell sizes, the sums), so written once.
+    ties = settle(collapsed(scored(df, classes, label, [group]), ITEM_LEVEL).unionByName(collapsed(drawn, GROUP_LEVEL)))
+    bucket_rows = max(bucket_cells // n_boot, 1)
+    sides = {"p": F.when(F.col("positive"), F.col("n")).otherwise(F.lit(0)), "q": F.when(F.col("positive"), F.lit(0)).otherwise(F.col("n"))}
+    placed = bucketed(ties.withColumns(sides), ["level", "k"], bucket_rows)
     cells = ["level", "k", "bucket", "cut"]
-    parts = weighted.select(*cells, "score", "positive", "n", "draws").groupBy(*cells).applyInArrow(_bucket_sums(n_boot), _SUMS_DDL)
-    long_parts = parts.select(*cells, F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s")).select(*cells, "b", "s.*")
-    return combine_buckets(long_parts, ["level", "b", "k"]).select("level", "b", "k", "auc")
+    sizes = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("__rows"))
+    overfull = settle(sizes.where(F.col("__rows") > OVERFULL * bucket_rows).select(*cells, F.lit(True).alias("__wide")))
+
+    # A group has at most its items x classes rows here.
+    group_sizes = drawn.select(group, (F.col("n_items") * len(classes)).alias("__size"))
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        return attach(rows, drawn.select(group, "draws"), [group], "score", sizes=group_sizes)
+
+    if overfull.isEmpty():
+        sums = _kernel_sums(weighted(placed), cells, n_boot)
+    else:
+        flagged = placed.join(overfull, cells, "left")
+        narrow = _kernel_sums(weighted(flagged.where(F.col("__wide").isNull())), cells, n_boot)
+        sums = narrow.unionByName(_exploded_sums(weighted(flagged.where(F.col("__wide"))), cells))
+    return combine_buckets(sums, ["level", "b", "k"]).select("level", "b", "k", "auc")
+
+
+def _kernel_sums(rows: DataFrame, cells: Sequence[str], n_boot: int) -> DataFrame:
+    """Bucket sums of all replicates at once, one Arrow call per cell."""
+    parts = rows.select(*cells, "score", "positive", "n", "draws").groupBy(*cells).applyInArrow(_bucket_sums(n_boot), _SUMS_DDL)
+    return parts.select(*cells, F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s")).select(*cells, "b", "s.*")
+
+
+def _exploded_sums(rows: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """The same sums in SQL, for cells with too many rows to hold at once: one score shared by a large part
+    of all groups, mostly. Such rows collapse to one per replicate on the map side; distinct ones spill."""
+    keys = [*cells, "b"]
+    repeated = rows.select(*cells, "score", "p", "q", F.explode("draws").alias("b"))
+    ties = repeated.groupBy(*keys, "score").agg(F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
+    below = F.sum("q").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1))
+    won = F.col("p") * (F.coalesce(below, F.lit(0.0)) + F.col("q") / 2)
+    return ties.withColumn("u", won).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("u", "p", "q")])
 
 
 def bootstrap_replicates(
