@@ -20,10 +20,9 @@ MEAN_DECIMALS = 12
 
 def scored(df: DataFrame, classes: Sequence[str], label: str = "species", keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` columns, ``true_k``, ``pred_k`` and the ``scores`` array of a wide prediction table."""
-    scores = scores_from_columns(classes)
-    return df.select(
-        *keep, label_index(F.col(label), classes).alias("true_k"), argmax_index(scores).alias("pred_k"), scores.alias("scores")
-    )
+    # Two projections: the array is built once per row and then read by name.
+    rows = df.select(*keep, label_index(F.col(label), classes).alias("true_k"), scores_from_columns(classes).alias("scores"))
+    return rows.select(*keep, "true_k", argmax_index(F.col("scores")).alias("pred_k"), "scores")
 
 
 def confusion_cells(rows: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
