@@ -43,9 +43,12 @@ def fit_head(
     return head.fit(rows)
 
 
-def history(model: LogisticRegressionModel, fold: str) -> list[tuple[str, int, float]]:
-    """``(fold, iteration, loss)``: at most max_iter + 1 numbers per fit."""
-    return [(fold, i, float(loss)) for i, loss in enumerate(model.summary.objectiveHistory)]
+def history(model: LogisticRegressionModel, fold: str) -> list[tuple[str, int, float, float | None]]:
+    """``(fold, iteration, loss, accuracy)``: at most max_iter + 1 rows per fit. The training accuracy is known for
+    the final weights, so the last row carries it."""
+    losses = [float(loss) for loss in model.summary.objectiveHistory]
+    accuracy = float(model.summary.accuracy)
+    return [(fold, i, loss, accuracy if i == len(losses) - 1 else None) for i, loss in enumerate(losses)]
 
 
 def score(model: LogisticRegressionModel, df: DataFrame, classes: Sequence[str], features: str = "embedding") -> DataFrame:

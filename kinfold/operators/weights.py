@@ -35,6 +35,7 @@ def class_loss_weights(df: DataFrame, classes: Sequence[str], label: str = "spec
     """``label, k, n, weight`` with weight = N / (K x n), 0 for an absent class. One row per class of the list."""
     counts = df.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     listed = df.sparkSession.range(1).select(F.posexplode(class_array(classes)).alias("k", label))
+    # At most one row per class of the list.
     table = listed.join(F.broadcast(counts), label, "left").na.fill(0, ["n"])
     total = counts.agg(F.sum("n")).scalar()
     weight = F.coalesce(F.try_divide(total.cast("double"), (len(classes) * F.col("n")).cast("double")), F.lit(0.0))
@@ -79,6 +80,7 @@ def weighted_resample(
     drawable = groups.agg(present.alias("present")).scalar()
     per_class = groups.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count(F.lit(1)).alias("__groups"))
 
+    # ``per_class`` has at most one row per class of the list, which bounds its broadcast.
     slot = F.col(item)
     draws = df.select(slot.alias("__slot")).withColumn("__present", drawable)
     picked = F.element_at("__present", (draw_below(F.size("__present"), seed, "class", F.col("__slot")) + 1).cast("int"))

@@ -16,7 +16,7 @@ from kinfold.sources.models import load_head, save_head
 from kinfold.sources.shared import settle
 from kinfold.sources.tables import write_csv, write_predictions, write_report, write_run_config
 
-HISTORY_SCHEMA = "fold string, iteration int, loss double"
+HISTORY_SCHEMA = "fold string, iteration int, loss double, accuracy double"
 NOTE = "validation predictions are out-of-fold; groups are disjoint from training"
 
 
@@ -53,7 +53,8 @@ def cross_validate(
     listed = [r[0] for r in folds.select("fold").where(F.col("fold").isNotNull()).distinct().orderBy("fold").limit(max_folds + 1).collect()]
     if len(listed) > max_folds:
         raise ValueError(f"{strategy} needs more than {max_folds} fits; raise max_folds or use kfold")
-    assigned = settle(assign_folds(df, folds))
+    # Every fit reads the rows of the other folds many times and every scoring those of one fold: one folder per fold.
+    assigned = settle(assign_folds(df, folds), ["fold"])
     assert_assignment(df, assigned)
     info = describe_folds(folds, names, fold_names(strategy, n_folds))
 

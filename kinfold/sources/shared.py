@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Writes a reduced table that several branches read and reads it back. The lineage is cut, lost executors
-    cost nothing, each branch reads its own columns only, and joins see the table's true size."""
+    cost nothing, each branch reads its own columns only, and joins see the table's true size. The files stay
+    until the folder is cleaned, like other checkpoints."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/kinfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
