@@ -23,7 +23,7 @@ CONFLICTS_SHOWN = 5
 
 def check_choice(name: str, value: str, allowed: Sequence[str]) -> None:
     if value not in allowed:
-        raise ValueError(f"{name}={value!r}; expected one of {sorted(allowed)}")
+        raise ValueError(f"{name} must be one of {sorted(allowed)}, not {value!r}")
 
 
 def check_parameters(
@@ -34,13 +34,13 @@ def check_parameters(
     check_choice("imbalance", imbalance, IMBALANCE_MODES)
     check_choice("split", strategy, SPLIT_STRATEGIES)
     if not 0 < val_fraction < 1:
-        raise ValueError("val_fraction must be in (0, 1)")
+        raise ValueError("val_fraction must lie between 0 and 1")
 
 
 def require_columns(df: DataFrame) -> None:
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"missing columns {missing}")
+        raise ValueError(f"the manifest lacks the columns {missing}")
 
 
 def fill_optional(df: DataFrame, defaults: Mapping[str, str] = OPTIONAL_DEFAULTS) -> DataFrame:
@@ -144,11 +144,11 @@ def _messages(found: DataFrame) -> list[str]:
         mine = [r for r in rows if (r["rule"], r["column"]) == (rule, column)]
         values, examples = [r["value"] for r in mine], list(mine[0]["examples"])
         texts[rule, column] = {
-            "domain": f"column {column} has invalid values {values}; allowed {sorted(ALLOWED_VALUES.get(column, ()))}",
-            "blank_group": f"{mine[0]['rows']} items have no isolate_id, e.g. {examples}",
-            "missing_item": f"{mine[0]['rows']} items not found, e.g. {examples}",
-            "fractional_day": f"column day has fractional values {values}",
-            "label_conflict": f"isolates labelled with more than one species: {values}",
+            "domain": f"{column}: {values} outside its domain {sorted(ALLOWED_VALUES.get(column, ()))}",
+            "blank_group": f"blank group of {mine[0]['rows']} items such as {examples}",
+            "missing_item": f"no file for {mine[0]['rows']} items such as {examples}",
+            "fractional_day": f"day: fractional values {values}",
+            "label_conflict": f"groups with several labels: {values}",
         }[rule]
     return list(texts.values())
 
@@ -160,16 +160,34 @@ def validate(df: DataFrame, root: str, listing: DataFrame | None = None) -> None
         raise ValueError("; ".join(_messages(found)))
 
 
-def load(df: DataFrame, root: str, listing: DataFrame | None = None, strict: bool = True) -> DataFrame:
-    """A raw manifest as a validated, clean table."""
+def load(
+    df: DataFrame, root: str, listing: DataFrame | None = None, strict: bool = True, modality: str = "all", source: str = "all"
+) -> DataFrame:
+    """A raw manifest as a validated, clean table. Validation covers the whole manifest; ``modality`` and
+    ``source`` then select rows of it."""
     require_columns(df)
     if strict:
         validate(df, root, listing)
-    return clean(df, root)
+    return clean(select_raw(df, modality, source), root)
+
+
+def select_raw(df: DataFrame, modality: str = "all", source: str = "all") -> DataFrame:
+    """``select`` for a manifest that is not cleaned yet: plain comparisons of stored columns, which columnar
+    files evaluate while they are read. An absent or empty source counts as the default one."""
+    if modality != "all":
+        df = df.where(F.col("modality") == modality)
+    if source != "all":
+        default = OPTIONAL_DEFAULTS["source"] == source
+        if "source" in df.columns:
+            stored = F.col("source")
+            df = df.where((stored == source) | (stored == "") | stored.isNull() if default else stored == source)
+        elif not default:
+            df = df.where(F.lit(False))
+    return df
 
 
 def select(df: DataFrame, modality: str = "all", source: str = "all") -> DataFrame:
-    """Equality filters that reach the scan; ``all`` switches one off."""
+    """Equality filters on a clean table; ``all`` switches one off."""
     for name, value in (("modality", modality), ("source", source)):
         if value != "all":
             df = df.where(F.col(name) == value)
@@ -178,7 +196,7 @@ def select(df: DataFrame, modality: str = "all", source: str = "all") -> DataFra
 
 def require_rows(df: DataFrame, what: str) -> None:
     if df.isEmpty():
-        raise ValueError(f"no items for {what}")
+        raise ValueError(f"nothing selected for {what}")
 
 
 def unknown_labels(df: DataFrame, classes: Sequence[str], label: str = "species") -> DataFrame:

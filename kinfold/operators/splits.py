@@ -58,7 +58,7 @@ def make_folds(
     steps read them several times."""
     check_choice("split", strategy, SPLIT_STRATEGIES)
     if not 0 < val_fraction < 1:
-        raise ValueError("val_fraction must be in (0, 1)")
+        raise ValueError("val_fraction must lie between 0 and 1")
     groups = settle(group_table(df, label, group))
     if strategy == "loio":
         named = groups.withColumn("fold", F.concat(F.lit("loio_"), F.col(group)))
@@ -108,10 +108,10 @@ def assert_no_leakage(df: DataFrame, sides: DataFrame, group: str = "isolate_id"
     """Raises when a group sits on both sides of a fold or a fold does not hold every item exactly once."""
     leaks = leaking_groups(sides, group).orderBy("fold", group).limit(SHOWN).collect()
     if leaks:
-        raise AssertionError(f"{leaks[0]['fold']}: isolates in both train and val: {[r[group] for r in leaks]}")
+        raise AssertionError(f"{leaks[0]['fold']}: groups on both sides: {[r[group] for r in leaks]}")
     uncovered = fold_coverage(df, sides, item).where(~F.col("covered")).orderBy("fold").limit(1).collect()
     if uncovered:
-        raise AssertionError(f"{uncovered[0]['fold']}: fold does not cover every item exactly once")
+        raise AssertionError(f"{uncovered[0]['fold']}: not every item is held exactly once")
 
 
 def assert_assignment(df: DataFrame, assigned: DataFrame, group: str = "isolate_id") -> None:
@@ -121,9 +121,9 @@ def assert_assignment(df: DataFrame, assigned: DataFrame, group: str = "isolate_
     spans = assigned.groupBy(group).agg(F.min(validated).alias("low"), F.max(validated).alias("high"))
     leaks = spans.where(F.col("low") != F.col("high")).orderBy(group).limit(SHOWN).collect()
     if leaks:
-        raise AssertionError(f"{leaks[0]['high']}: isolates in both train and val: {[r[group] for r in leaks]}")
+        raise AssertionError(f"{leaks[0]['high']}: groups on both sides: {[r[group] for r in leaks]}")
     if df.count() != assigned.count():
-        raise AssertionError("folds do not cover every item exactly once")
+        raise AssertionError("the assignment lost or repeated items")
 
 
 def describe_folds(

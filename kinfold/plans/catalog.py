@@ -186,6 +186,14 @@ def select_subset(spark, sf_dir):
     return manifest.select(clean_events(spark, sf_dir), "microscopic", "cmu").select("image_path", "isolate_id", "device")
 
 
+@query
+def select_while_reading(spark, sf_dir):
+    """The same selection made on the raw manifest, before it is cleaned."""
+    raw = views.manifest_events(spark, sf_dir)
+    loaded = manifest.load(raw, ROOT, strict=False, modality="microscopic", source="cmu")
+    return loaded.select("image_path", "isolate_id", "device")
+
+
 @query
 def class_check(spark, sf_dir):
     """Labels outside a class list, with their counts."""

@@ -304,6 +304,7 @@ FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
     sql["day_coercion"] = with_(EVENTS) + 'SELECT "day", count(*) AS n FROM ev GROUP BY "day"'
     sql["select_subset"] = with_(EVENTS) + """
 SELECT image_path, isolate_id, device FROM ev WHERE modality = 'microscopic' AND source = 'cmu'"""
+    sql["select_while_reading"] = sql["select_subset"]
     sql["class_check"] = with_(EVENTS) + """
 SELECT species, count(*) AS n FROM ev WHERE species NOT IN ('click', 'view') GROUP BY species"""
     sql["class_list"] = with_(EVENTS) + """

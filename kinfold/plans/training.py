@@ -17,7 +17,7 @@ from kinfold.sources.shared import settle
 from kinfold.sources.tables import write_csv, write_predictions, write_report, write_run_config
 
 HISTORY_SCHEMA = "fold string, iteration int, loss double, accuracy double"
-NOTE = "validation predictions are out-of-fold; groups are disjoint from training"
+NOTE = "each prediction comes from a head that saw no row of the item's group"
 
 
 @dataclass

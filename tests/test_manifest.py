@@ -38,7 +38,7 @@ def test_relative_manifest_path_gives_absolute_items(spark, tmp_path, monkeypatc
 
 @pytest.mark.parametrize("rows, message", [
     (["x.png,A,I1,colony,cmu,", "x.png,B,I1,colony,cmu,"], "I1"),
-    (["x.png,A,,colony,cmu,"], "no isolate_id"),
+    (["x.png,A,,colony,cmu,"], "blank group"),
     (["x.png,A,I1,histology,cmu,"], "histology"),
     (["x.png,A,I1,colony,elsewhere,"], "elsewhere"),
     (["x.png,A,I1,colony,cmu,3.5"], "fractional"),
@@ -111,8 +111,24 @@ def test_class_list(spark):
 def test_selection_and_guards(spark):
     df = spark.createDataFrame([("colony", "cmu"), ("microscopic", "openfungi")], "modality string, source string")
     assert M.select(df, "colony").count() == 1 and M.select(df).count() == 2 and M.select(df, "colony", "openfungi").count() == 0
-    with pytest.raises(ValueError, match="no items"):
+    with pytest.raises(ValueError, match="nothing selected"):
         M.require_rows(M.select(df, "colony", "openfungi"), "x")
     for bad in ({"modality": "x"}, {"imbalance": "both"}, {"strategy": "x"}, {"source": "x"}, {"val_fraction": 0.0}):
         with pytest.raises(ValueError):
             M.check_parameters(**bad)
+
+
+def test_raw_selection_is_pushed_into_the_scan(spark, tmp_path):
+    rows = [("1", "colony", "cmu"), ("2", "colony", ""), ("3", "colony", None), ("4", "colony", "openfungi"), ("5", "microscopic", "cmu")]
+    raw = spark.createDataFrame(rows, "image_path string, modality string, source string").selectExpr("*", "'a' AS species", "'g' AS isolate_id")
+    raw.write.parquet(str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    for source in ("cmu", "openfungi", "all"):
+        loaded = M.load(stored, "/r", strict=False, modality="colony", source=source)
+        plain = M.select(M.clean(stored, "/r"), "colony", source)
+        assert sorted(column(loaded, "image_path")) == sorted(column(plain, "image_path"))
+    plan = M.load(stored, "/r", strict=False, modality="colony", source="openfungi")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(modality,colony)" in plan and "EqualTo(source,openfungi)" in plan
+    bare = stored.drop("source")
+    assert M.load(bare, "/r", strict=False, source="openfungi").count() == 0
+    assert M.load(bare, "/r", strict=False, source="cmu").count() == 5

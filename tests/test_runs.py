@@ -123,5 +123,5 @@ def test_whole_run_and_evaluation_of_its_head(spark, tmp_path, sf_dir):
     assert again.exceptAll(predictions).count() == 0
     with pytest.raises(ValueError, match="class list"):
         training.score_saved_head(spark, str(tmp_path / "run" / "model"), rows.withColumn("species", F.lit("new")))
-    with pytest.raises(ValueError, match="no items"):
+    with pytest.raises(ValueError, match="nothing selected"):
         training.score_saved_head(spark, str(tmp_path / "run" / "model"), rows, modality="colony")
