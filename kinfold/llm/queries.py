@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, mixing, sharding
+from kinfold.llm import decontaminate, language_model, licenses, mixing, sharding, topk, toxicity, urls
 from kinfold.sources.shared import settle
 
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = language_model.score_texts(docs, language_model.in_training(F.col("doc_id")))
+    return scored.select("row.doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     mixed = mixing.mix(rows)
@@ -37,10 +43,40 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = F.array_sort(F.array_distinct(F.concat("place_labels", F.transform("spans", lambda s: s["label"]))))
+    return found.select(
+        "row.doc_id", "n_words", F.col("n_places").alias("n_base"), F.col("first_place").alias("first_word"), F.col("last_place").alias("last_word"),
+        F.array_join("place_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.col("best").alias("score"),
+    )
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    return topk.top_products(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("row.page_id", "host", "path", "rule", "verdict", "blocked")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_mix": op2_mix,
+    "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
     "op5_shard": op5_shard,
+    "op6_licenses": op6_licenses,
+    "op7_urls": op7_urls,
+    "op9_toxicity": op9_toxicity,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,4 +103,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL}
+OP3_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+products AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
+  FROM parts q JOIN parts p ON q.i = p.i AND q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM products
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL}
