@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Lexicon voters are words, pattern voters are word beginnings and ways of writing; both are proposed by their counts in labelled documents. A
-generative label model then looks at votes only: it finds voters that vote together beyond what the label explains, lets
-each such cluster speak as one, and estimates by expectation-maximisation how often each speaks in toxic and in clean documents. A linear
+generative label model then finds voters that vote together beyond what the label explains, lets each such cluster speak as one,
+and estimates by expectation-maximisation how often each, and the annotation, speaks in toxic and in clean documents. A linear
 classifier learns the posterior labels from counts of the voters' words, and scores every document.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 5 is not 0, at most ``max_rows`` of them (those of smallest hash). That
@@ -141,27 +141,29 @@ def propose_voters(rows: DataFrame, n_all: int, n_toxic: int) -> list[bytes]:
     return chosen
 
 
-def label_model(votes: np.ndarray, rate: float) -> np.ndarray:
-    """Posterior probability of the label from votes (documents x voters, 0 or 1) alone."""
-    if not votes.shape[1]:
-        return np.full(len(votes), rate)
-    posterior = np.where(votes.any(axis=1), 0.9, 0.02)
+def label_model(votes: np.ndarray, annotation: np.ndarray) -> np.ndarray:
+    """Posterior probability of the label from votes (documents x voters, 0 or 1) and the annotation, itself a voter of unknown accuracy."""
     clusters = np.arange(votes.shape[1])
-    for given in (posterior, 1 - posterior):  # what the label leaves unexplained
+    start = np.where(annotation > 0, 0.95, 0.02)
+    for given in (start, 1 - start):  # what the label leaves unexplained
         total = max(given.sum(), 1e-9)
         mean = given @ votes / total
         spread = (votes * given[:, None]).T @ votes / total - np.outer(mean, mean)
-        scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
-        close = spread / np.outer(scale, scale) > TOGETHER
-        for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True):
+        scale = np.sqrt(np.maximum(np.diag(spread), 1e-4))
+        for i, j in zip(*np.nonzero(np.triu(spread / np.outer(scale, scale) > TOGETHER, 1)), strict=True):
             clusters[clusters == clusters[j]] = clusters[i]
-    joint = np.stack([votes[:, clusters == c].max(axis=1) for c in np.unique(clusters)], axis=1)
+    joint = [votes[:, clusters == c].max(axis=1) for c in np.unique(clusters)]
+    return _estimate(np.stack([*joint, annotation], axis=1).astype(float), start)
+
+
+def _estimate(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation for voters that are independent given the label."""
     for _ in range(ROUNDS):
         share = np.clip(posterior.mean(), 1e-3, 0.5)
-        toxic = (posterior @ joint + 0.5) / (posterior.sum() + 1)
-        clean = ((1 - posterior) @ joint + 0.01) / ((1 - posterior).sum() + 1)
+        toxic = (posterior @ votes + 0.5) / (posterior.sum() + 1)
+        clean = ((1 - posterior) @ votes + 0.01) / ((1 - posterior).sum() + 1)
         clean = np.minimum(clean, toxic)  # a voter is never taken for evidence of the opposite
-        odds = math.log(share / (1 - share)) + joint @ np.log(toxic / clean) + (1 - joint) @ np.log((1 - toxic) / (1 - clean))
+        odds = math.log(share / (1 - share)) + votes @ np.log(toxic / clean) + (1 - votes) @ np.log((1 - toxic) / (1 - clean))
         before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if np.abs(posterior - before).max() < 1e-6:
             break
@@ -195,13 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
         at = {v: i for i, v in enumerate(voters)}
         for batch in batches:
             found = [blank.features(t.as_py(), at).astype(np.float32).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "y"])
 
     # At most max_rows short rows.
-    found = rows.select("text").mapInArrow(vote, "x binary").collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]).astype(float)
-    x = x[np.lexsort(x.T)]  # the same order in every run
-    posterior = label_model((x[:, : len(voters) + STYLES] > 0).astype(float), n_toxic / n_all)
+    found = sorted((r["y"], bytes(r["x"])) for r in rows.select("text", "y").mapInArrow(vote, "x binary, y int").collect())
+    x = np.stack([np.frombuffer(raw, np.float32) for _, raw in found]).astype(float)
+    posterior = label_model((x[:, : len(voters) + STYLES] > 0).astype(float), np.array([float(y) for y, _ in found]))
     return ToxicityModel(voters, *_linear(x, posterior))
 
 

@@ -51,10 +51,12 @@ def test_correlated_voters_speak_as_one():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
     votes = np.stack([np.where(y, rng.random(4000) < 0.7, rng.random(4000) < 0.05) for _ in range(3)], axis=1).astype(float)
-    posterior = toxicity.label_model(votes, 0.3)
-    doubled = toxicity.label_model(np.hstack([votes, votes[:, :1], votes[:, :1]]), 0.3)
+    annotation = np.where(rng.random(4000) < 0.1, ~y, y).astype(float)
+    posterior = toxicity.label_model(votes, annotation)
+    doubled = toxicity.label_model(np.hstack([votes, votes[:, :1], votes[:, :1]]), annotation)
     assert np.abs(posterior - doubled).mean() < 0.02
-    assert ((posterior > 0.5) == y).mean() > 0.9
+    # Votes correct the annotation's errors.
+    assert ((posterior > 0.5) == y).mean() > 0.93 > 0.92 > ((annotation > 0.5) == y).mean()
 
 
 def test_edge_cases(spark):
