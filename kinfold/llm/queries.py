@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, language_model, licenses, mixing, sharding, topk, toxicity, urls
+from kinfold.llm import decontaminate, language_model, licenses, mixing, ngram_join, sharding, topk, toxicity, urls
 from kinfold.sources.shared import settle
 
 
@@ -68,6 +68,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = ngram_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("row.doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_mix": op2_mix,
@@ -77,6 +82,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_urls": op7_urls,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
