@@ -18,15 +18,12 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kinfold.llm.text import carried, letter_words
+from kinfold.llm.text import letter_words, packed_row
 
 WIDTH = 13
 SLICE_BYTES = 16 << 20
 
-_HITS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
-
 
 class WordSearch:
     """The tables of one slice of patterns; ``patterns`` maps a window (tuple of words) to its item ids."""
@@ -111,31 +108,30 @@ def find_contamination(
     patterns = pattern_table(benchmark, width)
     total = patterns.agg(F.sum(F.octet_length("window") + F.size("items") * 16)).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
-    out = carried(docs, keep, text=F.col("text"), hits=F.lit(None).cast(_HITS), items=F.lit(None).cast("array<string>"))
-    out = out.withColumn("n_words", F.lit(None).cast("long"))
+    found = "struct<n_words:long,hits:array<struct<first:long,last:long>>,items:array<string>>"
+    rows = docs.select(packed_row(keep), "text", F.lit(None).cast(found).alias("found"))
     for number in range(slices):
         chosen = patterns.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == number).collect()
         tables = {tuple(r["window"].encode().split(b" ")): r["items"] for r in chosen}
-        out = out.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(tables)), out.schema)
-    return out.select("row", "n_words", "hits", "items")
+        search = F.arrow_udf(_searcher(docs.sparkSession.sparkContext.broadcast(tables)), found)
+        rows = rows.withColumn("found", search("text", F.col("found")["hits"], F.col("found")["items"]))
+    return rows.select("row", "found.*")
 
 
 def _searcher(tables):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         search = WordSearch(tables.value)
-        for batch in batches:
-            texts, spans, names, counts = batch.column("text"), [], [], []
-            earlier = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (old_spans, old_names) in zip(texts, earlier, strict=True):
+        for texts, old_hits, old_items in batches:
+            counts, spans, names = [], [], []
+            for text, before, named in zip(texts, old_hits.to_pylist(), old_items.to_pylist(), strict=True):
                 words = letter_words(text.as_py())
-                found, items = search.search(words)
-                spans.append([{"first": a, "last": b} for a, b in merged([*found, *((s["first"], s["last"]) for s in old_spans or ())])])
-                names.append(sorted(items.union(old_names or ())))
+                hits, items = search.search(words)
                 counts.append(len(words))
-            fields = batch.schema
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), texts, pa.array(spans, fields.field("hits").type), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())],
-                ["row", "text", "hits", "items", "n_words"],
+                spans.append([{"first": a, "last": b} for a, b in merged([*hits, *((s["first"], s["last"]) for s in before or ())])])
+                names.append(sorted(items.union(named or ())))
+            span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+            yield pa.StructArray.from_arrays(
+                [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(names, pa.list_(pa.string()))], ["n_words", "hits", "items"]
             )
 
     return run

@@ -26,9 +26,10 @@ from kinfold.llm.text import blank_words, mixed, pieces
 
 ORDER = 2
 #: Weight m of the shorter context, in occurrences.
-STRENGTH = 100.0
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+STRENGTH = 1000.0
+BLOCK_BYTES = 4 << 20
+#: Bytes of text whose n-grams meet in one bucket, on average.
+BUCKET_BYTES = 2 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B0A1C2D4F), np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -49,6 +50,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(np.uint64).reshape(-1)
 
 
+def small(numbers: np.ndarray) -> bytes:
+    """Mostly small counts: a byte each, and the large ones behind."""
+    rest = numbers[numbers >= 255]
+    return np.int64(len(numbers)).tobytes() + np.minimum(numbers, 255).astype(np.uint8).tobytes() + rest.astype(np.int64).tobytes()
+
+
+def unsmall(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, -1, 8 + n)
+    return out
+
+
 def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -189,6 +203,8 @@ def score_texts(
     block = F.pmod(F.xxhash64("text", *[F.col(f"`{c}`") for c in keep if c == "doc_id"]), F.lit(n_blocks)).cast("int")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), training.alias("training"), block.alias("block"))
     n_tokens, n_types = _vocabulary(rows, bits)
+    # Numbers of partitions follow the data, so that a task holds a few blocks or buckets whatever the session's setting.
+    rows = rows.repartition(n_blocks, "block")
 
     def count(table: pa.Table) -> pa.Table:
         grams = Grams(table["text"], order)
@@ -198,24 +214,24 @@ def score_texts(
         return pa.table({
             "bucket": pa.array([b for b, *_ in cut], pa.int32()), "sender": pa.array([number] * len(cut), pa.int32()),
             "keys": pa.array([packed(np.diff(grams.all_keys[i:j], prepend=np.uint64(0))) for _, i, j in cut], pa.binary()),
-            "counts": pa.array([packed(counts[i:j]) for _, i, j in cut], pa.binary()),
+            "counts": pa.array([small(counts[i:j]) for _, i, j in cut], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(k.as_py())) for k in table["keys"]]
         sizes = np.cumsum([0, *map(len, keys)])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([unpacked(c.as_py()) for c in table["counts"]]).astype(np.int64)
+        counts = np.concatenate([unsmall(c.as_py()) for c in table["counts"]])
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
         return pa.table({
             "block": table["sender"], "bucket": table["bucket"],
-            "totals": pa.array([packed(totals[i:j]) for i, j in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary()),
+            "totals": pa.array([small(totals[i:j]) for i, j in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary()),
         })
 
     def read(texts: pa.Table, sums: pa.Table) -> pa.Table:
         grams = Grams(texts["text"], order)
         received = sorted(zip(sums["bucket"].to_pylist(), sums["totals"], strict=True), key=lambda p: p[0])
-        totals = np.concatenate([np.zeros(0, np.uint64), *[unpacked(t.as_py()) for _, t in received]]).astype(np.int64)
+        totals = np.concatenate([np.zeros(0, np.int64), *[unsmall(t.as_py()) for _, t in received]])
         automaton = BackoffAutomaton(grams, totals, n_tokens, n_types, strength)
         spoken = ~grams.is_begin
         c = automaton.count[0][grams.at[0]]
@@ -227,7 +243,7 @@ def score_texts(
         })
 
     sent = rows.groupBy("block").applyInArrow(count, "bucket int, sender int, keys binary, counts binary")
-    sums = sent.groupBy("bucket").applyInArrow(add, "block int, bucket int, totals binary")
+    sums = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(add, "block int, bucket int, totals binary")
     schema = rows.select(
         "row", "training", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"),
         F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"),

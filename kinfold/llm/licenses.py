@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import carried, letter_words
+from kinfold.llm.text import letter_words, with_results
 
 #: Phrase and its label.
 PHRASES = (
@@ -200,11 +200,15 @@ def scan_licenses(
     """Per row of ``docs``: ``row`` (the columns in ``keep``), ``n_words``, ``n_places``, ``first_place`` and ``last_place`` (phrases),
     ``place_labels``, ``spans`` (chains of at least ``coverage``) and ``best`` (the highest coverage of a template or phrase)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = ["n_words", "n_places", "first_place", "last_place", "place_labels", "spans", "best"]
+    span = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span), pa.float64()]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = LicenseScanner(templates, phrases, min_match)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text"):
+        for texts in batches:
+            out: list[list] = [[] for _ in fields]
+            for text in texts:
                 words = letter_words(text.as_py())
                 places, chains = scanner.scan(words)
                 starts = [s for s, _ in places]
@@ -216,12 +220,8 @@ def scan_licenses(
                 )
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), spans_type, pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], fields)
 
-    span = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())])
-    spans_type = pa.list_(span)
-    packed = carried(docs, keep, text=F.col("text"))
-    names = ["row", "n_words", "n_places", "first_place", "last_place", "place_labels", "spans", "best"]
-    schema = packed.select("row", *[F.lit(None).cast(t).alias(n) for n, t in zip(names[1:], ["long"] * 4 + ["array<string>", _SPANS, "double"], strict=True)]).schema
-    return packed.mapInArrow(run, schema)
+    types = ["long"] * 4 + ["array<string>", _SPANS, "double"]
+    returns = f"struct<{','.join(f'{n}:{t}' for n, t in zip(fields, types, strict=True))}>"
+    return with_results(docs, keep, run, returns, F.col("text"))

@@ -16,7 +16,7 @@ Rows that repeat are rows of their own. Empty tables give no rows."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import blank_words, carried, pieces
+from kinfold.llm.text import blank_words, packed_row, pieces
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -116,16 +116,14 @@ _PLAN = "source string, source_size long, target double, block long, blocks long
 def sized(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``row``, ``source``, ``size`` (words of the text) and ``h`` (the hashed order) of every document."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for first, last, raw, offsets in pieces(batch.column("size")):
-                sizes[first:last] = np.diff(blank_words(raw, offsets)[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), batch.column(3)], ["row", "source", "size", "h"])
+    def count(texts: pa.Array) -> pa.Array:
+        sizes = np.zeros(len(texts), np.int64)
+        for first, last, raw, offsets in pieces(texts):
+            sizes[first:last] = np.diff(blank_words(raw, offsets)[1])
+        return pa.array(sizes)
 
-    packed = carried(docs, keep, source=F.col("source"), size=F.col("text"), h=F.xxhash64(F.lit(0), F.col("doc_id").cast("string"), F.xxhash64("text")))
-    schema = packed.drop("size", "h").schema.add("size", "long").add("h", "long")
-    return packed.mapInArrow(count, schema)
+    order = F.xxhash64(F.lit(0), F.col("doc_id").cast("string"), F.xxhash64("text"))
+    return docs.select(packed_row(keep), F.col("source"), F.arrow_udf(count, "long")("text").alias("size"), order.alias("h"))
 
 
 def mix(

@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.graph import components
 from kinfold.llm.language_model import packed, unpacked
-from kinfold.llm.text import blank_words, mixed, pieces
+from kinfold.llm.text import blank_words, mixed, pieces, with_results
 from kinfold.sources.shared import settle
 
 WIDTH = 4
 #: Smallest similarity in hundredths.
 PERCENT = 85
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of text whose shingles meet in one bucket, on average.
+BUCKET_BYTES = 2 << 20
 TILE_SETS = 512
 
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,28 +74,22 @@ def _least_shared(n, percent: int):
 def _with_classes(docs: DataFrame, width: int, keep: Sequence[str]) -> DataFrame:
     """``row``, ``n`` (size of the set) and ``cls`` of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(len(s), _name(s)) for s in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["row", "n", "cls"]
-            )
+    def run(texts: pa.Array) -> pa.Array:
+        found = [(len(s), _name(s)) for s in shingle_sets(texts, width)]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["n", "cls"])
 
-    packed_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"))
-    schema = packed_rows.select("row", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("cls")).schema
-    return packed_rows.mapInArrow(run, schema)
+    return with_results(docs, keep, run, "struct<n:long,cls:long>", F.col("text"))
 
 
-def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies that one task sees travel once: a text with very many copies stays small."""
+def _new_in_task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Whether a task meets a hash for the first time: copies that one task sees travel once, so a text with very many copies stays small."""
     seen: set[int] = set()
-    for batch in batches:
-        new = []
-        for i, h in enumerate(batch.column("h").to_pylist()):
-            if h not in seen:
-                seen.add(h)
-                new.append(i)
-        yield batch.take(pa.array(new, pa.int64()))
+    for hashes in batches:
+        fresh = []
+        for h in hashes.to_pylist():
+            fresh.append(h not in seen)
+            seen.add(h)
+        yield pa.array(fresh)
 
 
 def _distinct_sets(texts: pa.Array, width: int) -> list[tuple[int, np.ndarray]]:
@@ -114,7 +109,8 @@ def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bu
     n_blocks = max(1, -(-total // block_bytes))
     bits = max(0, (max(1, total // bucket_bytes) - 1).bit_length())
     texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
-    texts = texts.mapInArrow(_once_per_task, texts.schema).select("text", F.pmod("h", F.lit(n_blocks)).cast("int").alias("block"))
+    texts = texts.where(F.arrow_udf(_new_in_task, "boolean")("h")).select("text", F.pmod("h", F.lit(n_blocks)).cast("int").alias("block"))
+    texts = texts.repartition(n_blocks, "block")
 
     def send(table: pa.Table) -> pa.Table:
         sets = _distinct_sets(table["text"], width)
@@ -154,6 +150,7 @@ def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bu
         })
 
     sent = texts.groupBy("block").applyInArrow(send, "bucket int, sender int, keys binary, several binary")
+    sent = sent.repartition(1 << bits, "bucket")
     flags = sent.groupBy("bucket").applyInArrow(compare, "block int, bucket int, shared binary")
     kept = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(reduce, "cls long, n long, shared binary")
     return settle(kept.where("cls IS NOT NULL").dropDuplicates(["cls"]))
@@ -162,7 +159,7 @@ def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bu
 def _families(sets: DataFrame, percent: int, bucket_bytes: int) -> DataFrame:
     """Edges (a, b) between classes that share a prefix shingle and have fitting sizes: enough to connect all such classes."""
     prefix_bytes = sets.agg(F.sum(F.octet_length("shared"))).first()[0] or 0
-    n_buckets = max(1, -(-prefix_bytes // (8 * bucket_bytes)) * 4)
+    n_buckets = max(1, -(-prefix_bytes // (4 * bucket_bytes)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

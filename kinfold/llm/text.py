@@ -5,7 +5,7 @@ changes the length of a text."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,15 @@ def letter_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
-def carried(df: DataFrame, keep, **named: Column) -> DataFrame:
-    """The columns in ``keep`` packed as the struct ``row`` beside an operator's own columns, so that no name can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *[c.alias(n) for n, c in named.items()])
+def packed_row(keep: Sequence[str]) -> Column:
+    """The columns in ``keep`` as the struct ``row`` beside an operator's own columns, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
 
 
-def unpacked(df: DataFrame, *more: Column | str) -> DataFrame:
-    """The carried columns under their old names, then ``more``."""
-    return df.select("row.*", *more)
+def with_results(docs: DataFrame, keep: Sequence[str], kernel: Callable, returns: str, *inputs: Column) -> DataFrame:
+    """``row`` and the fields that ``kernel`` gives for the inputs. Only the inputs go to Python, only results come back."""
+    found = docs.select(packed_row(keep), F.arrow_udf(kernel, returns)(*inputs).alias("found"))
+    return found.select("row", "found.*")
 
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import carried, letter_words
+from kinfold.llm.text import letter_words, packed_row
 from kinfold.sources.shared import settle
 
 MAX_ROWS = 30_000
@@ -209,12 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Per row of ``docs``: ``row`` (the columns in ``keep``) and ``score`` (0 to 1)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at = {v: i for i, v in enumerate(model.voters)}
-        for batch in batches:
-            odds = np.array([model.features(t.as_py(), at) @ model.weights + model.bias for t in batch.column("text")], float)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.where(np.isinf(odds), odds > 0, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))), pa.float64())], ["row", "score"])
+        for texts in batches:
+            odds = np.array([model.features(t.as_py(), at) @ model.weights + model.bias for t in texts], float)
+            yield pa.array(np.where(np.isinf(odds), odds > 0, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))), pa.float64())
 
-    packed = carried(docs, keep, text=F.col("text"))
-    schema = packed.select("row", F.lit(0.0).alias("score")).schema
-    return packed.mapInArrow(run, schema)
+    return docs.select(packed_row(keep), F.arrow_udf(run, "double")("text").alias("score"))

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import carried
+from kinfold.llm.text import packed_row
 from kinfold.sources.shared import settle
 
 #: Host, path and verdict.
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules=RULES, max_examples: int = MAX_EXAMPLES, keep:
     """Per row of ``pages``: ``row`` (the columns in ``keep``), ``host``, ``path``, ``rule``, ``verdict`` and ``blocked`` (the
     trees' probability, null where a rule decides)."""
     host, path = host_and_path(F.col("url"))
-    parsed = with_rules(carried(pages, keep, url=F.col("url"), host=host, path=path), rules)
+    parsed = with_rules(pages.select(packed_row(keep), "url", host.alias("host"), path.alias("path")), rules)
     label = (F.col("decided") == "block").cast("double")
     decided = parsed.where("decided IS NOT NULL").select("url", "host", "path", label.alias("label"))
     examples = settle(with_features(decided.orderBy(F.xxhash64("url"), "url").limit(max_examples)))
