@@ -16,6 +16,7 @@ Rows that repeat are rows of their own. Empty tables give no rows."""
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,6 +35,8 @@ BLOCK_WORDS = 256
 MAX_BLOCKS = 500_000_000
 BUCKET_ROWS = 1000
 
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
 
 def targets(names: Sequence[str | None], sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> list[float]:
     """Target words of each source. Sources by code point, null last, take the repeating weights and share all words;
@@ -177,3 +180,36 @@ def mix(
 def taken() -> Column:
     """Words that the mix takes of the document, repeats counted."""
     return F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"])
+
+
+def _cut_words(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The given word ranges of each text, joined by line breaks where words between them are missing."""
+    out = []
+    for text, ranges in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        if text is None:
+            out.append(None)
+            continue
+        raw = text.encode("utf-8", "surrogatepass")
+        words = [m.span() for m in _WORDS.finditer(raw)]
+        runs: list[list[int]] = []
+        for r in sorted(ranges, key=lambda r: r["start"]):
+            if runs and runs[-1][1] == r["start"]:
+                runs[-1][1] += r["words"]
+            else:
+                runs.append([r["start"], r["start"] + r["words"]])
+        out.append(b"\n".join(raw[words[a][0] : words[b - 1][1]] for a, b in runs).decode("utf-8", "surrogatepass"))
+    return pa.array(out, pa.string())
+
+
+def mixed_documents(mixed: DataFrame) -> DataFrame:
+    """The mix as documents: the carried columns (text among them) once for every copy that is taken, with the text cut to the words taken.
+    A column n_chars follows the text."""
+    copies = mixed.select("row", "size", "draws", F.explode(F.array_distinct(F.transform("draws", lambda d: d["copy"]))).alias("copy"))
+    own = F.filter("draws", lambda d: d["copy"] == F.col("copy"))
+    copies = copies.select("row", "size", own.alias("own"))
+    words = F.aggregate("own", F.lit(0).cast("long"), lambda total, d: total + d["words"])
+    copies = copies.withColumn("part", words < F.col("size"))
+    cut = F.arrow_udf(_cut_words, "string")(F.when(F.col("part"), F.col("row.text")), F.when(F.col("part"), F.col("own")))
+    rows = copies.select("row", F.when(F.col("part"), cut).otherwise(F.col("row.text")).alias("new"))
+    fresh = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return rows.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in mixed.schema["row"].dataType.names])

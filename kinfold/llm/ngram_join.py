@@ -268,8 +268,8 @@ def similar_groups(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, keep: Sequence[str] = ("doc_id",), block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES, tile_sets: int = TILE_SETS,
 ) -> DataFrame:
-    """Per row of ``docs`` (with doc_id and text): ``row`` (the columns in ``keep``), ``n_shingles``, ``cls`` (equal sets) and
-    ``component_id``, the smallest doc_id of all documents that links reach."""
+    """Per row of ``docs`` (with doc_id and text): ``row`` (the columns in ``keep``), ``n_shingles``, ``component`` (a key of its component, null
+    for a document without links) and ``component_id``, the smallest doc_id of all documents that links reach."""
     rows = _with_classes(docs, width, [*keep, *({"doc_id"} - set(keep))])
     ids = settle(rows.select("row.doc_id", "n", "cls"))
     sets = _shared_part(docs, width, percent, block_bytes, bucket_bytes)
@@ -278,8 +278,16 @@ def similar_groups(
     firsts = ids.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     firsts = settle(firsts.join(groups, firsts["cls"] == groups["node"], "left").withColumn("root", F.coalesce("root", "cls")).select("cls", "root", "first", "rows"))
     named = firsts.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
-    named = firsts.select("cls", F.col("root").alias("_root")).join(named, F.col("_root") == named["root"]).select(F.col("cls").alias("_cls"), "component_id")
+    named = firsts.select("cls", F.col("root").alias("_root")).join(named, F.col("_root") == named["root"]).select(F.col("cls").alias("_cls"), F.col("_root").alias("component"), "component_id")
     if tuple(keep) == ("doc_id",):
         rows = ids.select(F.struct("doc_id").alias("row"), "n", "cls")
     matched = rows.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
-    return matched.select("row", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "row.doc_id").alias("component_id"))
+    return matched.select("row", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "row.doc_id").alias("component_id"))
+
+
+def one_of_each(grouped: DataFrame) -> DataFrame:
+    """The carried columns of one document of each component, the one of smallest id, and of all documents without links."""
+    alone = grouped.where("component IS NULL").select("row.*")
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row"))
+    chosen = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row", order).alias("row"))
+    return alone.unionByName(chosen.select("row.*"))
