@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.fixed import CLASS_METRICS, GROUP_LEVEL, ITEM_LEVEL, RATIO_METRICS
 from kinfold.functions.scores import argmax_index, class_at, label_index, ratio, scores_from_columns
 from kinfold.operators.auc import auc_one_vs_rest, score_ties
+from kinfold.sources.shared import settle
 
 #: Group means are rounded before the vote, so that equal means tie the same way for every summation order.
 MEAN_DECIMALS = 12
@@ -139,21 +140,30 @@ def classes_without_support(per_class: DataFrame, classes: Sequence[str], by: Se
     return with_labels(per_class.where(F.col("support") == 0), classes).select(*by, "k", "label")
 
 
-def group_summary(df: DataFrame, classes: Sequence[str], label: str = "species", group: str = "isolate_id") -> DataFrame:
-    """One row per group: its label, row count, mean scores, and how many of its rows were predicted as
-    each class. One pass and one shuffle of partial sums; everything at group level derives from it,
-    and so do the item-level confusion cells."""
-    rows = scored(df, classes, label, [group, label])
+def group_summary(
+    df: DataFrame, classes: Sequence[str], label: str = "species", group: str = "isolate_id", item: str = "image_path"
+) -> DataFrame:
+    """One row per group: its label, row count, mean scores (missing ones skipped), and ``cells``, the confusion counts
+    of its rows by each row's own label. Everything at group level derives from it, and so do the item-level cells.
+
+    A group whose rows carry several labels takes that of its first row: by item path, if there is one, then by class order.
+    Both reductions are partial on the map side; the second sees at most K x K rows per group."""
+    first = [item] if item in df.columns else []
+    rows = scored(df, classes, label, [group, label, *first])
     size = len(classes)
-    means = [F.avg(F.col("scores")[k]).alias(f"__mean_{k}") for k in range(size)]
-    votes = [F.sum((F.col("pred_k") == k).cast("bigint")).alias(f"__votes_{k}") for k in range(size)]
-    summed = rows.groupBy(group).agg(
-        F.min(label).alias(label), F.min("true_k").alias("true_k"), F.count(F.lit(1)).alias("n_items"), *means, *votes
+    present = [F.when(~F.isnan(F.col("scores")[k]), F.col("scores")[k]) for k in range(size)]
+    parts = rows.groupBy(group, "true_k", "pred_k").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*first, "true_k", label)).alias("__first"),
+        *[F.sum(p).alias(f"__sum_{k}") for k, p in enumerate(present)], *[F.count(p).alias(f"__seen_{k}") for k, p in enumerate(present)],
+    )
+    summed = parts.groupBy(group).agg(
+        F.min("__first").alias("__first"), F.sum("n").alias("n_items"),
+        F.array_sort(F.collect_list(F.struct("true_k", "pred_k", "n"))).alias("cells"),
+        *[F.try_divide(F.sum(f"__sum_{k}"), F.sum(f"__seen_{k}")).alias(f"__mean_{k}") for k in range(size)],
     )
-    mean_scores = F.array(*[F.round(f"__mean_{k}", MEAN_DECIMALS) for k in range(size)])
+    means = [F.coalesce(F.round(f"__mean_{k}", MEAN_DECIMALS), F.lit(float("nan"))) for k in range(size)]
     return summed.select(
-        group, label, "true_k", "n_items", mean_scores.alias("scores"),
-        F.array(*[F.col(f"__votes_{k}") for k in range(size)]).alias("votes"),
+        group, F.col("__first")[label].alias(label), F.col("__first.true_k").alias("true_k"), "n_items", F.array(*means).alias("scores"), "cells"
     )
 
 
@@ -168,13 +178,14 @@ def group_vote(df: DataFrame, classes: Sequence[str], label: str = "species", gr
 
 def two_level_cells(summary: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Confusion counts of every group at both levels: ``level, true_k, pred_k, n`` per group."""
-    def cell(level: str, pred: Column, n: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), pred.cast("int").alias("pred_k"), n.cast("bigint").alias("n"))
+    def cell(level: str, true: Column, pred: Column, n: Column) -> Column:
+        return F.struct(
+            F.lit(level).alias("level"), true.cast("int").alias("true_k"), pred.cast("int").alias("pred_k"), n.cast("bigint").alias("n")
+        )
 
-    items = F.transform(F.col("votes"), lambda v, k: cell(ITEM_LEVEL, k, v))
-    vote = F.array(cell(GROUP_LEVEL, argmax_index(F.col("scores")), F.lit(1)))
-    cells = F.filter(F.concat(items, vote), lambda c: c["n"] > 0)
-    return summary.select(*keep, "true_k", F.explode(cells).alias("c")).select(*keep, "true_k", "c.*")
+    items = F.transform("cells", lambda c: cell(ITEM_LEVEL, c["true_k"], c["pred_k"], c["n"]))
+    vote = F.array(cell(GROUP_LEVEL, F.col("true_k"), argmax_index(F.col("scores")), F.lit(1)))
+    return summary.select(*keep, F.explode(F.concat(items, vote)).alias("c")).select(*keep, "c.*")
 
 
 def two_level_ties(
@@ -182,9 +193,7 @@ def two_level_ties(
 ) -> DataFrame:
     """Tie groups of both levels, the input of the AUC."""
     items = scored(df, classes, label).withColumn("level", F.lit(ITEM_LEVEL))
-    # The condition always holds. It makes this branch read the votes like the confusion branch does, so
-    # that both need the same group shuffle and Spark computes it once.
-    groups = summary.where(F.array_max("votes") > 0).withColumn("level", F.lit(GROUP_LEVEL))
+    groups = summary.withColumn("level", F.lit(GROUP_LEVEL))
     return score_ties(items, ["level"], auc_decimals).unionByName(score_ties(groups, ["level"], auc_decimals))
 
 
@@ -196,7 +205,7 @@ def two_level_class_metrics(
     auc_decimals: int | None = None,
 ) -> DataFrame:
     """Metrics per (level, class) for item rows and for group votes."""
-    summary = group_summary(df, classes, label, group)
+    summary = settle(group_summary(df, classes, label, group))  # read by both branches
     cells = confusion_cells(two_level_cells(summary), ["level"], "n")
     auc = auc_one_vs_rest(two_level_ties(df, summary, classes, label, auc_decimals), ["level"])
     return with_labels(class_metrics(cells, classes, ["level"], auc, both_levels(df.sparkSession)), classes)

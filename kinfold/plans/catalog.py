@@ -14,7 +14,7 @@ from kinfold.functions.text import value_with_interval
 from kinfold.operators import bootstrap, manifest, metrics, report, review, scoring, splits, weights
 from kinfold.operators.auc import auc_one_vs_rest, score_ties
 from kinfold.plans import training, views
-from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, ROOT, VECTOR_CLASSES
+from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, MIXED_CLASSES, ROOT, VECTOR_CLASSES
 from kinfold.sources import images, tables
 from kinfold.sources.models import save_head
 from kinfold.sources.shared import settle, shared_dir
@@ -98,6 +98,12 @@ def two_level_report(spark, sf_dir):
     return doubles(table.drop("k"))
 
 
+@query
+def two_level_report_mixed(spark, sf_dir):
+    """Groups with several labels, missing scores, classes not in alphabetical order."""
+    return doubles(metrics.two_level_class_metrics(views.pred_mixed(spark, sf_dir), MIXED_CLASSES).drop("k"))
+
+
 @query
 def two_level_report_vectors(spark, sf_dir):
     return doubles(metrics.two_level_class_metrics(views.pred_embeddings(spark, sf_dir), VECTOR_CLASSES).drop("k"))
@@ -338,6 +344,12 @@ def bootstrap_ci_macro(spark, sf_dir):
     return doubles(bootstrap.intervals(bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_BOOT, SEED)))
 
 
+@query
+def bootstrap_ci_mixed(spark, sf_dir):
+    rows = views.pred_mixed(spark, sf_dir)
+    return doubles(bootstrap.intervals(bootstrap.bootstrap_replicates(rows, MIXED_CLASSES, N_BOOT, SEED)))
+
+
 @query
 def bootstrap_ci_vectors(spark, sf_dir):
     """Ten classes whose group votes are often wrong: intervals that differ between the levels."""

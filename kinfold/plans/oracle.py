@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from kinfold.plans.catalog import DECIMALS, N_BOOT, SEED
-from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, ROOT, VECTOR_CLASSES
+from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, MIXED_CLASSES, ROOT, VECTOR_CLASSES
 
 R = DECIMALS
 RATIOS = ("sensitivity", "specificity", "ppv", "npv", "f1", "accuracy_ovr")
@@ -33,6 +33,12 @@ preds AS (
   SELECT image_path, species, isolate_id, modality,
          [a / (a + n + r), n / (a + n + r), r / (a + n + r)] AS s FROM raw)"""
 
+#: Missing scores are NaN here, as in a score array.
+MIXED = LINE.replace("preds AS", "line_preds AS") + """,
+preds AS (
+  SELECT image_path, species, split_part(image_path, '/', 3) AS isolate_id, modality,
+         [s[3], s[1], CASE WHEN split_part(image_path, '/', 4)::INTEGER % 7 <> 3 THEN s[2] ELSE 'NaN'::DOUBLE END] AS s FROM line_preds)"""
+
 VECTORS = """logits AS (
   SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS l FROM embeddings),
 shifted AS (
@@ -67,9 +73,9 @@ SCORED = """scored AS (
 
 
 def grouped(size: int, by: str = "") -> str:
-    means = ", ".join(f"round(avg(s[{k + 1}]), 12)" for k in range(size))
+    means = ", ".join(f"coalesce(round(avg(s[{k + 1}]) FILTER (WHERE NOT isnan(s[{k + 1}])), 12), 'NaN'::DOUBLE)" for k in range(size))
     return f"""grp AS (
-  SELECT {by} isolate_id, min(species) AS species, min(true_k) AS true_k, count(*) AS n_items, [{means}] AS s
+  SELECT {by} isolate_id, arg_min(species, image_path) AS species, arg_min(true_k, image_path) AS true_k, count(*) AS n_items, [{means}] AS s
   FROM scored GROUP BY {by} isolate_id),
 levelled AS (
   SELECT {by} 'image_level' AS level, isolate_id, true_k, pred_k, s FROM scored
@@ -122,7 +128,8 @@ ranked AS (
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM ties),
 areas AS (
   SELECT {keys} k, sum(p)::BIGINT AS positives, sum(q)::BIGINT AS negatives,
-         sum(p::DOUBLE * (below::DOUBLE + q / 2.0)) / nullif(sum(p)::DOUBLE * sum(q)::DOUBLE, 0) AS auc
+         CASE WHEN NOT bool_or(isnan(score) AND p + q > 0)
+              THEN sum(p::DOUBLE * (below::DOUBLE + q / 2.0)) / nullif(sum(p)::DOUBLE * sum(q)::DOUBLE, 0) END AS auc
   FROM ranked GROUP BY {keys} k)"""
 
 
@@ -267,6 +274,7 @@ SELECT k::BIGINT AS k, label FROM cls WHERE NOT EXISTS (SELECT 1 FROM preds WHER
     sql["group_vote"] = with_(values(LINE_CLASSES), LINE, SCORED, grouped(3)) + vote
     sql["combine_modalities"] = sql["group_vote"]
     sql["two_level_report"] = two_level(LINE, LINE_CLASSES) + f"SELECT level, label, {COUNTS}, {rounded(METRICS)} FROM full_table"
+    sql["two_level_report_mixed"] = two_level(MIXED, MIXED_CLASSES) + f"SELECT level, label, {COUNTS}, {rounded(METRICS)} FROM full_table"
     sql["two_level_report_vectors"] = two_level(VECTORS, VECTOR_CLASSES) + (
         f"SELECT level, label, {COUNTS}, {rounded(METRICS)} FROM full_table")
     sql["auc_ovr"] = with_(values(LINE_CLASSES), LINE, SCORED, auc("", "scored", 3)) + f"""
@@ -385,6 +393,7 @@ FROM grp, (SELECT min(n) >= 2 AS ok FROM (SELECT count(*) AS n FROM grp GROUP BY
     sql["bootstrap_ci_accuracy"] = bootstrap(LINE, LINE_CLASSES, 200, False) + interval_rows(["accuracy"])
     names = ["accuracy", *MACRO_NAMES]
     sql["bootstrap_ci_macro"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, True) + interval_rows(names)
+    sql["bootstrap_ci_mixed"] = bootstrap(MIXED, MIXED_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["bootstrap_ci_vectors"] = bootstrap(VECTORS, VECTOR_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["value_with_ci"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, False) + """,
 whole AS (SELECT level, avg((true_k = pred_k)::INTEGER) AS accuracy FROM levelled GROUP BY level)

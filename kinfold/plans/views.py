@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kinfold.functions.scores import columns_from_scores, softmax
 
 LINE_CLASSES = ["A", "N", "R"]
+#: Not in alphabetical order.
+MIXED_CLASSES = ["R", "A", "N"]
 VECTOR_CLASSES = [f"class_{k}" for k in range(10)]
 EVENT_CLASSES = ["click", "error", "purchase", "refund", "signup", "view"]
 ROOT = "/data/run"
@@ -36,6 +38,16 @@ def pred_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pred_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items whose groups (suppliers) carry several labels and whose second score is missing now and then."""
+    known = pred_lineitem(spark, sf_dir)
+    number = F.split("image_path", "/")[3].cast("int")
+    return known.withColumns({
+        "isolate_id": F.split("image_path", "/")[2],
+        "prob_N": F.when(number % 7 != 3, F.col("prob_N")),
+    })
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as a clean manifest with a feature column."""
     return table(spark, sf_dir, "embeddings").select(
