@@ -50,26 +50,50 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def whole_number(text: Column) -> Column:
-    """Text as a whole number: ``3``, `` 3 `` and ``3.0`` give 3, anything else NULL."""
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _number(text: Column) -> Column:
     trimmed = strip(text)
-    number = F.when(trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), trimmed).try_cast("double")
-    return F.when(number == F.floor(number), number).try_cast("int")
+    return F.when(trimmed.rlike(_NUMBER), trimmed).try_cast("double")
+
+
+def whole_number(text: Column) -> Column:
+    """Text as a whole 64-bit number: ``3``, `` 3 `` and ``3.0`` give 3, anything else NULL."""
+    trimmed, number = strip(text), _number(text)
+    plain = F.when(trimmed.rlike("^[+-]?[0-9]+$"), trimmed).try_cast("bigint")
+    return F.coalesce(plain, F.when(number == F.floor(number), number).try_cast("bigint"))
 
 
 def is_fractional(text: Column) -> Column:
-    """True for numeric text that is no whole number, such as ``3.5``."""
-    trimmed = strip(text)
-    number = F.when(trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), trimmed).try_cast("double")
-    return F.coalesce(number != F.floor(number), F.lit(False))
+    """True for numeric text that is no whole 64-bit number, such as ``3.5``."""
+    return _number(text).isNotNull() & whole_number(text).isNull()
+
+
+def rounded_units(value: Column, digits: int) -> Column:
+    """``value`` in units of 10**-digits as a whole number: the nearest one to the exact binary value, half to even.
+
+    The middle between two units is compared exactly: the value is cut at 2**-26 into two parts whose products with the scale
+    need no more than 53 bits (below that the value is too small to be near a middle)."""
+    scale = 10**digits
+    down = F.floor(value * scale)
+    high = F.floor(value * F.lit(2.0**26)) / F.lit(2.0**26)
+    over = (high * (2.0 * scale) - (down * 2 + 1)) + (value - high) * (2.0 * scale)
+    return F.when(over > 0, down + 1).when(over < 0, down).otherwise(down + F.pmod(down, F.lit(2)))
+
+
+def fixed_decimals(value: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded as in ``rounded_units``; undefined values print as ``nan``."""
+    size = F.abs(value)
+    units = rounded_units(size, digits)
+    text = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(units / 10**digits).cast("bigint").cast("string"), F.lit("."),
+        F.lpad(F.pmod(units, F.lit(10**digits)).cast("bigint").cast("string"), digits, "0"),
+    )
+    return F.when(value.isNull() | F.isnan(value), F.lit("nan")).otherwise(text)
 
 
 def value_with_interval(value: Column, low: Column, high: Column) -> Column:
-    """``0.833 [0.60-1.00]``; no bracket without an interval. Undefined values print as ``nan``.
-    Values are rounded half-even first, because ``format_string`` itself rounds half-up."""
-    def shown(col: Column, digits: int) -> Column:
-        text = F.format_string(f"%.{digits}f", F.bround(col, digits))
-        return F.when(col.isNull() | F.isnan(col), F.lit("nan")).otherwise(text)
-
-    bracket = F.concat(F.lit(" ["), shown(low, 2), F.lit("-"), shown(high, 2), F.lit("]"))
-    return F.concat(shown(value, 3), F.when(low.isNotNull() & high.isNotNull(), bracket).otherwise(F.lit("")))
+    """``0.833 [0.60-1.00]``; no bracket without an interval. Undefined values print as ``nan``."""
+    bracket = F.concat(F.lit(" ["), fixed_decimals(low, 2), F.lit("-"), fixed_decimals(high, 2), F.lit("]"))
+    return F.concat(fixed_decimals(value, 3), F.when(low.isNotNull() & high.isNotNull(), bracket).otherwise(F.lit("")))

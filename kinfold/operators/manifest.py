@@ -19,6 +19,8 @@ from kinfold.functions.text import is_fractional, resolve_path, strip, whole_num
 
 EXAMPLES = 3
 CONFLICTS_SHOWN = 5
+#: Values listed per column in an error text; the text says how many more there are.
+VALUES_SHOWN = 100
 
 
 def check_choice(name: str, value: str, allowed: Sequence[str]) -> None:
@@ -134,21 +136,22 @@ def violations(df: DataFrame, root: str, listing: DataFrame | None = None) -> Da
 
 
 def _messages(found: DataFrame) -> list[str]:
-    """Short error text per rule. Only counts and a few examples reach the driver."""
+    """Error text per rule. Counts, examples and a bounded number of values reach the driver."""
     per_rule = W.partitionBy("rule", "column").orderBy("value")
-    shown = found.withColumn("__rn", F.row_number().over(per_rule)).where(F.col("__rn") <= CONFLICTS_SHOWN)
+    shown = found.withColumn("__rn", F.row_number().over(per_rule)).where(F.col("__rn") <= VALUES_SHOWN)
     totals = found.groupBy("rule", "column").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"))
     rows = shown.join(totals, ["rule", "column"]).orderBy("rule", "column", "value").collect()
     texts: dict[tuple[str, str], str] = {}
     for rule, column in dict.fromkeys((r["rule"], r["column"]) for r in rows):
         mine = [r for r in rows if (r["rule"], r["column"]) == (rule, column)]
         values, examples = [r["value"] for r in mine], list(mine[0]["examples"])
+        more = f" and {mine[0]['values'] - len(values)} more" if mine[0]["values"] > len(values) else ""
         texts[rule, column] = {
-            "domain": f"{column}: {values} outside its domain {sorted(ALLOWED_VALUES.get(column, ()))}",
+            "domain": f"{column}: {values}{more} outside its domain {sorted(ALLOWED_VALUES.get(column, ()))}",
             "blank_group": f"blank group of {mine[0]['rows']} items such as {examples}",
             "missing_item": f"no file for {mine[0]['rows']} items such as {examples}",
-            "fractional_day": f"day: fractional values {values}",
-            "label_conflict": f"groups with several labels: {values}",
+            "fractional_day": f"day: fractional values {values}{more}",
+            "label_conflict": f"groups with several labels: {values[:CONFLICTS_SHOWN]} of {mine[0]['values']}",
         }[rule]
     return list(texts.values())
 
@@ -205,11 +208,13 @@ def unknown_labels(df: DataFrame, classes: Sequence[str], label: str = "species"
 
 def resolve_classes(df: DataFrame, classes: Sequence[str] = (), label: str = "species") -> list[str]:
     """The given class list in its order, else the sorted distinct labels. Labels outside the list are an error."""
-    present = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    unknown = [c for c in present if c not in set(classes)] if classes else []
-    if unknown:
-        raise ValueError(f"labels not in the class list: {unknown}")
-    return list(classes) or present
+    if not classes:
+        return [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    unknown = unknown_labels(df, classes, label)
+    shown = [r[0] for r in unknown.orderBy(F.desc("n"), label).limit(VALUES_SHOWN).collect()]
+    if shown:
+        raise ValueError(f"labels not in the class list: {sorted(shown)}, {unknown.count()} in all")
+    return list(classes)
 
 
 def dataset_summary(df: DataFrame, by: Sequence[str] = (), label: str = "species", group: str = "isolate_id") -> DataFrame:

@@ -19,8 +19,9 @@ from kinfold.operators.metrics import (
 )
 from kinfold.sources.shared import settle
 
+_CLASS_FIELDS = "support: bigint, " + ", ".join(f"{m}: double" for m in CLASS_METRICS)
 REPORT_SCHEMA = (
-    "n bigint, accuracy double, macro map<string,double>, per_class map<string,map<string,double>>,"
+    f"n bigint, accuracy double, macro map<string,double>, per_class map<string,struct<{_CLASS_FIELDS}>>,"
     " confusion_matrix array<array<bigint>>, classes_without_support array<string>,"
     f" {INTERVAL_KEY} struct<method: string, replicates: int, "
     + ", ".join(f"{m}: array<double>" for m in ("accuracy", *[f"macro_{m}" for m in CLASS_METRICS]))
@@ -77,7 +78,9 @@ def documents(result: Evaluation, by: Sequence[str] = ("level",)) -> DataFrame:
     def in_order(pairs: Column) -> Column:
         return F.transform(F.array_sort(pairs), lambda e: e["v"])
 
-    per_class = result.per_class.na.fill(float("nan"), list(CLASS_METRICS)).withColumn("m", _by_name(("support", *CLASS_METRICS)))
+    per_class = result.per_class.na.fill(float("nan"), list(CLASS_METRICS)).withColumn(
+        "m", F.struct(F.col("support").cast("bigint").alias("support"), *CLASS_METRICS)
+    )
     class_part = per_class.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("per_class"),
         F.array_intersect(classes, F.collect_set(F.when(F.col("support") == 0, F.col("label")))).alias("classes_without_support"),

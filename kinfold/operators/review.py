@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.fixed import REVIEW_COLUMNS
-from kinfold.functions.text import stem
+from kinfold.functions.text import rounded_units, stem
 
 
 def first_per_class(df: DataFrame, n: int, label: str = "species", order: str = "image_path") -> DataFrame:
@@ -26,7 +26,7 @@ def review_sheet(sample: DataFrame, truth: Column | None = None, order: str = "i
         "image_path": F.col("image_path"),
         "true_species": truth if truth is not None else F.lit(""),
         "predicted": F.col("predicted"),
-        "probability": F.bround(F.array_max("scores"), 4),
+        "probability": rounded_units(F.array_max("scores"), 4) / 10_000,
         "panel": F.format_string("%04d_%s.png", number, stem(F.col("image_path"))),
     }
     return sample.select(*[filled.get(c, F.lit("")).alias(c) for c in REVIEW_COLUMNS])

@@ -76,8 +76,11 @@ def ranking(df: DataFrame, classes: Sequence[str], keep: Sequence[str] = ("image
 
 
 def route_by_modality(models: dict[str, LogisticRegressionModel], df: DataFrame, classes: Sequence[str], features: str = "embedding") -> DataFrame:
-    """Scores every row with the model of its modality. Rows of other modalities have no model and are left out."""
+    """Scores every row with the model of its modality. A row whose modality has no model fails the query that meets it."""
     parts = [score(model, df.where(F.col("modality") == name), classes, features) for name, model in models.items()]
+    known = F.coalesce(F.col("modality").isin(*models), F.lit(False))
+    no_model = F.raise_error(F.concat(F.lit("no model for modality "), F.coalesce("modality", F.lit("NULL")))).cast("array<double>")
+    parts.append(df.where(~known).withColumn("scores", no_model))
     routed = parts[0]
     for part in parts[1:]:
         routed = routed.unionByName(part)

@@ -32,6 +32,13 @@ def hot_keys(sizes: DataFrame, keys: Sequence[str], parts: int = HOT_PARTS, floo
     return sizes.where((F.col("__size") > floor) & (F.col("__size") * parts > total)).select(*keys, pieces.alias("__pieces"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by equal key values in which NULL equals NULL; the keys come out once, from the left side."""
+    renamed = right.select(*[F.col(c).alias(f"__right_{c}" if c in keys else c) for c in right.columns])
+    same = [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def attach(
     rows: DataFrame,
     facts: DataFrame,
@@ -52,9 +59,9 @@ def attach(
     # Fewer than ``parts`` rows, see hot_keys.
     hot = F.broadcast(hot_keys(key_sizes(rows, keys) if sizes is None else sizes, keys, parts, floor))
     pieces = F.coalesce("__pieces", F.lit(1))
-    salted = rows.join(hot, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(spread), pieces).cast("int"))
-    repeated = facts.join(hot, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return salted.drop("__pieces").join(repeated.drop("__pieces"), [*keys, "__piece"], how).drop("__piece")
+    salted = null_safe_join(rows, hot, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(spread), pieces).cast("int"))
+    repeated = null_safe_join(facts, hot, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return null_safe_join(salted.drop("__pieces"), repeated.drop("__pieces"), [*keys, "__piece"], how).drop("__piece")
 
 
 def hashed_rank(
@@ -81,23 +88,27 @@ def hashed_rank(
     if hot_only:
         # Fewer than ``parts`` rows, see hot_keys.
         hot = F.broadcast(hot_keys(key_sizes(df, parents) if sizes is None else sizes, parents, parts, floor))
-        hashed = hashed.join(hot, parents, "left")
+        hashed = null_safe_join(hashed, hot, parents, "left")
         bucket = F.when(F.col("__pieces").isNotNull(), bucket).otherwise(F.lit(0))
     hashed = hashed.withColumn("__bucket", bucket).drop("__pieces")
 
     counts = hashed.groupBy(*parents, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    running = W.orderBy(*across, "__bucket") if across else W.partitionBy(*parents).orderBy("__bucket")
-    before = F.sum("__n").over(running.rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum("__n").over(W.partitionBy(*parents).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(
         *parents,
         "__bucket",
         F.coalesce(before, F.lit(0)).alias("__before"),
         F.sum("__n").over(W.partitionBy(*parents)).alias("parent_size"),
     )
+    if across:
+        # One row per parent; parents that are ordered among themselves are few (classes).
+        totals = counts.groupBy(*parents).agg(F.sum("__n").alias("__total"))
+        earlier = F.sum("__total").over(W.orderBy(*across).rowsBetween(W.unboundedPreceding, -1))
+        starts = totals.select(*parents, F.coalesce(earlier, F.lit(0)).alias("__start"))
+        offsets = null_safe_join(offsets, starts, parents).withColumn("__before", F.col("__before") + F.col("__start")).drop("__start")
     within = F.row_number().over(W.partitionBy(*parents, "__bucket").orderBy("__digest", key)) - 1
     return (
-        hashed.withColumn("__within", within)
-        .join(offsets, [*parents, "__bucket"])
+        null_safe_join(hashed.withColumn("__within", within), offsets, [*parents, "__bucket"])
         .withColumn("ordinal", (F.col("__before") + F.col("__within")).cast("bigint"))
         .drop("__digest", "__bucket", "__within", "__before")
     )

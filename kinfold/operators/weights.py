@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from kinfold.fixed import IMBALANCE_MODES
 from kinfold.functions.hashing import draw_below
-from kinfold.functions.scores import class_array
+from kinfold.functions.scores import class_array, label_index
 from kinfold.operators.manifest import check_choice
-from kinfold.operators.skew import HOT_FLOOR, HOT_PARTS, attach, hashed_rank
+from kinfold.operators.skew import HOT_FLOOR, HOT_PARTS, attach, hashed_rank, null_safe_join
 from kinfold.sources.shared import settle
 
 
@@ -25,15 +25,20 @@ def balanced_weights(
     pairs = settle(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items")))
     per_class = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("__groups"))
     in_group = F.sum("__items").over(W.partitionBy(group))
-    facts = pairs.withColumn("__items", in_group).join(per_class, label)
+    facts = null_safe_join(pairs.withColumn("__items", in_group), per_class, [label])
     weight = F.lit(1.0) / (F.col("__groups") * F.col("__items"))
     sizes = pairs.withColumnRenamed("__items", "__size")
     return attach(df, facts.select(group, label, weight.alias("weight")), [group, label], item, sizes=sizes, floor=floor)
 
 
+def known_labels(df: DataFrame, classes: Sequence[str], label: str = "species") -> DataFrame:
+    """The same rows; one with a label outside the class list fails the query. All modes of weighting share this rule."""
+    return df.where(label_index(F.col(label), classes) >= 0)
+
+
 def class_loss_weights(df: DataFrame, classes: Sequence[str], label: str = "species") -> DataFrame:
     """``label, k, n, weight`` with weight = N / (K x n), 0 for an absent class. One row per class of the list."""
-    counts = df.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = known_labels(df, classes, label).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     listed = df.sparkSession.range(1).select(F.posexplode(class_array(classes)).alias("k", label))
     # At most one row per class of the list.
     table = listed.join(F.broadcast(counts), label, "left").na.fill(0, ["n"])
@@ -48,6 +53,7 @@ def weight_column(
     """Adds ``weight`` for one imbalance mode, never two corrections at once:
     sampler = balanced weights, loss = class weights, none = 1."""
     check_choice("imbalance", mode, IMBALANCE_MODES)
+    df = known_labels(df, classes, label)
     if mode == "sampler":
         return balanced_weights(df, label, group, item)
     if mode == "loss":
@@ -72,6 +78,7 @@ def weighted_resample(
     each uniform. Every item row serves as one draw slot. A class with few groups is drawn far more often
     than a group partition should hold; its expected share is known beforehand, so those draws are split
     by that share. Draws are counted before they meet the items."""
+    df = known_labels(df, classes, label)
     groups = settle(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("__items")))
     ranked = hashed_rank(groups, [label], group, seed).select(
         label, group, "__items", F.col("ordinal").alias("__g"), F.col("parent_size").alias("__groups")

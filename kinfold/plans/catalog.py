@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.fixed import CLASS_METRICS
 from kinfold.functions import pixels as px
 from kinfold.functions.scores import argmax_index, class_at, label_index, ranked_scores, scores_from_columns, softmax
 from kinfold.functions.text import value_with_interval
@@ -265,8 +266,7 @@ def leakage_check(spark, sf_dir):
 def fold_coverage(spark, sf_dir):
     rows = clean_events(spark, sf_dir)
     assigned = settle(splits.assign_folds(rows, splits.make_folds(rows, "kfold", 5, seed=SEED)))
-    sides = reduce(DataFrame.unionByName, [splits.fold_sides(assigned, name) for name in splits.fold_names("kfold", 5)])
-    return splits.fold_coverage(rows, sides)
+    return splits.assigned_coverage(rows, assigned, splits.fold_names("kfold", 5))
 
 
 @query
@@ -429,7 +429,7 @@ def combine_modalities_equal(spark, sf_dir):
 def union_folds(spark, sf_dir):
     """Fold-wise prediction tables pooled again: rows per fold and predicted class."""
     rows = views.pred_lineitem(spark, sf_dir).withColumn("scores", scores_from_columns(LINE_CLASSES))
-    assigned = splits.assign_folds(rows, splits.make_folds(rows, "kfold", 5, seed=SEED))
+    assigned = settle(splits.assign_folds(rows, splits.make_folds(rows, "kfold", 5, seed=SEED)), ["fold"])
     parts = [
         scoring.prediction_table(assigned.where(F.col("fold") == name), LINE_CLASSES, F.lit(name))
         for name in splits.fold_names("kfold", 5)
@@ -439,21 +439,21 @@ def union_folds(spark, sf_dir):
 
 @query
 def oof_predictions(spark, sf_dir):
-    run = training.cross_validate(views.vectors(spark, sf_dir), VECTOR_CLASSES, n_folds=5, seed=SEED, max_iter=10)
+    run = training.cross_validate(views.vectors(spark, sf_dir), VECTOR_CLASSES, n_folds=5, seed=SEED, max_iter=15)
     return run.predictions
 
 
 @query
 def fit_history(spark, sf_dir):
     rows = views.vectors(spark, sf_dir)
-    return training.cross_validate(rows, VECTOR_CLASSES, strategy="holdout", seed=SEED, imbalance="loss", max_iter=10).history
+    return training.cross_validate(rows, VECTOR_CLASSES, strategy="holdout", seed=SEED, imbalance="loss", max_iter=15).history
 
 
 @query
 def eval_saved_head(spark, sf_dir):
     rows = views.vectors(spark, sf_dir)
     path = scratch(spark, "head")
-    model = scoring.fit_head(rows, VECTOR_CLASSES, imbalance="sampler", max_iter=10)
+    model = scoring.fit_head(rows, VECTOR_CLASSES, imbalance="sampler", max_iter=15)
     save_head(spark, model, path, VECTOR_CLASSES, "microscopic", "cmu", "embedding", "all")
     return training.score_saved_head(spark, path, rows)[0]
 
@@ -463,7 +463,7 @@ def modality_routing(spark, sf_dir):
     """One head per modality; each row is scored by its own."""
     rows = views.vectors(spark, sf_dir).withColumn("modality", F.when(F.col("vec_id") % 2 == 0, "colony").otherwise("microscopic"))
     models = {
-        name: scoring.fit_head(manifest.select(rows, name), VECTOR_CLASSES, max_iter=5) for name in ("colony", "microscopic")
+        name: scoring.fit_head(manifest.select(rows, name), VECTOR_CLASSES, max_iter=15) for name in ("colony", "microscopic")
     }
     return scoring.prediction_table(scoring.route_by_modality(models, rows, VECTOR_CLASSES), VECTOR_CLASSES, F.lit("eval"))
 
@@ -482,7 +482,10 @@ def report_document(spark, sf_dir):
     """The nested document taken apart again: per-class values of both levels."""
     result = report.evaluate(views.pred_lineitem(spark, sf_dir), LINE_CLASSES, n_boot=0)
     per_class = report.documents(result).select("level", F.explode("report.per_class").alias("label", "m"))
-    return doubles(per_class.select("level", "label", F.explode("m").alias("metric", "value")))
+    named = F.map_from_arrays(
+        F.array(*[F.lit(m) for m in ("support", *CLASS_METRICS)]), F.array(*[F.col("m")[m].cast("double") for m in ("support", *CLASS_METRICS)])
+    )
+    return doubles(per_class.select("level", "label", F.explode(named).alias("metric", "value")))
 
 
 @query

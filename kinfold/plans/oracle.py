@@ -65,7 +65,7 @@ filled AS (
   FROM manifest_raw),
 ev AS (
   SELECT image_path, species, CASE WHEN isolate_id = '' THEN 'img:' || image_path ELSE isolate_id END AS isolate_id,
-         modality, view, device, CAST(TRY_CAST("day" AS DOUBLE) AS INTEGER) AS "day", source, event_id
+         modality, view, device, CAST(TRY_CAST("day" AS DOUBLE) AS BIGINT) AS "day", source, event_id
   FROM filled)"""
 
 SCORED = """scored AS (
@@ -397,8 +397,8 @@ FROM grp, (SELECT min(n) >= 2 AS ok FROM (SELECT count(*) AS n FROM grp GROUP BY
     sql["bootstrap_ci_vectors"] = bootstrap(VECTORS, VECTOR_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["value_with_ci"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, False) + """,
 whole AS (SELECT level, avg((true_k = pred_k)::INTEGER) AS accuracy FROM levelled GROUP BY level)
-SELECT w.level, format('{:.3f}', round_even(w.accuracy, 3)) || ' [' || format('{:.2f}', round_even(quantile_cont(m.accuracy, 0.025), 2))
-       || '-' || format('{:.2f}', round_even(quantile_cont(m.accuracy, 0.975), 2)) || ']' AS accuracy
+SELECT w.level, format('{:.3f}', w.accuracy) || ' [' || format('{:.2f}', quantile_cont(m.accuracy, 0.025))
+       || '-' || format('{:.2f}', quantile_cont(m.accuracy, 0.975)) || ']' AS accuracy
 FROM whole w JOIN macro m ON m.level = w.level GROUP BY w.level, w.accuracy"""
 
     sql["softmax_scores"] = f"""WITH x AS (
@@ -413,7 +413,7 @@ SELECT image_path, label AS predicted FROM scored JOIN cls ON cls.k = scored.pre
     sql["ranked_scores_per_item"] = with_(values(VECTOR_CLASSES), VECTORS) + f"""
 SELECT image_path, row_number() OVER (PARTITION BY image_path ORDER BY s[k + 1] DESC, k) AS "rank", label,
        round(s[k + 1], {R}) AS score FROM preds, cls"""
-    fixed = """'na' AS view, 'unknown' AS device, NULL::INTEGER AS "day", 'cmu' AS source"""
+    fixed = """'na' AS view, 'unknown' AS device, NULL::BIGINT AS "day", 'cmu' AS source"""
     sql["prediction_table"] = line_cells + f"""
 SELECT image_path, species, isolate_id, modality, {fixed}, 'eval' AS fold, label AS predicted, {line_probs}
 FROM scored JOIN cls ON cls.k = scored.pred_k"""
@@ -449,13 +449,13 @@ FROM scored s JOIN dealt d ON d.isolate_id = s.isolate_id JOIN cls ON cls.k = s.
     level = "CASE level WHEN 'image_level' THEN 'image' ELSE 'isolate' END AS level"
     shown = ["accuracy", *[f"macro_{m}" for m in compared]]
     sql["compare_runs"] = both + f"SELECT modality AS run, {level}, n, {rounded(shown)} FROM macro"
-    text = ", ".join(f"coalesce(format('{{:.3f}}', round_even({n}, 3)), 'nan') AS {n}" for n in shown)
+    text = ", ".join(f"coalesce(format('{{:.3f}}', {n}), 'nan') AS {n}" for n in shown)
     sql["compare_report_files"] = both + f"SELECT modality AS run, {level}, n, {text} FROM macro"
     first2 = "row_number() OVER (PARTITION BY species ORDER BY image_path) AS rn"
     sql["first_n_per_class"] = with_(LINE) + f"""
 SELECT image_path, species FROM (SELECT *, {first2} FROM preds WHERE modality = 'colony') WHERE rn <= 2"""
     sql["review_sheet"] = with_(values(LINE_CLASSES), LINE, SCORED, f"numbered AS (SELECT *, {first2} FROM scored)") + """
-SELECT image_path, species AS true_species, label AS predicted, round_even(list_max(s), 4) AS probability,
+SELECT image_path, species AS true_species, label AS predicted, format('{:.4f}', list_max(s))::DOUBLE AS probability,
        format('{:04d}_{}.png', row_number() OVER (ORDER BY image_path) - 1, split_part(image_path, '/', 4)) AS panel,
        '' AS reviewer, '' AS concordant_with_morphology, '' AS highlighted_structure, '' AS artifact_suspected, '' AS notes
 FROM numbered n JOIN cls ON cls.k = n.pred_k WHERE rn <= 2"""

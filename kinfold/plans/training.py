@@ -41,18 +41,18 @@ def cross_validate(
     features: str = "embedding",
     max_iter: int = 15,
     reg: float = 1e-4,
-    max_folds: int = 100,
+    max_folds: int | None = None,
 ) -> TrainingRun:
     """Fits one head per fold on the other folds' groups and scores the fold's own rows: every prediction is
     out-of-fold. The driver only loops over folds; each fit and each scoring is a distributed job.
-    More than ``max_folds`` fits (leave-one-out over many groups) are refused, not cut short."""
+    A caller may refuse runs of more than ``max_folds`` fits (leave-one-out over many groups)."""
     check_parameters(imbalance=imbalance, strategy=strategy, val_fraction=val_fraction)
     require_rows(df, "training")
     names = resolve_classes(df, classes)
     folds = make_folds(df, strategy, n_folds, val_fraction, seed)
-    listed = [r[0] for r in folds.select("fold").where(F.col("fold").isNotNull()).distinct().orderBy("fold").limit(max_folds + 1).collect()]
-    if len(listed) > max_folds:
-        raise ValueError(f"{strategy} needs more than {max_folds} fits; raise max_folds or use kfold")
+    listed = [r[0] for r in folds.select("fold").where(F.col("fold").isNotNull()).distinct().orderBy("fold").collect()]  # one per fit
+    if max_folds is not None and len(listed) > max_folds:
+        raise ValueError(f"{strategy} needs {len(listed)} fits, more than max_folds={max_folds}")
     # Every fit reads the rows of the other folds many times and every scoring those of one fold: one folder per fold.
     assigned = settle(assign_folds(df, folds), ["fold"])
     assert_assignment(df, assigned)

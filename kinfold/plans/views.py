@@ -33,7 +33,7 @@ def pred_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("species"),
         F.concat_ws("-", "l_returnflag", "l_suppkey").alias("isolate_id"),
         F.when(F.col("l_linestatus") == "F", "colony").otherwise("microscopic").alias("modality"),
-        F.lit("na").alias("view"), F.lit("unknown").alias("device"), F.lit(None).cast("int").alias("day"), F.lit("cmu").alias("source"),
+        F.lit("na").alias("view"), F.lit("unknown").alias("device"), F.lit(None).cast("bigint").alias("day"), F.lit("cmu").alias("source"),
         *[(parts[c] / total).alias(f"prob_{c}") for c in LINE_CLASSES],
     )
 
@@ -55,7 +55,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("class_"), F.col("label")).alias("species"),
         F.concat(F.lit("class_"), F.col("label"), F.lit("-"), F.col("vec_id") % 5).alias("isolate_id"),
         F.lit("microscopic").alias("modality"), F.lit("na").alias("view"), F.lit("unknown").alias("device"),
-        F.lit(None).cast("int").alias("day"), F.lit("cmu").alias("source"), "embedding", "vec_id",
+        F.lit(None).cast("bigint").alias("day"), F.lit("cmu").alias("source"), "embedding", "vec_id",
     )
 
 

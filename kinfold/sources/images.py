@@ -16,7 +16,9 @@ from kinfold.functions.pixels import over_white
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _levels(data: pd.Series, channels: pd.Series) -> pd.Series:
     """Stored bytes (blue first) as interleaved levels, red first; grey stays one plane."""
-    def one(raw: bytes, n: int) -> np.ndarray:
+    def one(raw: bytes, n: int) -> np.ndarray | None:
+        if n < 1:
+            return None
         flat = np.frombuffer(raw, dtype=np.uint8).astype(np.int32)
         if n == 1:
             return flat
@@ -26,20 +28,33 @@ def _levels(data: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([one(raw, n) for raw, n in zip(data, channels, strict=True)])
 
 
-def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def read_images(spark: SparkSession, path: str, pattern: str = "*", strict: bool = True) -> DataFrame:
     """``path, height, width, pixels``: RGB levels, grey replicated, transparency composited over white.
+    A file that cannot be decoded fails the query that meets it; without ``strict`` its row has no size and no pixels (see ``broken_images``).
     16-bit files need another reader: Spark's image source keeps one byte per channel."""
-    source = spark.read.format("image").option("pathGlobFilter", pattern).option("dropInvalid", True).load(path)
+    source = spark.read.format("image").option("pathGlobFilter", pattern).option("dropInvalid", False).load(path)
     image = source.select(
         F.regexp_replace("image.origin", "^file:/+", "/").alias("path"),
         F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"), _levels("image.data", "image.nChannels").alias("levels"),
     )
+    if strict:
+        broken = F.raise_error(F.concat(F.lit("cannot decode "), F.col("path"))).cast("int")
+        image = image.withColumn("channels", F.when(F.col("channels") > 0, F.col("channels")).otherwise(broken))
+    size = {c: F.when(F.col("channels") > 0, F.col(c)).alias(c) for c in ("height", "width", "levels")}
+    image = image.select("path", "channels", *size.values())
     grey = F.flatten(F.transform("levels", lambda v: F.array(v, v, v)))
     rgb = F.when(F.col("channels") == 1, grey).when(F.col("channels") == 4, over_white(F.col("levels"))).otherwise(F.col("levels"))
     return image.select("path", "height", "width", rgb.alias("pixels"))
 
 
+def broken_images(images: DataFrame) -> DataFrame:
+    """Files that could not be decoded, as violations of a manifest."""
+    return images.where(F.col("pixels").isNull()).select(
+        F.lit("broken_image").alias("rule"), F.lit("image_path").alias("column"), F.col("path").alias("value")
+    )
+
+
 def resized_sides(height: int, width: int, size: int) -> tuple[int, int]:
     """The shorter side becomes ``size``, the other keeps the aspect, truncated."""
     if height <= width:

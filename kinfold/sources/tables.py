@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.fixed import GROUP_LEVEL, ITEM_LEVEL
+from kinfold.functions.scores import quoted
 from kinfold.operators.report import REPORT_SCHEMA
 
-CSV = {"header": True, "escape": '"', "emptyValue": "", "nullValue": ""}
+#: Cells keep their outer blanks in both directions.
+CSV = {
+    "header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+_EXTRA = "__extra_cell"
 
 
 def read_manifest_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """All-text manifest rows (an empty cell is '' and not NULL, ``NA`` stays text) and the folder its paths hang below.
-    Extra columns are kept."""
-    raw = spark.read.options(header=True, escape='"', multiLine=False).csv(path)
+    Extra columns are kept. Quoted cells may hold line breaks; a row with more cells than the header fails the query."""
+    options = {"escape": '"', "header": True, "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
+    cells = spark.read.schema(schema).options(**options).csv(path)
+    first = F.coalesce(quoted(names[0]), F.lit(""))
+    too_many = F.raise_error(F.concat(F.lit("a row has more cells than the header, near "), first)).cast("boolean")
+    raw = cells.where(F.when(F.col(_EXTRA).isNull(), F.lit(True)).otherwise(too_many)).drop(_EXTRA)
     folder = os.path.dirname(path if "://" in path else os.path.abspath(path))
     return raw.na.fill(""), folder
 
@@ -51,8 +64,13 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def write_report(row: DataFrame, path: str) -> None:
-    """The one-row run document as JSON. NULLs keep their keys; undefined numbers are already NaN."""
-    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """The one-row run document as one JSON file. NULLs keep their keys; undefined numbers stand as bare ``NaN``."""
+    [text] = row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()
+    jvm, conf = row.sparkSession._jvm, row.sparkSession._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    out.write(re.sub(r'(?<=[:\[,])"NaN"(?=[,\]}])', "NaN", text).encode())
+    out.close()
 
 
 def write_run_config(spark: SparkSession, path: str, config: dict[str, object]) -> None:
