@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -18,24 +19,47 @@ def method(df):
     return {r["method"] for r in B.bootstrap_method(df.select("isolate_id", "species").distinct()).collect()}
 
 
-def test_resamples_whole_groups_within_class(predictions):
-    rows = [(g, g[0], *s) for g, s in (("a1", (0.9, 0.1)), ("a2", (0.2, 0.8)), ("b1", (0.1, 0.9)), ("b2", (0.1, 0.9))) for _ in range(10)]
-    df = predictions(rows, ["a", "b"])
-    assert method(df) == {"isolates within class"}
-    assert bounds(df, ["a", "b"], 400, 1, "image_level", auc=False)["accuracy"] == (0.5, 1.0)
+def generated(seed, sizes):
+    """Rows (group, label, scores) for groups of given (label, number of rows)."""
+    rng = random.Random(seed)
+    out = []
+    for i, (label, n) in enumerate(sizes):
+        for _ in range(n):
+            x = round(rng.random(), 4)
+            out.append((f"{label}~{i}", label, x, round(1 - x, 4)))
+    return out
 
 
-def test_perfect_classifier_has_no_width(predictions):
-    rows = [("i1", "a", 0.9, 0.1), ("i2", "a", 0.8, 0.2), ("i3", "b", 0.1, 0.9), ("i4", "b", 0.3, 0.7)]
-    got = bounds(predictions(rows, ["a", "b"]), ["a", "b"], 50, 0, "isolate_level")
-    assert got["accuracy"] == (1.0, 1.0) and got["macro_auc"] == (1.0, 1.0)
+@pytest.mark.parametrize("sizes", [[("p", 7), ("p", 1), ("p", 3), ("q", 12), ("q", 2)], [("p", 4), ("p", 9), ("q", 5)]])
+def test_intervals_equal_resampled_row_lists(predictions, sizes):
+    """Each replicate's rows are written out from the draws and scored one by one."""
+    classes, n_boot, seed = ["q", "p"], 41, 17
+    rows = generated(5, sizes)
+    rows = [(g, t, b, a) for g, t, a, b in rows]
+    df = predictions(rows, classes)
+    draws = {r["isolate_id"]: list(r["draws"]) for r in B.group_draws(group_summary(df, classes), n_boot, seed).collect()}
+    accuracy = []
+    for b in range(n_boot):
+        hits = [t == ("q" if q >= p else "p") for g, t, q, p in rows for _ in range(draws.get(g, []).count(b))]
+        accuracy.append(sum(hits) / len(hits))
+    got = bounds(df, classes, n_boot, seed, "image_level", auc=False)["accuracy"]
+    assert got == pytest.approx(tuple(np.percentile(accuracy, [2.5, 97.5])))
+
 
+def test_strata_need_two_groups_in_every_class(predictions):
+    both = predictions(generated(1, [("p", 2), ("p", 2), ("q", 3), ("q", 1)]), ["p", "q"])
+    lone = predictions(generated(1, [("p", 2), ("p", 2), ("p", 3), ("q", 9)]), ["p", "q"])
+    assert method(both) == {"isolates within class"}
+    assert method(lone) == {"isolates"}
+    # In one stratum a replicate may miss the lone class, so its group is not frozen.
+    drawn = {r["isolate_id"]: list(r["draws"]) for r in B.group_draws(group_summary(lone, ["p", "q"]), 60, 3).collect()}
+    assert len({drawn["q~3"].count(b) for b in range(60)}) > 1
 
-def test_one_group_per_class_is_not_frozen(predictions):
-    rows = [("a1", "a", 0.9, 0.1)] * 2 + [("b1", "b", 0.9, 0.1)] * 2
-    df = predictions(rows, ["a", "b"])
-    assert method(df) == {"isolates"}
-    assert bounds(df, ["a", "b"], 200, 0, "image_level", auc=False)["accuracy"] == (0.0, 1.0)
+
+def test_no_errors_no_width(predictions):
+    rows = [(f"{t}{i}", t, (x := 0.9 - 0.05 * i if t == "p" else 0.01 * i), 1 - x) for t in "pq" for i in range(6) for _ in range(1 + i % 3)]
+    got = bounds(predictions(rows, ["p", "q"]), ["p", "q"], 30, 9, "isolate_level")
+    assert got["accuracy"] == (1.0, 1.0) and got["macro_auc"] == (1.0, 1.0)
 
 
 def test_draws_fill_every_stratum(spark):

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -8,53 +9,79 @@ from kinfold.operators import metrics as M
 from kinfold.operators.auc import auc_one_vs_rest, coarse_bucket, score_ties
 
 
-def confident(truth, predicted, classes):
-    """Rows with score 0.8 on the predicted class and 0.1 elsewhere."""
-    return [
-        (f"g{i}", classes[t], *[0.8 if k == p else 0.1 for k in range(len(classes))])
-        for i, (t, p) in enumerate(zip(truth, predicted, strict=True))
-    ]
+def generated(seed, n, classes, groups=9, missing=0.0):
+    """Rows (group, label, scores): labels differ inside a group, some scores are missing."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        scores = [round(rng.random(), 3) for _ in classes]
+        rows.append((f"u{rng.randrange(groups)}", rng.choice(classes), *[None if rng.random() < missing else x for x in scores]))
+    return rows
 
 
-def per_class(df, classes):
-    cells = M.confusion_cells(M.scored(df, classes))
-    return {r["label"]: r for r in M.with_labels(M.class_metrics(cells, classes), classes).collect()}
+def largest(scores):
+    values = [math.nan if x is None else x for x in scores]
+    return next((k for k, x in enumerate(values) if math.isnan(x)), None) if any(map(math.isnan, values)) else values.index(max(values))
 
 
-def test_three_class_case_by_hand(predictions):
-    classes = ["a", "b", "c"]
-    df = predictions(confident([0, 0, 1, 1, 2, 2], [0, 1, 1, 1, 2, 0], classes), classes)
-    cells = M.confusion_cells(M.scored(df, classes))
-    dense = {(r["true_k"], r["pred_k"]): r["n"] for r in M.dense_confusion(cells, classes).collect()}
-    assert [[dense[t, p] for p in range(3)] for t in range(3)] == [[1, 1, 0], [0, 2, 0], [1, 0, 1]]
-    table = per_class(df, classes)
-    wanted = {
-        "a": (0.5, 0.75, 0.5, 0.75, 0.5), "b": (1.0, 0.75, 2 / 3, 1.0, 0.8), "c": (0.5, 1.0, 1.0, 0.8, 2 / 3),
-    }
-    for label, values in wanted.items():
-        row = table[label]
-        assert (row["sensitivity"], row["specificity"], row["ppv"], row["npv"], row["f1"]) == pytest.approx(values)
-    macro = M.macro_metrics(M.class_metrics(cells, classes)).first()
-    assert macro["n"] == 6 and macro["accuracy"] == pytest.approx(4 / 6)
-    assert macro["macro_sensitivity"] == pytest.approx(2 / 3)
+def counted(pairs, k):
+    """tp, fn, fp, tn of class k from (true, predicted) pairs, one by one."""
+    kinds = [(t == k, p == k) for t, p in pairs]
+    return tuple(kinds.count(kind) for kind in ((True, True), (True, False), (False, True), (False, False)))
 
 
-def test_never_predicted_class_has_ppv_zero(predictions):
-    classes = ["a", "b"]
-    df = predictions(confident([0, 0, 1, 1], [0, 0, 0, 0], classes), classes)
-    assert per_class(df, classes)["b"]["ppv"] == 0.0
-    macro = M.macro_metrics(M.class_metrics(M.confusion_cells(M.scored(df, classes)), classes)).first()
-    assert macro["macro_ppv"] == pytest.approx(0.25)
+def divided(x, y):
+    return x / y if y else None
 
 
-def test_absent_class_is_undefined_and_left_out_of_the_macro(predictions):
-    classes = ["a", "b", "z"]
-    df = predictions(confident([0, 0, 1], [0, 1, 1], classes), classes)
-    row = per_class(df, classes)["z"]
-    assert row["support"] == 0 and row["sensitivity"] is None and row["ppv"] is None and row["specificity"] == 1.0
-    table = M.class_metrics(M.confusion_cells(M.scored(df, classes)), classes)
-    assert [r["label"] for r in M.classes_without_support(table, classes).collect()] == ["z"]
-    assert M.macro_metrics(table).first()["macro_sensitivity"] == pytest.approx(0.75)
+def direct(pairs, k):
+    tp, fn, fp, tn = counted(pairs, k)
+    return {
+        "tp": tp, "fn": fn, "fp": fp, "tn": tn, "sensitivity": divided(tp, tp + fn), "specificity": divided(tn, tn + fp),
+        "ppv": divided(tp, tp + fp) if tp + fp else (0.0 if tp + fn else None), "npv": divided(tn, tn + fn),
+        "f1": divided(2 * tp, 2 * tp + fp + fn), "accuracy_ovr": divided(tp + tn, len(pairs)),
+    }
+
+
+def voted(rows, classes):
+    """(label, predicted) of each group: the label of its first row, the largest mean of the scores that are there."""
+    out = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        means = []
+        for k in range(len(classes)):
+            known = [r[2 + k] for r in own if r[2 + k] is not None]
+            means.append(round(sum(known) / len(known), 12) if known else None)
+        out[g] = (classes.index(own[0][1]), largest(means))
+    return list(out.values())
+
+
+@pytest.mark.parametrize(("seed", "classes", "missing"), [(1, ["w", "v", "x", "u"], 0.0), (2, ["z", "y"], 0.2), (3, ["k"], 0.0), (4, ["r", "p", "q"], 0.05)])
+def test_both_levels_equal_a_direct_count(predictions, seed, classes, missing):
+    rows = generated(seed, 140, classes, missing=missing)
+    table = M.two_level_class_metrics(predictions(rows, classes, 5), classes).collect()
+    by_row = [(classes.index(r[1]), largest(r[2:])) for r in rows]
+    for level, pairs in (("image_level", by_row), ("isolate_level", voted(rows, classes))):
+        for k, label in enumerate(classes):
+            got = next(r for r in table if r["level"] == level and r["label"] == label)
+            for name, value in direct(pairs, k).items():
+                assert got[name] == (value if value is None else pytest.approx(value)), (level, label, name)
+
+
+def test_macro_leaves_out_classes_without_support(predictions):
+    classes = ["m", "n", "o", "never"]
+    rows = [(g, t, *s, 0.0) for g, t, *s in generated(7, 60, classes[:3])]
+    cells = M.confusion_cells(M.scored(predictions(rows, classes), classes))
+    table = M.class_metrics(cells, classes)
+    pairs = [(classes.index(r[1]), largest(r[2:])) for r in rows]
+    macro = M.macro_metrics(table).first()
+    assert macro["n"] == 60 and macro["accuracy"] == pytest.approx(sum(t == p for t, p in pairs) / 60)
+    for name in ("sensitivity", "specificity", "ppv", "npv", "f1"):
+        values = [v for k in range(3) if (v := direct(pairs, k)[name]) is not None]
+        assert macro[f"macro_{name}"] == pytest.approx(sum(values) / len(values))
+    assert [r["label"] for r in M.classes_without_support(table, classes).collect()] == ["never"]
+    dense = {(r["true_k"], r["pred_k"]): r["n"] for r in M.dense_confusion(cells, classes).collect()}
+    assert dense == {(t, p): pairs.count((t, p)) for t in range(4) for p in range(4)}
 
 
 def auc_rows(spark, rows, **options):
@@ -62,11 +89,14 @@ def auc_rows(spark, rows, **options):
     return auc_one_vs_rest(score_ties(df), **options).first()["auc"]
 
 
-def test_auc_known_values(spark):
-    # Class 0 is the positive one here.
-    assert auc_rows(spark, [(1, 0.1), (1, 0.4), (0, 0.35), (0, 0.8)]) == pytest.approx(0.75)
-    assert auc_rows(spark, [(0, 0.2), (0, 0.9)]) is None
-    assert auc_rows(spark, [(0, 0.5), (1, 0.5)]) == pytest.approx(0.5)
+@pytest.mark.parametrize("seed", range(4))
+def test_auc_equals_counted_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(2), rng.choice([0.0, 1.0, round(rng.random(), 1 + seed)])) for _ in range(50 + 40 * seed)]
+    high, low = [s for t, s in rows if t == 0], [s for t, s in rows if t]
+    won = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in high for q in low)
+    assert auc_rows(spark, rows) == pytest.approx(won / (len(high) * len(low)))
+    assert auc_rows(spark, [(0, s) for s in high]) is None
 
 
 def test_auc_is_undefined_with_nan_scores(spark):
@@ -88,15 +118,6 @@ def test_coarse_buckets_keep_score_order(spark):
     assert all(a["high"] < b["low"] for a, b in zip(bounds, bounds[1:]))
 
 
-def test_group_vote_overrules_a_minority_of_wrong_items(predictions):
-    classes = ["a", "b"]
-    rows = [("i1", "a", 0.9, 0.1), ("i1", "a", 0.9, 0.1), ("i1", "a", 0.4, 0.6), ("i2", "b", 0.2, 0.8)]
-    table = M.two_level_class_metrics(predictions(rows, classes), classes)
-    macro = {r["level"]: r for r in M.macro_metrics(table, ["level"]).collect()}
-    assert macro["image_level"]["accuracy"] == pytest.approx(0.75)
-    assert macro["isolate_level"]["accuracy"] == pytest.approx(1.0) and macro["isolate_level"]["n"] == 2
-
-
 def test_first_maximum_wins_and_nan_counts_as_maximum(predictions):
     classes = ["a", "b", "c"]
     rows = [("g", "a", 0.4, 0.4, 0.2), ("g", "a", 0.1, float("nan"), 0.9), ("g", "a", 0.1, None, 0.9)]
