@@ -4,8 +4,9 @@
 2. Shingles that no other class has are found over the whole corpus: blocks of texts send the keys of their shingles to buckets of
    the key range and learn which are theirs alone. A class can have a partner only if a ``similarity`` share of its shingles is not its
    own; the others are done. Exact, and no frequent line or passage makes candidates by itself.
-3. What remains is joined on the prefix of each set (its own shingles first, then by hash): two sets that are similar enough share one. Sets
-   that share a prefix shingle and have fitting sizes are put into one family, by a spanning tree per bucket and connected components.
+3. What remains is joined on the prefix of each set (its own shingles first, then rare before frequent ones, then by hash): two sets that are
+   similar enough share one. Sets that share a prefix shingle and have fitting sizes are put into one family, by a spanning tree per bucket
+   and connected components.
 4. A family is worked off in tiles: pairs of blocks of at most ``tile_sets`` sets. In a tile the sets lie in order of size; each meets only the
    band of sizes it can be similar to. The xor of hashed bitmaps (a few bits per shingle) bounds the overlap from above; pairs that pass are
    verified by intersecting the sorted arrays. Pairs already connected in the tile are skipped, so a tile yields at most one link per set.
@@ -34,7 +35,7 @@ PERCENT = 85
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose shingles meet in one bucket, on average.
 BUCKET_BYTES = 2 << 20
-TILE_SETS = 512
+TILE_SETS = 1024
 
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -104,7 +105,8 @@ def _cut(keys: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
 
 
 def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
-    """Classes that may have a partner: cls, n and the shingles that other classes have, too (``shared``, sorted)."""
+    """Classes that may have a partner: cls, n and the shingles that other classes have, too (``shared``, sorted),
+    and those of the prefix among them."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     bits = max(0, (max(1, total // bucket_bytes) - 1).bit_length())
@@ -128,48 +130,53 @@ def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bu
         several = np.concatenate([np.unpackbits(np.frombuffer(s.as_py(), np.uint8), count=len(k)) for s, k in zip(table["several"], keys, strict=True)])
         at = np.cumsum([0, *map(len, keys)])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        shared = (np.bincount(inverse, weights=1 + several) > 1)[inverse]
+        # 0: one class only; else the binary logarithm of how often the shingle was sent.
+        level = np.log2(np.bincount(inverse, weights=1 + several)).astype(np.uint8)[inverse]
         return pa.table({
             "block": table["sender"], "bucket": table["bucket"],
-            "shared": pa.array([np.packbits(shared[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            "levels": pa.array([level[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()),
         })
 
     def reduce(texts: pa.Table, flags: pa.Table) -> pa.Table:
         sets = _distinct_sets(texts["text"], width)
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s for _, s in sets]]))
         names, at = _cut(keys, bits)
-        told = dict(zip(flags["bucket"].to_pylist(), flags["shared"].to_pylist(), strict=True))
-        shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(told[b], np.uint8), count=j - i) for b, i, j in zip(names, at[:-1], at[1:], strict=True)]])
+        told = dict(zip(flags["bucket"].to_pylist(), flags["levels"].to_pylist(), strict=True))
+        levels = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(told[b], np.uint8) for b in names]])
         out = []
         for cls, s in sets:
-            common = s[shared[np.searchsorted(keys, s)] == 1]
+            level = levels[np.searchsorted(keys, s)]
+            common = s[level > 0]
             if len(common) >= _least_shared(len(s), percent):
-                out.append((cls, len(s), packed(np.diff(common, prepend=np.uint64(0)))))
+                length = _least_shared(len(s), percent)
+                length = len(common) - length + 1  # of the prefix, without the set's own shingles, which come first
+                prefix = common[np.lexsort((common, level[level > 0]))[:length]]
+                out.append((cls, len(s), packed(np.diff(common, prepend=np.uint64(0))), prefix.tobytes()))
         return pa.table({
-            "cls": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int64()), "shared": pa.array([o[2] for o in out], pa.binary()),
+            "cls": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int64()),
+            "shared": pa.array([o[2] for o in out], pa.binary()), "prefix": pa.array([o[3] for o in out], pa.binary()),
         })
 
     sent = texts.groupBy("block").applyInArrow(send, "bucket int, sender int, keys binary, several binary")
     sent = sent.repartition(1 << bits, "bucket")
-    flags = sent.groupBy("bucket").applyInArrow(compare, "block int, bucket int, shared binary")
-    kept = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(reduce, "cls long, n long, shared binary")
+    flags = sent.groupBy("bucket").applyInArrow(compare, "block int, bucket int, levels binary")
+    kept = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(reduce, "cls long, n long, shared binary, prefix binary")
     return settle(kept.where("cls IS NOT NULL").dropDuplicates(["cls"]))
 
 
 def _families(sets: DataFrame, percent: int, bucket_bytes: int) -> DataFrame:
     """Edges (a, b) between classes that share a prefix shingle and have fitting sizes: enough to connect all such classes."""
-    prefix_bytes = sets.agg(F.sum(F.octet_length("shared"))).first()[0] or 0
-    n_buckets = max(1, -(-prefix_bytes // (4 * bucket_bytes)))
+    prefix_bytes = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    n_buckets = max(1, -(-prefix_bytes // bucket_bytes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, names, sizes = [], [], []
             for cls, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                shared = np.cumsum(unpacked(raw.as_py()))
-                length = n - _least_shared(n, percent) + 1 - (n - len(shared))  # its own shingles come first
-                keys.append(shared[:length])
-                names.append(np.full(length, cls, np.int64))
-                sizes.append(np.full(length, n, np.int64))
+                prefix = np.frombuffer(raw.as_py(), np.uint64)
+                keys.append(prefix)
+                names.append(np.full(len(prefix), cls, np.int64))
+                sizes.append(np.full(len(prefix), n, np.int64))
             if not keys:
                 continue
             key, cls, n = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
@@ -194,7 +201,7 @@ def _families(sets: DataFrame, percent: int, bucket_bytes: int) -> DataFrame:
         kept = [(a, b) for a, b in edges.tolist() if forest.join(a, b)]
         return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
-    return sets.mapInArrow(deal, "bucket int, key binary, cls binary, n binary").groupBy("bucket").applyInArrow(link, "a long, b long")
+    return sets.select("cls", "n", "prefix").mapInArrow(deal, "bucket int, key binary, cls binary, n binary").groupBy("bucket").applyInArrow(link, "a long, b long")
 
 
 class _Forest:
@@ -246,7 +253,7 @@ def tile_links(names: list[int], sizes: np.ndarray, sets: list[np.ndarray], side
 
 
 def _links(sets: DataFrame, families: DataFrame, percent: int, tile_sets: int) -> DataFrame:
-    members = sets.join(families, sets["cls"] == families["node"]).drop("node")
+    members = sets.drop("prefix").join(families, sets["cls"] == families["node"]).drop("node")
     counts = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile_sets).cast("int").alias("blocks"))
     members = members.join(counts, "root")
     members = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
