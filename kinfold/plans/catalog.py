@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.fixed import CLASS_METRICS
+from kinfold.fixed import CLASS_METRICS, INTERVAL_KEY
 from kinfold.functions import pixels as px
 from kinfold.functions.scores import argmax_index, class_at, label_index, ranked_scores, scores_from_columns, softmax
 from kinfold.functions.text import value_with_interval
@@ -24,7 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEED = 42
+#: Replicates of queries with AUC intervals, and of those without (the default).
 N_BOOT = 50
+N_FULL = 1000
 DECIMALS = 9
 
 
@@ -327,14 +329,14 @@ def bootstrap_method(spark, sf_dir):
 @query
 def bootstrap_draws(spark, sf_dir):
     groups = settle(splits.group_table(views.pred_lineitem(spark, sf_dir)))
-    counts = bootstrap.draw_counts(bootstrap.group_draws(groups, N_BOOT, SEED))
+    counts = bootstrap.draw_counts(bootstrap.group_draws(groups, N_FULL, SEED))
     return counts.withColumn("b", F.col("b").cast("bigint"))
 
 
 @query
 def bootstrap_ci_accuracy(spark, sf_dir):
     rows = views.pred_lineitem(spark, sf_dir)
-    found = bootstrap.intervals(bootstrap.bootstrap_replicates(rows, LINE_CLASSES, 200, SEED, auc=False))
+    found = bootstrap.intervals(bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_FULL, SEED, auc=False))
     return doubles(found.where(F.col("metric") == "accuracy"))
 
 
@@ -509,6 +511,28 @@ def compare_report_files(spark, sf_dir):
     return report.compare_runs(tables.read_reports(spark, [f"{base}/colony", f"{base}/microscopic"]))
 
 
+@query
+def report_document_ci(spark, sf_dir):
+    """The interval part of the nested document."""
+    result = report.evaluate(views.pred_lineitem(spark, sf_dir), LINE_CLASSES, n_boot=N_BOOT, seed=SEED)
+    found = report.documents(result).select("level", F.col(f"report.{INTERVAL_KEY}").alias("i"))
+    names = ["accuracy", *[f"macro_{m}" for m in CLASS_METRICS]]
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("i")[m].alias("v")) for m in names])
+    rows = found.select("level", F.explode(pairs).alias("p"), "i")
+    return doubles(rows.select(
+        "level", "p.metric", F.col("p.v")[0].alias("low"), F.col("p.v")[1].alias("high"), F.col("i.method").alias("method"), F.col("i.replicates").alias("replicates")
+    ))
+
+
+@query
+def compare_report_ci(spark, sf_dir):
+    """A written run document with intervals, compared as text with brackets."""
+    base = scratch(spark, "runs")
+    result = report.evaluate(views.pred_lineitem(spark, sf_dir), LINE_CLASSES, n_boot=N_BOOT, seed=SEED)
+    tables.write_report(report.report_row(result), f"{base}/all/metrics.json")
+    return report.compare_runs(tables.read_reports(spark, [f"{base}/all"]))
+
+
 @query
 def value_with_ci(spark, sf_dir):
     """Accuracy with its interval as text, per level."""
@@ -516,7 +540,7 @@ def value_with_ci(spark, sf_dir):
     summary = settle(metrics.group_summary(rows, LINE_CLASSES))
     cells = metrics.confusion_cells(metrics.two_level_cells(summary), ["level"], "n")
     macro = metrics.macro_metrics(metrics.class_metrics(cells, LINE_CLASSES, ["level"]), ["level"])
-    replicates = bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_BOOT, SEED, auc=False, summary=summary)
+    replicates = bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_FULL, SEED, auc=False, summary=summary)
     interval = bootstrap.intervals(replicates).where(F.col("metric") == "accuracy")
     joined = macro.join(interval, "level")
     return joined.select("level", value_with_interval(F.col("accuracy"), F.col("low"), F.col("high")).alias("accuracy"))

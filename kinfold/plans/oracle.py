@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from kinfold.plans.catalog import DECIMALS, N_BOOT, SEED
+from kinfold.plans.catalog import DECIMALS, N_BOOT, N_FULL, SEED
 from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, MIXED_CLASSES, ROOT, VECTOR_CLASSES
 
 R = DECIMALS
 RATIOS = ("sensitivity", "specificity", "ppv", "npv", "f1", "accuracy_ovr")
 METRICS = (*RATIOS, "auc")
+COMPARED = ("sensitivity", "specificity", "ppv", "npv", "f1", "auc")
 
 
 def with_(*parts: str) -> str:
@@ -40,7 +41,7 @@ preds AS (
          [s[3], s[1], CASE WHEN split_part(image_path, '/', 4)::INTEGER % 7 <> 3 THEN s[2] ELSE 'NaN'::DOUBLE END] AS s FROM line_preds)"""
 
 VECTORS = """logits AS (
-  SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS l FROM embeddings),
+  SELECT vec_id, label, [""" + ", ".join(" + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(k, 64, 10)) for k in range(10)) + """] AS l FROM embeddings),
 shifted AS (
   SELECT vec_id, label, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM logits),
 preds AS (
@@ -389,18 +390,32 @@ GROUP BY i.image_path, i.isolate_id"""
 SELECT CASE WHEN ok THEN species ELSE '*' END AS stratum,
        CASE WHEN ok THEN 'isolates within class' ELSE 'isolates' END AS method, count(*) AS n_groups
 FROM grp, (SELECT min(n) >= 2 AS ok FROM (SELECT count(*) AS n FROM grp GROUP BY species)) GROUP BY 1, 2"""
-    sql["bootstrap_draws"] = with_(LINE, line_groups, draws_sql(N_BOOT, "grp")) + "SELECT b, isolate_id, m FROM mult"
-    sql["bootstrap_ci_accuracy"] = bootstrap(LINE, LINE_CLASSES, 200, False) + interval_rows(["accuracy"])
+    sql["bootstrap_draws"] = with_(LINE, line_groups, draws_sql(N_FULL, "grp")) + "SELECT b, isolate_id, m FROM mult"
+    sql["bootstrap_ci_accuracy"] = bootstrap(LINE, LINE_CLASSES, N_FULL, False) + interval_rows(["accuracy"])
     names = ["accuracy", *MACRO_NAMES]
     sql["bootstrap_ci_macro"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["bootstrap_ci_mixed"] = bootstrap(MIXED, MIXED_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["bootstrap_ci_vectors"] = bootstrap(VECTORS, VECTOR_CLASSES, N_BOOT, True) + interval_rows(names)
-    sql["value_with_ci"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, False) + """,
+    sql["value_with_ci"] = bootstrap(LINE, LINE_CLASSES, N_FULL, False) + """,
 whole AS (SELECT level, avg((true_k = pred_k)::INTEGER) AS accuracy FROM levelled GROUP BY level)
 SELECT w.level, format('{:.3f}', w.accuracy) || ' [' || format('{:.2f}', quantile_cont(m.accuracy, 0.025))
        || '-' || format('{:.2f}', quantile_cont(m.accuracy, 0.975)) || ']' AS accuracy
 FROM whole w JOIN macro m ON m.level = w.level GROUP BY w.level, w.accuracy"""
 
+    sql["report_document_ci"] = "SELECT level, metric, low, high, 'isolates within class' AS method, " + (
+        f"{N_BOOT}::INTEGER AS replicates FROM ({bootstrap(LINE, LINE_CLASSES, N_BOOT, True)}{interval_rows(names)})"
+    )
+    texts = ", ".join(
+        f"format('{{:.3f}}', w.{m}) || ' [' || format('{{:.2f}}', i.low_{m}) || '-' || format('{{:.2f}}', i.high_{m}) || ']' AS {m}"
+        for m in ("accuracy", *[f"macro_{c}" for c in COMPARED])
+    )
+    bounds = ", ".join(
+        f"quantile_cont({m}, 0.025) AS low_{m}, quantile_cont({m}, 0.975) AS high_{m}" for m in ("accuracy", *[f"macro_{c}" for c in COMPARED])
+    )
+    sql["compare_report_ci"] = f"""SELECT 'all' AS run, CASE w.level WHEN 'image_level' THEN 'image' ELSE 'isolate' END AS level, w.n, {texts}
+FROM ({two_level(LINE, LINE_CLASSES)}, {macro_sql('level,')} SELECT * FROM macro) w
+JOIN ({bootstrap(LINE, LINE_CLASSES, N_BOOT, True)} SELECT level, {bounds} FROM macro GROUP BY level) i ON i.level = w.level"""
+
     sql["softmax_scores"] = f"""WITH x AS (
   SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 e AS (SELECT vec_id, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x)
@@ -438,7 +453,7 @@ FROM scored s JOIN dealt d ON d.isolate_id = s.isolate_id JOIN cls ON cls.k = s.
         f"SELECT level, '{n}' AS metric, round({n}, {R}) AS value FROM macro" for n in names)
     sql["report_document"] = two_level(LINE, LINE_CLASSES) + "\nUNION ALL\n".join(
         f"SELECT level, label, '{n}' AS metric, round({n}::DOUBLE, {R}) AS value FROM full_table" for n in ("support", *METRICS))
-    compared = ("sensitivity", "specificity", "ppv", "npv", "f1", "auc")
+    compared = COMPARED
     both = with_(
         values(LINE_CLASSES), LINE, SCORED, grouped(3, "modality,"),
         class_counts("modality, level,", "levelled", f"SELECT modality, level, k FROM ({levels_grid(3)}), (VALUES ('colony'), ('microscopic')) m(modality)"),

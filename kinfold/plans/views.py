@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +62,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with the softmax of their first ten components as scores."""
-    scored = vectors(spark, sf_dir).withColumn("scores", softmax(F.slice("embedding", 1, 10)))
+    """Embeddings with the softmax of ten sums as scores: class k adds the components k, k + 10, k + 20, ..."""
+    parts = [[F.col("embedding")[i].cast("double") for i in range(k, 64, 10)] for k in range(10)]
+    sums = F.array(*[reduce(lambda a, b: a + b, p) for p in parts])
+    # The sums are computed in a projection of their own, once per row.
+    scored = vectors(spark, sf_dir).withColumn("sums", sums).withColumn("scores", softmax(F.col("sums"))).drop("sums")
     return scored.select("*", *columns_from_scores(F.col("scores"), VECTOR_CLASSES))
 
 
