@@ -100,7 +100,7 @@ WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_LETTER_WORDS} AS w FRO
 items AS (SELECT item_id, {_LETTER_WORDS} AS w FROM benchmark),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 13) AS m,
-         unnest(list_transform(range(0, greatest(len(w) - 12, 1)), i -> array_to_string(w[i + 1:i + 13], ' '))) AS win
+         unnest(list_transform(range(0, greatest(len(w) - 12, 1)), lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS win
   FROM items WHERE len(w) > 0),
 lengths AS (SELECT DISTINCT m FROM windows),
 places AS (
@@ -118,9 +118,9 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 OP3_SQL = """
 WITH vectors AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
 products AS (
   SELECT q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
@@ -130,4 +130,21 @@ FROM products
 QUALIFY rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL}
+OP10_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN []
+    ELSE list_transform(range(0, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i + 1:i + 4], ' ')) END) AS s FROM docs),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r
+  JOIN sizes na ON na.r = a.r JOIN sizes nb ON nb.r = b.r AND 100 * least(na.n, nb.n) >= 85 * greatest(na.n, nb.n)
+  GROUP BY a.r, b.r, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reached AS (SELECT r AS x, r AS y FROM docs UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (r) JOIN reached ON reached.x = d.r JOIN docs o ON o.r = reached.y
+GROUP BY d.r, d.doc_id, n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL, "op10_ngram_join": OP10_SQL}
