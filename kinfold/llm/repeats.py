@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.language_model import packed, unpacked
 from kinfold.llm.ngram_join import _cut, _new_in_task
-from kinfold.llm.text import packed_row, prefix_sums, span_hash
+from kinfold.llm.text import PIECE_BYTES, packed_row, prefix_sums, span_hash
 
 LENGTH = 200
 KMER = 64
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose anchors meet in one bucket, on average.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 512 << 10
 HOT_REGIONS = 4096
 #: Windows that the smallest level of an index family holds, at least.
 BATCH_WINDOWS = 4096
@@ -59,29 +59,9 @@ class Runs:
         self.texts = sorted({(t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts})
         self.raw = np.frombuffer(b"".join(self.texts), np.uint8)
         self.offsets = np.cumsum([0, *map(len, self.texts)])
-        none = np.zeros(0, np.int64)
-        self.first, self.last, self.kmer, self.region = none, none, none.astype(np.uint64), none.astype(np.uint64)
-        n = len(self.raw)
-        if n >= length:
-            self.sums = prefix_sums(self.raw)
-            at = np.arange(n - kmer + 1)
-            hashes = span_hash(self.sums, at, at + kmer)
-            low = np.uint64((1 << 32) - 1)  # of equal hashes the leftmost counts
-            anchor = (_sliding_min((hashes & ~low) | at.astype(np.uint64), length - kmer + 1) & low).astype(np.int64)
-            begins = np.zeros(n - length + 1, bool)  # a new run begins
-            begins[0] = True
-            begins[1:] = anchor[1:] != anchor[:-1]
-            starts = self.offsets[:-1]
-            begins[starts[starts < len(begins)]] = True
-            first = np.flatnonzero(begins)
-            last = np.append(first[1:], len(begins)) - 1
-            # Windows that reach into the next text are none.
-            end = self.offsets[np.searchsorted(self.offsets, first, "right")]
-            last = np.minimum(last, end - length)
-            inside = last >= first
-            self.first, self.last = first[inside], last[inside]
-            self.kmer = hashes[anchor[self.first]]
-            self.region = span_hash(self.sums, self.first, self.last + length)
+        found = [self._runs_of(a, z, kmer) for a, z in self._pieces()]
+        none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+        self.first, self.last, self.kmer, self.region = (np.concatenate(c) for c in zip(none, *found, strict=True))
         # Entries: distinct (k-mer, region), sorted.
         order = np.lexsort((self.region, self.kmer))
         k, r = self.kmer[order], self.region[order]
@@ -93,13 +73,55 @@ class Runs:
         self.entry_run = order[fresh]  # one of its runs
         self.entry_count = np.bincount(self.entry_of, minlength=int(fresh.sum())) if len(order) else none
 
+    def _pieces(self) -> list[tuple[int, int]]:
+        """Byte ranges of whole texts, of about PIECE_BYTES: arrays over bytes are built for one range at a time."""
+        cuts, first = [], 0
+        while first < len(self.texts):
+            last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + PIECE_BYTES, "right")) - 1)
+            cuts.append((int(self.offsets[first]), int(self.offsets[last])))
+            first = last
+        return cuts
+
+    def _runs_of(self, begin: int, stop: int, kmer: int) -> tuple[np.ndarray, ...]:
+        """first, last, k-mer hash and region hash of the runs of a range of whole texts."""
+        raw, length = self.raw[begin:stop], self.length
+        if len(raw) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        low = np.uint64((1 << 32) - 1)  # of equal hashes the leftmost counts
+        sums = prefix_sums(raw)
+        at = np.arange(len(raw) - kmer + 1)
+        marked = span_hash(sums, at, at + kmer)
+        marked &= ~low
+        marked |= at.astype(np.uint64)
+        anchor = (_sliding_min(marked, length - kmer + 1) & low).astype(np.int64)
+        del marked, at
+        begins = np.zeros(len(anchor), bool)  # a new run begins
+        begins[0] = True
+        begins[1:] = anchor[1:] != anchor[:-1]
+        offsets = self.offsets[(self.offsets >= begin) & (self.offsets <= stop)] - begin
+        begins[offsets[offsets < len(begins)]] = True
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(begins)) - 1
+        # Windows that reach into the next text are none.
+        last = np.minimum(last, offsets[np.searchsorted(offsets, first, "right")] - length)
+        inside = last >= first
+        first, last = first[inside], last[inside]
+        spot = anchor[first]
+        return first + begin, last + begin, span_hash(sums, spot, spot + kmer), span_hash(sums, first, last + length)
+
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows of the given runs, and how many each run has."""
         sizes = self.last[runs] - self.first[runs] + 1
         return np.repeat(self.first[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum())), sizes
 
     def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return span_hash(self.sums, starts, starts + self.length)
+        out = np.zeros(len(starts), np.uint64)
+        for begin, stop in self._pieces():
+            mine = np.flatnonzero((starts >= begin) & (starts < stop))
+            if len(mine):
+                own = starts[mine] - begin
+                out[mine] = span_hash(prefix_sums(self.raw[begin:stop]), own, own + self.length)
+        return out
 
 
 class IndexFamily:
@@ -195,28 +217,23 @@ def _match(table: pa.Table, length: int) -> pa.Table:
         at = np.cumsum([0, *map(len, keys)])
         replies += [(senders[i], _HASHES, _bits(again[a:b])) for i, a, b in zip(hashed, at[:-1], at[1:], strict=True)]
     family = IndexFamily(length)
-    sent, waiting, waiting_numbers, total = [], [], [], 0
-    for i in (i for i, k in enumerate(kinds) if k == _REGIONS):
+    rows = [i for i, k in enumerate(kinds) if k == _REGIONS]
+    sizes = {i: np.frombuffer(table["more"][i].as_py(), np.int32).astype(np.int64) for i in rows}
+    counts = np.array([int((sizes[i] - length + 1).sum()) for i in rows], np.int64)
+    firsts = np.cumsum(counts) - counts
+    again = np.zeros(int(counts.sum()), bool)
+    batch, batch_numbers = [], []
+    for i, at, n_windows in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
         raw = np.frombuffer(table["data"][i].as_py(), np.uint8)
-        sizes = np.frombuffer(table["more"][i].as_py(), np.int32).astype(np.int64)
-        ends = np.cumsum(sizes)
-        n = sizes - length + 1
-        starts = np.repeat(ends - sizes - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        n = sizes[i] - length + 1
+        starts = np.repeat(np.cumsum(sizes[i]) - sizes[i] - np.cumsum(n) + n, n) + np.arange(n_windows)
         windows = np.lib.stride_tricks.sliding_window_view(raw, length)[starts]
-        waiting.append(np.ascontiguousarray(windows).view(family.kind).ravel())
-        waiting_numbers.append(np.arange(total, total + len(starts)))
-        sent.append((i, total, total + len(starts)))
-        total += len(starts)
-    again = np.zeros(total, bool)
-    pending: list[int] = []
-    for j in range(len(waiting)):
-        pending.append(j)
-        if j == len(waiting) - 1 or sum(len(waiting[p]) for p in pending) >= BATCH_WINDOWS:
-            again[family.add(np.concatenate([waiting[p] for p in pending]), np.concatenate([waiting_numbers[p] for p in pending]))] = True
-            for p in pending:
-                waiting[p] = waiting[p][:0]
-            pending = []
-    replies += [(senders[i], _REGIONS, _bits(again[a:b])) for i, a, b in sent]
+        batch.append(np.ascontiguousarray(windows).view(family.kind).ravel())
+        batch_numbers.append(np.arange(at, at + n_windows))
+        if i == rows[-1] or sum(map(len, batch)) >= BATCH_WINDOWS:
+            again[family.add(np.concatenate(batch), np.concatenate(batch_numbers))] = True
+            batch, batch_numbers = [], []
+    replies += [(senders[i], _REGIONS, _bits(again[a : a + n])) for i, a, n in zip(rows, firsts.tolist(), counts.tolist(), strict=True)]
     bucket = table["bucket"][0].as_py()
     return pa.table({
         "block": pa.array([r[0] for r in replies], pa.int32()), "kind": pa.array([r[1] for r in replies], pa.int32()),

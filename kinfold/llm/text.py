@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _A, _Z = ord("A"), ord("Z")
 _LOWER = bytes(b + 32 if _A <= b <= _Z else b for b in range(256))
@@ -67,12 +67,13 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1); kept for pieces of the usual size."""
     have = _powers.get(str(base))
     if have is None or len(have) < n:
-        have = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
+        have = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
         have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 2 * PIECE_BYTES:
+        np.multiply.accumulate(have, out=have)
+        if n <= PIECE_BYTES + 1:
             _powers[str(base)] = have
     return have[:n]
 
