@@ -3,8 +3,8 @@
 AUC = sum over tie groups of  positives * (negatives below + negatives tied / 2), over  P * N.
 
 1. Equal scores of a class collapse to one tie group before anything is ranked (map-side partial counts).
-2. Tie groups fall into score buckets that are themselves in score order; crowded buckets are cut again
-   between their own minimum and maximum, so the number of buckets follows the data.
+2. Tie groups fall into score buckets that are themselves in score order; crowded buckets are cut at their own
+   quantiles until none is crowded, so the number of buckets follows the data however concentrated the scores are.
 3. Ranks are taken inside a bucket; the negatives of all earlier buckets are added as one offset."""
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.scores import ratio
+from kinfold.sources.shared import settle
 
-#: Buckets with more tie groups than this are cut again.
+#: Cells with more tie groups than this are cut again, into about this many pieces.
 BUCKET_ROWS = 100_000
+QUANTILES = 64
 NAN_BUCKET = 130
 
 
@@ -37,30 +39,31 @@ def coarse_bucket(score: Column) -> Column:
     log_odds = F.ln(score / (1 - score))
     inside = 1 + F.floor((F.least(F.greatest(log_odds, F.lit(-32.0)), F.lit(31.75)) + 32) * 2)
     bucket = F.when(F.isnan(score), F.lit(NAN_BUCKET)).when(score <= 0, F.lit(0)).when(score >= 1, F.lit(129)).otherwise(inside)
-    # Never NULL, and visibly so: a join on it then needs no NULL filter, which would make its input differ.
     return F.coalesce(bucket.cast("int"), F.lit(NAN_BUCKET))
 
 
 def bucketed(ties: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``bucket`` and ``cut``; (bucket, cut) is in score order within ``keys``.
-
-    The cuts depend on counts, minima and maxima only, so a retried task finds the same ones. The table of
-    buckets to cut has at most 131 rows per value of ``keys`` (report keys and the class), whatever the
-    number of rows: that bounds its broadcast."""
-    keys = list(keys)
-    coarse = ties.withColumn("bucket", coarse_bucket(F.col("score")))
-    stats = coarse.groupBy(*keys, "bucket").agg(
-        F.count(F.lit(1)).alias("__rows"), F.min("score").alias("__low"), F.max("score").alias("__high"),
-        F.sum(F.col("p") + F.col("q")).alias("__items"),
-    )
-    # Asking for __items makes this branch read p and q like the main one, so that Spark sees the same
-    # tie-group shuffle twice and computes it once.
-    crowded = stats.where(
-        (F.col("__rows") > bucket_rows) & (F.col("__items") > 0) & (F.col("__high") > F.col("__low"))
-    ).select(*keys, "bucket", "__low", "__high", F.ceil(2 * F.col("__rows") / bucket_rows).alias("__cuts"))
-    position = F.floor((F.col("score") - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.col("__cuts"))
-    cut = F.coalesce(F.least(position, F.col("__cuts") - 1), F.lit(0)).cast("bigint")
-    return coarse.join(F.broadcast(crowded), [*keys, "bucket"], "left").withColumn("cut", cut).drop("__low", "__high", "__cuts")
+    """Adds ``bucket`` and ``cut``; (bucket, cut) is in score order within ``keys``, and no cell has more than ``bucket_rows``
+    rows unless they share one score.
+
+    Crowded cells are cut at their own quantiles, again and again until none is crowded. Quantiles come from a mergeable sketch;
+    they are written down, so a retried task finds the same ones. A round has fewer crowded cells than rows / ``bucket_rows``,
+    with at most ``QUANTILES`` bounds each."""
+    cell = [*keys, "bucket", "cut"]
+    placed = ties.withColumn("bucket", coarse_bucket(F.col("score"))).withColumn("cut", F.lit(0).cast("bigint"))
+    while True:
+        sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"), F.min("score").alias("__low"), F.max("score").alias("__high"))
+        crowded = settle(sizes.where((F.col("__rows") > bucket_rows) & (F.col("__high") > F.col("__low"))))
+        if crowded.isEmpty():
+            return placed
+        shares = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+        sketched = placed.join(crowded.select(*cell, "__high"), cell).groupBy(*cell).agg(
+            F.percentile_approx("score", shares, 10 * QUANTILES).alias("__q"), F.max("__high").alias("__high")
+        )
+        # The highest score is a bound of its own, so every round separates something.
+        bounds = settle(sketched.select(*cell, F.array_distinct(F.array_append("__q", F.col("__high"))).alias("__bounds")))
+        below = F.coalesce(F.size(F.filter("__bounds", lambda b: b <= F.col("score"))), F.lit(0))
+        placed = placed.join(bounds, cell, "left").withColumn("cut", F.col("cut") * (QUANTILES + 1) + below).drop("__bounds")
 
 
 def combine_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,6 +87,7 @@ def auc_one_vs_rest(ties: DataFrame, by: Sequence[str] = (), bucket_rows: int =
     cells = [*keys, "bucket", "cut"]
     below = F.sum("q").over(W.partitionBy(*cells).orderBy("score").rowsBetween(W.unboundedPreceding, -1))
     won = F.col("p").cast("double") * (F.coalesce(below, F.lit(0)).cast("double") + F.col("q") / F.lit(2.0))
-    ranked = bucketed(ties, keys, bucket_rows).withColumn("__won", won)
+    # Sizes, cuts and ranks read the tie groups, so they are written once.
+    ranked = bucketed(settle(ties), keys, bucket_rows).withColumn("__won", won)
     parts = ranked.groupBy(*cells).agg(F.sum("__won").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return combine_buckets(parts, keys)

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kinfold.operators import metrics as M
-from kinfold.operators.auc import auc_one_vs_rest, coarse_bucket, score_ties
+from kinfold.operators.auc import auc_one_vs_rest, bucketed, coarse_bucket, score_ties
 
 
 def generated(seed, n, classes, groups=9, missing=0.0):
@@ -112,6 +112,15 @@ def test_auc_equals_pair_counting_for_any_bucket_size(spark, bucket_rows):
     assert auc_rows(spark, [(int(t), s) for t, s in rows], bucket_rows=bucket_rows) == pytest.approx(pairs)
 
 
+def test_no_cell_is_crowded_when_scores_are_concentrated(spark):
+    close = [0.5 + i * 1e-13 for i in range(5000)] + [0.9999, 0.0]
+    df = spark.createDataFrame([("x", s, i % 2, 1 - i % 2) for i, s in enumerate(close)], "key string, score double, p int, q int")
+    cells = bucketed(df, ["key"], 100).groupBy("bucket", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    rows = cells.orderBy("bucket", "cut").collect()
+    assert sum(r["n"] for r in rows) == len(close) and max(r["n"] for r in rows) <= 100
+    assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:]))
+
+
 def test_coarse_buckets_keep_score_order(spark):
     df = spark.range(0, 100_001).select((F.col("id") / 100_000).alias("s")).withColumn("b", coarse_bucket(F.col("s")))
     bounds = df.groupBy("b").agg(F.min("s").alias("low"), F.max("s").alias("high")).orderBy("b").collect()
