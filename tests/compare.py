@@ -4,9 +4,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -61,10 +63,13 @@ def difference(spark, con, query, sql: str, sf_dir: str) -> str | None:
 def session(cores: str = "8"):
     from pyspark.sql import SparkSession
 
+    # Intermediate tables of one test session; cleared when it ends.
+    folder = tempfile.TemporaryDirectory(prefix="kinfold-tests-")
+    atexit.register(folder.cleanup)
     spark = (
         SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{folder.name}").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
