@@ -16,6 +16,7 @@ from kinfold.fixed import (
     SINGLETON_PREFIX, SPLIT_STRATEGIES,
 )
 from kinfold.functions.text import is_fractional, resolve_path, strip, whole_number
+from kinfold.sources.shared import settle
 
 EXAMPLES = 3
 CONFLICTS_SHOWN = 5
@@ -122,12 +123,19 @@ def label_conflicts(df: DataFrame, label: str = "species", group: str = "isolate
 
 
 def violations(df: DataFrame, root: str, listing: DataFrame | None = None) -> DataFrame:
-    """Every broken rule of a raw manifest in one table: ``rule, column, value, n, examples``."""
-    found = row_violations(df, root)
+    """Every broken rule of a raw manifest in one table: ``rule, column, value, n, examples``.
+
+    The rows are read once for all rules of single rows, the listing joined to them; only broken rows are written and summarised.
+    Label conflicts, a rule of groups, read their two columns once more."""
+    rows = resolve(fill_optional(df), root)
+    broken = _row_findings(ALLOWED_VALUES, GROUP_REQUIRED_SOURCES)
     if listing is not None:
-        absent = missing_items(resolve(fill_optional(df), root), listing)
+        there = listing.select(F.col("path").alias("image_path")).distinct().withColumn("__there", F.lit(True))
+        rows = rows.join(there, "image_path", "left")
         facts = [F.lit(v).alias(n) for n, v in (("rule", "missing_item"), ("column", "image_path"), ("value", ""))]
-        found = found.unionByName(_summarise(absent.select(F.col("image_path").alias("item"), *facts)))
+        broken = F.array_append(broken, F.when(F.col("__there").isNull(), F.struct(*facts)))
+    each = rows.select(F.col("image_path").alias("item"), F.explode(F.filter(broken, lambda f: f.isNotNull())).alias("f"))
+    found = _summarise(settle(each.select("item", "f.*")))
     conflicts = label_conflicts(clean(df, root))
     return found.unionByName(conflicts.select(
         F.lit("label_conflict").alias("rule"), F.lit("species").alias("column"), F.col("isolate_id").alias("value"),
@@ -157,8 +165,8 @@ def _messages(found: DataFrame) -> list[str]:
 
 
 def validate(df: DataFrame, root: str, listing: DataFrame | None = None) -> None:
-    """Raises one error that names every broken rule. One action when the manifest is good."""
-    found = violations(df, root, listing)
+    """Raises one error that names every broken rule."""
+    found = settle(violations(df, root, listing))
     if not found.isEmpty():
         raise ValueError("; ".join(_messages(found)))
 
