@@ -27,6 +27,8 @@ from kinfold.sources.shared import settle
 
 BUCKET_ROWS = 4096
 BLOCK_QUERIES = 1024
+#: Groups of similar length at most; a group of more vectors than a bucket may hold is dealt over several buckets by hash.
+MAX_GROUPS = 1024
 #: Local cosine thresholds from here on prune by coordinates.
 COSINE_BY_COORDINATE = 0.5
 FOCUS = 3
@@ -130,13 +132,13 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, bucket_rows:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
     rows = settle(vectors.where("vec_id IS NOT NULL").select("vec_id", "v", norm.alias("norm"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"]))
     n = rows.count()
-    n_buckets = max(1, -(-n // bucket_rows))
-    # Length quantiles; the list has one number per bucket. Only its precision, never the answer, depends on the sketch.
-    cuts = rows.approxQuantile("norm", [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets) if n_buckets > 1 else []
+    n_groups = min(MAX_GROUPS, max(1, -(-n // bucket_rows)))
+    # Length quantiles. Only the grouping, never the answer, depends on the sketch.
+    cuts = rows.approxQuantile("norm", [i / n_groups for i in range(1, n_groups)], 0.25 / n_groups) if n_groups > 1 else []
     group = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("norm"))) if cuts else F.lit(0)
     rows = rows.withColumn("group", group)
     counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    dealt = rows.join(F.broadcast(counts), "group")  # one row per bucket
+    dealt = rows.join(F.broadcast(counts), "group")  # at most MAX_GROUPS rows
     part = F.pmod(F.xxhash64("vec_id"), F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1))).cast("int")
     dealt = dealt.withColumn("bucket", F.concat_ws("/", "group", part.cast("string")))
     buckets = settle(
@@ -153,7 +155,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, bucket_rows:
         return rows_with_floor.groupBy("block").agg(F.collect_list(one).alias("queries"), need)
 
     def paired(query_blocks: DataFrame, side: DataFrame) -> DataFrame:
-        every = query_blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))))
+        every = query_blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
         return every.join(side, "group")
 
     first_name = buckets.orderBy(F.desc("longest"), "bucket").select("bucket").first()
