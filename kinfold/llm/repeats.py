@@ -38,6 +38,8 @@ BUCKET_BYTES = 512 << 10
 HOT_REGIONS = 4096
 #: Windows that the smallest level of an index family holds, at least.
 BATCH_WINDOWS = 4096
+#: Windows that a family holds, about: a bucket with more is worked off in passes over classes of windows (equal ones are of one class).
+FAMILY_WINDOWS = 65536
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -133,6 +135,8 @@ class IndexFamily:
 
     def add(self, suffixes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Takes a batch; returns the numbers of windows, new and old, now known to be repeated."""
+        if not len(suffixes):
+            return numbers
         order = np.argsort(suffixes, kind="stable")
         suffixes, numbers = suffixes[order], numbers[order]
         same = np.append(False, suffixes[1:] == suffixes[:-1])
@@ -216,23 +220,30 @@ def _match(table: pa.Table, length: int) -> pa.Table:
         again = (np.bincount(inverse, weights=1 + several) > 1)[inverse]
         at = np.cumsum([0, *map(len, keys)])
         replies += [(senders[i], _HASHES, _bits(again[a:b])) for i, a, b in zip(hashed, at[:-1], at[1:], strict=True)]
-    family = IndexFamily(length)
     rows = [i for i, k in enumerate(kinds) if k == _REGIONS]
     sizes = {i: np.frombuffer(table["more"][i].as_py(), np.int32).astype(np.int64) for i in rows}
     counts = np.array([int((sizes[i] - length + 1).sum()) for i in rows], np.int64)
     firsts = np.cumsum(counts) - counts
     again = np.zeros(int(counts.sum()), bool)
-    batch, batch_numbers = [], []
-    for i, at, n_windows in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
-        raw = np.frombuffer(table["data"][i].as_py(), np.uint8)
-        n = sizes[i] - length + 1
-        starts = np.repeat(np.cumsum(sizes[i]) - sizes[i] - np.cumsum(n) + n, n) + np.arange(n_windows)
-        windows = np.lib.stride_tricks.sliding_window_view(raw, length)[starts]
-        batch.append(np.ascontiguousarray(windows).view(family.kind).ravel())
-        batch_numbers.append(np.arange(at, at + n_windows))
-        if i == rows[-1] or sum(map(len, batch)) >= BATCH_WINDOWS:
-            again[family.add(np.concatenate(batch), np.concatenate(batch_numbers))] = True
-            batch, batch_numbers = [], []
+    passes = max(1, -(-len(again) // FAMILY_WINDOWS))
+    for turn in range(passes):
+        family = IndexFamily(length)
+        batch, batch_numbers = [], []
+        for i, at, n_windows in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
+            raw = np.frombuffer(table["data"][i].as_py(), np.uint8)
+            n = sizes[i] - length + 1
+            starts = np.repeat(np.cumsum(sizes[i]) - sizes[i] - np.cumsum(n) + n, n) + np.arange(n_windows)
+            numbers = np.arange(at, at + n_windows)
+            if passes > 1:
+                tag = sum(raw[starts + place].astype(np.int64) << shift for place, shift in ((0, 0), (1, 5), (length // 2, 10), (length - 1, 15)))
+                mine = tag * 2654435761 % 4294967291 % passes == turn
+                starts, numbers = starts[mine], numbers[mine]
+            windows = np.lib.stride_tricks.sliding_window_view(raw, length)[starts]
+            batch.append(np.ascontiguousarray(windows).view(family.kind).ravel())
+            batch_numbers.append(numbers)
+            if i == rows[-1] or sum(map(len, batch)) >= BATCH_WINDOWS:
+                again[family.add(np.concatenate(batch), np.concatenate(batch_numbers))] = True
+                batch, batch_numbers = [], []
     replies += [(senders[i], _REGIONS, _bits(again[a : a + n])) for i, a, n in zip(rows, firsts.tolist(), counts.tolist(), strict=True)]
     bucket = table["bucket"][0].as_py()
     return pa.table({

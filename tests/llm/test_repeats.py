@@ -83,5 +83,23 @@ def test_index_family_levels_grow_geometrically():
     assert again.tolist() == [seen[w] > 1 for w in windows.tolist()]
 
 
+def test_passes_find_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for sender in range(9):
+        regions = [rng.integers(97, 99, rng.integers(7, 20)).astype(np.uint8) for _ in range(30)]
+        rows.append((sender, b"".join(x.tobytes() for x in regions), np.array([len(x) for x in regions], np.int32).tobytes()))
+    table = pa.table({
+        "bucket": pa.array([3] * 9, pa.int32()), "sender": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([repeats._REGIONS] * 9, pa.int32()),
+        "data": pa.array([r[1] for r in rows], pa.binary()), "more": pa.array([r[2] for r in rows], pa.binary()),
+    })
+    one = repeats._match(table, 7).to_pydict()
+    monkeypatch.setattr(repeats, "FAMILY_WINDOWS", 100)
+    monkeypatch.setattr(repeats, "BATCH_WINDOWS", 16)
+    assert repeats._match(table, 7).to_pydict() == one
+
+
 def test_empty_table(spark):
     assert repeats.find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
