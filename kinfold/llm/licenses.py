@@ -1,9 +1,9 @@
 """License scans: a generalised suffix automaton of license words.
 
 The automaton holds all template texts (a parameter of bounded size, built where it is used). A document's words are
-streamed through it once; the state and match length at each word are its matching statistics. Maximal matches of at
-least ``min_match`` words are placed in their templates and chained in order, so that changed or missing words only
-split a match; a chain's share of the template is its coverage. Short phrases are read off the same statistics:
+streamed through it once; the state and match length at each word, and those of its suffix links, are the matching statistics
+of every template. Matches of at least ``min_match`` words that cannot be extended at their place in a template, whether or not other
+templates go on, are chained in order, so that changed or missing words only split a match; a chain's share of the template is its coverage. Short phrases are read off the same statistics:
 a phrase ends at a word if its state is the current one or an ancestor of it.
 
 Nulls and empty texts have no words: no labels, score 0. Overlapping places of phrases all count. Empty tables give no rows."""
@@ -108,8 +108,9 @@ class LicenseScanner:
         # Adding may split states, so places are read by walking the finished automaton.
         own_ends, own_phrases = defaultdict(list), defaultdict(list)
         for t, words in enumerate(texts):
+            after = [*map(auto.ids.get, words[1:]), -1]
             for end, state in enumerate(self._walk(words)):
-                own_ends[state].append((t, end))
+                own_ends[state].append((t, end, after[end]))
         for p, words in enumerate(phrase_words):
             own_phrases[self._walk(words)[-1]].append((p, len(words)))
         order = sorted(range(1, len(auto.next)), key=lambda v: -auto.length[v])
@@ -117,7 +118,8 @@ class LicenseScanner:
         for v in order:  # a run's places are also those of its suffixes
             if auto.link[v] > 0:
                 ends[auto.link[v]] |= ends[v]
-        self.ends = [tuple(sorted(e)) for e in ends]
+        self.ends = [tuple(sorted(e)) for e in ends]  # template, last word, the word that follows it there (-1: none)
+        self.least = min((min(max(min_match, 1), n) for n in self.sizes if n), default=1)
         self.tails: list[tuple[tuple[int, int], ...]] = [()] * len(auto.next)
         for v in reversed(order):
             self.tails[v] = (*own_phrases.get(v, ()), *(self.tails[auto.link[v]] if auto.link[v] > 0 else ()))
@@ -131,18 +133,17 @@ class LicenseScanner:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, float]]]:
         """Places (start, phrase), and the best chain per stretch: (template, first word, last word, coverage)."""
-        arcs, link, length, tails = self.auto.next, self.auto.link, self.auto.length, self.tails
+        arcs, link, length, tails, least = self.auto.next, self.auto.link, self.auto.length, self.tails, self.least
         places: list[tuple[int, int]] = []
         matches: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         v = size = 0
         for i, c in enumerate(map(self.auto.ids.get, words)):
+            if size >= least:
+                self._match(i - 1, v, size, c, matches)
             if c is None:
-                if size:
-                    self._match(i - 1, v, size, matches)
-                    v = size = 0
+                v = size = 0
                 continue
             if c not in arcs[v]:
-                self._match(i - 1, v, size, matches)
                 while v and c not in arcs[v]:
                     v = link[v]
                 size = length[v] if v else 0
@@ -155,15 +156,20 @@ class LicenseScanner:
                         places.append((i - n + 1, p))
             else:
                 v = size = 0
-        if size:
-            self._match(len(words) - 1, v, size, matches)
+        self._match(len(words) - 1, v, size, None, matches)
         return places, [span for t, found in matches.items() for span in self._chains(t, found)]
 
-    def _match(self, at: int, v: int, size: int, matches) -> None:
-        """Notes a maximal match of the words that end at ``at``."""
-        for t, end in self.ends[v] if size else ():
-            if size >= min(self.min_match, self.sizes[t]):
-                matches[t].append((at - size + 1, end - size + 1, size))
+    def _match(self, at: int, v: int, size: int, c: int | None, matches) -> None:
+        """Notes the matches of the words that end at ``at`` and do not go on with the word ``c``. A place in a template is met first at
+        the longest run that it holds; its shorter runs follow along the suffix links."""
+        held: tuple[tuple[int, int, int], ...] = ()
+        while size >= self.least:
+            for place in self.ends[v]:
+                t, end, after = place
+                if after != c and size >= min(self.min_match, self.sizes[t]) and place not in held:
+                    matches[t].append((at - size + 1, end - size + 1, size))
+            held, v = self.ends[v], self.auto.link[v]
+            size = self.auto.length[v]
 
     def _chains(self, t: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
         """Chains matches that follow each other in the document and in the template, with less than a template's length between them."""

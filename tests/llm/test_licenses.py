@@ -63,5 +63,35 @@ def test_templates_with_gaps_and_repeats(spark):
     assert {s["label"] for s in got[3]["spans"]} == {"cc-by-nc-4.0"}
 
 
+def test_template_within_a_longer_one(spark):
+    texts = ["Licensed under the Apache License, Version 2.0. The project is ...", "Licensed under the Apache License, Version 2.0."]
+    for r in scan(spark, texts).values():
+        assert [(s["label"], s["template"], s["first"], s["last"], s["coverage"]) for s in r["spans"]] == [("apache-2.0", 3, 0, 7, 1.0)]
+
+
+def test_all_maximal_matches_of_nested_templates_against_direct_search():
+    rng = random.Random(6)
+    vocab = [b"a", b"b", b"c"]
+    for _ in range(40):
+        body = [rng.choice(vocab) for _ in range(rng.randint(8, 16))]
+        templates = [body, body[: len(body) // 2], body[3:7], body[2:] + [b"d"] + body[:4], [b"a", b"a", b"b"] * 2]
+        phrases = [(b" ".join(body[1:6]).decode() + " e", "p")]
+        scanner = licenses.LicenseScanner([(b" ".join(t).decode(), str(k)) for k, t in enumerate(templates)], phrases, 4)
+        words = [rng.choice([*vocab, b"d", b"zz"]) for _ in range(10)] + body[: rng.randint(4, len(body))] + [b"e"] + body[1:6] + [b"e", b"d"]
+        found = []
+        scanner._chains = lambda t, matches, found=found: found.extend((t, *m) for m in matches) or []
+        scanner.scan(words)
+        expected = []
+        for t, text in enumerate(templates):
+            for i in range(len(words)):
+                for j in range(len(text)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(text) and words[i + n] == text[j + n]:
+                        n += 1
+                    if n >= min(4, len(text)) and not (i and j and words[i - 1] == text[j - 1]):
+                        expected.append((t, i, j, n))
+        assert sorted(found) == sorted(expected)
+
+
 def test_empty_table(spark):
     assert scan(spark, []) == {}
