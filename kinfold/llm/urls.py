@@ -1,10 +1,11 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest. DataFrame functions and Spark ML only.
 
 A rule (host, path) fits its host and all subdomains where the path starts with the rule's path; of several the longest wins.
-URLs that a rule decides are labelled examples. The trees learn from at most ``max_examples`` of them (those of smallest hash;
-all, if fewer) and judge every other URL. Features: length, host and path length, depth, number of host labels, digit ratio,
-entropy of characters, parameter count, hyphens, file extension, and statistics of the host's suffixes: share and
-number of blocked examples under the last label and under the last two.
+URLs that a rule decides are labelled. The trees learn from at most ``max_examples`` different ones (half of each verdict, or what the
+other leaves; those of smallest hash; all, if fewer), weighted so that each verdict keeps its share of the different URLs, and judge every
+other URL. Features: length, host and path length, depth, number of host labels, digit ratio, entropy of characters, parameter count,
+hyphens, file extension, and statistics of the host's suffixes: number of labelled rows, of all, and share of blocked ones under the
+last label and under the last two.
 
 A null URL, or one without ``://``, has an empty host and path and is judged like any other. If the
 examples hold one verdict only, it is given to all; without examples every URL is allowed. Empty tables give no rows."""
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.text import packed_row
+from kinfold.operators.skew import attach
 from kinfold.sources.shared import settle
 
 #: Host, path and verdict.
@@ -34,6 +36,8 @@ TREES = 10
 DEPTH = 3
 #: Rows that the suffix statistics are smoothed with.
 PRIOR = 10.0
+#: Suffixes with fewer rows are joined in one piece.
+PIECE_ROWS = 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,17 +94,22 @@ def with_features(pages: DataFrame) -> DataFrame:
         "depth": times(path, "/"), "labels": times(host, ".") + 1, "digit_share": F.when(size > 0, digits / size).otherwise(0.0),
         "entropy": _entropy(url), "parameters": F.when(query == "", 0.0).otherwise(times(query, "&") + 1), "hyphens": times(url, "-"),
         "secure": url.startswith("https:").cast("double"), "extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"),
-        "suffix1": _suffix(host, 1), "suffix2": _suffix(host, 2),
+        "suffix2": _suffix(host, 2),
     })
 
 
-def _suffix_table(examples: DataFrame, suffix: str) -> DataFrame:
-    """Blocked share and number of the examples under each suffix; at most one row per example."""
-    blocked = F.sum("label")
-    seen = F.count(F.lit(1))
-    return examples.groupBy(suffix).agg(
-        ((blocked + PRIOR / 2) / (seen + PRIOR)).alias(f"{suffix}_blocked"), F.log1p(seen).alias(f"{suffix}_seen")
-    )
+def suffix_table(parsed: DataFrame) -> DataFrame:
+    """One row per last two labels of a host: statistics of all decided rows under them and under the last label, and the number of rows."""
+    blocked, seen = F.count_if(F.col("decided") == "block"), F.count("decided")
+    counts = settle(parsed.groupBy(_suffix(F.col("host"), 2).alias("suffix2")).agg(blocked.alias("b2"), seen.alias("n2"), F.count(F.lit(1)).alias("rows")))
+    counts = counts.withColumn("suffix1", _suffix(F.col("suffix2"), 1))
+    wider = settle(counts.groupBy("suffix1").agg(F.sum("b2").alias("b1"), F.sum("n2").alias("n1"), F.count(F.lit(1)).alias("__size")))
+    both = attach(counts, wider.drop("__size"), ["suffix1"], "suffix2", sizes=wider.select("suffix1", "__size"), floor=PIECE_ROWS)
+    stats = {}
+    for k in (1, 2):
+        stats[f"suffix{k}_blocked"] = (F.col(f"b{k}") + PRIOR / 2) / (F.col(f"n{k}") + PRIOR)
+        stats[f"suffix{k}_seen"] = F.log1p(f"n{k}")
+    return settle(both.select("suffix2", "rows", *[c.alias(name) for name, c in stats.items()]))
 
 
 def judge(pages: DataFrame, rules=RULES, max_examples: int = MAX_EXAMPLES, keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -109,24 +118,29 @@ def judge(pages: DataFrame, rules=RULES, max_examples: int = MAX_EXAMPLES, keep:
     host, path = host_and_path(F.col("url"))
     parsed = with_rules(pages.select(packed_row(keep), "url", host.alias("host"), path.alias("path")), rules)
     label = (F.col("decided") == "block").cast("double")
-    decided = parsed.where("decided IS NOT NULL").select("url", "host", "path", label.alias("label"))
-    examples = settle(with_features(decided.orderBy(F.xxhash64("url"), "url").limit(max_examples)))
-    kinds = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    different = parsed.where("decided IS NOT NULL").select("url", label.alias("label")).distinct()
+    kinds = {r["label"]: r["n"] for r in different.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         only = "block" if 1.0 in kinds else "allow"
         return parsed.select("row", "host", "path", "rule", F.coalesce("decided", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
 
-    # A bounded number of examples bounds these tables too: they are broadcast.
-    tables = {s: settle(_suffix_table(examples, s)) for s in ("suffix1", "suffix2")}
+    samples = []
+    for kind, n in kinds.items():
+        most = max(1, max_examples // 2, max_examples - (sum(kinds.values()) - n))
+        sample = different.where(F.col("label") == kind).orderBy(F.xxhash64("url"), "url").limit(most)
+        samples.append(sample.select("url", host.alias("host"), path.alias("path"), "label", F.lit(n / min(n, most)).alias("weight")))
+    examples = settle(with_features(samples[0].unionByName(samples[1])))
+    suffixes = suffix_table(parsed)
 
     def complete(rows: DataFrame) -> DataFrame:
-        for name, counted in tables.items():
-            rows = rows.join(F.broadcast(counted), name, "left")
-        missing = {f"{s}_blocked": 0.5 for s in tables} | {f"{s}_seen": 0.0 for s in tables}
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.fillna(missing))
-
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
-    model = trees.fit(complete(examples).select("features", "label").coalesce(1))
+        # Copies of a URL are spread too, so rows are told apart by their place.
+        placed = rows.withColumn("place", F.monotonically_increasing_id())
+        sizes = suffixes.select("suffix2", F.col("rows").alias("__size"))
+        joined = attach(placed, suffixes.drop("rows"), ["suffix2"], "place", sizes=sizes, floor=PIECE_ROWS)
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
+
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
+    model = trees.fit(complete(examples).select("features", "label", "weight").coalesce(1))
     open_rows = complete(with_features(parsed.where("decided IS NULL")))
     from_trees = model.transform(open_rows).select(
         "row", "host", "path", "rule", F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("verdict"),

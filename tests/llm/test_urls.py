@@ -1,5 +1,6 @@
 """URL filter: rules and parsing against a direct reading, trees on held-out URLs."""
 
+import math
 import random
 import re
 
@@ -54,6 +55,43 @@ def test_one_verdict_only_and_empty(spark):
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_suffix_statistics_count_all_decided_rows(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    sites = [f"{word()}.com" for _ in range(40)]
+    rules = [(h, "/x/", ("block", "allow")[k % 2]) for k, h in enumerate(sites)]
+    made = [(k, f"http://{h}/x/{word()}") for k, h in enumerate(sites) for _ in range(50)] + [(k, f"http://{h}/y/{word()}") for k, h in enumerate(sites) for _ in range(5)]
+    got = urls.judge(spark.createDataFrame(made, "page_id long, url string"), rules, max_examples=20).collect()
+    assert len(got) == len(made)
+    open_rows = [r for r in got if r["rule"] is None]
+    assert len(open_rows) == 200
+    assert all(r["verdict"] == ("block", "allow")[r["row"]["page_id"] % 2] for r in open_rows)
+
+
+def test_suffix_table_against_direct_counts(spark):
+    rng = random.Random(9)
+    rows = [(f"{rng.choice(['a.', 'b.', ''])}{rng.choice(['x', 'y', 'z'])}.{rng.choice(['net', 'de'])}", rng.choice(["block", "allow", None])) for _ in range(3000)] + [("", None)]
+    got = {r["suffix2"]: r for r in urls.suffix_table(spark.createDataFrame(rows, "host string, decided string")).collect()}
+    assert set(got) == {".".join(h.split(".")[-2:]) for h, _ in rows}
+    for suffix, r in got.items():
+        under = [d for h, d in rows if ".".join(h.split(".")[-2:]) == suffix]
+        above = [d for h, d in rows if h.split(".")[-1] == suffix.split(".")[-1]]
+        assert r["rows"] == len(under)
+        for k, seen in ((1, above), (2, under)):
+            n = len([d for d in seen if d])
+            assert abs(r[f"suffix{k}_blocked"] - (seen.count("block") + 5) / (n + 10)) < 1e-12
+            assert abs(r[f"suffix{k}_seen"] - math.log1p(n)) < 1e-12
+
+
+def test_copies_of_one_url_do_not_fill_the_sample(spark):
+    made = [f"http://{k}.{'net/' if k % 2 else 'org/fr/'}" for k in range(60)]
+    least = spark.createDataFrame([(u,) for u in made], "url string").selectExpr("min_by(url, xxhash64(url))").first()[0]
+    rows = [(0, u) for u in made + [least] * 400 + ["http://open.com/"]]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), max_examples=50).collect()
+    assert len(got) == len(rows)
+    assert [r["blocked"] is not None for r in got if r["rule"] is None] == [True]
+
+
 def test_plan_has_no_python(spark, sf_dir):
     from kinfold.llm import queries
 
