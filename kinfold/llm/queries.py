@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, language_model, licenses, mixing, ngram_join, repeats, sharding, topk, toxicity, urls
+from kinfold.llm import collocations, decontaminate, language_model, licenses, mixing, ngram_join, repeats, sharding, topk, toxicity, urls
 from kinfold.sources.shared import settle
 
 
@@ -79,6 +79,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("row.doc_id", "n_shingles", "component_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_mix": op2_mix,
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,4 +152,28 @@ FROM docs d LEFT JOIN sizes USING (r) JOIN reached ON reached.x = d.r JOIN docs
 GROUP BY d.r, d.doc_id, n
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL, "op10_ngram_join": OP10_SQL}
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+numbered AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM numbered GROUP BY lang),
+spans AS (SELECT lang, m, unnest(list_transform(range(0, len(w) - m + 1), lambda i: array_to_string(w[i + 1:i + m], ' '))) AS phrase
+          FROM numbered, (VALUES (1), (2), (3)) AS t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM spans GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * c.a * c.a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, n AS a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+    FROM (SELECT lang, n, string_split(phrase, ' ') AS w FROM f WHERE m = 3)) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, z.n, s.score
+FROM scored s JOIN sizes z ON z.lang = s.lang LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+WHERE NOT coalesce(100 * g.a >= 50 * s.a, false)
+QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_decontaminate": OP4_SQL, "op10_ngram_join": OP10_SQL, "op13_collocations": OP13_SQL}
