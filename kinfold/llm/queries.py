@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import collocations, decontaminate, language_model, licenses, mixing, ngram_join, repeats, sharding, topk, toxicity, urls
+from kinfold.llm import (
+    collocations, decontaminate, language_model, licenses, mixing, ngram_join, pii, repeats, sharding, spelling, topk, toxicity, urls,
+)
 from kinfold.sources.shared import settle
 
 
@@ -79,6 +81,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("row.doc_id", "n_shingles", "component_id")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    spans = pii.listed(F.array_sort(F.concat("base", "added"))).alias("spans")
+    return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), spans)
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -94,6 +107,8 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_pii": op11_pii,
+    "op12_spelling_groups": op12_spelling_groups,
     "op13_collocations": op13_collocations,
 }
 
