@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,33 +68,43 @@ def luminance(rgb: Column) -> Column:
     return F.transform(pixels, luma)
 
 
-def autocontrast(image: Column, tone: Column, cut_percent: int = 1) -> Column:
-    """One linear stretch for all channels. ``tone`` is the luminance plane; ``cut_percent`` of its pixels
-    are ignored at each end, so the cut points are two positions of the sorted plane."""
-    cut = F.floor(F.size(tone) * cut_percent / 100).cast("int")
-
-    def limits(ordered: Column) -> Column:
-        low, high = F.element_at(ordered, cut + 1), F.element_at(ordered, F.size(ordered) - cut)
-        return F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
+def stretch(levels: np.ndarray, tone: np.ndarray, cut_percent: int) -> np.ndarray:
+    """One linear stretch of levels 0..255. The cut points come from the 256 counts of the tone: the levels at which more
+    than ``cut_percent`` of its pixels lie behind, from either end. No pixel is sorted."""
+    counts = np.bincount(tone, minlength=256)
+    cut = len(tone) * cut_percent // 100
+    low = int(np.argmax(np.cumsum(counts) > cut))
+    high = 255 - int(np.argmax(np.cumsum(counts[::-1]) > cut))
+    if high <= low:
+        return levels
+    scale = 255.0 / (high - low)
+    table = np.clip(np.floor(np.arange(256) * scale - low * scale), 0, 255).astype(np.int32)
+    return table[levels]
 
-    def stretched(lim: Column) -> Column:
-        scale = F.lit(255.0) / F.when(lim["high"] > lim["low"], lim["high"] - lim["low"])
 
-        def level(v: Column, f: Column) -> Column:
-            moved = F.floor(v.cast("double") * f - lim["low"] * f)
-            return F.when(f.isNull(), v.cast("bigint")).otherwise(F.least(F.greatest(moved, F.lit(0)), F.lit(255))).cast("int")
+def autocontrast(image: Column, tone: Column, cut_percent: int = 1) -> Column:
+    """One linear stretch for all channels. ``tone`` is the luminance plane; ``cut_percent`` of its pixels
+    are ignored at each end. Levels are 0..255; a missing image stays missing."""
 
-        return let(scale, lambda f: F.transform(image, lambda v: level(v, f)))
+    def run(images: pa.Array, tones: pa.Array) -> pa.Array:
+        out = []
+        for levels, plane in zip(images, tones, strict=True):
+            if not (levels.is_valid and plane.is_valid and len(plane)):
+                out.append(levels.as_py() if levels.is_valid else None)
+                continue
+            out.append(stretch(levels.values.to_numpy(zero_copy_only=False), plane.values.to_numpy(zero_copy_only=False), cut_percent))
+        return pa.array(out, pa.list_(pa.int32()))
 
-    return let(let(F.array_sort(tone), limits), stretched)
+    return F.arrow_udf(run, "array<int>")(image.cast("array<int>"), tone.cast("array<int>"))
 
 
-def center_crop(plane: Column, height: int | Column, width: int | Column, size: int) -> Column:
-    """The centred size x size window of a flat row-major plane."""
+def center_crop(image: Column, height: int | Column, width: int | Column, size: int, channels: int = 1) -> Column:
+    """The centred size x size window of a flat row-major image with interleaved channels."""
     h, w = (v if isinstance(v, Column) else F.lit(v) for v in (height, width))
     top, left = (F.bround((side - size) / F.lit(2.0), 0).cast("int") for side in (h, w))
     rows = F.sequence(F.lit(0), F.lit(size - 1))
-    return F.flatten(F.transform(rows, lambda y: F.slice(plane, ((top + y) * w + left + 1).cast("int"), F.lit(size))))
+    start = lambda y: (((top + y) * w + left) * channels + 1).cast("int")
+    return F.flatten(F.transform(rows, lambda y: F.slice(image, start(y), F.lit(size * channels))))
 
 
 def normalise_channels(

@@ -3,25 +3,23 @@
 AUC = sum over tie groups of  positives * (negatives below + negatives tied / 2), over  P * N.
 
 1. Equal scores of a class collapse to one tie group before anything is ranked (map-side partial counts).
-2. Tie groups fall into score buckets that are themselves in score order; crowded buckets are cut at their own
-   quantiles until none is crowded, so the number of buckets follows the data however concentrated the scores are.
-3. Ranks are taken inside a bucket; the negatives of all earlier buckets are added as one offset."""
+2. One range exchange puts the tie groups in order of class and score. Its bounds come from a sample, so parts are of even
+   size however concentrated the scores are; there are no rounds and nothing is written.
+3. Each part adds up, per class, the pairs won among its own tie groups. Parts of a class follow each other in score order, so
+   a running sum over the few parts gives every part the negatives below it."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from kinfold.functions.scores import ratio
-from kinfold.sources.shared import settle
-
-#: Cells with more tie groups than this are cut again, into about this many pieces.
-BUCKET_ROWS = 100_000
-QUANTILES = 64
-NAN_BUCKET = 130
 
 
 def score_ties(rows: DataFrame, by: Sequence[str] = (), decimals: int | None = None) -> DataFrame:
@@ -34,45 +32,66 @@ def score_ties(rows: DataFrame, by: Sequence[str] = (), decimals: int | None = N
     return long.groupBy(*by, "k", "score").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
 
 
-def coarse_bucket(score: Column) -> Column:
-    """Order-preserving bucket 0..129 on the log-odds scale, where both ends of [0, 1] get room; NaN last."""
-    log_odds = F.ln(score / (1 - score))
-    inside = 1 + F.floor((F.least(F.greatest(log_odds, F.lit(-32.0)), F.lit(31.75)) + 32) * 2)
-    bucket = F.when(F.isnan(score), F.lit(NAN_BUCKET)).when(score <= 0, F.lit(0)).when(score >= 1, F.lit(129)).otherwise(inside)
-    return F.coalesce(bucket.cast("int"), F.lit(NAN_BUCKET))
-
-
-def bucketed(ties: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``bucket`` and ``cut``; (bucket, cut) is in score order within ``keys``, and no cell has more than ``bucket_rows``
-    rows unless they share one score.
-
-    Crowded cells are cut at their own quantiles, again and again until none is crowded. Quantiles come from a mergeable sketch;
-    they are written down, so a retried task finds the same ones. A round has fewer crowded cells than rows / ``bucket_rows``,
-    with at most ``QUANTILES`` bounds each."""
-    cell = [*keys, "bucket", "cut"]
-    placed = ties.withColumn("bucket", coarse_bucket(F.col("score"))).withColumn("cut", F.lit(0).cast("bigint"))
-    while True:
-        sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"), F.min("score").alias("__low"), F.max("score").alias("__high"))
-        crowded = settle(sizes.where((F.col("__rows") > bucket_rows) & (F.col("__high") > F.col("__low"))))
-        if crowded.isEmpty():
-            return placed
-        shares = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
-        sketched = placed.join(crowded.select(*cell, "__high"), cell).groupBy(*cell).agg(
-            F.percentile_approx("score", shares, 10 * QUANTILES).alias("__q"), F.max("__high").alias("__high")
-        )
-        # The highest score is a bound of its own, so every round separates something.
-        bounds = settle(sketched.select(*cell, F.array_distinct(F.array_append("__q", F.col("__high"))).alias("__bounds")))
-        below = F.coalesce(F.size(F.filter("__bounds", lambda b: b <= F.col("score"))), F.lit(0))
-        placed = placed.join(bounds, cell, "left").withColumn("cut", F.col("cut") * (QUANTILES + 1) + below).drop("__bounds")
-
-
-def combine_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """AUC from per-bucket sums ``u`` (pairs won inside the bucket), ``p`` and ``q``.
+def segments(columns: Sequence[pa.Array], n: int) -> np.ndarray:
+    """Where the key changes in ordered rows: the first row of every run, and the end."""
+    change = np.zeros(n + 1, bool)
+    change[[0, -1]] = True
+    for column in columns:
+        code = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        change[1:-1] |= code[1:] != code[:-1]
+    return np.flatnonzero(change)
+
+
+def _piece_sums(keys: Sequence[str], schema: pa.Schema):
+    """Ordered tie groups in, one row per key and part out: lowest and highest score, pairs won inside, positives, negatives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, state = None, None  # the key at hand, and [low, high, won, positives, negatives]
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*opened, *state), strict=True))], schema=schema)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            score, p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("score", "p", "q"))
+            bounds = segments([batch.column(k) for k in keys], len(batch))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                key = tuple(batch.column(k)[a].as_py() for k in keys)
+                if state is None or key != opened:
+                    if state is not None:
+                        yield closed()
+                    opened, state = key, [float(score[a]), 0.0, 0.0, 0, 0]
+                below = state[4] + np.cumsum(q[a:b]) - q[a:b]
+                state[1] = float(score[b - 1])
+                state[2] += float((p[a:b] * (below + q[a:b] / 2)).sum())
+                state[3] += int(p[a:b].sum())
+                state[4] += int(q[a:b].sum())
+        if state is not None:
+            yield closed()
+
+    return run
+
+
+def ranked_pieces(ties: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, low, high, u, p, q``: every key's tie groups in pieces that follow each other in score order, with the pairs won inside."""
+    rows = ties.select(*keys, F.coalesce("score", F.lit(float("nan"))).alias("score"), "p", "q")
+    ordered = rows.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")
+    out = StructType([rows.schema[k] for k in keys])
+    for name, kind in (("low", DoubleType()), ("high", DoubleType()), ("u", DoubleType()), ("p", LongType()), ("q", LongType())):
+        out = out.add(name, kind)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return ordered.mapInArrow(_piece_sums(list(keys), to_arrow_schema(out)), out)
+
+
+def combine_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AUC from sums per piece: ``u`` (pairs won inside), ``p`` and ``q``. A handful of pieces per key and task.
     NULL when a side is empty or any score is NaN."""
-    earlier = W.partitionBy(*keys).orderBy("bucket", "cut").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("low").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("q").over(earlier), F.lit(0)).cast("double")
-    has_nan = F.max((F.col("bucket") == NAN_BUCKET) & (F.col("p") + F.col("q") > 0))
-    sums = parts.withColumn("__won", F.col("u") + F.col("p").cast("double") * offset).groupBy(*keys).agg(
+    has_nan = F.max(F.isnan("high") & (F.col("p") + F.col("q") > 0))
+    sums = pieces.withColumn("__won", F.col("u") + F.col("p").cast("double") * offset).groupBy(*keys).agg(
         F.sum("__won").alias("won"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"), has_nan.alias("has_nan")
     )
     pairs = F.col("positives").cast("double") * F.col("negatives").cast("double")
@@ -81,13 +100,7 @@ def combine_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def auc_one_vs_rest(ties: DataFrame, by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def auc_one_vs_rest(ties: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by, k, auc, positives, negatives`` from tie groups."""
     keys = [*by, "k"]
-    cells = [*keys, "bucket", "cut"]
-    below = F.sum("q").over(W.partitionBy(*cells).orderBy("score").rowsBetween(W.unboundedPreceding, -1))
-    won = F.col("p").cast("double") * (F.coalesce(below, F.lit(0)).cast("double") + F.col("q") / F.lit(2.0))
-    # Sizes, cuts and ranks read the tie groups, so they are written once.
-    ranked = bucketed(settle(ties), keys, bucket_rows).withColumn("__won", won)
-    parts = ranked.groupBy(*cells).agg(F.sum("__won").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return combine_buckets(parts, keys)
+    return combine_pieces(ranked_pieces(ties, keys), keys)

@@ -1,32 +1,35 @@
 """Bootstrap intervals that resample whole groups.
 
-A replicate never copies rows. ``draws`` lists, per group, the replicates that drew it (repeats count), and
-every statistic is a weighted sum over groups: confusion cells in SQL, the AUC with one NumPy pass per score
-bucket that handles all replicates at once."""
+A replicate never copies rows. ``group_draws`` lists, per group, the replicates that drew it (repeats count); packed to one byte per
+replicate they are the group's row of a weight matrix. Every statistic is a weighted sum over groups: confusion cells as products of counts and
+weights in each task, the AUC with one NumPy pass per cell of the ordered scores that handles all replicates at once. Item rows
+never carry weights through a shuffle: a cell meets the weights of its groups once per group."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.fixed import CLASS_METRICS, GROUP_LEVEL, ITEM_LEVEL, POOLED_METHOD, STRATIFIED_METHOD
 from kinfold.functions.hashing import draw_below
-from kinfold.operators.auc import bucketed, combine_buckets
-from kinfold.operators.metrics import class_metrics, confusion_cells, group_summary, macro_metrics, scored, two_level_cells
-from kinfold.operators.skew import attach, hashed_rank
+from kinfold.operators.auc import combine_pieces
+from kinfold.operators.metrics import class_metrics, confusion_cells, group_summary, level_cells, macro_metrics, scored
+from kinfold.operators.skew import hashed_rank, null_safe_join
 from kinfold.sources.shared import settle
 
 LOW, HIGH = 0.025, 0.975
-#: Cells (rows x replicates) that one score bucket may hold in memory.
-BUCKET_CELLS = 20_000_000
-#: Cells with this many times the planned rows (equal scores cannot be cut apart) take the SQL way.
-OVERFULL = 4
-_CHUNK_ROWS = 4096
+#: Weights (rows x replicates) that one cell of the ordered scores stands for, on average.
+CELL_WEIGHTS = 20_000_000
+#: Draws (groups x replicates) that one task spreads.
+TASK_DRAWS = 4_000_000
+#: Rows of weights that are at hand at once, and sums that a task gathers before it sends them on.
+_CHUNK_ROWS = 1024
+_HELD_SUMS = 4096
 
 
 def strata(groups: DataFrame, label: str = "species") -> DataFrame:
@@ -52,9 +55,10 @@ def group_draws(groups: DataFrame, n_boot: int, seed: int, label: str = "species
     its stratum, so slots need no number generator, and picks spread evenly over (stratum, ordinal).
     A group expects ``n_boot`` draws in all, whatever the number of groups."""
     ranked = hashed_rank(strata(groups.select(group, label), label), ["stratum"], group, seed)
-    # Every slot becomes n_boot rows: spread the few slots over all cores first (adaptive execution would
-    # otherwise pack the small table into one task).
-    spread = ranked.repartition(groups.sparkSession.sparkContext.defaultParallelism, "stratum", "ordinal")
+    # Every slot becomes n_boot rows: spread the slots first (adaptive execution would otherwise pack the small table into one
+    # task), over more tasks the more draws there are.
+    parts = max(groups.sparkSession.sparkContext.defaultParallelism, -(-groups.count() * n_boot // TASK_DRAWS))
+    spread = ranked.repartition(parts, "stratum", "ordinal")
     slots = spread.select("stratum", "ordinal", "parent_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     pick = draw_below(F.col("parent_size"), seed, F.col("b"), F.col("stratum"), F.col("ordinal"))
     picked = slots.select("stratum", pick.alias("ordinal"), "b").groupBy("stratum", "ordinal").agg(
@@ -68,72 +72,158 @@ def draw_counts(draws: DataFrame, group: str = "isolate_id") -> DataFrame:
     return draws.select(group, F.explode("draws").alias("b")).groupBy("b", group).agg(F.count(F.lit(1)).alias("m"))
 
 
-def replicate_cells(drawn: DataFrame) -> DataFrame:
-    """Confusion counts per (level, replicate). Reduced on the map side to K x K cells per replicate."""
-    cells = two_level_cells(drawn, ["draws"])
-    repeated = cells.select("level", "true_k", "pred_k", "n", F.explode("draws").alias("b"))
-    return confusion_cells(repeated, ["level", "b"], "n")
-
-
-def _bucket_sums(n_boot: int):
-    """Per-bucket replicate sums: Arrow in, Arrow out, all replicates of a row at once."""
-
-    def weights(draws: pa.Array, n: np.ndarray) -> np.ndarray:
-        counts = np.diff(draws.offsets.to_numpy())
-        flat = draws.flatten().to_numpy(zero_copy_only=False)
-        cell = np.repeat(np.arange(len(n), dtype=np.int64), counts) * n_boot + flat
-        matrix = np.bincount(cell, minlength=len(n) * n_boot).reshape(len(n), n_boot)
-        return matrix * n[:, None]
-
-    def sums(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        score = table["score"].to_numpy()
-        order = np.argsort(score, kind="stable")
-        score, positive = score[order], table["positive"].to_numpy()[order]
-        n, draws = table["n"].to_numpy()[order], table["draws"]
-        # Positions where a new tie group starts; chunks end at such positions whenever they can.
-        tie = np.concatenate([[0], np.cumsum(score[1:] != score[:-1])]) if len(score) else np.zeros(0, np.int64)
-        below = np.zeros(n_boot)
-        won = np.zeros(n_boot)
-        p_all = np.zeros(n_boot)
-        open_tie, p_tie, q_tie = -1, np.zeros(n_boot), np.zeros(n_boot)
-        for start in range(0, len(score), _CHUNK_ROWS):
-            stop = min(start + _CHUNK_ROWS, len(score))
-            part = draws.take(pa.array(order[start:stop])).combine_chunks()
-            w = weights(part, n[start:stop])
-            ids = tie[start:stop]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            is_pos = positive[start:stop, None]
-            p = np.add.reduceat(np.where(is_pos, w, 0), first, axis=0).astype(float)
-            q = np.add.reduceat(np.where(is_pos, 0, w), first, axis=0).astype(float)
-            if ids[0] == open_tie:
-                p[0] += p_tie
-                q[0] += q_tie
-            elif open_tie >= 0:
-                won += p_tie * (below + q_tie / 2)
-                below += q_tie
-                p_all += p_tie
-            open_tie, p_tie, q_tie = ids[-1], p[-1].copy(), q[-1].copy()
-            p, q = p[:-1], q[:-1]
-            under = below + np.cumsum(q, axis=0) - q
-            won += (p * (under + q / 2)).sum(axis=0)
-            below += q.sum(axis=0)
-            p_all += p.sum(axis=0)
-        won += p_tie * (below + q_tie / 2)
-        below += q_tie
-        p_all += p_tie
-        columns = {name: [value.as_py()] for name, value in zip(("level", "k", "bucket", "cut"), key, strict=True)}
-        sums_of = {"u": [won], "p": [p_all], "q": [below]}
-        return pa.table({**columns, **sums_of}, schema=_SUMS)
-
-    return sums
+def packed(draws: Column, n_boot: int) -> Column:
+    """A group's draws as bytes: how often each replicate drew it, one byte each, or eight where one does not suffice."""
+
+    def pack(lists: pa.Array) -> pa.Array:
+        out = []
+        for start in range(0, len(lists), _CHUNK_ROWS):
+            part = lists.slice(start, _CHUNK_ROWS)
+            row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            times = np.bincount(row * n_boot + flat, minlength=len(part) * n_boot).reshape(-1, n_boot)
+            out += [(t.astype(np.uint8) if t.max(initial=0) < 256 else t).tobytes() for t in times]
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(pack, "binary")(draws)
+
+
+def unpacked(draws: Sequence[bytes], n_boot: int) -> np.ndarray:
+    """The weight matrix of groups x replicates."""
+    if all(len(d) == n_boot for d in draws):
+        return np.frombuffer(b"".join(draws), np.uint8).reshape(-1, n_boot)
+    return np.array([np.frombuffer(d, np.uint8 if len(d) == n_boot else np.int64).astype(np.int64) for d in draws])
+
+
+def with_draws(summary: DataFrame, n_boot: int, seed: int, label: str = "species", group: str = "isolate_id") -> DataFrame:
+    """The group summary with the packed ``draws`` of each group, written once; groups that no replicate drew are gone."""
+    drawn = group_draws(summary, n_boot, seed, label, group).select(group, packed(F.col("draws"), n_boot).alias("draws"))
+    return settle(null_safe_join(summary, drawn, [group]))
+
+
+def replicate_cells(drawn: DataFrame, n_boot: int) -> DataFrame:
+    """Confusion counts per (level, replicate). A task adds up counts x weights of its groups: it sends at most one row per
+    non-empty cell and replicate, however many groups it has."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            keys = [(*key, b) for key in sums for b in range(n_boot)]
+            columns = list(zip(*keys, strict=True))
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+            values = np.concatenate(list(sums.values()))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array(values)], ["level", "true_k", "pred_k", "b", "n"])
+
+        for batch in batches:
+            for start in range(0, len(batch), _CHUNK_ROWS):
+                part = batch.slice(start, _CHUNK_ROWS)
+                weights = unpacked(part.column("draws").to_pylist(), n_boot).astype(np.int64)
+                counts: dict[tuple, tuple[list, list]] = {}
+                for row, cells in enumerate(part.column("cells").to_pylist()):
+                    for c in cells:
+                        rows, n = counts.setdefault((c["level"], c["true_k"], c["pred_k"]), ([], []))
+                        rows.append(row)
+                        n.append(c["n"])
+                for key, (rows, n) in counts.items():
+                    sums[key] = sums.get(key, 0) + np.array(n, np.int64) @ weights[rows]
+                if len(sums) > _HELD_SUMS:
+                    yield sent()
+        if sums:
+            yield sent()
+
+    parts = drawn.select(level_cells().alias("cells"), "draws").mapInArrow(add, "level string, true_k int, pred_k int, b int, n bigint")
+    return confusion_cells(parts.where("n > 0"), ["level", "b"], "n")
+
+
+def _open(score: np.ndarray) -> tuple[int, int]:
+    """Of ordered scores: the end of the first tie group and the start of the last."""
+    same_first = (score == score[0]) | (np.isnan(score) & np.isnan(score[0]))
+    same_last = (score == score[-1]) | (np.isnan(score) & np.isnan(score[-1]))
+    return int(same_first.sum()), len(score) - int(same_last.sum())
+
+
+def _weighted(rows: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of n x weights per replicate, some rows at a time."""
+    total = np.zeros(weights.shape[1])
+    for a in range(0, len(rows), _CHUNK_ROWS):
+        total += n[a : a + _CHUNK_ROWS].astype(float) @ weights[rows[a : a + _CHUNK_ROWS]].astype(float)
+    return total
+
+
+def _won(score: np.ndarray, positive: np.ndarray, n: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs won, positives and negatives of ordered rows, for all replicates at once. A tie group may be cut by the chunks."""
+    n_boot = weights.shape[1]
+    tie = np.concatenate([[0], np.cumsum(score[1:] != score[:-1])])
+    below, won, p_all = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+    open_tie, p_tie, q_tie = -1, np.zeros(n_boot), np.zeros(n_boot)
+    for start in range(0, len(score), _CHUNK_ROWS):
+        stop = min(start + _CHUNK_ROWS, len(score))
+        w = weights[rows[start:stop]] * n[start:stop, None].astype(float)
+        ids = tie[start:stop]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        is_pos = positive[start:stop, None]
+        p = np.add.reduceat(np.where(is_pos, w, 0), first, axis=0)
+        q = np.add.reduceat(np.where(is_pos, 0, w), first, axis=0)
+        if ids[0] == open_tie:
+            p[0] += p_tie
+            q[0] += q_tie
+        elif open_tie >= 0:
+            won += p_tie * (below + q_tie / 2)
+            below += q_tie
+            p_all += p_tie
+        open_tie, p_tie, q_tie = ids[-1], p[-1].copy(), q[-1].copy()
+        p, q = p[:-1], q[:-1]
+        under = below + np.cumsum(q, axis=0) - q
+        won += (p * (under + q / 2)).sum(axis=0)
+        below += q.sum(axis=0)
+        p_all += p.sum(axis=0)
+    return won + p_tie * (below + q_tie / 2), p_all + p_tie, below + q_tie
 
 
 _SUMS = pa.schema([
-    ("level", pa.string()), ("k", pa.int32()), ("bucket", pa.int32()), ("cut", pa.int64()),
+    ("level", pa.string()), ("k", pa.int32()), ("low", pa.float64()), ("high", pa.float64()),
     ("u", pa.list_(pa.float64())), ("p", pa.list_(pa.float64())), ("q", pa.list_(pa.float64())),
 ])
-_SUMS_DDL = "level string, k int, bucket int, cut bigint, u array<double>, p array<double>, q array<double>"
+_SUMS_DDL = "level string, k int, low double, high double, u array<double>, p array<double>, q array<double>"
+
+
+def _cell_sums(group: str, n_boot: int):
+    """Two-sided: a cell's rows and the draws of its groups. Out come, per level and class, the sums of the tie groups at both edges, which
+    may go on in the neighbouring cells, and of all scores between them."""
+
+    def sums(table: pa.Table, draws: pa.Table) -> pa.Table:
+        out = []
+        if len(draws):
+            table, draws = table.combine_chunks(), draws.combine_chunks()
+            weights = unpacked(draws["draws"].to_pylist(), n_boot)
+            known = pc.index_in(table[group], value_set=pa.concat_arrays(draws["member"].chunks))
+            used = np.flatnonzero(known.is_valid())  # groups that no replicate drew have no weights
+            rows = known.fill_null(0).to_numpy()[used]
+            level = table["level"].combine_chunks().dictionary_encode()
+            code = level.indices.to_numpy()[used]
+            k, score, positive, n = (table[c].to_numpy()[used] for c in ("k", "score", "positive", "n"))
+            order = np.lexsort((score, k, code))
+            code, k, score, positive, n, rows = (x[order] for x in (code, k, score, positive, n, rows))
+            change = np.flatnonzero((code[1:] != code[:-1]) | (k[1:] != k[:-1])) + 1
+            bounds = [0, *change.tolist(), len(k)] if len(k) else []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                first, last = _open(score[a:b])
+                spans = [(a, a + first)] if first == b - a else [(a, a + first), (a + first, a + last), (a + last, b)]
+                for i, (s, e) in enumerate(spans):
+                    if s == e:
+                        continue
+                    if i == 1:
+                        u, p, q = _won(score[s:e], positive[s:e], n[s:e], rows[s:e], weights)
+                    else:  # an edge: pairs are counted when all of its tie group has been added up
+                        here = positive[s:e]
+                        p, q = (_weighted(rows[s:e][side], n[s:e][side], weights) for side in (here, ~here))
+                        u = np.zeros(n_boot)
+                    out.append((level.dictionary[int(code[s])].as_py(), int(k[s]), float(score[s]), float(score[e - 1]), u, p, q))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(_SUMS), _SUMS.types, strict=True)], schema=_SUMS)
+
+    return sums
 
 
 def replicate_auc(
@@ -144,59 +234,37 @@ def replicate_auc(
     label: str = "species",
     group: str = "isolate_id",
     auc_decimals: int | None = None,
-    bucket_cells: int = BUCKET_CELLS,
+    cell_weights: int = CELL_WEIGHTS,
 ) -> DataFrame:
-    """``level, b, k, auc`` of every replicate and class. ``drawn`` is the group summary with its draws;
-    groups that no replicate drew are absent from it, and so drop out of the join.
+    """``level, b, k, auc`` of every replicate and class. ``drawn`` is the group summary with its packed draws;
+    groups that no replicate drew are absent from it, and their rows count nothing.
+
+    Rows of one group with the same score collapse first. One range exchange by level, class, score and group cuts them into cells of even
+    size, also where one score is shared by very many groups: a tie group that several cells share is added up before its
+    pairs are counted."""
 
-    Rows of one group with the same score collapse first. Score buckets are sized so that rows x replicates
-    stays in memory, and each is one Arrow call; buckets that cannot be cut that small are summed in SQL."""
     def collapsed(rows: DataFrame, level: str) -> DataFrame:
         exploded = rows.select(group, "true_k", F.posexplode("scores").alias("k", "score"))
         if auc_decimals is not None:
             exploded = exploded.withColumn("score", F.round("score", auc_decimals))
-        counted = exploded.groupBy(group, "true_k", "k", "score").agg(F.count(F.lit(1)).alias("n"))
-        return counted.select(F.lit(level).alias("level"), group, "k", "score", (F.col("true_k") == F.col("k")).alias("positive"), "n")
+        positive = (F.col("true_k") == F.col("k")).alias("positive")
+        score = F.coalesce("score", F.lit(float("nan"))).alias("score")
+        counted = exploded.select(group, "k", score, positive).groupBy(group, "k", "score", "positive").agg(F.count(F.lit(1)).alias("n"))
+        return counted.select(F.lit(level).alias("level"), group, "k", "score", "positive", "n")
 
-    # Read three times below (bucket limits, cell sizes, the sums), so written once.
     ties = settle(collapsed(scored(df, classes, label, [group]), ITEM_LEVEL).unionByName(collapsed(drawn, GROUP_LEVEL)))
-    bucket_rows = max(bucket_cells // n_boot, 1)
-    sides = {"p": F.when(F.col("positive"), F.col("n")).otherwise(F.lit(0)), "q": F.when(F.col("positive"), F.lit(0)).otherwise(F.col("n"))}
-    placed = bucketed(ties.withColumns(sides), ["level", "k"], bucket_rows)
-    cells = ["level", "k", "bucket", "cut"]
-    sizes = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("__rows"))
-    overfull = settle(sizes.where(F.col("__rows") > OVERFULL * bucket_rows).select(*cells, F.lit(True).alias("__wide")))
-
-    # A group has at most its items x classes rows here.
-    group_sizes = drawn.select(group, (F.col("n_items") * len(classes)).alias("__size"))
-
-    def weighted(rows: DataFrame) -> DataFrame:
-        return attach(rows, drawn.select(group, "draws"), [group], "score", sizes=group_sizes)
-
-    if overfull.isEmpty():
-        sums = _kernel_sums(weighted(placed), cells, n_boot)
-    else:
-        flagged = placed.join(overfull, cells, "left")
-        narrow = _kernel_sums(weighted(flagged.where(F.col("__wide").isNull())), cells, n_boot)
-        sums = narrow.unionByName(_exploded_sums(weighted(flagged.where(F.col("__wide"))), cells))
-    return combine_buckets(sums, ["level", "b", "k"]).select("level", "b", "k", "auc")
-
-
-def _kernel_sums(rows: DataFrame, cells: Sequence[str], n_boot: int) -> DataFrame:
-    """Bucket sums of all replicates at once, one Arrow call per cell."""
-    parts = rows.select(*cells, "score", "positive", "n", "draws").groupBy(*cells).applyInArrow(_bucket_sums(n_boot), _SUMS_DDL)
-    return parts.select(*cells, F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s")).select(*cells, "b", "s.*")
-
-
-def _exploded_sums(rows: DataFrame, cells: Sequence[str]) -> DataFrame:
-    """The same sums in SQL, for cells with too many rows to hold at once: one score shared by a large part
-    of all groups, mostly. Such rows collapse to one per replicate on the map side; distinct ones spill."""
-    keys = [*cells, "b"]
-    repeated = rows.select(*cells, "score", "p", "q", F.explode("draws").alias("b"))
-    ties = repeated.groupBy(*keys, "score").agg(F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
-    below = F.sum("q").over(W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1))
-    won = F.col("p") * (F.coalesce(below, F.lit(0.0)) + F.col("q") / 2)
-    return ties.withColumn("u", won).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("u", "p", "q")])
+    n_rows = ties.count()
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    n_cells = max(1, -(-n_rows * n_boot // cell_weights), min(parallel, n_rows // _CHUNK_ROWS))
+    # The bounds of the cells are drawn from a sample: what belongs to a cell is written down with it.
+    placed = settle(ties.repartitionByRange(n_cells, "level", "k", "score", F.xxhash64(group)).withColumn("cell", F.spark_partition_id()))
+    members = placed.select(F.col("cell").alias("in_cell"), F.col(group).alias("member")).distinct()
+    weights = null_safe_join(members, drawn.select(F.col(group).alias("member"), "draws"), ["member"])
+    pieces = placed.groupBy("cell").cogroup(weights.groupBy("in_cell")).applyInArrow(_cell_sums(group, n_boot), _SUMS_DDL)
+    flat = pieces.select("level", "k", "low", "high", F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s")).select("level", "k", "low", "high", "b", "s.*")
+    whole = flat.groupBy("level", "k", "low", "high", "b").agg(*[F.sum(c).alias(c) for c in ("u", "p", "q")])
+    tied = F.when(F.col("low") == F.col("high"), F.col("p") * F.col("q") / 2).otherwise(F.col("u"))
+    return combine_pieces(whole.withColumn("u", tied), ["level", "b", "k"]).select("level", "b", "k", "auc")
 
 
 def bootstrap_replicates(
@@ -213,9 +281,9 @@ def bootstrap_replicates(
     """accuracy and macro metrics of every (level, replicate). Class support is that of the replicate."""
     # One reduced table, a row per group, feeds every branch below: it is written once.
     summary = settle(group_summary(df, classes, label, group)) if summary is None else summary
-    drawn = settle(summary.join(group_draws(summary, n_boot, seed, label, group), group))
+    drawn = with_draws(summary, n_boot, seed, label, group)
     areas = replicate_auc(df, drawn, n_boot, classes, label, group, auc_decimals) if auc else None
-    cells = replicate_cells(drawn)
+    cells = replicate_cells(drawn, n_boot)
     by = ["level", "b"]
     return macro_metrics(class_metrics(cells, None, by, areas), by)
 

@@ -5,9 +5,10 @@ offending value of every rule; ``load`` combines both and raises in strict mode.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -182,6 +183,39 @@ def load(
     return clean(select_raw(df, modality, source), root)
 
 
+def load_into(df: DataFrame, root: str, path: str, listing: DataFrame | None = None) -> DataFrame:
+    """Validates a raw manifest while its clean form is written to ``path`` (Parquet), and reads that back: the manifest is scanned once.
+
+    Rules of single rows, and files missing from ``listing``, are counted in the pass that writes; groups with several labels are found in the
+    written table. A manifest that breaks a rule leaves nothing at ``path``; only then is it read again, for the text of the error."""
+    require_columns(df)
+    spark = df.sparkSession
+    rules = F.array_size(F.filter(_row_findings(ALLOWED_VALUES, GROUP_REQUIRED_SOURCES), lambda f: f.isNotNull()))
+    rows = resolve(fill_optional(df), root).withColumn("__broken", rules)
+    lost = F.lit(0)
+    if listing is not None:
+        there = listing.select(F.col("path").alias("image_path")).distinct().withColumn("__there", F.lit(True))
+        rows = rows.join(there, "image_path", "left")
+        lost = F.count_if(F.col("__there").isNull())
+    seen = Observation()
+    observed = rows.observe(seen, F.coalesce(F.sum("__broken"), F.lit(0)).alias("broken"), lost.alias("lost"), F.count(F.lit(1)).alias("rows"))
+    # ``clean`` fills and resolves again what is filled and resolved already, which changes nothing.
+    staged = f"{path.rstrip('/')}.unchecked-{uuid.uuid4().hex}"
+    columns = [c for c in rows.columns if c not in ("__broken", "__there")]
+    clean(observed.select(*columns), root).write.parquet(staged)
+    found = seen.get
+    files = spark._jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    if found["broken"] or found["lost"] or not label_conflicts(spark.read.parquet(staged)).isEmpty():
+        files.delete(as_path(staged), True)
+        validate(df, root, listing)
+        raise ValueError("the manifest breaks a rule")
+    files.delete(as_path(path), True)
+    if not files.rename(as_path(staged), as_path(path)):
+        raise OSError(f"cannot move {staged} to {path}")
+    return spark.read.schema(clean(df, root).schema).parquet(path)
+
+
 def select_raw(df: DataFrame, modality: str = "all", source: str = "all") -> DataFrame:
     """``select`` for a manifest that is not cleaned yet: plain comparisons of stored columns, which columnar
     files evaluate while they are read. An absent or empty source counts as the default one."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.fixed import CLASS_METRICS, GROUP_LEVEL, ITEM_LEVEL, RATIO_METRICS
 from kinfold.functions.scores import argmax_index, class_at, label_index, ratio, scores_from_columns
 from kinfold.operators.auc import auc_one_vs_rest, score_ties
+from kinfold.operators.skew import null_safe_join
 from kinfold.sources.shared import settle
 
 #: Group means are rounded before the vote, so that equal means tie the same way for every summation order.
@@ -146,25 +147,30 @@ def group_summary(
     """One row per group: its label, row count, mean scores (missing ones skipped), and ``cells``, the confusion counts
     of its rows by each row's own label. Everything at group level derives from it, and so do the item-level cells.
 
-    A group whose rows carry several labels takes that of its first row: by item path, if there is one, then by class order.
-    Both reductions are partial on the map side; the second sees at most K x K rows per group."""
-    first = [item] if item in df.columns else []
-    rows = scored(df, classes, label, [group, label, *first])
+    A group whose rows carry several labels takes that of its first row: by item path, if there is one, then by class order. The item
+    rows are reduced to numbers per (group, true, predicted class) on the map side and that table is written once; paths are read for groups
+    with several labels only."""
+    rows = scored(df, classes, label, [group])
     size = len(classes)
     present = [F.when(~F.isnan(F.col("scores")[k]), F.col("scores")[k]) for k in range(size)]
-    parts = rows.groupBy(group, "true_k", "pred_k").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*first, "true_k", label)).alias("__first"),
+    parts = settle(rows.groupBy(group, "true_k", "pred_k").agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.sum(p).alias(f"__sum_{k}") for k, p in enumerate(present)], *[F.count(p).alias(f"__seen_{k}") for k, p in enumerate(present)],
-    )
+    ))
     summed = parts.groupBy(group).agg(
-        F.min("__first").alias("__first"), F.sum("n").alias("n_items"),
+        F.min("true_k").alias("true_k"), F.sum("n").alias("n_items"),
         F.array_sort(F.collect_list(F.struct("true_k", "pred_k", "n"))).alias("cells"),
         *[F.try_divide(F.sum(f"__sum_{k}"), F.sum(f"__seen_{k}")).alias(f"__mean_{k}") for k in range(size)],
     )
+    if item in df.columns:
+        mixed = parts.groupBy(group).agg(F.min("true_k").alias("low"), F.max("true_k").alias("high")).where("low < high").select(group)
+        if not mixed.isEmpty():
+            labelled = null_safe_join(df.select(group, item, label_index(F.col(label), classes).alias("true_k")), mixed, [group])
+            first = labelled.groupBy(group).agg(F.min(F.struct(item, "true_k")).alias("first")).select(group, F.col("first.true_k").alias("first"))
+            summed = null_safe_join(summed, first, [group], "left").withColumn("true_k", F.coalesce("first", "true_k"))
     means = [F.coalesce(F.round(f"__mean_{k}", MEAN_DECIMALS), F.lit(float("nan"))) for k in range(size)]
-    return summed.select(
-        group, F.col("__first")[label].alias(label), F.col("__first.true_k").alias("true_k"), "n_items", F.array(*means).alias("scores"), "cells"
-    )
+    named = class_at(F.col("true_k"), classes).alias(label)
+    return summed.select(group, named, "true_k", "n_items", F.array(*means).alias("scores"), "cells")
 
 
 def group_vote(df: DataFrame, classes: Sequence[str], label: str = "species", group: str = "isolate_id") -> DataFrame:
@@ -176,16 +182,20 @@ def group_vote(df: DataFrame, classes: Sequence[str], label: str = "species", gr
     )
 
 
-def two_level_cells(summary: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts of every group at both levels: ``level, true_k, pred_k, n`` per group."""
+def level_cells() -> Column:
+    """The confusion counts of a group of the summary at both levels, as an array of ``level, true_k, pred_k, n``."""
     def cell(level: str, true: Column, pred: Column, n: Column) -> Column:
         return F.struct(
             F.lit(level).alias("level"), true.cast("int").alias("true_k"), pred.cast("int").alias("pred_k"), n.cast("bigint").alias("n")
         )
 
     items = F.transform("cells", lambda c: cell(ITEM_LEVEL, c["true_k"], c["pred_k"], c["n"]))
-    vote = F.array(cell(GROUP_LEVEL, F.col("true_k"), argmax_index(F.col("scores")), F.lit(1)))
-    return summary.select(*keep, F.explode(F.concat(items, vote)).alias("c")).select(*keep, "c.*")
+    return F.concat(items, F.array(cell(GROUP_LEVEL, F.col("true_k"), argmax_index(F.col("scores")), F.lit(1))))
+
+
+def two_level_cells(summary: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts of every group at both levels: ``level, true_k, pred_k, n`` per group."""
+    return summary.select(*keep, F.explode(level_cells()).alias("c")).select(*keep, "c.*")
 
 
 def two_level_ties(

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.fixed import PREDICTION_COLUMNS
 from kinfold.functions.pixels import unit_scale
-from kinfold.functions.scores import (
-    argmax_index, class_at, columns_from_scores, label_index, quoted, ranked_scores, score_columns,
-)
+from kinfold.functions.scores import argmax_index, class_at, columns_from_scores, quoted, ranked_scores, score_columns
+from kinfold.operators.heads import MAX_ITER, REG, TOLERANCE, Heads, fit_heads, from_rows, score_heads
 from kinfold.operators.metrics import group_vote
-from kinfold.operators.weights import weight_column
 
 
 def fit_head(
@@ -23,40 +19,21 @@ def fit_head(
     classes: Sequence[str],
     features: str = "embedding",
     imbalance: str = "none",
-    max_iter: int = 15,
-    reg: float = 1e-4,
+    max_iter: int = MAX_ITER,
+    reg: float = REG,
+    tolerance: float = TOLERANCE,
     label: str = "species",
     group: str = "isolate_id",
     item: str = "image_path",
-) -> LogisticRegressionModel:
+) -> Heads:
     """Multinomial logistic regression with the row weights of one imbalance mode. Class indices are those of
     ``classes`` even when a class is absent from the training rows."""
-    weighted = weight_column(train, imbalance, classes, label, group, item)
-    rows = weighted.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias("features"),
-        label_index(F.col(label), classes).cast("double").alias("target"),
-        "weight",
-    )
-    head = LogisticRegression(
-        featuresCol="features", labelCol="target", weightCol="weight", family="multinomial", maxIter=max_iter, regParam=reg
-    )
-    return head.fit(rows)
-
+    return fit_heads(train, classes, (), features, imbalance, max_iter, reg, tolerance, label, group, item)
 
-def history(model: LogisticRegressionModel, fold: str) -> list[tuple[str, int, float, float | None]]:
-    """``(fold, iteration, loss, accuracy)``: at most max_iter + 1 rows per fit. The training accuracy is known for
-    the final weights, so the last row carries it."""
-    losses = [float(loss) for loss in model.summary.objectiveHistory]
-    accuracy = float(model.summary.accuracy)
-    return [(fold, i, loss, accuracy if i == len(losses) - 1 else None) for i, loss in enumerate(losses)]
 
-
-def score(model: LogisticRegressionModel, df: DataFrame, classes: Sequence[str], features: str = "embedding") -> DataFrame:
-    """Adds ``scores`` in class order. A model that never saw the last classes gives them score 0."""
-    vectors = df.withColumn("__features", array_to_vector(F.col(features).cast("array<double>")))
-    scored = model.setFeaturesCol("__features").transform(vectors).withColumn("scores", vector_to_array("probability"))
-    padded = F.concat("scores", F.array_repeat(F.lit(0.0), len(classes))) if model.numClasses < len(classes) else F.col("scores")
-    return scored.select(*[quoted(c) for c in df.columns], F.slice(padded, 1, len(classes)).alias("scores"))
+def score(model: Heads, df: DataFrame) -> DataFrame:
+    """Adds ``scores`` in class order. A class that the model never saw gets score 0."""
+    return score_heads(model, df)
 
 
 def prediction_table(df: DataFrame, classes: Sequence[str], fold: Column, extra: Sequence[str] = ()) -> DataFrame:
@@ -75,16 +52,14 @@ def ranking(df: DataFrame, classes: Sequence[str], keep: Sequence[str] = ("image
     )
 
 
-def route_by_modality(models: dict[str, LogisticRegressionModel], df: DataFrame, classes: Sequence[str], features: str = "embedding") -> DataFrame:
-    """Scores every row with the model of its modality. A row whose modality has no model fails the query that meets it."""
-    parts = [score(model, df.where(F.col("modality") == name), classes, features) for name, model in models.items()]
+def route_by_modality(models: dict[str, Heads], df: DataFrame) -> DataFrame:
+    """Scores every row with the model of its modality, in one pass. A row whose modality has no model fails the query that meets it."""
+    first = next(iter(models.values()))
+    rows = [(name, int(r["k"]), r["weights"]) for name, m in models.items() for r in m.table(df.sparkSession).collect()]
     known = F.coalesce(F.col("modality").isin(*models), F.lit(False))
-    no_model = F.raise_error(F.concat(F.lit("no model for modality "), F.coalesce("modality", F.lit("NULL")))).cast("array<double>")
-    parts.append(df.where(~known).withColumn("scores", no_model))
-    routed = parts[0]
-    for part in parts[1:]:
-        routed = routed.unionByName(part)
-    return routed
+    no_model = F.raise_error(F.concat(F.lit("no model for modality "), F.coalesce("modality", F.lit("NULL"))))
+    routed = df.withColumn("__head", F.when(known, F.col("modality")).otherwise(no_model.cast("string")))
+    return score_heads(from_rows(rows, first.classes, first.features), routed, "__head").drop("__head")
 
 
 def combine_modalities(
@@ -126,9 +101,3 @@ def evidence(
         *keep, "predicted", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("r.feature").cast("bigint").alias("feature"),
         (-F.col("r.down")).alias("evidence"),
     )
-
-
-def model_coefficients(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
-    """``k, weights`` of a fitted head."""
-    rows = [(k, [float(v) for v in row]) for k, row in enumerate(model.coefficientMatrix.toArray())]
-    return df.sparkSession.createDataFrame(rows, "k int, weights array<double>")

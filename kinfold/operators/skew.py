@@ -74,6 +74,7 @@ def hashed_rank(
     sizes: DataFrame | None = None,
     parts: int = HOT_PARTS,
     floor: int = HOT_FLOOR,
+    repeats: str | None = None,
 ) -> DataFrame:
     """Adds ``ordinal`` (0-based rank of ``key`` in md5 order within its parent) and ``parent_size``.
 
@@ -81,6 +82,7 @@ def hashed_rank(
     rank order, rows are ranked inside (parent, sub-bucket), and the running count of the earlier
     sub-buckets is added. With ``hot_only`` just the hot parents are cut, for tables with very many parents
     (``sizes``: their row counts as ``__size``, if known).
+    ``repeats`` names a column that tells rows whose key also stands in the row ranked before.
     ``across`` orders the parents themselves: the rank then continues from one parent to the next."""
     parents = list(parents)
     hashed = df.withColumn("__digest", digest(seed, F.col(key)))
@@ -106,9 +108,12 @@ def hashed_rank(
         earlier = F.sum("__total").over(W.orderBy(*across).rowsBetween(W.unboundedPreceding, -1))
         starts = totals.select(*parents, F.coalesce(earlier, F.lit(0)).alias("__start"))
         offsets = null_safe_join(offsets, starts, parents).withColumn("__before", F.col("__before") + F.col("__start")).drop("__start")
-    within = F.row_number().over(W.partitionBy(*parents, "__bucket").orderBy("__digest", key)) - 1
+    order = W.partitionBy(*parents, "__bucket").orderBy("__digest", key)
+    ranked = hashed.withColumn("__within", F.row_number().over(order) - 1)
+    if repeats:
+        ranked = ranked.withColumn(repeats, (F.col("__within") > 0) & F.lag(key).over(order).eqNullSafe(F.col(key)))
     return (
-        null_safe_join(hashed.withColumn("__within", within), offsets, [*parents, "__bucket"])
+        null_safe_join(ranked, offsets, [*parents, "__bucket"])
         .withColumn("ordinal", (F.col("__before") + F.col("__within")).cast("bigint"))
         .drop("__digest", "__bucket", "__within", "__before")
     )

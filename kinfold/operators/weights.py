@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.fixed import IMBALANCE_MODES
 from kinfold.functions.hashing import draw_below
-from kinfold.functions.scores import class_array, label_index
+from kinfold.functions.scores import class_array, label_index, quoted
 from kinfold.operators.manifest import check_choice
 from kinfold.operators.skew import HOT_FLOOR, HOT_PARTS, attach, hashed_rank, null_safe_join
 from kinfold.sources.shared import settle
@@ -103,8 +103,15 @@ def weighted_resample(
     )
     copies = drawn.groupBy(label, group, "ordinal").agg(F.count(F.lit(1)).alias("copies"))
     sizes = groups.withColumnRenamed("__items", "__size")
-    numbered = hashed_rank(df, [label, group], item, seed, hot_only=True, sizes=sizes, floor=floor).drop("parent_size")
-    return numbered.join(copies, [label, group, "ordinal"]).drop("ordinal")
+    # Only the keys are ranked; the rows are shuffled once, to meet the keys that were drawn.
+    keys = df.select(label, group, item)
+    numbered = settle(hashed_rank(keys, [label, group], item, seed, hot_only=True, sizes=sizes, floor=floor, repeats="__repeat").drop("parent_size"))
+    if numbered.where("__repeat").isEmpty():
+        chosen = null_safe_join(numbered, copies, [label, group, "ordinal"]).select(label, group, item, "copies")
+        return null_safe_join(df, chosen, [label, group, item]).select(*[quoted(c) for c in df.columns], "copies")
+    # Several rows with one item: the rank tells them apart, so the rows themselves are ranked.
+    ranked_rows = hashed_rank(df, [label, group], item, seed, hot_only=True, sizes=sizes, floor=floor).drop("parent_size")
+    return null_safe_join(ranked_rows, copies, [label, group, "ordinal"]).drop("ordinal")
 
 
 def expand_copies(resampled: DataFrame, chunk: int = 4096) -> DataFrame:

@@ -14,19 +14,21 @@ from kinfold.functions.scores import argmax_index, class_at, label_index, ranked
 from kinfold.functions.text import value_with_interval
 from kinfold.operators import bootstrap, manifest, metrics, report, review, scoring, splits, weights
 from kinfold.operators.auc import auc_one_vs_rest, score_ties
-from kinfold.plans import training, views
+from kinfold.plans import preparation, training, views
 from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, MIXED_CLASSES, ROOT, VECTOR_CLASSES
 from kinfold.sources import images, tables
-from kinfold.sources.models import save_head
+from kinfold.sources.models import load_heads, save_heads
 from kinfold.sources.shared import settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEED = 42
-#: Replicates of queries with AUC intervals, and of those without (the default).
-N_BOOT = 50
-N_FULL = 1000
+#: Replicates of every query with intervals (the default).
+N_BOOT = 1000
+#: Fits whose results are compared: run to the optimum.
+LOIO_REG = 0.5
+CONVERGED = {"max_iter": 300, "reg": 0.1, "tolerance": 1e-11}
 DECIMALS = 9
 
 
@@ -329,14 +331,14 @@ def bootstrap_method(spark, sf_dir):
 @query
 def bootstrap_draws(spark, sf_dir):
     groups = settle(splits.group_table(views.pred_lineitem(spark, sf_dir)))
-    counts = bootstrap.draw_counts(bootstrap.group_draws(groups, N_FULL, SEED))
+    counts = bootstrap.draw_counts(bootstrap.group_draws(groups, N_BOOT, SEED))
     return counts.withColumn("b", F.col("b").cast("bigint"))
 
 
 @query
 def bootstrap_ci_accuracy(spark, sf_dir):
     rows = views.pred_lineitem(spark, sf_dir)
-    found = bootstrap.intervals(bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_FULL, SEED, auc=False))
+    found = bootstrap.intervals(bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_BOOT, SEED, auc=False))
     return doubles(found.where(F.col("metric") == "accuracy"))
 
 
@@ -441,33 +443,48 @@ def union_folds(spark, sf_dir):
 
 @query
 def oof_predictions(spark, sf_dir):
-    run = training.cross_validate(views.vectors(spark, sf_dir), VECTOR_CLASSES, n_folds=5, seed=SEED, max_iter=15)
-    return run.predictions
+    return doubles(training.cross_validate(views.vectors(spark, sf_dir), VECTOR_CLASSES, n_folds=5, seed=SEED, **CONVERGED).predictions)
+
+
+@query
+def loio_predictions(spark, sf_dir):
+    """One head per group, all fitted together."""
+    run = training.cross_validate(views.vectors(spark, sf_dir), VECTOR_CLASSES, strategy="loio", seed=SEED, imbalance="none", **CONVERGED | {"reg": LOIO_REG})
+    return doubles(run.predictions)
 
 
 @query
 def fit_history(spark, sf_dir):
+    """Loss and accuracy of every step of an early-stopped fit with plain steps."""
     rows = views.vectors(spark, sf_dir)
-    return training.cross_validate(rows, VECTOR_CLASSES, strategy="holdout", seed=SEED, imbalance="loss", max_iter=15).history
+    run = training.cross_validate(rows, VECTOR_CLASSES, strategy="holdout", seed=SEED, imbalance="loss", max_iter=15, reg=CONVERGED["reg"], plain=True)
+    return doubles(run.history.withColumn("iteration", F.col("iteration").cast("bigint")))
+
+
+@query
+def final_fit(spark, sf_dir):
+    """The weights of the head that all rows train, written and read back."""
+    path = scratch(spark, "heads")
+    save_heads(spark, scoring.fit_head(views.vectors(spark, sf_dir), VECTOR_CLASSES, imbalance="loss", **CONVERGED), path, "microscopic", "cmu")
+    heads, _ = load_heads(spark, path)
+    return doubles(heads.table(spark).select("fold", F.col("k").cast("bigint").alias("k"), F.posexplode("weights").alias("i", "weight")))
 
 
 @query
 def eval_saved_head(spark, sf_dir):
+    """A head is saved and applied to a table; its report is not needed here."""
     rows = views.vectors(spark, sf_dir)
-    path = scratch(spark, "head")
-    model = scoring.fit_head(rows, VECTOR_CLASSES, imbalance="sampler", max_iter=15)
-    save_head(spark, model, path, VECTOR_CLASSES, "microscopic", "cmu", "embedding", "all")
-    return training.score_saved_head(spark, path, rows)[0]
+    path = scratch(spark, "heads")
+    save_heads(spark, scoring.fit_head(rows, VECTOR_CLASSES, imbalance="sampler", **CONVERGED), path, "microscopic", "cmu")
+    return doubles(training.score_saved_head(spark, path, rows)[0])
 
 
 @query
 def modality_routing(spark, sf_dir):
     """One head per modality; each row is scored by its own."""
     rows = views.vectors(spark, sf_dir).withColumn("modality", F.when(F.col("vec_id") % 2 == 0, "colony").otherwise("microscopic"))
-    models = {
-        name: scoring.fit_head(manifest.select(rows, name), VECTOR_CLASSES, max_iter=15) for name in ("colony", "microscopic")
-    }
-    return scoring.prediction_table(scoring.route_by_modality(models, rows, VECTOR_CLASSES), VECTOR_CLASSES, F.lit("eval"))
+    models = {name: scoring.fit_head(manifest.select(rows, name), VECTOR_CLASSES, **CONVERGED) for name in ("colony", "microscopic")}
+    return doubles(scoring.prediction_table(scoring.route_by_modality(models, rows), VECTOR_CLASSES, F.lit("eval")))
 
 
 # ---- reports and review ----------------------------------------------------
@@ -540,7 +557,7 @@ def value_with_ci(spark, sf_dir):
     summary = settle(metrics.group_summary(rows, LINE_CLASSES))
     cells = metrics.confusion_cells(metrics.two_level_cells(summary), ["level"], "n")
     macro = metrics.macro_metrics(metrics.class_metrics(cells, LINE_CLASSES, ["level"]), ["level"])
-    replicates = bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_FULL, SEED, auc=False, summary=summary)
+    replicates = bootstrap.bootstrap_replicates(rows, LINE_CLASSES, N_BOOT, SEED, auc=False, summary=summary)
     interval = bootstrap.intervals(replicates).where(F.col("metric") == "accuracy")
     joined = macro.join(interval, "level")
     return joined.select("level", value_with_interval(F.col("accuracy"), F.col("low"), F.col("high")).alias("accuracy"))
@@ -604,11 +621,16 @@ def autocontrast(spark, sf_dir):
     return _long(dim, px.autocontrast(F.col("levels"), F.col("levels"), 5))
 
 
+def _colours(spark, sf_dir) -> DataFrame:
+    """64 levels as an 8 x 8 colour image with three different channels."""
+    channels = F.transform("levels", lambda v: F.array(v, 255 - v, ((v + 128) % 256)))
+    return _levels(spark, sf_dir).withColumn("rgb", F.flatten(channels))
+
+
 @query
 def autocontrast_rgb(spark, sf_dir):
-    """48 levels as a 4 x 4 colour image: one stretch by luminance for all channels."""
-    rgb = _levels(spark, sf_dir).withColumn("rgb", F.slice("levels", 1, 48))
-    toned = rgb.withColumn("tone", px.luminance(F.col("rgb")))
+    """One stretch by luminance for all channels."""
+    toned = _colours(spark, sf_dir).withColumn("tone", px.luminance(F.col("rgb")))
     return _long(toned, px.autocontrast(F.col("rgb"), F.col("tone"), 10))
 
 
@@ -617,6 +639,22 @@ def center_crop(spark, sf_dir):
     return _long(_planes(spark, sf_dir), px.center_crop(F.col("plane"), 8, 8, 4))
 
 
+@query
+def center_crop_rgb(spark, sf_dir):
+    return _long(_colours(spark, sf_dir), px.center_crop(F.col("rgb"), 8, 8, 4, 3))
+
+
+@query
+def prepare_images(spark, sf_dir):
+    """The whole way of an image: 4 x 16 colour images joined to their items, stretched, resized to 3 x 12, cropped, normalised."""
+    channels = F.transform("levels", lambda v: F.array((100 + F.floor(v / 4)).cast("int"), (90 + F.floor(v / 3)).cast("int"), v))
+    found = _levels(spark, sf_dir).select(
+        F.concat(F.lit("vec/"), "vec_id").alias("path"), F.lit(4).alias("height"), F.lit(16).alias("width"), F.flatten(channels).alias("pixels")
+    )
+    prepared = preparation.prepare_images(views.vectors(spark, sf_dir), found, size=3, cut_percent=5)
+    return _long(prepared, F.col("pixels"))
+
+
 @query
 def channel_normalise(spark, sf_dir):
     rgb = _levels(spark, sf_dir).withColumn("rgb", px.grey_to_rgb(F.col("levels")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from kinfold.plans.catalog import DECIMALS, N_BOOT, N_FULL, SEED
+from kinfold.plans.catalog import CONVERGED, DECIMALS, LOIO_REG, N_BOOT, SEED
 from kinfold.plans.views import EVENT_CLASSES, LINE_CLASSES, MIXED_CLASSES, ROOT, VECTOR_CLASSES
 
 R = DECIMALS
@@ -248,6 +248,62 @@ def describe(folds: str) -> str:
 FROM names n LEFT JOIN {folds} f ON f.fold = n.fold GROUP BY n.fold"""
 
 
+ITEMS = """items AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, 'vec/' || vec_id AS image_path, 'class_' || label AS species, label::INTEGER AS y, vec_id,
+         'class_' || label || '-' || (vec_id % 5) AS isolate_id, list_prepend(1.0::DOUBLE, embedding::DOUBLE[]) AS x FROM embeddings),
+grp AS (SELECT isolate_id, min(species) AS species, count(*) AS n_items FROM items GROUP BY isolate_id),
+dealt AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || species), species, md5('42:' || isolate_id), isolate_id) - 1 AS pos FROM grp)"""
+
+
+def trained(mode: str) -> str:
+    """``trn(f, i, x, y, w)`` from the training rows ``pairs(f, i)`` of every head."""
+    rows = "FROM pairs p JOIN items t ON t.i = p.i"
+    weight = {
+        "none": "1.0::DOUBLE",
+        "sampler": """1.0::DOUBLE / ((SELECT count(DISTINCT isolate_id) FROM pairs q JOIN items u ON u.i = q.i WHERE q.f = p.f AND u.y = t.y)
+                                     * (SELECT n_items FROM grp WHERE grp.isolate_id = t.isolate_id))""",
+        "loss": "count(*) OVER (PARTITION BY p.f)::DOUBLE / (10 * count(*) OVER (PARTITION BY p.f, t.y))",
+    }[mode]
+    return f"trn AS (SELECT p.f, t.i, t.x, t.y, {weight} AS w {rows})"
+
+
+def fit(steps: int, reg: float) -> str:
+    """``path(t, f, k, here, before)``: accelerated gradient steps of every head over ``trn``; the curvature is that of all ``items``."""
+    vector = "list_transform(range(1, 66), lambda j: {})"
+    probe = vector.format("here[j] + m * (here[j] - before[j])")
+    return f"""norm AS (SELECT f, i, x, y, w / sum(w) OVER (PARTITION BY f) AS w FROM trn),
+columns AS (SELECT f, j, list(x[j] ORDER BY i) AS v FROM norm, (SELECT unnest(range(1, 66)) AS j) GROUP BY f, j),
+lim AS (SELECT l, (sqrt(l / {reg}) - 1) / (sqrt(l / {reg}) + 1) AS top FROM (SELECT max(list_inner_product(x, x)) / 2 + {reg} AS l FROM items)),
+path AS (
+  SELECT 0 AS t, f, k, list_transform(range(65), lambda j: 0.0::DOUBLE) AS here, list_transform(range(65), lambda j: 0.0::DOUBLE) AS before
+  FROM (SELECT DISTINCT f FROM trn), (SELECT unnest(range(10))::INTEGER AS k)
+  UNION ALL
+  SELECT * FROM (
+    WITH probe AS (
+      SELECT t, f, k, here, l, {probe} AS v
+      FROM (SELECT *, least(top, greatest(0, t - 1)::DOUBLE / (t + 2)) AS m FROM path, lim WHERE t < {steps})),
+    z AS (SELECT n.f, n.i, n.y, n.w, k, list_inner_product(n.x, v) AS z FROM probe JOIN norm n ON n.f = probe.f),
+    e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY f, i)) AS e FROM z),
+    r AS (SELECT f, i, k, w * (e / sum(e) OVER (PARTITION BY f, i) - (y = k)::INTEGER) AS r FROM e),
+    lists AS (SELECT f, k, list(r ORDER BY i) AS r FROM r GROUP BY f, k),
+    g AS (SELECT s.f, s.k, list(list_inner_product(c.v, s.r) ORDER BY j) AS g FROM lists s JOIN columns c ON c.f = s.f GROUP BY s.f, s.k)
+    SELECT t + 1, p.f, p.k, {vector.format(f"p.v[j] - (g.g[j] + {reg} * p.v[j]) / l")}, p.here
+    FROM probe p JOIN g ON g.f = p.f AND g.k = p.k)),
+heads AS (SELECT f, k, here AS v FROM path WHERE t = {steps})"""
+
+
+def head_predictions(fold: str, pairing: str) -> str:
+    """The prediction table of ``items`` scored by ``heads``, joined by ``pairing``."""
+    probs = ", ".join(f"round(max(p) FILTER (WHERE k = {k}), {R}) AS prob_class_{k}" for k in range(10))
+    return f""", z AS (SELECT i.*, h.f, h.k, list_inner_product(i.x, h.v) AS z FROM items i JOIN heads h ON {pairing}),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY i)) AS e FROM z),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY i) AS p FROM e)
+SELECT image_path, species, isolate_id, MODALITY AS modality, 'na' AS view, 'unknown' AS device, NULL::BIGINT AS "day", 'cmu' AS source,
+       {fold} AS fold, 'class_' || arg_max(k, p) AS predicted, {probs}
+FROM p GROUP BY i, image_path, species, isolate_id, vec_id, f"""
+
+
 def draw(seed_word: str, slot: str) -> str:
     return f"('0x' || substr(md5('{SEED}:{seed_word}:' || {slot}), 1, 15))::BIGINT"
 
@@ -385,18 +441,49 @@ SELECT i.image_path, i.isolate_id, count(*) AS copies FROM picked_item p
 JOIN iranks i ON i.species = p.species AND i.isolate_id = p.isolate_id AND i.ordinal = p.ordinal
 GROUP BY i.image_path, i.isolate_id"""
 
+    recursive = lambda *parts: with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+    reg = CONVERGED["reg"]
+    kfold_items = ITEMS + """,
+folds AS (SELECT i, 'fold' || (pos % 5) AS fold FROM items JOIN dealt ON dealt.isolate_id = items.isolate_id)"""
+    loio_items = ITEMS + ", folds AS (SELECT i, 'loio_' || isolate_id AS fold FROM items)"
+    others = "pairs AS (SELECT n.fold AS f, i FROM folds, (SELECT DISTINCT fold FROM folds) n WHERE folds.fold <> n.fold)"
+    everyone = "pairs AS (SELECT 'all' AS f, i FROM items)"
+    micro = lambda text: text.replace("MODALITY", "'microscopic'")
+    own_fold = micro(head_predictions("f", "h.f = (SELECT fold FROM folds WHERE folds.i = i.i)"))
+    sql["oof_predictions"] = recursive(kfold_items, others, trained("sampler"), fit(90, reg)) + own_fold
+    sql["loio_predictions"] = recursive(loio_items, others, trained("none"), fit(50, LOIO_REG)) + own_fold
+    sql["eval_saved_head"] = recursive(ITEMS, everyone, trained("sampler"), fit(90, reg)) + micro(head_predictions("'eval'", "true"))
+    sql["final_fit"] = recursive(ITEMS, everyone, trained("loss"), fit(90, reg)) + f"""
+SELECT f AS fold, k::BIGINT AS k, i::INTEGER AS i, round(v[i + 1], {R}) AS weight FROM heads, (SELECT unnest(range(65)) AS i)"""
+    modality = "CASE WHEN vec_id % 2 = 0 THEN 'colony' ELSE 'microscopic' END"
+    sql["modality_routing"] = recursive(ITEMS, f"pairs AS (SELECT {modality} AS f, i FROM items)", trained("none"), fit(90, reg)) + (
+        head_predictions("'eval'", f"h.f = {modality}").replace("MODALITY", modality))
+    probe = "list_transform(range(1, 66), lambda j: here[j] + m * (here[j] - before[j]))"
+    sql["fit_history"] = recursive(
+        ITEMS, "pairs AS (SELECT 'holdout' AS f, i FROM items JOIN dealt ON dealt.isolate_id = items.isolate_id WHERE pos % 5 <> 0)",
+        trained("loss"), fit(15, reg),
+    ) + f""", points AS (
+  SELECT t, f, k, {probe} AS v FROM (SELECT *, CASE WHEN t < 15 THEN least(top, greatest(0, t - 1)::DOUBLE / (t + 2)) ELSE 0 END AS m FROM path, lim)),
+z AS (SELECT p.t, p.f, p.k, n.i, n.y, n.w, list_inner_product(n.x, p.v) AS z FROM points p JOIN norm n ON n.f = p.f),
+e AS (SELECT *, max(z) OVER (PARTITION BY t, f, i) AS top FROM z),
+per_row AS (
+  SELECT t, f, i, w, y, ln(sum(exp(z - top))) + max(top) - max(z) FILTER (WHERE k = y) AS loss, arg_max(k, z) AS best FROM e GROUP BY t, f, i, w, y),
+size AS (SELECT t, f, {reg} / 2 * sum(list_inner_product(v, v)) AS ridge FROM points GROUP BY t, f)
+SELECT r.f AS fold, r.t::BIGINT AS iteration, round(sum(w * loss) + any_value(ridge), {R}) AS loss, round(avg((best = y)::INTEGER), {R}) AS accuracy
+FROM per_row r JOIN size s ON s.t = r.t AND s.f = r.f GROUP BY r.f, r.t"""
+
     line_groups = "grp AS (SELECT isolate_id, min(species) AS species FROM preds GROUP BY isolate_id)"
     sql["bootstrap_method"] = with_(LINE, line_groups) + """
 SELECT CASE WHEN ok THEN species ELSE '*' END AS stratum,
        CASE WHEN ok THEN 'isolates within class' ELSE 'isolates' END AS method, count(*) AS n_groups
 FROM grp, (SELECT min(n) >= 2 AS ok FROM (SELECT count(*) AS n FROM grp GROUP BY species)) GROUP BY 1, 2"""
-    sql["bootstrap_draws"] = with_(LINE, line_groups, draws_sql(N_FULL, "grp")) + "SELECT b, isolate_id, m FROM mult"
-    sql["bootstrap_ci_accuracy"] = bootstrap(LINE, LINE_CLASSES, N_FULL, False) + interval_rows(["accuracy"])
+    sql["bootstrap_draws"] = with_(LINE, line_groups, draws_sql(N_BOOT, "grp")) + "SELECT b, isolate_id, m FROM mult"
+    sql["bootstrap_ci_accuracy"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, False) + interval_rows(["accuracy"])
     names = ["accuracy", *MACRO_NAMES]
     sql["bootstrap_ci_macro"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["bootstrap_ci_mixed"] = bootstrap(MIXED, MIXED_CLASSES, N_BOOT, True) + interval_rows(names)
     sql["bootstrap_ci_vectors"] = bootstrap(VECTORS, VECTOR_CLASSES, N_BOOT, True) + interval_rows(names)
-    sql["value_with_ci"] = bootstrap(LINE, LINE_CLASSES, N_FULL, False) + """,
+    sql["value_with_ci"] = bootstrap(LINE, LINE_CLASSES, N_BOOT, False) + """,
 whole AS (SELECT level, avg((true_k = pred_k)::INTEGER) AS accuracy FROM levelled GROUP BY level)
 SELECT w.level, format('{:.3f}', w.accuracy) || ' [' || format('{:.2f}', quantile_cont(m.accuracy, 0.025))
        || '-' || format('{:.2f}', quantile_cont(m.accuracy, 0.975)) || ']' AS accuracy
@@ -492,10 +579,30 @@ SELECT px.vec_id, i, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 EN
     sql["minmax_u8"] = with_(PLANES) + "SELECT vec_id, i, v AS value FROM levels"
     sql["autocontrast"] = with_(
         PLANES, "dim AS (SELECT vec_id, i, (100 + floor(v / 8))::INTEGER AS v FROM levels)", stretch("dim", "dim", 5, 64))
-    sql["autocontrast_rgb"] = with_(PLANES, """rgb AS (SELECT vec_id, i, v FROM levels WHERE i < 48),
-tone AS (
+    colours = """rgb AS (
+  SELECT vec_id, i * 3 + c AS i, CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v ELSE (v + 128) % 256 END AS v FROM levels, (SELECT unnest(range(3)) AS c))"""
+    tone = """tone AS (
   SELECT vec_id, i // 3 AS i, (sum(v * CASE i % 3 WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END)::BIGINT + 32768) >> 16 AS v
-  FROM rgb GROUP BY vec_id, i // 3)""", stretch("rgb", "tone", 10, 16))
+  FROM rgb GROUP BY vec_id, i // 3)"""
+    sql["autocontrast_rgb"] = with_(PLANES, colours, tone, stretch("rgb", "tone", 10, 64))
+    sql["center_crop_rgb"] = with_(PLANES, colours) + """
+SELECT vec_id, (((i // 24) - 2) * 4 + (i // 3) % 8 - 2) * 3 + i % 3 AS i, v AS value
+FROM rgb WHERE i // 24 BETWEEN 2 AND 5 AND (i // 3) % 8 BETWEEN 2 AND 5"""
+    sql["prepare_images"] = with_(
+        PLANES,
+        """rgb AS (
+  SELECT vec_id, i * 3 + c AS i, CASE c WHEN 0 THEN 100 + v // 4 WHEN 1 THEN 90 + v // 3 ELSE v END AS v FROM levels, (SELECT unnest(range(3)) AS c))""",
+        tone, f"stretched AS (WITH {stretch('rgb', 'tone', 5, 64)})",
+        """tri AS (
+  SELECT o, j, greatest(1.0::DOUBLE - abs((j + 0.5::DOUBLE - (o + 0.5::DOUBLE) * (4 / 3.0::DOUBLE)) / (4 / 3.0::DOUBLE)), 0) AS w, n
+  FROM (VALUES (3, 4), (12, 16)) t(n, m), (SELECT unnest(range(12)) AS o), (SELECT unnest(range(16)) AS j) WHERE o < n AND j < m),
+axis AS (SELECT n, o, j, w / sum(w) OVER (PARTITION BY n, o) AS w FROM tri)""",
+    ) + f"""
+SELECT vec_id, (y.o * 3 + x.o - 4) * 3 + p.i % 3 AS i,
+       round((floor(round(sum(p.value * y.w * x.w), 9) + 0.5) / 255.0::DOUBLE - any_value(m)) / any_value(s), {R}) AS value
+FROM stretched p JOIN axis y ON y.n = 3 AND y.j = p.i // 48 JOIN axis x ON x.n = 12 AND x.j = (p.i // 3) % 16
+JOIN (VALUES (0, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456, 0.224), (2, 0.406, 0.225)) t(c, m, s) ON c = p.i % 3
+WHERE x.o BETWEEN 4 AND 6 GROUP BY vec_id, y.o, x.o, p.i % 3"""
     sql["center_crop"] = with_(PLANES) + f"""
 SELECT vec_id, (i // 8 - 2) * 4 + (i % 8 - 2) AS i, round(v, {R}) AS value FROM px WHERE i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 5"""
     sql["channel_normalise"] = with_(PLANES) + f"""

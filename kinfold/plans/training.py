@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.manifest import check_parameters, require_rows, resolve_classes, select
 from kinfold.operators.report import Evaluation, evaluate, report_row
-from kinfold.operators.scoring import fit_head, history, prediction_table, score
+from kinfold.operators.heads import MAX_ITER, REG, TOLERANCE, Heads, fit_heads, score_heads
+from kinfold.operators.scoring import fit_head, prediction_table, score
 from kinfold.operators.splits import assert_assignment, assign_folds, describe_folds, fold_names, make_folds
-from kinfold.sources.models import load_head, save_head
+from kinfold.sources.models import load_heads, save_heads
 from kinfold.sources.shared import settle
 from kinfold.sources.tables import write_csv, write_predictions, write_report, write_run_config
 
@@ -26,7 +27,8 @@ class TrainingRun:
     folds: DataFrame
     history: DataFrame
     classes: list[str]
-    models: dict[str, object] = field(default_factory=dict)
+    heads: Heads
+    final: Heads | None = None
     evaluation: Evaluation | None = None
 
 
@@ -39,37 +41,29 @@ def cross_validate(
     seed: int = 42,
     imbalance: str = "sampler",
     features: str = "embedding",
-    max_iter: int = 15,
-    reg: float = 1e-4,
+    max_iter: int = MAX_ITER,
+    reg: float = REG,
+    tolerance: float = TOLERANCE,
     max_folds: int | None = None,
+    plain: bool = False,
 ) -> TrainingRun:
-    """Fits one head per fold on the other folds' groups and scores the fold's own rows: every prediction is
-    out-of-fold. The driver only loops over folds; each fit and each scoring is a distributed job.
-    A caller may refuse runs of more than ``max_folds`` fits (leave-one-out over many groups)."""
+    """Fits the heads of all folds together, each on the other folds' groups, and scores every row by the head of its own fold in one
+    pass: every prediction is out-of-fold. The number of jobs does not depend on the number of folds; the work and the heads, which the
+    driver holds, do. A caller may refuse runs of more than ``max_folds`` heads (leave-one-out over many groups)."""
     check_parameters(imbalance=imbalance, strategy=strategy, val_fraction=val_fraction)
     require_rows(df, "training")
     names = resolve_classes(df, classes)
     folds = make_folds(df, strategy, n_folds, val_fraction, seed)
-    listed = [r[0] for r in folds.select("fold").where(F.col("fold").isNotNull()).distinct().orderBy("fold").collect()]  # one per fit
+    listed = [r[0] for r in folds.select("fold").where(F.col("fold").isNotNull()).distinct().orderBy("fold").collect()]  # one per head
     if max_folds is not None and len(listed) > max_folds:
         raise ValueError(f"{strategy} needs {len(listed)} fits, more than max_folds={max_folds}")
-    # Every fit reads the rows of the other folds many times and every scoring those of one fold: one folder per fold.
-    assigned = settle(assign_folds(df, folds), ["fold"])
+    assigned = settle(assign_folds(df, folds))
     assert_assignment(df, assigned)
     info = describe_folds(folds, names, fold_names(strategy, n_folds))
-
-    tables, losses, models = [], [], {}
-    for fold in listed:
-        is_val = F.coalesce(F.col("fold") == fold, F.lit(False))
-        train = assigned.where(~is_val)
-        model = fit_head(train, names, features, imbalance, max_iter, reg)
-        models[fold] = model
-        losses += history(model, fold)
-        tables.append(prediction_table(score(model, assigned.where(is_val), names, features), names, F.lit(fold)))
-    predictions = tables[0]
-    for table in tables[1:]:
-        predictions = predictions.unionByName(table)
-    return TrainingRun(predictions, info, df.sparkSession.createDataFrame(losses, HISTORY_SCHEMA), names, models)
+    heads = fit_heads(assigned, names, listed, features, imbalance, max_iter, reg, tolerance, plain=plain)
+    scored = score_heads(heads, assigned.where(F.col("fold").isNotNull()), "fold")
+    predictions = prediction_table(scored, names, F.col("fold"))
+    return TrainingRun(predictions, info, df.sparkSession.createDataFrame(heads.history, HISTORY_SCHEMA), names, heads)
 
 
 def run_training(
@@ -84,34 +78,32 @@ def run_training(
     seed: int = 42,
     imbalance: str = "sampler",
     features: str = "embedding",
-    max_iter: int = 15,
-    reg: float = 1e-4,
+    max_iter: int = MAX_ITER,
+    reg: float = REG,
+    tolerance: float = TOLERANCE,
     fit_final: bool = True,
     n_boot: int = 1000,
 ) -> TrainingRun:
-    """A whole run: select, split, fit and score per fold, pooled report, saved heads.
-    Writes config.json, predictions, metrics.json, one head per fold and the final head below ``run_dir``."""
+    """A whole run: select, split, fit and score all folds, pooled report, saved heads.
+    Writes config.json, predictions, metrics.json, the heads of all folds as one table and the final head below ``run_dir``."""
     spark = df.sparkSession
     config = {
         "classes": list(classes), "modality": modality, "source": source, "split": strategy, "n_folds": n_folds,
         "val_fraction": val_fraction, "seed": seed, "imbalance": imbalance, "features": features, "max_iter": max_iter,
-        "reg": reg, "fit_final": fit_final, "bootstrap": n_boot,
+        "reg": reg, "tolerance": tolerance, "fit_final": fit_final, "bootstrap": n_boot,
     }
     check_parameters(modality, source, imbalance, strategy, val_fraction)
     rows = select(df, modality, source)
     write_run_config(spark, f"{run_dir}/config.json", config)
-    run = cross_validate(rows, classes, strategy, n_folds, val_fraction, seed, imbalance, features, max_iter, reg)
-    for fold, model in run.models.items():
-        path = f"{run_dir}/model" if strategy == "holdout" else f"{run_dir}/folds/{fold}"
-        save_head(spark, model, path, run.classes, modality, source, features, fold)
+    run = cross_validate(rows, classes, strategy, n_folds, val_fraction, seed, imbalance, features, max_iter, reg, tolerance)
+    save_heads(spark, run.heads, f"{run_dir}/model" if strategy == "holdout" else f"{run_dir}/folds", modality, source)
     folds_row = run.folds.agg(F.array_sort(F.collect_list(F.struct(*run.folds.columns))).alias("v")).scalar()
     history_row = run.history.agg(F.array_sort(F.collect_list(F.struct(*run.history.columns))).alias("v")).scalar()
     extras = {"split": F.lit(strategy), "folds": folds_row, "train_history": history_row, "note": F.lit(NOTE)}
     run.predictions, run.evaluation = write_run(run.predictions, run_dir, run.classes, n_boot, seed, extras)
     if strategy != "holdout" and fit_final:
-        final = fit_head(rows, run.classes, features, imbalance, max_iter, reg)
-        run.models["all"] = final
-        save_head(spark, final, f"{run_dir}/model", run.classes, modality, source, features, "all")
+        run.final = fit_head(rows, run.classes, features, imbalance, max_iter, reg, tolerance)
+        save_heads(spark, run.final, f"{run_dir}/model", modality, source)
     return run
 
 
@@ -132,11 +124,11 @@ def score_saved_head(
     spark: SparkSession, head: str, df: DataFrame, modality: str | None = None, source: str = "all"
 ) -> tuple[DataFrame, list[str]]:
     """Prediction table (fold ``eval``) of a saved head over a new manifest. The modality defaults to the head's own."""
-    model, meta = load_head(spark, head)
+    model, meta = load_heads(spark, head)
     rows = select(df, modality or meta["modality"] or "all", source)
     require_rows(rows, f"modality={modality or meta['modality']} source={source}")
     classes = resolve_classes(rows, list(meta["classes"]))
-    return prediction_table(score(model, rows, classes, meta["features"]), classes, F.lit("eval")), classes
+    return prediction_table(score(model, rows), classes, F.lit("eval")), classes
 
 
 def evaluate_saved_head(

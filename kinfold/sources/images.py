@@ -62,7 +62,7 @@ def resized_sides(height: int, width: int, size: int) -> tuple[int, int]:
     return int(size * height / width), size
 
 
-def _axis_weights(n_in: int, n_out: int) -> np.ndarray:
+def axis_weights(n_in: int, n_out: int) -> np.ndarray:
     """Triangle-filter weights of one axis; the filter widens when shrinking, so that no pixel is skipped."""
     scale = n_in / n_out
     reach = max(scale, 1.0)
@@ -86,8 +86,8 @@ def resize(df: DataFrame, size: int, channels: int) -> DataFrame:
             for flat, h, w in zip(batch["pixels"], batch["height"], batch["width"], strict=True):
                 new_h, new_w = resized_sides(int(h), int(w), size)
                 image = np.asarray(flat, dtype=float).reshape(int(h), int(w), channels)
-                image = np.einsum("ab,bwc->awc", _axis_weights(int(h), new_h), image)
-                image = np.einsum("ab,hbc->hac", _axis_weights(int(w), new_w), image)
+                image = np.einsum("ab,bwc->awc", axis_weights(int(h), new_h), image)
+                image = np.einsum("ab,hbc->hac", axis_weights(int(w), new_w), image)
                 pixels.append(image.reshape(-1))
                 sides.append((new_h, new_w))
             done = batch.assign(pixels=pixels, height=[s[0] for s in sides], width=[s[1] for s in sides])

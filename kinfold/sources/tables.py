@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
 import os
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,26 +14,29 @@ from pyspark.sql import types as T
 from kinfold.fixed import GROUP_LEVEL, ITEM_LEVEL
 from kinfold.functions.scores import quoted
 from kinfold.operators.report import REPORT_SCHEMA
+from kinfold.sources.files import list_files, reachable
+from kinfold.sources.records import csv_records
 
 #: Cells keep their outer blanks in both directions.
 CSV = {
     "header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
-_EXTRA = "__extra_cell"
 
 
 def read_manifest_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """All-text manifest rows (an empty cell is '' and not NULL, ``NA`` stays text) and the folder its paths hang below.
-    Extra columns are kept. Quoted cells may hold line breaks; a row with more cells than the header fails the query."""
-    options = {"escape": '"', "header": True, "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-    cells = spark.read.schema(schema).options(**options).csv(path)
-    first = F.coalesce(quoted(names[0]), F.lit(""))
+    Extra columns are kept. Quoted cells may hold line breaks, and yet a large file is read by many tasks (see ``records``);
+    a row with more cells than the header fails the query."""
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = spark.read.options(header=True, multiLine=True, **options).csv(path).columns
+    cells = [f"c{i}" for i in range(len(names) + 1)]
+    records = csv_records(spark, path).where("NOT first")
+    parsed = records.select(F.from_csv("text", ", ".join(f"{c} string" for c in cells), options).alias("r")).select("r.*")
+    first = F.coalesce(cells[0], F.lit(""))
     too_many = F.raise_error(F.concat(F.lit("a row has more cells than the header, near "), first)).cast("boolean")
-    raw = cells.where(F.when(F.col(_EXTRA).isNull(), F.lit(True)).otherwise(too_many)).drop(_EXTRA)
+    raw = parsed.where(F.when(F.col(cells[-1]).isNull(), F.lit(True)).otherwise(too_many))
     folder = os.path.dirname(path if "://" in path else os.path.abspath(path))
-    return raw.na.fill(""), folder
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(cells, names, strict=False)]), folder
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -57,19 +61,38 @@ def write_review_sheet(df: DataFrame, path: str) -> None:
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path`` of every file below a folder; file contents are not read. Spark's file index lists the folder on
-    the driver, so for very large stores pass an inventory table to the check instead."""
+    """``path`` of every file below a folder; file contents are not read. Tasks list the folders (see ``files``); a store that only Spark
+    reaches is listed by Spark's file index instead, whose result passes the driver."""
+    if reachable(root):
+        named = F.regexp_extract("path", "[^/]*$", 0).rlike(fnmatch.translate(pattern))
+        return list_files(spark, root).where(named).select("path")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 
 
+def _undefined(value: object, kind: T.DataType) -> object:
+    """A JSON value in which the numbers written as text "NaN" are numbers again; names and other texts stay."""
+    if value is None:
+        return None
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return float(value)
+    if isinstance(kind, T.ArrayType):
+        return [_undefined(v, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType):
+        return {k: _undefined(v, kind.valueType) for k, v in value.items()}
+    if isinstance(kind, T.StructType):
+        return {f.name: _undefined(value.get(f.name), f.dataType) for f in kind.fields}
+    return value
+
+
 def write_report(row: DataFrame, path: str) -> None:
     """The one-row run document as one JSON file. NULLs keep their keys; undefined numbers stand as bare ``NaN``."""
     [text] = row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()
+    document = json.dumps(_undefined(json.loads(text), row.schema), ensure_ascii=False, separators=(",", ":"))
     jvm, conf = row.sparkSession._jvm, row.sparkSession._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(conf).create(target, True)
-    out.write(re.sub(r'(?<=[:\[,])"NaN"(?=[,\]}])', "NaN", text).encode())
+    out.write(document.encode())
     out.close()
 
 

@@ -90,9 +90,9 @@ def brute_force(rows, draws, n_boot, k):
     return out
 
 
-# 10 cells: buckets of one row, so that shared scores are overfull and take the SQL way.
-@pytest.mark.parametrize("bucket_cells, nan", [(10, False), (10, True), (20_000_000, False), (500, True)])
-def test_replicate_auc_equals_pair_counting(predictions, bucket_cells, nan):
+# 10 weights: cells of one row, so that groups with one score are parted.
+@pytest.mark.parametrize("cell_weights, nan", [(10, False), (10, True), (20_000_000, False), (500, True)])
+def test_replicate_auc_equals_pair_counting(predictions, cell_weights, nan):
     classes, n_boot = ["a", "b", "c"], 12
     rows = []
     for i in range(150):
@@ -103,9 +103,8 @@ def test_replicate_auc_equals_pair_counting(predictions, bucket_cells, nan):
         rows.append((f"g{g}", "abc"[g % 3], *scores))
     df = predictions(rows, classes)
     summary = settle(group_summary(df, classes))
-    drawn = settle(summary.join(B.group_draws(summary, n_boot, 3), "isolate_id"))
-    draws = {r["isolate_id"]: list(r["draws"]) for r in drawn.collect()}
-    areas = B.replicate_auc(df, drawn, n_boot, classes, bucket_cells=bucket_cells).where("level = 'image_level'")
+    draws = {r["isolate_id"]: list(r["draws"]) for r in B.group_draws(summary, n_boot, 3).collect()}
+    areas = B.replicate_auc(df, B.with_draws(summary, n_boot, 3), n_boot, classes, cell_weights=cell_weights).where("level = 'image_level'")
     got = {(r["b"], r["k"]): r["auc"] for r in areas.collect()}
     for k in range(3):
         assert [got.get((b, k)) for b in range(n_boot)] == [
@@ -113,21 +112,33 @@ def test_replicate_auc_equals_pair_counting(predictions, bucket_cells, nan):
         ]
 
 
-def test_ties_across_chunks(predictions, monkeypatch):
+def test_ties_across_chunks(monkeypatch):
     """One score shared by most rows, cut by the chunk size of the kernel."""
     monkeypatch.setattr(B, "_CHUNK_ROWS", 4)
-    import pyarrow as pa
-
     n = 30
-    table = pa.table({
-        "score": [0.5] * 20 + [0.1] * 5 + [0.9] * 5, "positive": [i % 3 == 0 for i in range(n)],
-        "n": pa.array([1 + i % 2 for i in range(n)], pa.int64()), "draws": pa.array([[0, 0, 1] if i % 2 else [1] for i in range(n)], pa.list_(pa.int32())),
-    })
-    out = B._bucket_sums(2)((pa.scalar("image_level"), pa.scalar(0), pa.scalar(0), pa.scalar(0)), table)
+    score = np.array([0.1] * 5 + [0.5] * 20 + [0.9] * 5)
+    positive = np.array([i % 3 == 0 for i in range(n)])
+    count = np.array([1 + i % 2 for i in range(n)])
+    weights = np.array([[2, 1], [0, 1], [1, 0]], np.uint8)
+    rows = np.arange(n) % 3
+    u, p, q = B._won(score, positive, count, rows, weights)
     for b in range(2):
-        weight = [w * d.count(b) for w, d in zip(table["n"].to_pylist(), table["draws"].to_pylist())]
-        items = list(zip(table["score"].to_pylist(), table["positive"].to_pylist(), weight))
-        won = sum(wp * wn * ((p > q) + 0.5 * (p == q)) for p, tp, wp in items if tp for q, tq, wn in items if not tq)
-        assert out["u"][0].as_py()[b] == pytest.approx(won)
-        assert out["p"][0].as_py()[b] == sum(w for _, t, w in items if t)
-        assert out["q"][0].as_py()[b] == sum(w for _, t, w in items if not t)
+        items = list(zip(score, positive, count * weights[rows, b], strict=True))
+        assert u[b] == sum(wp * wn * ((x > y) + 0.5 * (x == y)) for x, tp, wp in items if tp for y, tq, wn in items if not tq)
+        assert p[b] == sum(w for _, t, w in items if t) and q[b] == sum(w for _, t, w in items if not t)
+
+
+def test_draws_are_packed_without_loss(spark):
+    lists = [[0, 0, 3], [], [2] * 300, [1]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, draws array<int>").repartition(2)
+    got = {r["i"]: bytes(r["w"]) for r in df.select("i", B.packed(F.col("draws"), 4).alias("w")).collect()}
+    assert B.unpacked([got[i] for i in range(4)], 4).tolist() == [[x.count(b) for b in range(4)] for x in lists]
+    assert len(got[0]) == 4 and B.unpacked([got[0], got[3]], 4).dtype == np.uint8
+
+
+def test_null_groups_are_drawn(spark):
+    """A NULL group is a group like any other, in the cells and in the areas."""
+    rows = [(f"i{i}", "a" if i % 3 else "b", None if i % 4 == 0 else f"g{i % 3}", i / 20, 1 - i / 20) for i in range(20)]
+    df = spark.createDataFrame(rows, "image_path string, species string, isolate_id string, prob_a double, prob_b double")
+    reps = B.bootstrap_replicates(df, ["a", "b"], 25, 5).where("level = 'isolate_level'").collect()
+    assert {r["n"] for r in reps} == {4} and len(reps) == 25

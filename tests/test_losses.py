@@ -41,10 +41,10 @@ def test_rows_of_a_modality_without_model_fail(spark):
     rows = [(f"i{k}", "ab"[k % 2], f"g{k}", "m", [float(k % 2), 1.0]) for k in range(20)]
     df = spark.createDataFrame(rows, "image_path string, species string, isolate_id string, modality string, embedding array<double>")
     model = scoring.fit_head(df, ["a", "b"], imbalance="none")
-    assert scoring.route_by_modality({"m": model}, df, ["a", "b"]).count() == 20
+    assert scoring.route_by_modality({"m": model}, df).count() == 20
     odd = df.withColumn("modality", F.when(F.col("image_path") == "i3", "other").otherwise("m"))
     with pytest.raises(PySparkException, match="no model for modality other"):
-        scoring.route_by_modality({"m": model}, odd, ["a", "b"]).collect()
+        scoring.route_by_modality({"m": model}, odd).collect()
 
 
 @pytest.mark.parametrize("mode", ["sampler", "loss", "none"])

@@ -132,3 +132,30 @@ def test_raw_selection_is_pushed_into_the_scan(spark, tmp_path):
     bare = stored.drop("source")
     assert M.load(bare, "/r", strict=False, source="openfungi").count() == 0
     assert M.load(bare, "/r", strict=False, source="cmu").count() == 5
+
+
+def test_validated_while_written(spark, tmp_path):
+    """Once over the manifest: its rows are counted where they are read."""
+    rows = [(f"x{i}.png", "a" if i % 2 else "b", f"g{i % 4}", "colony", str(i)) for i in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    raw = spark.createDataFrame(rows, "image_path string, species string, isolate_id string, modality string, day string")
+    raw = raw.mapInArrow(counted, raw.schema)
+    there = spark.createDataFrame([(f"/r/x{i}.png",) for i in range(40)], "path string")
+    got = M.load_into(raw, "/r", str(tmp_path / "clean"), there)
+    assert read.value == 40
+    assert got.exceptAll(M.clean(raw, "/r")).count() == 0 and got.count() == 40
+    for broken, text in (
+        (raw.withColumn("modality", F.lit("sound")), "outside its domain"), (raw.withColumn("day", F.lit("1.5")), "fractional"),
+        (raw.withColumn("isolate_id", F.lit("one")), "several labels"),
+    ):
+        with pytest.raises(ValueError, match=text):
+            M.load_into(broken, "/r", str(tmp_path / "broken"), there)
+    with pytest.raises(ValueError, match="no file"):
+        M.load_into(raw, "/r", str(tmp_path / "broken"), there.where("path <> '/r/x3.png'"))
+    assert [p.name for p in tmp_path.iterdir()] == ["clean"]

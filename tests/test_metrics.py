@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from kinfold.operators import metrics as M
-from kinfold.operators.auc import auc_one_vs_rest, bucketed, coarse_bucket, score_ties
+from kinfold.operators.auc import auc_one_vs_rest, ranked_pieces, score_ties
 
 
 def generated(seed, n, classes, groups=9, missing=0.0):
@@ -103,28 +103,35 @@ def test_auc_is_undefined_with_nan_scores(spark):
     assert auc_rows(spark, [(0, 0.5), (1, float("nan")), (1, 0.2)]) is None
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 7, 100_000])
-def test_auc_equals_pair_counting_for_any_bucket_size(spark, bucket_rows):
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_auc_equals_pair_counting_for_any_number_of_parts(spark, parts):
     scores = [round(math.sin(i * 12.9898) % 1, 2) for i in range(400)] + [-3.0, 0.0, 1.0, 1.0, 7.5, 1e-300]
     rows = [(i % 3 != 0, s) for i, s in enumerate(scores)]
     pos, neg = [s for t, s in rows if not t], [s for t, s in rows if t]
     pairs = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    assert auc_rows(spark, [(int(t), s) for t, s in rows], bucket_rows=bucket_rows) == pytest.approx(pairs)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert auc_rows(spark, [(int(t), s) for t, s in rows]) == pytest.approx(pairs)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
 
 
-def test_no_cell_is_crowded_when_scores_are_concentrated(spark):
+def test_pieces_are_even_and_in_score_order_when_scores_are_concentrated(spark):
     close = [0.5 + i * 1e-13 for i in range(5000)] + [0.9999, 0.0]
-    df = spark.createDataFrame([("x", s, i % 2, 1 - i % 2) for i, s in enumerate(close)], "key string, score double, p int, q int")
-    cells = bucketed(df, ["key"], 100).groupBy("bucket", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
-    rows = cells.orderBy("bucket", "cut").collect()
-    assert sum(r["n"] for r in rows) == len(close) and max(r["n"] for r in rows) <= 100
-    assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:]))
-
-
-def test_coarse_buckets_keep_score_order(spark):
-    df = spark.range(0, 100_001).select((F.col("id") / 100_000).alias("s")).withColumn("b", coarse_bucket(F.col("s")))
-    bounds = df.groupBy("b").agg(F.min("s").alias("low"), F.max("s").alias("high")).orderBy("b").collect()
-    assert all(a["high"] < b["low"] for a, b in zip(bounds, bounds[1:]))
+    df = spark.createDataFrame([(key, s, i % 2, 1 - i % 2) for key in ("x", None) for i, s in enumerate(close)], "key string, score double, p int, q int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = ranked_pieces(df, ["key"]).orderBy("key", "low").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for key in ("x", None):
+        own = [r for r in rows if r["key"] == key]
+        assert sum(r["p"] + r["q"] for r in own) == len(close) and len(own) > 2
+        assert max(r["p"] + r["q"] for r in own) <= 2 * 2 * len(close) / 8
+        assert all(a["high"] < b["low"] for a, b in zip(own, own[1:]))
 
 
 def test_first_maximum_wins_and_nan_counts_as_maximum(predictions):

@@ -10,7 +10,7 @@ from kinfold.functions.scores import scores_from_columns
 from kinfold.operators import manifest, report, review, scoring
 from kinfold.plans import training, views
 from kinfold.sources import tables
-from kinfold.sources.models import load_head
+from kinfold.sources.models import load_heads
 
 
 @pytest.fixture(scope="module")
@@ -92,7 +92,7 @@ def test_class_absent_from_training_keeps_its_place(spark, sf_dir):
     rows = views.vectors(spark, sf_dir).where("species in ('class_0', 'class_2')")
     classes = ["class_0", "class_1", "class_2", "class_3"]
     model = scoring.fit_head(rows, classes, max_iter=50)
-    got = scoring.score(model, rows, classes)
+    got = scoring.score(model, rows)
     assert got.where(F.size("scores") != 4).count() == 0
     assert got.where((F.col("scores")[1] > 0.01) | (F.col("scores")[3] != 0)).count() == 0
     correct = got.where(F.array_position("scores", F.array_max("scores")) - 1 == F.when(F.col("species") == "class_0", 0).otherwise(2))
@@ -114,8 +114,10 @@ def test_whole_run_and_evaluation_of_its_head(spark, tmp_path, sf_dir):
     doc = document(tmp_path / "run")
     assert doc["split"] == "kfold" and len(doc["folds"]) == 3 and doc["image_level"]["n"] == rows.count()
     assert doc["image_level"]["ci95_isolate_bootstrap"]["replicates"] == 10
-    _, meta = load_head(spark, str(tmp_path / "run" / "model"))
-    assert meta["classes"] == run.classes and meta["fold"] == "all" and meta["modality"] == "microscopic"
+    _, meta = load_heads(spark, str(tmp_path / "run" / "model"))
+    assert meta["classes"] == run.classes and meta["folds"] == ["all"] and meta["modality"] == "microscopic"
+    by_fold, _ = load_heads(spark, str(tmp_path / "run" / "folds"))
+    assert by_fold.folds == ["fold0", "fold1", "fold2"] and (by_fold.weights == run.heads.weights).all()
 
     predictions, _ = training.evaluate_saved_head(spark, str(tmp_path / "run" / "model"), rows, str(tmp_path / "eval"), n_boot=0)
     assert {r[0] for r in predictions.select("fold").distinct().collect()} == {"eval"}

@@ -44,3 +44,15 @@ def test_resample_draws_classes_and_groups_equally(spark, floor):
     assert drawn.select("image_path", "copies").exceptAll(again.select("image_path", "copies")).count() == 0
     assert Wt.expand_copies(drawn, chunk=3).count() == 4000
     assert Wt.expand_copies(drawn).groupBy("image_path").count().exceptAll(drawn.select("image_path", "copies")).count() == 0
+
+
+def test_every_draw_lands_for_unique_and_repeated_items(spark):
+    """Items that stand in several rows are told apart by their rank, unique ones by their key; NULL groups are drawn, too."""
+    rows = [(f"i{i}", "ab"[i % 2], None if i % 5 == 0 else f"g{i % 6}", i) for i in range(120)]
+    unique = spark.createDataFrame(rows, "image_path string, species string, isolate_id string, extra int")
+    drawn = Wt.weighted_resample(unique, ["a", "b"], 3)
+    assert drawn.columns == [*unique.columns, "copies"]
+    assert drawn.agg(F.sum("copies")).first()[0] == 120
+    assert drawn.where("isolate_id IS NULL").count() > 0 and drawn.select("image_path").distinct().count() == drawn.count()
+    repeated = unique.unionByName(unique.where("extra < 30").withColumn("extra", F.col("extra") + 1000))
+    assert Wt.weighted_resample(repeated, ["a", "b"], 3).agg(F.sum("copies")).first()[0] == 150
