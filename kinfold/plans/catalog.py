@@ -144,6 +144,53 @@ def manifest_csv_roundtrip(spark, sf_dir):
     return manifest.clean(raw, ROOT)
 
 
+@query
+def quoted_line_breaks(spark, sf_dir):
+    """Whole texts with line breaks, commas and quotes as CSV cells, read back by many tasks."""
+    path = scratch(spark, "texts")
+    texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").alias("last"))
+    tables.write_csv(texts, path)
+    raw, _ = tables.read_manifest_csv(spark, path)
+    return raw.select("doc_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"), "last")
+
+
+@query
+def manifest_load_into(spark, sf_dir):
+    """Clean rows, validated while they are written, and read back."""
+    raw = views.manifest_events(spark, sf_dir).withColumn("isolate_id", F.concat_ws("/", "isolate_id", "species"))
+    raw = raw.withColumn("day", F.when(F.col("day").rlike(r"^\d+$"), F.col("day")).otherwise(F.lit("")))
+    return manifest.load_into(raw, ROOT, scratch(spark, "clean"))
+
+
+@query
+def folder_listing(spark, sf_dir):
+    """Files of a written folder tree, listed by tasks: one file in each of 40 folders."""
+    path = scratch(spark, "tree")
+    rows = views.table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("bucket"), "event_id")
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    found = tables.listing(spark, path, "*.parquet").select(F.regexp_extract("path", r"bucket=(\d+)/[^/]+$", 1).cast("bigint").alias("bucket"))
+    return found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def run_config_file(spark, sf_dir):
+    """The parameters of a run, with the class list of the data, written as JSON and read back."""
+    path = scratch(spark, "config")
+    rows = clean_events(spark, sf_dir)
+    config = {"classes": manifest.resolve_classes(rows), "split": "kfold", "n_folds": 5, "items": rows.count(), "val_fraction": 0.2, "note": None}
+    tables.write_run_config(spark, path, config)
+    return spark.read.json(path).select(F.array_join("classes", ",").alias("classes"), "split", "n_folds", "items", "val_fraction")
+
+
+@query
+def review_sheet_file(spark, sf_dir):
+    """The review sheet as the file that experts fill in, read back as text."""
+    path = scratch(spark, "sheet")
+    tables.write_review_sheet(QUERIES["review_sheet"](spark, sf_dir).coalesce(1), path)
+    raw, _ = tables.read_manifest_csv(spark, path)
+    return raw.select("image_path", "true_species", "predicted", F.col("probability").cast("double").alias("probability"), "panel", "notes")
+
+
 @query
 def manifest_relative_paths(spark, sf_dir):
     """A clean manifest written with paths relative to its folder."""

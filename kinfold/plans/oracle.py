@@ -342,6 +342,16 @@ SELECT label, round(auc, {R}) AS auc FROM areas a JOIN cls c ON c.k = a.k"""
     clean = 'SELECT image_path, species, isolate_id, modality, view, device, "day", source FROM ev'
     sql["manifest_clean"] = with_(EVENTS) + clean
     sql["manifest_csv_roundtrip"] = with_(EVENTS) + clean
+    sql["quoted_line_breaks"] = """SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest, lang AS "last"
+FROM (SELECT doc_id::VARCHAR AS doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t, coalesce(lang, '') AS lang FROM documents)"""
+    whole_days = """CASE WHEN regexp_matches("day", '^[0-9]+$') THEN "day"::BIGINT END"""
+    sql["manifest_load_into"] = with_(EVENTS) + f"""
+SELECT image_path, species, trim(r.isolate_id || '/' || species) AS isolate_id, modality, view, device, {whole_days} AS "day", source
+FROM (SELECT f.* EXCLUDE isolate_id, raw.isolate_id FROM filled f JOIN manifest_raw raw ON raw.event_id = f.event_id) r"""
+    sql["folder_listing"] = "SELECT (user_id % 40)::BIGINT AS bucket, 1::BIGINT AS n_files FROM events GROUP BY user_id % 40"
+    sql["run_config_file"] = """SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS classes, 'kfold' AS split, 5::BIGINT AS n_folds,
+       count(*) AS items, 0.2::DOUBLE AS val_fraction FROM events"""
+    sql["review_sheet_file"] = "SELECT image_path, true_species, predicted, probability, panel, notes FROM (REVIEW)"
     sql["manifest_relative_paths"] = with_(EVENTS) + f"""
 SELECT replace(image_path, '{ROOT}/', '') AS image_path, isolate_id, coalesce("day"::VARCHAR, '') AS "day" FROM ev"""
     first3 = "array_to_string(list(item ORDER BY item)[1:3], ',') AS examples"
@@ -618,4 +628,5 @@ FROM levels l JOIN alpha ON alpha.vec_id = l.vec_id AND p = l.i // 4 WHERE l.i %
 axis AS (SELECT o, j, w / sum(w) OVER (PARTITION BY o) AS w FROM tri)""") + f"""
 SELECT vec_id, y.o * 4 + x.o AS i, round(sum(v * y.w * x.w), {R}) AS value
 FROM px JOIN axis y ON y.j = i // 8 JOIN axis x ON x.j = i % 8 GROUP BY vec_id, y.o, x.o"""
+    sql["review_sheet_file"] = sql["review_sheet_file"].replace("REVIEW", sql["review_sheet"])
     return sql

@@ -91,3 +91,57 @@ def test_image_scan_orders_channels(spark, tmp_path):
     assert got["rgb.png"]["pixels"] == [1, 2, 3, 4, 5, 6]
     assert got["rgba.png"]["pixels"] == [200, 0, 0, 255, 255, 255]
     assert (got["rgb.png"]["height"], got["rgb.png"]["width"]) == (1, 2)
+
+
+def test_preparation_equals_its_steps(spark):
+    """Stretch, resize, crop and normalisation of a colour image, against the single operators."""
+    from kinfold.plans.preparation import prepare_images
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(60, 150, (6, 10, 3))
+    found = spark.createDataFrame([("a", 6, 10, image.reshape(-1).tolist())], "path string, height int, width int, pixels array<int>")
+    items = spark.createDataFrame([("a", 1, 2)], "image_path string, height int, path int")  # names that clash
+    got = prepare_images(items, found, size=4, cut_percent=2).first()
+    assert (got["height"], got["path"]) == (1, 2)
+    toned = found.withColumn("pixels", px.autocontrast(F.col("pixels"), px.luminance(F.col("pixels")), 2))
+    resized = images.resize(toned, 4, 3).withColumn("pixels", F.transform("pixels", lambda v: F.floor(F.round(v, 9) + 0.5).cast("int")))
+    cropped = resized.select(px.normalise_channels(px.center_crop(F.col("pixels"), F.col("height"), F.col("width"), 4, 3)))
+    assert got["pixels"] == pytest.approx(cropped.first()[0])
+
+
+def test_preparation_of_wide_range_grey_and_transparent_images(spark):
+    from kinfold.plans.preparation import prepare, to_rgb
+
+    wide = np.linspace(0, 40000, 16)
+    assert to_rgb(wide, 4, 4)[..., 0].ravel().tolist() == [int(np.float32(v) * np.float32(255 / 40000)) for v in wide]
+    assert to_rgb(np.full(4, 9.5), 2, 2).max() == 0  # a flat image
+    assert to_rgb(np.array([100, 100, 100, 128.0]), 1, 1).tolist() == [[[177, 177, 177]]]
+    assert prepare(np.full(12, 255.0), 2, 2, 2, 1).reshape(-1, 3)[0] == pytest.approx([(1 - m) / s for m, s in ((0.485, 0.229), (0.456, 0.224), (0.406, 0.225))])
+    with pytest.raises(ValueError, match="no image"):
+        to_rgb(np.zeros(7), 2, 2)
+
+
+def test_a_folder_with_a_broken_file_is_prepared(spark, tmp_path):
+    from kinfold.plans.preparation import prepare_images
+
+    rng = np.random.default_rng(1)
+    for i, channels in enumerate((1, 3, 4)):
+        (tmp_path / f"{i}.png").write_bytes(png(rng.integers(0, 256, (9, 12, channels))))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    names = [*[f"{tmp_path}/{i}.png" for i in range(3)], f"{tmp_path}/broken.png", f"{tmp_path}/missing.png"]
+    items = spark.createDataFrame([(n, "a") for n in names], "image_path string, species string")
+    got = {r["image_path"]: r["pixels"] for r in prepare_images(items, images.read_images(spark, str(tmp_path), "*.png", strict=False), 8, strict=False).collect()}
+    assert [None if v is None else len(v) for v in (got[n] for n in names)] == [192, 192, 192, None, None]
+    with pytest.raises(Exception, match="no image for"):
+        prepare_images(items, images.read_images(spark, str(tmp_path), "*.png", strict=False), 8).collect()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stretch_by_counts_equals_sorting(seed):
+    rng = np.random.default_rng(seed)
+    tone = rng.integers(0, 256, rng.integers(1, 400)) // (seed + 1)
+    for percent in (0, 1, 7, 20):
+        ordered, cut = np.sort(tone), len(tone) * percent // 100
+        low, high = int(ordered[cut]), int(ordered[len(tone) - 1 - cut])
+        want = tone if high <= low else np.clip(np.floor(tone * (255.0 / (high - low)) - low * (255.0 / (high - low))), 0, 255)
+        assert px.stretch(tone, tone, percent).tolist() == want.tolist()

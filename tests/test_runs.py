@@ -127,3 +127,18 @@ def test_whole_run_and_evaluation_of_its_head(spark, tmp_path, sf_dir):
         training.score_saved_head(spark, str(tmp_path / "run" / "model"), rows.withColumn("species", F.lit("new")))
     with pytest.raises(ValueError, match="nothing selected"):
         training.score_saved_head(spark, str(tmp_path / "run" / "model"), rows, modality="colony")
+
+
+def test_a_class_named_nan_stays_a_name(spark, tmp_path):
+    rows = [(f"i{i}", f"{'NaN' if i % 2 else 'x'}-{i % 4}", "NaN" if i % 2 else "x", i / 10, 1 - i / 10) for i in range(10)]
+    df = spark.createDataFrame(rows, "image_path string, isolate_id string, species string, `prob_NaN` double, prob_x double").withColumn("prob_never", F.lit(0.0))
+    result = report.evaluate(df, ["NaN", "x", "never"], n_boot=0)
+    extra = {"classes": F.array(F.lit("NaN"), F.lit("x")), "note": F.lit("NaN"), "loss": F.lit(float("nan"))}
+    tables.write_report(report.report_row(result, extra), f"{tmp_path}/run/metrics.json")
+    text = open(f"{tmp_path}/run/metrics.json").read()
+    assert '"classes":["NaN","x"]' in text and '"note":"NaN"' in text and '"loss":NaN' in text
+    doc = json.loads(text)
+    assert doc["classes"] == ["NaN", "x"] and math.isnan(doc["loss"]) and math.isnan(doc["image_level"]["per_class"]["never"]["auc"])
+    assert "NaN" in doc["image_level"]["per_class"]
+    read = tables.read_reports(spark, [f"{tmp_path}/run"]).first()
+    assert read["image_level"]["classes_without_support"] == ["never"] and math.isnan(read["image_level"]["per_class"]["never"]["auc"])
