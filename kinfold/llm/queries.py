@@ -138,13 +138,14 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 
 OP3_SQL = """
 WITH vectors AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+queries AS (SELECT min(r) AS r FROM vectors WHERE vec_id % 50 = 0 GROUP BY vec_id, v),
+parts AS (SELECT r, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
 products AS (
-  SELECT q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
-  FROM parts q JOIN parts p ON q.i = p.i AND q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+  SELECT q.r AS q, p.r AS p, q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
+  FROM parts q JOIN queries USING (r) JOIN parts p ON q.i = p.i AND q.vec_id <> p.vec_id GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM products
 QUALIFY rank <= 5

@@ -9,8 +9,8 @@ the feasible range), a low one by length (only the vectors long enough). What re
 Queries come in blocks that are joined to the buckets by key, so neither side is ever held whole; each (block, bucket) pair is one row
 of work and yields at most k rows for a query.
 
-Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Rows alike in id and
-vector count once; rows with a query's id are not its candidates. Vectors of other lengths are padded with zeros. Products are exact
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Every row is a candidate, also one that
+repeats another; rows with a query's id are not its candidates, and a repeated query is asked once. Vectors of other lengths are padded with zeros. Products are exact
 integers; beyond 64 bits they stop at the largest 64-bit number. Empty tables give no rows."""
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, bucket_rows:
     """query_id, rank, vec_id, score: each query's k largest products over all vectors but its own, ties to the smaller id.
     ``vectors`` has vec_id and v (array of long); ``is_query`` is a condition on them."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-    rows = settle(vectors.where("vec_id IS NOT NULL").select("vec_id", "v", norm.alias("norm"), is_query.alias("is_query")).dropDuplicates(["vec_id", "v"]))
+    place = F.monotonically_increasing_id().alias("place")  # tells repeated rows apart, so that very many of them are dealt out, too
+    rows = settle(vectors.where("vec_id IS NOT NULL").select("vec_id", "v", norm.alias("norm"), is_query.alias("is_query"), place))
     n = rows.count()
     n_groups = min(MAX_GROUPS, max(1, -(-n // bucket_rows)))
     # Length quantiles. Only the grouping, never the answer, depends on the sketch.
@@ -139,12 +140,12 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, bucket_rows:
     rows = rows.withColumn("group", group)
     counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     dealt = rows.join(F.broadcast(counts), "group")  # at most MAX_GROUPS rows
-    part = F.pmod(F.xxhash64("vec_id"), F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64("vec_id", "place"), F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1))).cast("int")
     dealt = dealt.withColumn("bucket", F.concat_ws("/", "group", part.cast("string")))
     buckets = settle(
         dealt.groupBy("bucket").agg(F.max("group").alias("group"), F.max("norm").alias("longest"), F.collect_list(F.struct(F.col("vec_id").alias("id"), "v")).alias("vectors"))
     )
-    queries = rows.where("is_query").select("vec_id", "v", "norm")
+    queries = rows.where("is_query").select("vec_id", "v", "norm").dropDuplicates(["vec_id", "v"])
     n_blocks = max(1, -(-queries.count() // block_queries))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
 

@@ -46,9 +46,16 @@ def test_nulls_repeats_and_large_numbers(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").where(topk.usable(F.col("embedding")))
     rows = df.select("vec_id", topk.scaled(F.col("embedding")).alias("v"), F.lit("x").alias("score"))
     got = found(topk.top_products(rows, F.col("vec_id") % 50 == 0))
-    assert got[0] == [(1, 7, 256 * 256 * 10**9 * 3), (2, 5, 256 * 256 * 3), (3, 50, -256 + 512 * 255), (4, 100, 0)]
-    assert [i for _, i, _ in got[50]] == [7, 0, 5, 100]
-    assert [s for *_, s in got[100]] == [0] * 4
+    assert got[0] == [(1, 7, 256 * 256 * 10**9 * 3), (2, 5, 256 * 256 * 3), (3, 5, 256 * 256 * 3), (4, 50, -256 + 512 * 255), (5, 100, 0)]
+    assert [i for _, i, _ in got[50]] == [7, 0, 5, 5, 100]
+    assert [s for *_, s in got[100]] == [0] * 5
+
+
+def test_every_repeated_row_is_a_candidate(spark):
+    rows = [(i % 40 + 1, [i % 40, 3]) for i in range(400)] + [(50, [2, 1]), (50, [2, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    got = topk.top_products(df, F.col("vec_id") % 50 == 0, k=25, bucket_rows=16)
+    assert found(got)[50] == [(n + 1, 40 - n // 10, 2 * (39 - n // 10) + 3) for n in range(25)]
 
 
 def test_empty(spark):
