@@ -28,7 +28,6 @@ from kinfold.llm.text import letter_words, packed_row
 from kinfold.sources.shared import settle
 
 MAX_ROWS = 30_000
-MAX_VOTERS = 128
 #: Bytes of a word's beginning that may be a pattern.
 BEGINNINGS = (4, 5, 6, 7)
 PRECISION = 0.75
@@ -92,7 +91,11 @@ def examples(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").select(F.col("doc_id").alias("_id"), (F.col("toxic") != 0).cast("int").alias("y"))
     chosen = settle(chosen.limit(max_rows))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return settle(texts.select("text", "y"))
+    found = settle(texts.select("text", "y"))
+    if found.count() <= max_rows:
+        return found
+    # Some ids stand in several documents: the same bound holds for the rows, by hash of the text.
+    return settle(found.orderBy(F.xxhash64("text"), "text", "y").limit(max_rows).repartition("text"))
 
 
 def _counted(rows: DataFrame, only: set[bytes] | None) -> DataFrame:
@@ -134,7 +137,7 @@ def propose_voters(rows: DataFrame, n_all: int, n_toxic: int) -> list[bytes]:
     begun: set[bytes] = set()
     for _, term in ranked:
         body = term.rstrip(b"*")
-        if len(chosen) < MAX_VOTERS and not any(body[:size] in begun for size in BEGINNINGS if len(body) >= size):
+        if not any(body[:size] in begun for size in BEGINNINGS if len(body) >= size):
             chosen.append(term)
             if term.endswith(b"*"):
                 begun.add(body)

@@ -70,3 +70,23 @@ def test_edge_cases(spark):
     got = toxicity.score(docs, odd).collect()
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(spark.createDataFrame([], schema), odd).count() == 0
+
+
+def test_no_voter_is_dropped(spark):
+    """200 terms that only toxic documents have: each becomes a voter of its own."""
+    rng = random.Random(4)
+    bad = [f"{''.join(rng.choice('bcdfg') for _ in range(9))}{i}" for i in range(200)]
+    docs = [(i, " ".join(["plain", "words", *rng.sample(bad, 12)]) if i % 4 == 0 else "plain words only") for i in range(1600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = toxicity.fit(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    known = {v.decode() for v in model.voters}
+    assert len(model.voters) > 128
+    assert all(b in known or any(b[:n] + "*" in known for n in toxicity.BEGINNINGS) for b in bad)
+
+
+def test_a_labelled_id_of_very_many_rows_is_bounded(spark):
+    docs = [(7, f"text {i} bad") for i in range(500)] + [(i, "fine") for i in range(100, 160)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1)] + [(i, 0) for i in range(100, 160)], "doc_id long, toxic int")
+    assert toxicity.examples(d, labels, 100).count() == 100
+    assert toxicity.score(d, toxicity.fit(d, labels, max_rows=100)).count() == 560
