@@ -201,14 +201,24 @@ def _cut_words(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def shard_words(n_shards: int) -> Column:
+    """Words that each shard takes of the document, in order of shards."""
+    words = lambda shard: F.aggregate(
+        F.filter("draws", lambda d: d["shard"] == shard), F.lit(0).cast("long"), lambda total, d: total + d["words"])
+    return F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), words)
+
+
 def mixed_documents(mixed: DataFrame) -> DataFrame:
     """The mix as documents: the carried columns (text among them) once for every copy that is taken, with the text cut to the words taken.
-    A column n_chars follows the text."""
+    A column n_chars follows the text. Rows are laid out by shard, and within it in the order of the draws: a copy stands where the first of its
+    pieces was drawn to."""
     copies = mixed.select("row", "size", "draws", F.explode(F.array_distinct(F.transform("draws", lambda d: d["copy"]))).alias("copy"))
     own = F.filter("draws", lambda d: d["copy"] == F.col("copy"))
     copies = copies.select("row", "size", own.alias("own"))
     words = F.aggregate("own", F.lit(0).cast("long"), lambda total, d: total + d["words"])
-    copies = copies.withColumn("part", words < F.col("size"))
+    first = F.array_min(F.transform("own", lambda d: F.struct(d["shard"].alias("shard"), d["order"].alias("order"))))
+    copies = copies.withColumns({"part": words < F.col("size"), "first": first})
+    copies = copies.repartitionByRange("first").sortWithinPartitions("first")
     cut = F.arrow_udf(_cut_words, "string")(F.when(F.col("part"), F.col("row.text")), F.when(F.col("part"), F.col("own")))
     rows = copies.select("row", F.when(F.col("part"), cut).otherwise(F.col("row.text")).alias("new"))
     fresh = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}

@@ -11,6 +11,8 @@ from kinfold.llm import (
 )
 from kinfold.sources.shared import settle
 
+MIX_SHARDS = 8
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,8 +26,11 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
-    mixed = mixing.mix(rows)
-    return mixed.select("row.doc_id", "size", "source_size", "target", mixing.taken().alias("taken"), F.size("draws").alias("n_pieces"))
+    mixed = mixing.mix(rows, MIX_SHARDS)
+    return mixed.select(
+        "row.doc_id", "size", "source_size", "target", mixing.taken().alias("taken"), F.size("draws").alias("n_pieces"),
+        mixing.shard_words(MIX_SHARDS).alias("shard_words"),
+    )
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

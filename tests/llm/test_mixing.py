@@ -87,3 +87,41 @@ def test_split_is_exact():
     assert (cut.sum(axis=0) == quotas).all()
     assert cut.sum(axis=1).max() - cut.sum(axis=1).min() <= 3
     assert (cut >= 0).all()
+
+
+def test_query_keeps_the_quotas_of_the_tree(spark, sf_dir):
+    """Draws per shard of the registered result, and the same draws by the tree's quotas."""
+    from kinfold.llm.queries import MIX_SHARDS, op2_mix, table
+
+    rows = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    drawn = defaultdict(set)
+    words = Counter()
+    for r in mixing.mix(rows, MIX_SHARDS).collect():
+        for d in r["draws"]:
+            drawn[d["shard"]].add((r["source"], d["order"]))
+            words[r["row"]["doc_id"], d["shard"]] += d["words"]
+    counts = [len(drawn[s]) for s in range(MIX_SHARDS)]
+    assert max(counts) - min(counts) <= 4  # blocks per shard, as the tree splits them
+    assert all(not (drawn[a] & drawn[b]) for a in range(MIX_SHARDS) for b in range(a))  # disjoint
+    got = op2_mix(spark, sf_dir).collect()
+    assert all(sum(r["shard_words"]) == r["taken"] for r in got)
+    assert {(r["doc_id"], s): n for r in got for s, n in enumerate(r["shard_words"]) if n} == dict(words)
+
+
+def test_mixed_documents_lie_by_shard_and_order(spark):
+    rows = [(i, "ab"[i % 2], f"w{i} " * 40, None, None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, target string, draws string")
+    mixed = mixing.mix(mixing.sized(docs, keep=("doc_id", "text")), n_shards=4, block_words=16)
+    first = {}
+    for r in mixed.collect():
+        for d in r["draws"]:
+            key = r["row"]["doc_id"], d["copy"]
+            first[key] = min(first.get(key, (99, 0)), (d["shard"], d["order"]))
+    laid = [r["doc_id"] for r in mixing.mixed_documents(mixed).collect()]
+    assert laid == [i for i, _ in sorted(first, key=first.get)]
+
+
+def test_a_very_long_text_is_mixed_whole(spark):
+    rows = [(1, "a", "long " * 100_000, None, None), (2, "b", "x y z", None, None)]
+    out = run(spark, rows, n_shards=4, block_words=1000)
+    assert max(check(out, 4, 1000).values()) <= 40_000
