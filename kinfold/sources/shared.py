@@ -26,8 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Writes a reduced table that several branches read and reads it back. The lineage is cut, lost executors
-    cost nothing, each branch reads its own columns only, and joins see the table's true size. The files stay
-    until the folder is cleaned, like other checkpoints."""
+    cost nothing, each branch reads its own columns only, and joins see the table's true size. The files stay until their owner
+    discards them (see ``discard``), or the folder is cleaned, like other checkpoints."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/kinfold-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "settled_at", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
