@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from kinfold.sources.shared import settle
+from kinfold.sources.shared import discard, settle
 
 NEAR_WIDTH = 5
 NEAR_PERCENT = 80
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage kept is written and read again before the next."""
+    """All stages over documents; what a stage kept is written, read again by the next, and discarded when that one has written its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        kept = settle(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
