@@ -5,7 +5,9 @@ URLs that a rule decides are labelled. The trees learn from at most ``max_exampl
 other leaves; those of smallest hash; all, if fewer), weighted so that each verdict keeps its share of the different URLs, and judge every
 other URL. Features: length, host and path length, depth, number of host labels, digit ratio, entropy of characters, parameter count,
 hyphens, file extension, and statistics of the host's suffixes: number of labelled rows, of all, and share of blocked ones under the
-last label and under the last two.
+last label and under the last two. URLs are dealt into ``FOLDS`` by hash, and an example's statistics count the rows of the other folds only, so that
+no label is learnt from itself (leaving out just its own rows would tell the label by what is missing);
+``held_out_auc`` measures what the trees know about suffixes that they never saw.
 
 A null URL, or one without ``://``, has an empty host and path and is judged like any other. If the
 examples hold one verdict only, it is given to all; without examples every URL is allowed. Empty tables give no rows."""
@@ -15,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -36,6 +39,8 @@ TREES = 10
 DEPTH = 3
 #: Rows that the suffix statistics are smoothed with.
 PRIOR = 10.0
+#: Parts of the URLs that do not see each other's labels while the trees are fitted.
+FOLDS = 5
 #: Suffixes with fewer rows are joined in one piece.
 PIECE_ROWS = 1000
 
@@ -98,50 +103,87 @@ def with_features(pages: DataFrame) -> DataFrame:
     })
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
 def suffix_table(parsed: DataFrame) -> DataFrame:
-    """One row per last two labels of a host: statistics of all decided rows under them and under the last label, and the number of rows."""
-    blocked, seen = F.count_if(F.col("decided") == "block"), F.count("decided")
-    counts = settle(parsed.groupBy(_suffix(F.col("host"), 2).alias("suffix2")).agg(blocked.alias("b2"), seen.alias("n2"), F.count(F.lit(1)).alias("rows")))
-    counts = counts.withColumn("suffix1", _suffix(F.col("suffix2"), 1))
-    wider = settle(counts.groupBy("suffix1").agg(F.sum("b2").alias("b1"), F.sum("n2").alias("n1"), F.count(F.lit(1)).alias("__size")))
+    """One row per last two labels of a host: statistics of all decided rows under them and under the last label, the counts they
+    come from, in all and by fold of URLs, and the number of rows."""
+    blocked, fold = F.col("decided") == "block", _fold()
+    by_fold = [[F.count_if(c & (fold == f)).alias(f"{name}2_{f}") for f in range(FOLDS)] for name, c in (("b", blocked), ("n", F.col("decided").isNotNull()))]
+    counts = parsed.groupBy(_suffix(F.col("host"), 2).alias("suffix2")).agg(*by_fold[0], *by_fold[1], F.count(F.lit(1)).alias("rows"))
+    counts = settle(counts).withColumn("suffix1", _suffix(F.col("suffix2"), 1))
+    sums = [F.sum(f"{name}2_{f}").alias(f"{name}1_{f}") for name in "bn" for f in range(FOLDS)]
+    wider = settle(counts.groupBy("suffix1").agg(*sums, F.count(F.lit(1)).alias("__size")))
     both = attach(counts, wider.drop("__size"), ["suffix1"], "suffix2", sizes=wider.select("suffix1", "__size"), floor=PIECE_ROWS)
     stats = {}
     for k in (1, 2):
-        stats[f"suffix{k}_blocked"] = (F.col(f"b{k}") + PRIOR / 2) / (F.col(f"n{k}") + PRIOR)
-        stats[f"suffix{k}_seen"] = F.log1p(f"n{k}")
+        total = {name: sum((F.col(f"{name}{k}_{f}") for f in range(1, FOLDS)), F.col(f"{name}{k}_0")) for name in "bn"}
+        stats |= {f"b{k}": total["b"], f"n{k}": total["n"]}
+        stats |= {f"{name}{k}_folds": F.array(*[F.col(f"{name}{k}_{f}") for f in range(FOLDS)]) for name in "bn"}
+        stats[f"suffix{k}_blocked"] = (total["b"] + PRIOR / 2) / (total["n"] + PRIOR)
+        stats[f"suffix{k}_seen"] = F.log1p(total["n"])
     return settle(both.select("suffix2", "rows", *[c.alias(name) for name, c in stats.items()]))
 
 
-def judge(pages: DataFrame, rules=RULES, max_examples: int = MAX_EXAMPLES, keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Per row of ``pages``: ``row`` (the columns in ``keep``), ``host``, ``path``, ``rule``, ``verdict`` and ``blocked`` (the
-    trees' probability, null where a rule decides)."""
+def _complete(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Rows with their features as one vector. The statistics of labelled rows (with ``label``) come from the other folds."""
+    # Copies of a URL are spread too, so rows are told apart by their place.
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    sizes = suffixes.select("suffix2", F.col("rows").alias("__size"))
+    joined = attach(placed, suffixes.drop("rows"), ["suffix2"], "place", sizes=sizes, floor=PIECE_ROWS)
+    if "label" in rows.columns:
+        for k in (1, 2):
+            b, n = (F.col(f"{name}{k}") - F.get(f"{name}{k}_folds", _fold()) for name in "bn")
+            joined = joined.withColumns({f"suffix{k}_blocked": (b + PRIOR / 2) / (n + PRIOR), f"suffix{k}_seen": F.log1p(n)})
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
+
+
+def _fitted(parsed: DataFrame, suffixes: DataFrame, max_examples: int):
+    """The trees, or the only verdict that the decided rows have (None without any)."""
     host, path = host_and_path(F.col("url"))
-    parsed = with_rules(pages.select(packed_row(keep), "url", host.alias("host"), path.alias("path")), rules)
     label = (F.col("decided") == "block").cast("double")
     different = parsed.where("decided IS NOT NULL").select("url", label.alias("label")).distinct()
     kinds = {r["label"]: r["n"] for r in different.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
-        only = "block" if 1.0 in kinds else "allow"
-        return parsed.select("row", "host", "path", "rule", F.coalesce("decided", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
-
+        return next(iter(kinds), None)
     samples = []
     for kind, n in kinds.items():
         most = max(1, max_examples // 2, max_examples - (sum(kinds.values()) - n))
         sample = different.where(F.col("label") == kind).orderBy(F.xxhash64("url"), "url").limit(most)
         samples.append(sample.select("url", host.alias("host"), path.alias("path"), "label", F.lit(n / min(n, most)).alias("weight")))
     examples = settle(with_features(samples[0].unionByName(samples[1])))
-    suffixes = suffix_table(parsed)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
+    return trees.fit(_complete(examples, suffixes).select("features", "label", "weight").coalesce(1))
 
-    def complete(rows: DataFrame) -> DataFrame:
-        # Copies of a URL are spread too, so rows are told apart by their place.
-        placed = rows.withColumn("place", F.monotonically_increasing_id())
-        sizes = suffixes.select("suffix2", F.col("rows").alias("__size"))
-        joined = attach(placed, suffixes.drop("rows"), ["suffix2"], "place", sizes=sizes, floor=PIECE_ROWS)
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
-    model = trees.fit(complete(examples).select("features", "label", "weight").coalesce(1))
-    open_rows = complete(with_features(parsed.where("decided IS NULL")))
+def held_out_auc(pages: DataFrame, rules=RULES, max_examples: int = MAX_EXAMPLES, folds: int = 5) -> tuple[float, dict[str, float]]:
+    """Area under the curve on decided rows whose last two host labels the trees, and the suffix statistics, never saw (one fold of them), and
+    the importance of every feature."""
+    host, path = host_and_path(F.col("url"))
+    parsed = with_rules(pages.select("url", host.alias("host"), path.alias("path")), rules)
+    out = F.pmod(F.xxhash64(_suffix(F.col("host"), 2)), F.lit(folds)) == 0
+    known = parsed.withColumn("decided", F.when(~out, F.col("decided")))
+    suffixes = suffix_table(known)
+    model = _fitted(known, suffixes, max_examples)
+    tested = _complete(with_features(parsed.where(out & F.col("decided").isNotNull())), suffixes)
+    scored = model.transform(tested).withColumn("label", (F.col("decided") == "block").cast("double"))
+    area = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label").evaluate(scored)
+    return area, dict(zip(FEATURES, model.featureImportances.toArray().tolist(), strict=True))
+
+
+def judge(pages: DataFrame, rules=RULES, max_examples: int = MAX_EXAMPLES, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Per row of ``pages``: ``row`` (the columns in ``keep``), ``host``, ``path``, ``rule``, ``verdict`` and ``blocked`` (the
+    trees' probability, null where a rule decides)."""
+    host, path = host_and_path(F.col("url"))
+    parsed = with_rules(pages.select(packed_row(keep), "url", host.alias("host"), path.alias("path")), rules)
+    suffixes = suffix_table(parsed)
+    model = _fitted(parsed, suffixes, max_examples)
+    if model is None or isinstance(model, float):
+        only = "block" if model == 1.0 else "allow"
+        return parsed.select("row", "host", "path", "rule", F.coalesce("decided", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
+    open_rows = _complete(with_features(parsed.where("decided IS NULL")), suffixes)
     from_trees = model.transform(open_rows).select(
         "row", "host", "path", "rule", F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("verdict"),
         vector_to_array("probability")[1].alias("blocked"),

@@ -71,7 +71,7 @@ def test_suffix_statistics_count_all_decided_rows(spark):
 def test_suffix_table_against_direct_counts(spark):
     rng = random.Random(9)
     rows = [(f"{rng.choice(['a.', 'b.', ''])}{rng.choice(['x', 'y', 'z'])}.{rng.choice(['net', 'de'])}", rng.choice(["block", "allow", None])) for _ in range(3000)] + [("", None)]
-    got = {r["suffix2"]: r for r in urls.suffix_table(spark.createDataFrame(rows, "host string, decided string")).collect()}
+    got = {r["suffix2"]: r for r in urls.suffix_table(spark.createDataFrame(rows, "host string, decided string").withColumn("url", urls.F.col("host"))).collect()}
     assert set(got) == {".".join(h.split(".")[-2:]) for h, _ in rows}
     for suffix, r in got.items():
         under = [d for h, d in rows if ".".join(h.split(".")[-2:]) == suffix]
@@ -97,3 +97,34 @@ def test_plan_has_no_python(spark, sf_dir):
 
     plan = queries.QUERIES["op7_urls"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_no_example_counts_for_its_own_statistics(spark):
+    rng = random.Random(6)
+    made = [(f"http://{rng.choice('ab')}.{rng.choice(['one.net', 'two.net', 'three.de'])}/{i % 80}", "block" if i % 3 else "allow") for i in range(300)]
+    host, path = urls.host_and_path(urls.F.col("url"))
+    parsed = spark.createDataFrame(made, "url string, decided string").select("url", host.alias("host"), path.alias("path"), "decided", urls._fold().alias("f"))
+    fold = {r["url"]: r["f"] for r in parsed.collect()}
+    examples = parsed.select("url", "host", "path", urls.F.lit(1.0).alias("label")).distinct()
+    got = urls._complete(urls.with_features(examples), urls.suffix_table(parsed)).collect()
+    for r in got:
+        for k in (1, 2):
+            suffix = ".".join(r["host"].split(".")[-k:])
+            seen = [d for u, d in made if fold[u] != fold[r["url"]] and u.split("/")[2].endswith("." + suffix)]
+            assert abs(r[f"suffix{k}_blocked"] - (seen.count("block") + 5) / (len(seen) + 10)) < 1e-12
+            assert abs(r[f"suffix{k}_seen"] - math.log1p(len(seen))) < 1e-12
+
+
+def test_lexical_features_carry_over_to_unseen_suffixes(spark):
+    """Every site has a suffix of its own, so that only lexical features can tell what is blocked on sites never seen."""
+    rng = random.Random(12)
+    rules, made = [], []
+    for k in range(60):
+        site = "".join(rng.choice("abcdefgh") for _ in range(6)) + f".t{k}"
+        spam = k % 2
+        rules.append((site, "/", "block" if spam else "allow"))
+        for _ in range(30):
+            word = "".join(rng.choice("ab0123456789" if spam else "abcdefgh") for _ in range(10))
+            made.append((k, f"http://{site}/{word}?{'a=1&b=2' if spam else ''}"))
+    area, importance = urls.held_out_auc(spark.createDataFrame(made, "page_id long, url string"), rules)
+    assert area > 0.95 and sum(v for f, v in importance.items() if not f.startswith("suffix")) > 0.5
