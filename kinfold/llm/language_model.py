@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.text import blank_words, mixed, pieces
+from kinfold.llm.text import blank_words, dealt, mixed, pieces
 
 ORDER = 2
 #: Weight m of the shorter context, in occurrences.
@@ -203,8 +203,7 @@ def score_texts(
     block = F.pmod(F.xxhash64("text", *[F.col(f"`{c}`") for c in keep if c == "doc_id"]), F.lit(n_blocks)).cast("int")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), training.alias("training"), block.alias("block"))
     n_tokens, n_types = _vocabulary(rows, bits)
-    # Numbers of partitions follow the data, so that a task holds a few blocks or buckets whatever the session's setting.
-    rows = rows.repartition(n_blocks, "block")
+    rows = dealt(rows, n_blocks, "block")
 
     def count(table: pa.Table) -> pa.Table:
         grams = Grams(table["text"], order)
@@ -243,7 +242,7 @@ def score_texts(
         })
 
     sent = rows.groupBy("block").applyInArrow(count, "bucket int, sender int, keys binary, counts binary")
-    sums = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(add, "block int, bucket int, totals binary")
+    sums = dealt(sent, 1 << bits, "bucket").groupBy("bucket").applyInArrow(add, "block int, bucket int, totals binary")
     schema = rows.select(
         "row", "training", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"),
         F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"),

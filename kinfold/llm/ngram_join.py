@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.graph import components
 from kinfold.llm.language_model import packed, unpacked
-from kinfold.llm.text import blank_words, mixed, pieces, with_results
+from kinfold.llm.text import blank_words, dealt, mixed, pieces, with_results
 from kinfold.sources.shared import settle
 
 WIDTH = 4
@@ -83,14 +83,15 @@ def _with_classes(docs: DataFrame, width: int, keep: Sequence[str]) -> DataFrame
 
 
 def _new_in_task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Whether a task meets a hash for the first time: copies that one task sees travel once, so a text with very many copies stays small."""
-    seen: set[int] = set()
-    for hashes in batches:
+    """Whether a task meets a text, by its 128-bit digest, for the first time: copies that one task sees travel once, so a text with very
+    many copies stays small."""
+    seen: set[str] = set()
+    for digests in batches:
         fresh = []
-        for h in hashes.to_pylist():
-            fresh.append(h not in seen)
-            seen.add(h)
-        yield pa.array(fresh)
+        for d in digests.to_pylist():
+            fresh.append(d not in seen)
+            seen.add(d)
+        yield pa.array(fresh, pa.bool_())
 
 
 def _distinct_sets(texts: pa.Array, width: int) -> list[tuple[int, np.ndarray]]:
@@ -110,9 +111,9 @@ def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bu
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     bits = max(0, (max(1, total // bucket_bytes) - 1).bit_length())
-    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
-    texts = texts.where(F.arrow_udf(_new_in_task, "boolean")("h")).select("text", F.pmod("h", F.lit(n_blocks)).cast("int").alias("block"))
-    texts = texts.repartition(n_blocks, "block")
+    texts = docs.where("text IS NOT NULL").select("text", F.md5("text").alias("digest"))
+    texts = texts.where(F.arrow_udf(_new_in_task, "boolean")("digest"))
+    texts = dealt(texts.select("text", F.pmod(F.xxhash64("text"), F.lit(n_blocks)).cast("int").alias("block")), n_blocks, "block")
 
     def send(table: pa.Table) -> pa.Table:
         sets = _distinct_sets(table["text"], width)
@@ -158,8 +159,7 @@ def _shared_part(docs: DataFrame, width: int, percent: int, block_bytes: int, bu
         })
 
     sent = texts.groupBy("block").applyInArrow(send, "bucket int, sender int, keys binary, several binary")
-    sent = sent.repartition(1 << bits, "bucket")
-    flags = sent.groupBy("bucket").applyInArrow(compare, "block int, bucket int, levels binary")
+    flags = dealt(sent, 1 << bits, "bucket").groupBy("bucket").applyInArrow(compare, "block int, bucket int, levels binary")
     kept = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(reduce, "cls long, n long, shared binary, prefix binary")
     return settle(kept.where("cls IS NOT NULL").dropDuplicates(["cls"]))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.language_model import packed, unpacked
 from kinfold.llm.ngram_join import _cut, _new_in_task
-from kinfold.llm.text import PIECE_BYTES, packed_row, prefix_sums, span_hash
+from kinfold.llm.text import PIECE_BYTES, dealt, packed_row, prefix_sums, span_hash
 
 LENGTH = 200
 KMER = 64
@@ -334,9 +334,9 @@ def _repeats_of_texts(texts: DataFrame, n_blocks: int, bits: int, length: int, k
 
     sent = texts.groupBy("block").applyInArrow(send, "bucket int, sender int, kmers binary, regions binary, several binary")
     message = "block int, kind int, bucket int, data binary"
-    codes = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(judge, message)
+    codes = dealt(sent, 1 << bits, "bucket").groupBy("bucket").applyInArrow(judge, message)
     shipped = texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(ship, "bucket int, sender int, kind int, data binary, more binary")
-    matched = shipped.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(match, message)
+    matched = dealt(shipped, 1 << bits, "bucket").groupBy("bucket").applyInArrow(match, message)
     answers = codes.unionByName(matched)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "key string, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
@@ -351,9 +351,9 @@ def find_repeats(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     bits = max(0, (max(1, total // bucket_bytes) - 1).bit_length())
-    long_texts = docs.where(F.octet_length("text") >= length).select("text", F.xxhash64("text").alias("h"))
-    fresh = long_texts.where(F.arrow_udf(_new_in_task, "boolean")("h"))
-    blocks = fresh.select("text", F.pmod("h", F.lit(n_blocks)).cast("int").alias("block")).repartition(n_blocks, "block")
+    long_texts = docs.where(F.octet_length("text") >= length).select("text", F.md5("text").alias("digest"))
+    fresh = long_texts.where(F.arrow_udf(_new_in_task, "boolean")("digest"))
+    blocks = dealt(fresh.select("text", F.pmod(F.xxhash64("text"), F.lit(n_blocks)).cast("int").alias("block")), n_blocks, "block")
     found = _repeats_of_texts(blocks, n_blocks, bits, length, kmer, hot).withColumnRenamed("key", "_key")
 
     rows = docs.select(packed_row(keep), F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("key"), F.sha2(text, 256).alias("sha"))

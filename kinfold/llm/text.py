@@ -36,6 +36,14 @@ def packed_row(keep: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
 
 
+def dealt(df: DataFrame, n_groups: int, group: str) -> DataFrame:
+    """Rows by group, in no more partitions than the session asks for: a partition works off many groups one after the other, so that map
+    and reduce partitions, and what stands between them, do not grow with the data."""
+    spark = df.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(min(n_groups, most), group)
+
+
 def with_results(docs: DataFrame, keep: Sequence[str], kernel: Callable, returns: str, *inputs: Column) -> DataFrame:
     """``row`` and the fields that ``kernel`` gives for the inputs. Only the inputs go to Python, only results come back."""
     found = docs.select(packed_row(keep), F.arrow_udf(kernel, returns)(*inputs).alias("found"))
