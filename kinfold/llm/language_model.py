@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.text import blank_words, dealt, mixed, pieces
 
-ORDER = 2
+ORDER = 3
 #: Weight m of the shorter context, in occurrences.
-STRENGTH = 1000.0
+STRENGTH = 100.0
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose n-grams meet in one bucket, on average.
 BUCKET_BYTES = 2 << 20
