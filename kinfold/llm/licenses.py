@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,10 @@ TEMPLATES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 
+_UNKNOWN = -2
+#: Places that are looked at one by one; more are compared together.
+_FEW = 24
+
 MIN_MATCH = 5
 COVERAGE = 0.7
 
@@ -114,16 +119,40 @@ class LicenseScanner:
         for p, words in enumerate(phrase_words):
             own_phrases[self._walk(words)[-1]].append((p, len(words)))
         order = sorted(range(1, len(auto.next)), key=lambda v: -auto.length[v])
-        ends = [set(own_ends.get(v, ())) for v in range(len(auto.next))]
-        for v in order:  # a run's places are also those of its suffixes
-            if auto.link[v] > 0:
-                ends[auto.link[v]] |= ends[v]
-        self.ends = [tuple(sorted(e)) for e in ends]  # template, last word, the word that follows it there (-1: none)
+        self._lay_out(own_ends)
         self.least = min((min(max(min_match, 1), n) for n in self.sizes if n), default=1)
         self.tails: list[tuple[tuple[int, int], ...]] = [()] * len(auto.next)
         for v in reversed(order):
             self.tails[v] = (*own_phrases.get(v, ()), *(self.tails[auto.link[v]] if auto.link[v] > 0 else ()))
 
+    def _lay_out(self, own_ends: dict[int, list[tuple[int, int, int]]]) -> None:
+        """Every place (template, last word, the word that follows it there) stands once, in the order of a walk over the tree of suffix links, so
+        that the places of a state, which are also those of all states below it, are one range."""
+        below = defaultdict(list)
+        for v, up in enumerate(self.auto.link):
+            if up >= 0:
+                below[up].append(v)
+        self.low, self.high = [0] * len(self.auto.next), [0] * len(self.auto.next)
+        laid: list[tuple[int, int, int]] = []
+        waiting = [(0, False)]
+        while waiting:
+            v, done = waiting.pop()
+            if done:
+                self.high[v] = len(laid)
+                continue
+            self.low[v] = len(laid)
+            laid += own_ends.get(v, ())
+            waiting.append((v, True))
+            waiting += [(u, False) for u in below[v]]
+        self.place = [(t, end) for t, end, _ in laid]
+        self.after = np.array([after for *_, after in laid], np.int64)
+        self.need = np.array([min(self.min_match, self.sizes[t]) for t, *_ in laid], np.int64)
+        self.follows, self.least_size = self.after.tolist(), self.need.tolist()
+        #: The word that follows all places of a state, or none.
+        turns = np.concatenate([[0], np.cumsum(self.after[1:] != self.after[:-1])]) if laid else np.zeros(0, np.int64)
+        one = [hi > lo and turns[lo] == turns[hi - 1] for lo, hi in zip(self.low, self.high, strict=True)]
+        self.only = [int(self.after[lo]) if same else None for lo, same in zip(self.low, one, strict=True)]
+
     def _walk(self, words: Sequence[bytes]) -> list[int]:
         state, out = 0, []
         for w in words:
@@ -161,14 +190,24 @@ class LicenseScanner:
 
     def _match(self, at: int, v: int, size: int, c: int | None, matches) -> None:
         """Notes the matches of the words that end at ``at`` and do not go on with the word ``c``. A place in a template is met first at
-        the longest run that it holds; its shorter runs follow along the suffix links."""
-        held: tuple[tuple[int, int, int], ...] = ()
+        the longest run that it holds; its shorter runs follow along the suffix links. Where all places of a state go on with ``c``, as most do
+        inside a template, none is looked at."""
+        c = _UNKNOWN if c is None else c
+        from_, to = -1, -1  # places met at a longer run
         while size >= self.least:
-            for place in self.ends[v]:
-                t, end, after = place
-                if after != c and size >= min(self.min_match, self.sizes[t]) and place not in held:
-                    matches[t].append((at - size + 1, end - size + 1, size))
-            held, v = self.ends[v], self.auto.link[v]
+            low, high = self.low[v], self.high[v]
+            if self.only[v] != c:
+                for a, b in ((low, high),) if to < 0 else ((low, from_), (to, high)):
+                    if b - a <= _FEW:
+                        for k in range(a, b):
+                            if self.follows[k] != c and self.least_size[k] <= size:
+                                t, end = self.place[k]
+                                matches[t].append((at - size + 1, end - size + 1, size))
+                    else:
+                        for k in (np.flatnonzero((self.after[a:b] != c) & (self.need[a:b] <= size)) + a).tolist():
+                            t, end = self.place[k]
+                            matches[t].append((at - size + 1, end - size + 1, size))
+            from_, to, v = low, high, self.auto.link[v]
             size = self.auto.length[v]
 
     def _chains(self, t: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:

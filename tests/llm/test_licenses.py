@@ -95,3 +95,21 @@ def test_all_maximal_matches_of_nested_templates_against_direct_search():
 
 def test_empty_table(spark):
     assert scan(spark, []) == {}
+
+
+def test_many_similar_templates_find_the_right_one():
+    """A family of templates that share most of their words: each scan notes only what breaks off."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(60)}" for _ in range(120)]
+    family = [" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(500)}" for w in base) for _ in range(60)]
+    scanner = licenses.LicenseScanner([(t, f"l{i}") for i, t in enumerate(family)], (), 5)
+    for i in (0, 17, 59):
+        _, chains = scanner.scan([w.encode() for w in ("pad " * 7 + family[i] + " pad").split()])
+        best = max(chains, key=lambda c: c[3])
+        assert (best[0], best[1], best[3]) == (i, 7, 1.0) or family[best[0]] == family[i]
+
+
+def test_a_very_long_text_is_scanned_to_its_end(spark):
+    docs = spark.createDataFrame([(1, "pad " * 200_000 + "released under the MIT license")], "doc_id long, text string")
+    got = licenses.scan_licenses(docs).first()
+    assert (got["n_words"], got["n_places"], got["first_place"]) == (200_005, 1, 200_003)
