@@ -27,8 +27,8 @@ def direct(text, items, width):
     return len(words), len(hit), sorted(named)
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 400])
-def test_random_texts(spark, slice_bytes):
+@pytest.mark.parametrize(("shift_bits", "prefix_bits"), [(dc.SHIFT_BITS, dc.PREFIX_BITS), (16, 19)])
+def test_random_texts(spark, shift_bits, prefix_bits):
     rng = random.Random(5)
     vocab = ["Alpha", "b", "çà", "d9", "e", "F"]
     make = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", ",", "\n"]) for _ in range(n))
@@ -37,7 +37,7 @@ def test_random_texts(spark, slice_bytes):
     got = dc.judged(
         dc.find_contamination(
             spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
-            spark.createDataFrame(items, "item_id long, text string"), width=4, keep=("doc_id", "text"), slice_bytes=slice_bytes,
+            spark.createDataFrame(items, "item_id long, text string"), width=4, keep=("doc_id", "text"), shift_bits=shift_bits, prefix_bits=prefix_bits,
         )
     ).collect()
     assert len(got) == len(docs)
@@ -65,3 +65,20 @@ def test_a_very_long_text_is_searched_to_its_end(spark):
     got = dc.find_contamination(docs, spark.createDataFrame([("q", body)], "item_id string, text string")).first()
     assert got["n_words"] == 300_013
     assert [tuple(s) for s in got["hits"]] == [(300_000, 300_012)]
+
+
+def test_a_large_benchmark_stays_off_the_driver(spark):
+    """What comes to the driver are the tables, of fixed size; every window is found, also where the tables are nearly full."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(400))) for i in range(100)]
+    docs = [(i, " ".join([*(rng.choice(vocab) for _ in range(50)), *items[i][1].split()[7 : 7 + 13 + i % 3], *(rng.choice(vocab) for _ in range(9))])) for i in range(60)]
+    patterns = dc.pattern_table(spark.createDataFrame(items, "item_id long, text string"))
+    tables = dc.search_tables(patterns, 16, 19)
+    assert patterns.count() > 30_000 and sum(len(t) for t in tables.shift.values()) + len(tables.seen) <= (1 << 16) + (1 << 16)
+    got = dc.find_contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), shift_bits=16, prefix_bits=19,
+    ).collect()
+    for r in got:
+        i = r["row"]["doc_id"]
+        assert [tuple(s) for s in r["hits"]] == [(50, 62 + i % 3)] and r["items"] == [str(i)]
