@@ -42,3 +42,11 @@ REVIEW_COLUMNS = (
 # --- fixed values: per-channel normalisation (R, G, B) -----------------------
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
+
+# --- fixed values: defaults and files of a training run ----------------------
+N_FOLDS = 5
+VAL_FRACTION = 0.2
+SEED = 42
+REPLICATES = 1000
+CONFIG_FILE, PREDICTIONS_FILE, PREDICTIONS_TABLE, REPORT_FILE = "config.json", "predictions.csv", "predictions.parquet", "metrics.json"
+MODEL_FOLDER, FOLDS_FOLDER = "model", "folds"

@@ -200,7 +200,10 @@ def fit_heads(
     x = F.col(features).cast("array<double>")
     rows = settle(weighted.select(x.alias("x"), y.alias("y"), own.alias("own"), F.col("weight").cast("double").alias("w"), F.col(group).alias("g")))
     squared = F.aggregate("x", F.lit(1.0), lambda total, v: total + v * v)
-    cells = rows.groupBy("own", "y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("groups"), F.sum("w").alias("w"), F.max(squared).alias("most"), F.count_if(F.col("g").isNull()).alias("bare")).collect()
+    cells = rows.groupBy("own", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("groups"), F.count_if(F.col("g").isNull()).alias("bare"),
+        F.sum("w").alias("w"), F.max(squared).alias("most"),
+    ).collect()
     if not cells:
         raise ValueError("no training rows")
     heads, k = max(1, len(names)), len(classes)

@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.fixed import (
+    CONFIG_FILE, FOLDS_FOLDER, MODEL_FOLDER, N_FOLDS, PREDICTIONS_FILE, PREDICTIONS_TABLE, REPLICATES, REPORT_FILE, SEED, VAL_FRACTION,
+)
 from kinfold.operators.manifest import check_parameters, require_rows, resolve_classes, select
 from kinfold.operators.report import Evaluation, evaluate, report_row
 from kinfold.operators.heads import MAX_ITER, REG, TOLERANCE, Heads, fit_heads, score_heads
@@ -36,9 +39,9 @@ def cross_validate(
     df: DataFrame,
     classes: Sequence[str] = (),
     strategy: str = "kfold",
-    n_folds: int = 5,
-    val_fraction: float = 0.2,
-    seed: int = 42,
+    n_folds: int = N_FOLDS,
+    val_fraction: float = VAL_FRACTION,
+    seed: int = SEED,
     imbalance: str = "sampler",
     features: str = "embedding",
     max_iter: int = MAX_ITER,
@@ -73,16 +76,16 @@ def run_training(
     modality: str = "microscopic",
     source: str = "cmu",
     strategy: str = "kfold",
-    n_folds: int = 5,
-    val_fraction: float = 0.2,
-    seed: int = 42,
+    n_folds: int = N_FOLDS,
+    val_fraction: float = VAL_FRACTION,
+    seed: int = SEED,
     imbalance: str = "sampler",
     features: str = "embedding",
     max_iter: int = MAX_ITER,
     reg: float = REG,
     tolerance: float = TOLERANCE,
     fit_final: bool = True,
-    n_boot: int = 1000,
+    n_boot: int = REPLICATES,
 ) -> TrainingRun:
     """A whole run: select, split, fit and score all folds, pooled report, saved heads.
     Writes config.json, predictions, metrics.json, the heads of all folds as one table and the final head below ``run_dir``."""
@@ -94,16 +97,16 @@ def run_training(
     }
     check_parameters(modality, source, imbalance, strategy, val_fraction)
     rows = select(df, modality, source)
-    write_run_config(spark, f"{run_dir}/config.json", config)
+    write_run_config(spark, f"{run_dir}/{CONFIG_FILE}", config)
     run = cross_validate(rows, classes, strategy, n_folds, val_fraction, seed, imbalance, features, max_iter, reg, tolerance)
-    save_heads(spark, run.heads, f"{run_dir}/model" if strategy == "holdout" else f"{run_dir}/folds", modality, source)
+    save_heads(spark, run.heads, f"{run_dir}/{MODEL_FOLDER if strategy == 'holdout' else FOLDS_FOLDER}", modality, source)
     folds_row = run.folds.agg(F.array_sort(F.collect_list(F.struct(*run.folds.columns))).alias("v")).scalar()
     history_row = run.history.agg(F.array_sort(F.collect_list(F.struct(*run.history.columns))).alias("v")).scalar()
     extras = {"split": F.lit(strategy), "folds": folds_row, "train_history": history_row, "note": F.lit(NOTE)}
     run.predictions, run.evaluation = write_run(run.predictions, run_dir, run.classes, n_boot, seed, extras)
     if strategy != "holdout" and fit_final:
         run.final = fit_head(rows, run.classes, features, imbalance, max_iter, reg, tolerance)
-        save_heads(spark, run.final, f"{run_dir}/model", modality, source)
+        save_heads(spark, run.final, f"{run_dir}/{MODEL_FOLDER}", modality, source)
     return run
 
 
@@ -112,11 +115,11 @@ def write_run(
 ) -> tuple[DataFrame, Evaluation]:
     """Prediction table as parquet and CSV, and the metrics document computed from the written table."""
     spark = predictions.sparkSession
-    write_predictions(predictions, f"{run_dir}/predictions.parquet")
-    written = spark.read.parquet(f"{run_dir}/predictions.parquet")
-    write_csv(written, f"{run_dir}/predictions.csv")
+    write_predictions(predictions, f"{run_dir}/{PREDICTIONS_TABLE}")
+    written = spark.read.parquet(f"{run_dir}/{PREDICTIONS_TABLE}")
+    write_csv(written, f"{run_dir}/{PREDICTIONS_FILE}")
     result = evaluate(written, classes, n_boot, seed)
-    write_report(report_row(result, extras), f"{run_dir}/metrics.json")
+    write_report(report_row(result, extras), f"{run_dir}/{REPORT_FILE}")
     return written, result
 
 
@@ -133,7 +136,7 @@ def score_saved_head(
 
 def evaluate_saved_head(
     spark: SparkSession, head: str, df: DataFrame, out_dir: str, modality: str | None = None, source: str = "all",
-    n_boot: int = 1000, seed: int = 0,
+    n_boot: int = REPLICATES, seed: int = 0,
 ) -> tuple[DataFrame, Evaluation]:
     """Scores, reports and writes the evaluation of a saved head on a table it was not trained on."""
     predictions, classes = score_saved_head(spark, head, df, modality, source)

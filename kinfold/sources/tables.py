@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.fixed import GROUP_LEVEL, ITEM_LEVEL
-from kinfold.functions.scores import quoted
 from kinfold.operators.report import REPORT_SCHEMA
 from kinfold.sources.files import list_files, reachable
 from kinfold.sources.records import csv_records

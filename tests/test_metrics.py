@@ -3,7 +3,6 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from kinfold.operators import metrics as M
 from kinfold.operators.auc import auc_one_vs_rest, ranked_pieces, score_ties
