@@ -2,8 +2,9 @@
 
 Base rules find email addresses, IP numbers, card numbers and phone numbers by form; they are the seeds. The words around an instance make
 lexical patterns ("call _", "_ for help"). Instances and patterns form a graph with one edge per kind, pattern and instance. Spark scores it in
-rounds: a pattern's confidence is the belief in what it surrounds over all that it surrounds in the corpus, ordinary words included (a candidate
-that is not believed weighs ``unknown`` of a word, as it may be what the pattern is to discover); the belief in an instance is the noisy-or of its confident patterns, and 1 for seeds. Patterns that only became confident through instances
+rounds: a pattern's confidence is the belief in what it surrounds over all that it surrounds in the corpus, ordinary words included (a
+candidate that is not believed weighs ``unknown`` of a word, as it may be what the pattern is to discover); the belief in an instance is the
+noisy-or of its confident patterns, and 1 for seeds. Patterns that only became confident through instances
 found before count in the next round. Identifiers in other forms than the base rules know (a phone number without its plus sign, an address with a
 number out of range, a card number with a wrong digit) are added where the belief is high enough; so are other spellings of a seed.
 
