@@ -8,7 +8,7 @@ weights sum to one. A text is read once from left to right; where the state has
 No task ever holds the whole model. Documents are dealt by hash into blocks of bounded bytes. Each block sends the keys of
 its distinct n-grams, with their counts in its training documents, to buckets of the key range; buckets add up the
 counts over all blocks and send every block the totals of its own keys. From these the block builds the part of the automaton that its texts can
-reach and reads them. Keys are 64-bit hashes of words and n-grams.
+reach and reads them. Keys are hashes, of 64 bits for words and 48 bits for longer n-grams.
 
 Null and empty texts are one end token. A null id belongs to the training part by the same rule (its text is empty). Repeated
 rows count as often as they stand. Without training documents the score is the base score. Empty tables give no rows."""
@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +28,17 @@ from kinfold.llm.text import blank_words, dealt, mixed, pieces
 ORDER = 3
 #: Weight m of the shorter context, in occurrences.
 STRENGTH = 100.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Different words that a task gathers before it sends them.
+HELD_WORDS = 1 << 20
+#: Bits of an n-gram's key beyond a single word; the rest of the 64 are zero and shrink to nothing where keys are stored.
+GRAM_BITS = 48
 #: Bytes of text whose n-grams meet in one bucket, on average.
 BUCKET_BYTES = 2 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B0A1C2D4F), np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_GRAM_MASK = np.uint64(((1 << 64) - 1) ^ ((1 << (64 - GRAM_BITS)) - 1))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -63,6 +69,17 @@ def unsmall(data: bytes) -> np.ndarray:
     return out
 
 
+def shrunk(texts: pa.Array) -> pa.Array:
+    """Texts as they travel: compressed one by one, nulls as they are."""
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.array([press.compress(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in texts], pa.binary())
+
+
+def grown(texts: pa.ChunkedArray) -> pa.Array:
+    loose = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else loose.decompress(t) for t in texts.to_pylist()], pa.large_binary()).cast(pa.large_string(), safe=False)
+
+
 def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -108,7 +125,8 @@ class Grams:
                 ending[1:] = mixed(before[:-1] * _STEP + token[1:] + np.uint64(k))
                 valid = np.concatenate([[False], valid[:-1]]) & ~self.is_begin if n else valid
             spots = np.flatnonzero(valid)
-            keys, first, inverse = np.unique(ending[spots], return_index=True, return_inverse=True)
+            own = ending[spots] if k == 1 else ending[spots] & _GRAM_MASK
+            keys, first, inverse = np.unique(own, return_index=True, return_inverse=True)
             at = np.full(n, -1, np.int64)
             at[spots] = inverse
             self.at.append(at)
@@ -163,31 +181,39 @@ class BackoffAutomaton:
 def _vocabulary(rows: DataFrame, bits: int) -> tuple[int, int]:
     """Training tokens and distinct ones, ends included."""
 
+    def sent(own: np.ndarray, tokens: int) -> pa.RecordBatch:
+        cut = _packets(own, bits)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([b for b, *_ in cut] + [0], pa.int32()),
+                pa.array([packed(np.diff(own[i:j], prepend=np.uint64(0))) for _, i, j in cut] + [b""], pa.binary()),
+                pa.array([0] * len(cut) + [tokens], pa.int64()),
+            ],
+            ["bucket", "keys", "tokens"],
+        )
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of a task, each once for as many texts as fit in memory."""
+        held, tokens = np.zeros(0, np.uint64), 0
         for batch in batches:
             training = batch.column("training").to_numpy(zero_copy_only=False)
             for first, last, raw, offsets in pieces(batch.column("text")):
                 hashes, starts = blank_words(raw, offsets)
                 used = training[first:last]
-                own = np.unique(hashes[np.repeat(used, np.diff(starts))])
-                tokens = int(np.diff(starts)[used].sum() + used.sum())
-                cut = _packets(own, bits)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, *_ in cut] + [0], pa.int32()),
-                        pa.array([packed(np.diff(own[i:j], prepend=np.uint64(0))) for _, i, j in cut] + [b""], pa.binary()),
-                        pa.array([0] * len(cut) + [tokens], pa.int64()),
-                    ],
-                    ["bucket", "keys", "tokens"],
-                )
+                held = np.union1d(held, hashes[np.repeat(used, np.diff(starts))])
+                tokens += int(np.diff(starts)[used].sum() + used.sum())
+                if len(held) > HELD_WORDS:
+                    yield sent(held, tokens)
+                    held, tokens = held[:0], 0
+        yield sent(held, tokens)
 
     def distinct(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpacked(k.as_py())) for k in table["keys"]]
         types = len(np.unique(np.concatenate(keys)))
         return pa.table({"tokens": [sum(table["tokens"].to_pylist())], "types": [types]})
 
-    sent = rows.select("text", "training").mapInArrow(local, "bucket int, keys binary, tokens long")
-    done = sent.groupBy("bucket").applyInArrow(distinct, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
+    words = rows.select("text", "training").mapInArrow(local, "bucket int, keys binary, tokens long")
+    done = words.groupBy("bucket").applyInArrow(distinct, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     return done[0] or 0, (done[1] or 0) + (1 if done[0] else 0)  # and the end token
 
 
@@ -203,10 +229,10 @@ def score_texts(
     block = F.pmod(F.xxhash64("text", *[F.col(f"`{c}`") for c in keep if c == "doc_id"]), F.lit(n_blocks)).cast("int")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), training.alias("training"), block.alias("block"))
     n_tokens, n_types = _vocabulary(rows, bits)
-    rows = dealt(rows, n_blocks, "block")
+    rows = dealt(rows.withColumn("text", F.arrow_udf(shrunk, "binary")("text")), n_blocks, "block")
 
     def count(table: pa.Table) -> pa.Table:
-        grams = Grams(table["text"], order)
+        grams = Grams(grown(table["text"]), order)
         counts = grams.counts(table["training"].to_numpy())
         cut = _packets(grams.all_keys, bits)
         number = table["block"][0].as_py()
@@ -228,7 +254,7 @@ def score_texts(
         })
 
     def read(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        grams = Grams(texts["text"], order)
+        grams = Grams(grown(texts["text"]), order)
         received = sorted(zip(sums["bucket"].to_pylist(), sums["totals"], strict=True), key=lambda p: p[0])
         totals = np.concatenate([np.zeros(0, np.int64), *[unsmall(t.as_py()) for _, t in received]])
         automaton = BackoffAutomaton(grams, totals, n_tokens, n_types, strength)
