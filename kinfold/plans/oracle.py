@@ -477,7 +477,7 @@ SELECT f AS fold, k::BIGINT AS k, i::INTEGER AS i, round(v[i + 1], {R}) AS weigh
 z AS (SELECT p.t, p.f, p.k, n.i, n.y, n.w, list_inner_product(n.x, p.v) AS z FROM points p JOIN norm n ON n.f = p.f),
 e AS (SELECT *, max(z) OVER (PARTITION BY t, f, i) AS top FROM z),
 per_row AS (
-  SELECT t, f, i, w, y, ln(sum(exp(z - top))) + max(top) - max(z) FILTER (WHERE k = y) AS loss, arg_max(k, z) AS best FROM e GROUP BY t, f, i, w, y),
+  SELECT t, f, i, w, y, ln(sum(exp(z - top))) + max(top) - max(z) FILTER (WHERE k = y) AS loss, list(k ORDER BY z DESC, k)[1] AS best FROM e GROUP BY t, f, i, w, y),
 size AS (SELECT t, f, {reg} / 2 * sum(list_inner_product(v, v)) AS ridge FROM points GROUP BY t, f)
 SELECT r.f AS fold, r.t::BIGINT AS iteration, round(sum(w * loss) + any_value(ridge), {R}) AS loss, round(avg((best = y)::INTEGER), {R}) AS accuracy
 FROM per_row r JOIN size s ON s.t = r.t AND s.f = r.f GROUP BY r.f, r.t"""
