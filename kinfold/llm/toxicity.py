@@ -34,6 +34,7 @@ PRECISION = 0.75
 #: Voters whose votes correlate more than this, given the label, speak as one.
 TOGETHER = 0.4
 ROUNDS = 300
+_PART_ROWS = 4096
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,29 +145,43 @@ def propose_voters(rows: DataFrame, n_all: int, n_toxic: int) -> list[bytes]:
     return chosen
 
 
+def _parts(*arrays: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Some rows at a time, as doubles: the whole tables stay small numbers."""
+    for start in range(0, len(arrays[0]), _PART_ROWS):
+        yield tuple(a[start : start + _PART_ROWS].astype(float) for a in arrays)
+
+
 def label_model(votes: np.ndarray, annotation: np.ndarray) -> np.ndarray:
     """Posterior probability of the label from votes (documents x voters, 0 or 1) and the annotation, itself a voter of unknown accuracy."""
     clusters = np.arange(votes.shape[1])
     start = np.where(annotation > 0, 0.95, 0.02)
     for given in (start, 1 - start):  # what the label leaves unexplained
         total = max(given.sum(), 1e-9)
-        mean = given @ votes / total
-        spread = (votes * given[:, None]).T @ votes / total - np.outer(mean, mean)
+        both, mean = np.zeros((votes.shape[1], votes.shape[1])), np.zeros(votes.shape[1])
+        for v, g in _parts(votes, given):
+            both += (v * g[:, None]).T @ v
+            mean += g @ v
+        mean /= total
+        spread = both / total - np.outer(mean, mean)
         scale = np.sqrt(np.maximum(np.diag(spread), 1e-4))
         for i, j in zip(*np.nonzero(np.triu(spread / np.outer(scale, scale) > TOGETHER, 1)), strict=True):
             clusters[clusters == clusters[j]] = clusters[i]
     joint = [votes[:, clusters == c].max(axis=1) for c in np.unique(clusters)]
-    return _estimate(np.stack([*joint, annotation], axis=1).astype(float), start)
+    return _estimate(np.stack([*joint, annotation], axis=1).astype(np.uint8), start)
 
 
 def _estimate(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
     """Expectation-maximisation for voters that are independent given the label."""
+    every = sum(v.sum(axis=0) for (v,) in _parts(votes))
     for _ in range(ROUNDS):
         share = np.clip(posterior.mean(), 1e-3, 0.5)
-        toxic = (posterior @ votes + 0.5) / (posterior.sum() + 1)
-        clean = ((1 - posterior) @ votes + 0.01) / ((1 - posterior).sum() + 1)
+        spoken = sum(p @ v for v, p in _parts(votes, posterior))
+        toxic = (spoken + 0.5) / (posterior.sum() + 1)
+        clean = (every - spoken + 0.01) / ((1 - posterior).sum() + 1)
         clean = np.minimum(clean, toxic)  # a voter is never taken for evidence of the opposite
-        odds = math.log(share / (1 - share)) + votes @ np.log(toxic / clean) + (1 - votes) @ np.log((1 - toxic) / (1 - clean))
+        silent = np.log((1 - toxic) / (1 - clean))
+        weight = np.log(toxic / clean) - silent
+        odds = math.log(share / (1 - share)) + silent.sum() + np.concatenate([v @ weight for (v,) in _parts(votes)])
         before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if np.abs(posterior - before).max() < 1e-6:
             break
@@ -175,13 +190,17 @@ def _estimate(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
 
 def _linear(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], decay)
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), decay)
     ridge[-1] = 1e-6
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        curve, slope = np.diag(ridge), -ridge * w
+        for part, target in _parts(x, y):
+            part = np.hstack([part, np.ones((len(part), 1))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve = curve + (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+            slope = slope + part.T @ (target - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -202,10 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
             found = [blank.features(t.as_py(), at).astype(np.float32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "y"])
 
-    # At most max_rows short rows.
-    found = sorted((r["y"], bytes(r["x"])) for r in rows.select("text", "y").mapInArrow(vote, "x binary, y int").collect())
-    x = np.stack([np.frombuffer(raw, np.float32) for _, raw in found]).astype(float)
-    posterior = label_model((x[:, : len(voters) + STYLES] > 0).astype(float), np.array([float(y) for y, _ in found]))
+    # At most max_rows short rows, in an order of their own so that reruns agree.
+    found = sorted((r["y"], bytes(r["x"])) for r in rows.select("text", "y").mapInArrow(vote, "x binary, y int").toLocalIterator())
+    annotation = np.array([y for y, _ in found], np.uint8)
+    x = np.frombuffer(b"".join(raw for _, raw in found), np.float32).reshape(len(found), -1)
+    del found
+    posterior = label_model((x[:, : len(voters) + STYLES] > 0).astype(np.uint8), annotation)
     return ToxicityModel(voters, *_linear(x, posterior))
 
 
