@@ -54,11 +54,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
     for batch in batches:
         if not len(batch):
             continue
-        start = batch.column("start")
-        blocks = pc.run_end_encode(start)
+        file, start = batch.column("file"), batch.column("start")
+        # A task may hold blocks of several files one after the other, and these may begin at the same byte.
+        ends = {end for column in (file, start) for end in pc.run_end_encode(column).run_ends.to_pylist()}
         begin = 0
-        for end in blocks.run_ends.to_pylist():
-            yield (batch.column("file")[begin].as_py(), start[begin].as_py()), batch.column("value").slice(begin, end - begin)
+        for end in sorted(ends):
+            yield (file[begin].as_py(), start[begin].as_py()), batch.column("value").slice(begin, end - begin)
             begin = end
 
 

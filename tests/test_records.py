@@ -97,3 +97,24 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
 
 def test_empty_folder(spark, tmp_path):
     assert list_files(spark, str(tmp_path)).collect() == []
+
+
+def test_files_that_one_task_reads_are_kept_apart(spark, tmp_path):
+    """Blocks of several files that begin at the same byte: each file has a header and quoted cells of its own."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    want = []
+    for i in range(4):
+        rows = [[f"p{i}{j}", "two\nlines" if (i + j) % 2 else "plain", ""] for j in range(3)]
+        want += rows
+        with (folder / f"part-{i}.csv").open("w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows([["image_path", "species", "z"], *rows])
+    name = "spark.sql.files.minPartitionNum"
+    spark.conf.set(name, "1")
+    try:
+        records = csv_records(spark, str(folder))
+        assert records.where("first").count() == 4
+        raw, _ = tables.read_manifest_csv(spark, str(folder))
+        assert sorted(list(r) for r in raw.collect()) == want
+    finally:
+        spark.conf.unset(name)
