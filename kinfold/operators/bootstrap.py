@@ -2,8 +2,9 @@
 
 A replicate never copies rows. ``group_draws`` lists, per group, the replicates that drew it (repeats count); packed to one byte per
 replicate they are the group's row of a weight matrix. Every statistic is a weighted sum over groups: confusion cells as products of counts and
-weights in each task, the AUC with one NumPy pass per cell of the ordered scores that handles all replicates at once. Item rows
-never carry weights through a shuffle: a cell meets the weights of its groups once per group."""
+weights in each task, the AUC with one NumPy pass over a stretch of the ordered scores that handles many replicates at once. Item rows
+never carry weights through a shuffle. The scores are cut into a fixed number of stretches and the replicates into blocks that fit a task:
+the weights travel once per stretch, the scores once per block, both packed, so that what is shuffled grows as the rows do."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,15 @@ from kinfold.fixed import CLASS_METRICS, GROUP_LEVEL, ITEM_LEVEL, POOLED_METHOD,
 from kinfold.functions.hashing import draw_below
 from kinfold.operators.auc import combine_pieces
 from kinfold.operators.metrics import class_metrics, confusion_cells, group_summary, level_cells, macro_metrics, scored
-from kinfold.operators.skew import hashed_rank, null_safe_join
+from kinfold.operators.skew import attach, hashed_rank, null_safe_join
 from kinfold.sources.shared import settle
 
 LOW, HIGH = 0.025, 0.975
-#: Weights (rows x replicates) that one cell of the ordered scores stands for, on average.
+#: Weights (rows x replicates) that make a stretch of the ordered scores of its own, as long as there are tasks for more of them.
 CELL_WEIGHTS = 20_000_000
+#: Weights (groups x replicates) that a task holds, a byte each, and rows that it sorts.
+BLOCK_WEIGHTS = 256_000_000
+SORTED_ROWS = 2_000_000
 #: Draws (groups x replicates) that one task spreads.
 TASK_DRAWS = 4_000_000
 #: Rows of weights that are at hand at once, and sums that a task gathers before it sends them on.
@@ -96,9 +101,9 @@ def unpacked(draws: Sequence[bytes], n_boot: int) -> np.ndarray:
 
 
 def with_draws(summary: DataFrame, n_boot: int, seed: int, label: str = "species", group: str = "isolate_id") -> DataFrame:
-    """The group summary with the packed ``draws`` of each group, written once; groups that no replicate drew are gone."""
+    """The group summary with the packed ``draws`` and a ``number`` of each group, written once; groups that no replicate drew are gone."""
     drawn = group_draws(summary, n_boot, seed, label, group).select(group, packed(F.col("draws"), n_boot).alias("draws"))
-    return settle(null_safe_join(summary, drawn, [group]))
+    return settle(null_safe_join(summary, drawn, [group]).withColumn("number", F.monotonically_increasing_id()))
 
 
 def replicate_cells(drawn: DataFrame, n_boot: int) -> DataFrame:
@@ -137,91 +142,206 @@ def replicate_cells(drawn: DataFrame, n_boot: int) -> DataFrame:
     return confusion_cells(parts.where("n > 0"), ["level", "b"], "n")
 
 
-def _open(score: np.ndarray) -> tuple[int, int]:
-    """Of ordered scores: the end of the first tie group and the start of the last."""
-    same_first = (score == score[0]) | (np.isnan(score) & np.isnan(score[0]))
-    same_last = (score == score[-1]) | (np.isnan(score) & np.isnan(score[-1]))
-    return int(same_first.sum()), len(score) - int(same_last.sum())
-
-
-def _weighted(rows: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum of n x weights per replicate, some rows at a time."""
-    total = np.zeros(weights.shape[1])
-    for a in range(0, len(rows), _CHUNK_ROWS):
-        total += n[a : a + _CHUNK_ROWS].astype(float) @ weights[rows[a : a + _CHUNK_ROWS]].astype(float)
-    return total
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Of ordered rows: whether a row differs from the one before it. NaN equals NaN."""
+    found = np.zeros(len(columns[0]), bool)
+    found[:1] = True
+    for c in columns:
+        found[1:] |= (c[1:] != c[:-1]) & ((c[1:] == c[1:]) | (c[:-1] == c[:-1]))
+    return found
+
+
+class _Ranked:
+    """Ordered tie groups of one class, for some replicates at once, as they come in: the pairs won, positives and negatives of all between
+    the first and the last tie group. These two may go on in the neighbouring stretches, so their pairs are counted elsewhere."""
+
+    def __init__(self, n_boot: int):
+        self.first, self.last, self.ends = None, None, []
+        self.won, self.p, self.q = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+
+    def add(self, score: np.ndarray, starts: np.ndarray, positive: np.ndarray, n: np.ndarray | None, rows: np.ndarray, weights: np.ndarray) -> None:
+        """Rows in order of ``score``, which is given per tie group; ``starts`` tells where one begins. A tie group may go on from the rows before."""
+        tie = np.cumsum(starts) - 1
+        for a in range(0, len(rows), _CHUNK_ROWS):
+            chunk = slice(a, a + _CHUNK_ROWS)
+            w = weights[rows[chunk]].astype(float)
+            if n is not None:
+                w *= n[chunk, None]
+            ids, side = tie[chunk], positive[chunk]
+            at = np.flatnonzero(_changes(ids, side))
+            sums = np.add.reduceat(w, at, axis=0)
+            of, is_pos = ids[at] - ids[0], side[at]
+            p, q = np.zeros((of[-1] + 1, w.shape[1])), np.zeros((of[-1] + 1, w.shape[1]))
+            np.add.at(p, of[is_pos], sums[is_pos])
+            np.add.at(q, of[~is_pos], sums[~is_pos])
+            self._ties(score[ids[0] : ids[-1] + 1], p, q)
+
+    def _ties(self, score: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        if self.last is not None:
+            s, p_open, q_open = self.last
+            if s == score[0] or (np.isnan(s) and np.isnan(score[0])):
+                p[0] += p_open
+                q[0] += q_open
+            else:
+                score, p, q = np.concatenate([[s], score]), np.vstack([p_open, p]), np.vstack([q_open, q])
+        self.last = (score[-1], p[-1].copy(), q[-1].copy())
+        score, p, q = score[:-1], p[:-1], q[:-1]
+        if len(score) and self.first is None:
+            self.first = (score[0], p[0].copy(), q[0].copy())
+            score, p, q = score[1:], p[1:], q[1:]
+        if len(score):
+            under = self.q + np.cumsum(q, axis=0) - q
+            self.won += (p * (under + q / 2)).sum(axis=0)
+            self.p += p.sum(axis=0)
+            self.q += q.sum(axis=0)
+            self.ends = [self.ends[0] if self.ends else score[0], score[-1]]
+
+    def pieces(self) -> list[tuple]:
+        """``low, high, won, positives, negatives`` of the edges and of what is between them."""
+        edges = [(s, s, np.zeros_like(p), p, q) for s, p, q in (e for e in (self.first, self.last) if e is not None)]
+        return [*edges, (*self.ends, self.won, self.p, self.q)] if self.ends else edges
 
 
 def _won(score: np.ndarray, positive: np.ndarray, n: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs won, positives and negatives of ordered rows, for all replicates at once. A tie group may be cut by the chunks."""
-    n_boot = weights.shape[1]
-    tie = np.concatenate([[0], np.cumsum(score[1:] != score[:-1])])
-    below, won, p_all = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
-    open_tie, p_tie, q_tie = -1, np.zeros(n_boot), np.zeros(n_boot)
-    for start in range(0, len(score), _CHUNK_ROWS):
-        stop = min(start + _CHUNK_ROWS, len(score))
-        w = weights[rows[start:stop]] * n[start:stop, None].astype(float)
-        ids = tie[start:stop]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        is_pos = positive[start:stop, None]
-        p = np.add.reduceat(np.where(is_pos, w, 0), first, axis=0)
-        q = np.add.reduceat(np.where(is_pos, 0, w), first, axis=0)
-        if ids[0] == open_tie:
-            p[0] += p_tie
-            q[0] += q_tie
-        elif open_tie >= 0:
-            won += p_tie * (below + q_tie / 2)
-            below += q_tie
-            p_all += p_tie
-        open_tie, p_tie, q_tie = ids[-1], p[-1].copy(), q[-1].copy()
-        p, q = p[:-1], q[:-1]
-        under = below + np.cumsum(q, axis=0) - q
-        won += (p * (under + q / 2)).sum(axis=0)
-        below += q.sum(axis=0)
-        p_all += p.sum(axis=0)
-    return won + p_tie * (below + q_tie / 2), p_all + p_tie, below + q_tie
+    starts, ranked = _changes(score), _Ranked(weights.shape[1])
+    ranked.add(score[starts], starts, positive, n, rows, weights)
+    won, p_all, q_all = (np.zeros(weights.shape[1]) for _ in range(3))
+    for low, high, u, p, q in sorted(ranked.pieces(), key=lambda piece: piece[0]):
+        won += (p * q / 2 if low == high else u) + p * q_all
+        p_all += p
+        q_all += q
+    return won, p_all, q_all
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers byte by byte, the lowest bytes of all first, in as many as the largest needs: few bits change among the others."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(raw.T).tobytes()
+
+
+def _numbers(planes: bytes, size: int) -> np.ndarray:
+    raw = np.zeros((size, 8), np.uint8)
+    found = np.frombuffer(planes, np.uint8).reshape(-1, size)
+    raw[:, : len(found)] = found.T
+    return raw.view("<i8").reshape(-1)
+
+
+def _bits(packed: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=size).astype(bool)
+
+
+_TIES_DDL = "k int, score double, number long, positive boolean, n long"
+
+
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per class, score, group and side of the rows at hand: equal rows travel once."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        number, true_k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "true_k"))
+        scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        for k in range(scores.shape[1]):
+            positive, score = true_k == k, scores[:, k]
+            order = np.lexsort((positive, number, score))
+            score_k, number_k, positive_k = score[order], number[order], positive[order]
+            at = np.flatnonzero(_changes(score_k, number_k, positive_k))
+            n = np.diff(at, append=len(order))
+            columns = (np.full(len(at), k, np.int32), score_k[at], number_k[at], positive_k[at], n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "score", "number", "positive", "n"])
+
+
+_SENT = pa.schema([
+    ("part", pa.int32()), ("at", pa.int64()), ("level", pa.int32()), ("k", pa.int32()), ("size", pa.int32()), ("numbers", pa.binary()),
+    ("scores", pa.binary()), ("starts", pa.binary()), ("positive", pa.binary()), ("weights", pa.binary()),
+])
+_SENT_DDL = "part int, at long, level int, k int, size int, numbers binary, scores binary, starts binary, positive binary, weights binary"
+
+
+def _packed_ties(n_cells: int, n_parts: int):
+    """Ordered rows, some of one level and class in one: ``part`` is their stretch, ``at`` tells their order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        cell, at = part * n_cells // n_parts, part << 32
+        for batch in batches:
+            level, k, score, number, positive, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("level", "k", "score", "number", "positive", "n"))
+            bounds = [*np.flatnonzero(_changes(level, k)).tolist(), len(batch)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                starts = _changes(score[a:b])
+                yield pa.RecordBatch.from_pylist([{
+                    "part": cell, "at": at, "level": int(level[a]), "k": int(k[a]), "size": b - a, "numbers": _planes(number[a:b]),
+                    "scores": score[a:b][starts].tobytes(), "starts": np.packbits(starts).tobytes(), "positive": np.packbits(positive[a:b]).tobytes(),
+                    "weights": _planes(n[a:b]) if n[a:b].max() > 1 else b"",
+                }], schema=_SENT)
+                at += 1
+
+    return pack
+
+
+def _packed_draws(bounds: Sequence[int]):
+    """The weights of some groups in one, for each block of replicates: ``part`` is the block. They sort before all scores."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), _CHUNK_ROWS):
+                some = batch.slice(start, _CHUNK_ROWS)
+                number = some.column("number").to_numpy()
+                weights = unpacked(some.column("draws").to_pylist(), bounds[-1])
+                for block, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    yield pa.RecordBatch.from_pylist([{
+                        "part": block, "at": int(number[0]) - (1 << 63), "size": len(some), "numbers": _planes(number), "weights": weights[:, a:b].tobytes(),
+                    }], schema=_SENT)
+
+    return pack
 
 
 _SUMS = pa.schema([
-    ("level", pa.string()), ("k", pa.int32()), ("low", pa.float64()), ("high", pa.float64()),
+    ("level", pa.int32()), ("k", pa.int32()), ("start", pa.int32()), ("low", pa.float64()), ("high", pa.float64()),
     ("u", pa.list_(pa.float64())), ("p", pa.list_(pa.float64())), ("q", pa.list_(pa.float64())),
 ])
-_SUMS_DDL = "level string, k int, low double, high double, u array<double>, p array<double>, q array<double>"
+_SUMS_DDL = "level int, k int, start int, low double, high double, u array<double>, p array<double>, q array<double>"
 
 
-def _cell_sums(group: str, n_boot: int):
-    """Two-sided: a cell's rows and the draws of its groups. Out come, per level and class, the sums of the tie groups at both edges, which
-    may go on in the neighbouring cells, and of all scores between them."""
+def _stretch_sums(bounds: Sequence[int]):
+    """Per stretch and block of replicates, first the weights of all groups, then the stretch's scores in order. Out come, per level and class, the
+    sums of the tie groups at both edges, which may go on in the neighbouring stretches, and of all scores between them."""
+    n_blocks = len(bounds) - 1
 
-    def sums(table: pa.Table, draws: pa.Table) -> pa.Table:
-        out = []
-        if len(draws):
-            table, draws = table.combine_chunks(), draws.combine_chunks()
-            weights = unpacked(draws["draws"].to_pylist(), n_boot)
-            known = pc.index_in(table[group], value_set=pa.concat_arrays(draws["member"].chunks))
-            used = np.flatnonzero(known.is_valid())  # groups that no replicate drew have no weights
-            rows = known.fill_null(0).to_numpy()[used]
-            level = table["level"].combine_chunks().dictionary_encode()
-            code = level.indices.to_numpy()[used]
-            k, score, positive, n = (table[c].to_numpy()[used] for c in ("k", "score", "positive", "n"))
-            order = np.lexsort((score, k, code))
-            code, k, score, positive, n, rows = (x[order] for x in (code, k, score, positive, n, rows))
-            change = np.flatnonzero((code[1:] != code[:-1]) | (k[1:] != k[:-1])) + 1
-            bounds = [0, *change.tolist(), len(k)] if len(k) else []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                first, last = _open(score[a:b])
-                spans = [(a, a + first)] if first == b - a else [(a, a + first), (a + first, a + last), (a + last, b)]
-                for i, (s, e) in enumerate(spans):
-                    if s == e:
-                        continue
-                    if i == 1:
-                        u, p, q = _won(score[s:e], positive[s:e], n[s:e], rows[s:e], weights)
-                    else:  # an edge: pairs are counted when all of its tie group has been added up
-                        here = positive[s:e]
-                        p, q = (_weighted(rows[s:e][side], n[s:e][side], weights) for side in (here, ~here))
-                        u = np.zeros(n_boot)
-                    out.append((level.dictionary[int(code[s])].as_py(), int(k[s]), float(score[s]), float(score[e - 1]), u, p, q))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(_SUMS), _SUMS.types, strict=True)], schema=_SUMS)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, key, ranked, known, by_number, held, weights = None, None, None, [], None, [], None
+
+        def found() -> list[pa.RecordBatch]:
+            if ranked is None:
+                return []
+            rows = [(*key, bounds[slot % n_blocks], *piece) for piece in ranked.pieces()]
+            return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SUMS.types, strict=True)], schema=_SUMS)]
+
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if row["slot"] != slot:
+                    yield from found()
+                    slot, key, ranked, known, held, weights = row["slot"], None, None, [], [], None
+                    width = bounds[slot % n_blocks + 1] - bounds[slot % n_blocks]
+                numbers = _numbers(row["numbers"], row["size"])
+                if row["level"] is None:
+                    known.append(numbers)
+                    narrow = len(row["weights"]) == row["size"] * width
+                    held.append(np.frombuffer(row["weights"], np.uint8 if narrow else np.int64).reshape(-1, width))
+                    continue
+                if weights is None:
+                    known, weights, held = np.concatenate(known), np.concatenate(held), []
+                    by_number = np.argsort(known)  # a task may read several files of the draws
+                    known = known[by_number]
+                if (row["level"], row["k"]) != key:
+                    yield from found()
+                    key, ranked = (row["level"], row["k"]), _Ranked(width)
+                n = _numbers(row["weights"], row["size"]) if row["weights"] else None
+                score = np.frombuffer(row["scores"], np.float64)
+                ranked.add(score, _bits(row["starts"], row["size"]), _bits(row["positive"], row["size"]), n, by_number[np.searchsorted(known, numbers)], weights)
+        yield from found()
 
     return sums
 
@@ -235,36 +355,44 @@ def replicate_auc(
     group: str = "isolate_id",
     auc_decimals: int | None = None,
     cell_weights: int = CELL_WEIGHTS,
+    block_weights: int = BLOCK_WEIGHTS,
 ) -> DataFrame:
-    """``level, b, k, auc`` of every replicate and class. ``drawn`` is the group summary with its packed draws;
+    """``level, b, k, auc`` of every replicate and class. ``drawn`` is the group summary with its packed draws (see ``with_draws``);
     groups that no replicate drew are absent from it, and their rows count nothing.
 
-    Rows of one group with the same score collapse first. One range exchange by level, class, score and group cuts them into cells of even
-    size, also where one score is shared by very many groups: a tie group that several cells share is added up before its
-    pairs are counted."""
-
-    def collapsed(rows: DataFrame, level: str) -> DataFrame:
-        exploded = rows.select(group, "true_k", F.posexplode("scores").alias("k", "score"))
-        if auc_decimals is not None:
-            exploded = exploded.withColumn("score", F.round("score", auc_decimals))
-        positive = (F.col("true_k") == F.col("k")).alias("positive")
-        score = F.coalesce("score", F.lit(float("nan"))).alias("score")
-        counted = exploded.select(group, "k", score, positive).groupBy(group, "k", "score", "positive").agg(F.count(F.lit(1)).alias("n"))
-        return counted.select(F.lit(level).alias("level"), group, "k", "score", "positive", "n")
-
-    ties = settle(collapsed(scored(df, classes, label, [group]), ITEM_LEVEL).unionByName(collapsed(drawn, GROUP_LEVEL)))
-    n_rows = ties.count()
+    Rows of one group with the same score collapse where they are read. One range exchange by level, class, score and group puts them in order,
+    also where one score is shared by very many groups, and they are packed. A task then reads one stretch of them, row after row, against the weights
+    of all groups in one block of replicates. A tie group that several stretches share is added up before its pairs are counted.
+    There are as many stretches as tasks run at a time, at every size; a block is as wide as a task's memory allows."""
+    levels = (ITEM_LEVEL, GROUP_LEVEL)
     parallel = df.sparkSession.sparkContext.defaultParallelism
-    n_cells = max(1, -(-n_rows * n_boot // cell_weights), min(parallel, n_rows // _CHUNK_ROWS))
-    # The bounds of the cells are drawn from a sample: what belongs to a cell is written down with it.
-    placed = settle(ties.repartitionByRange(n_cells, "level", "k", "score", F.xxhash64(group)).withColumn("cell", F.spark_partition_id()))
-    members = placed.select(F.col("cell").alias("in_cell"), F.col(group).alias("member")).distinct()
-    weights = null_safe_join(members, drawn.select(F.col(group).alias("member"), "draws"), ["member"])
-    pieces = placed.groupBy("cell").cogroup(weights.groupBy("in_cell")).applyInArrow(_cell_sums(group, n_boot), _SUMS_DDL)
-    flat = pieces.select("level", "k", "low", "high", F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s")).select("level", "k", "low", "high", "b", "s.*")
+    n_groups, n_items = drawn.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_items"), F.lit(0))).first()
+    n_rows = (n_groups + n_items) * len(classes)
+    n_cells = max(1, min(parallel, -(-n_rows * n_boot // cell_weights)))
+    n_parts = n_cells * max(1, -(-n_rows // (n_cells * SORTED_ROWS)))
+    n_blocks = max(1, min(n_boot, -(-n_groups * n_boot // block_weights)))
+    bounds = [n_boot * i // n_blocks for i in range(n_blocks + 1)]
+
+    scores = F.col("scores") if auc_decimals is None else F.transform("scores", lambda x: F.round(x, auc_decimals))
+    columns = ["number", F.coalesce(F.col("true_k").cast("int"), F.lit(-1)).alias("true_k"), scores.alias("scores")]
+    sizes = drawn.select(group, F.col("n_items").alias("__size"))
+    items = attach(scored(df, classes, label, [group]).drop("pred_k"), drawn.select(group, "number"), [group], "scores", sizes=sizes)
+    ties = [rows.select(*columns).mapInArrow(_collapsed, _TIES_DDL).withColumn("level", F.lit(i)) for i, rows in enumerate((items, drawn))]
+    order = ["level", "k", "score", "number", "positive"]
+    placed = ties[0].unionByName(ties[1]).repartitionByRange(n_parts, *order[:4]).sortWithinPartitions(*order)
+    packed_ties = placed.mapInArrow(_packed_ties(n_cells, n_parts), _SENT_DDL)
+    packed_draws = drawn.select("number", "draws").mapInArrow(_packed_draws(bounds), _SENT_DDL)
+    blocks, cells = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other") for n in (n_blocks, n_cells))
+    slot = [(F.col("part") * n_blocks + F.col("other")).alias("slot"), (F.col("other") * n_blocks + F.col("part")).alias("slot")]
+    sent = [rows.select("*", other).select(s, *_SENT.names[1:]) for rows, other, s in zip((packed_ties, packed_draws), (blocks, cells), slot, strict=True)]
+    met = sent[0].unionByName(sent[1]).repartitionById(n_cells * n_blocks, F.col("slot")).sortWithinPartitions("slot", "at")
+    pieces = met.mapInArrow(_stretch_sums(bounds), _SUMS_DDL)
+    flat = pieces.select("level", "k", "start", "low", "high", F.posexplode(F.arrays_zip("u", "p", "q")).alias("b", "s"))
+    flat = flat.select("level", "k", "low", "high", (F.col("start") + F.col("b")).alias("b"), "s.*")
     whole = flat.groupBy("level", "k", "low", "high", "b").agg(*[F.sum(c).alias(c) for c in ("u", "p", "q")])
     tied = F.when(F.col("low") == F.col("high"), F.col("p") * F.col("q") / 2).otherwise(F.col("u"))
-    return combine_pieces(whole.withColumn("u", tied), ["level", "b", "k"]).select("level", "b", "k", "auc")
+    areas = combine_pieces(whole.withColumn("u", tied), ["level", "b", "k"])
+    return areas.select(F.element_at(F.array(*[F.lit(x) for x in levels]), F.col("level") + 1).alias("level"), "b", "k", "auc")
 
 
 def bootstrap_replicates(

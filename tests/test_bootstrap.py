@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -142,3 +143,34 @@ def test_null_groups_are_drawn(spark):
     df = spark.createDataFrame(rows, "image_path string, species string, isolate_id string, prob_a double, prob_b double")
     reps = B.bootstrap_replicates(df, ["a", "b"], 25, 5).where("level = 'isolate_level'").collect()
     assert {r["n"] for r in reps} == {4} and len(reps) == 25
+
+
+# One replicate a block and as many stretches as tasks: edges, blocks and classes meet everywhere.
+@pytest.mark.parametrize(("cell_weights", "block_weights"), [(10, 1), (300, 60), (20_000_000, 30)])
+def test_blocks_of_replicates_equal_pair_counting(predictions, monkeypatch, cell_weights, block_weights):
+    monkeypatch.setattr(B, "SORTED_ROWS", 40)
+    monkeypatch.setattr(B, "_CHUNK_ROWS", 3)
+    classes, n_boot, rng = ["a", "b", "c"], 7, random.Random(8)
+    rows = [(f"g{i % 13}", "abc"[i % 13 % 3], *(rng.choice([0.1, 0.5, 0.5, round(rng.random(), 3)]) for _ in range(3))) for i in range(200)]
+    df = predictions(rows, classes)
+    summary = settle(group_summary(df, classes))
+    draws = {r["isolate_id"]: list(r["draws"]) for r in B.group_draws(summary, n_boot, 3).collect()}
+    drawn = B.with_draws(summary, n_boot, 3)
+    found = B.replicate_auc(df, drawn, n_boot, classes, cell_weights=cell_weights, block_weights=block_weights).where("level = 'image_level'").collect()
+    assert len(found) == 3 * n_boot
+    got = {(r["b"], r["k"]): r["auc"] for r in found}
+    for k in range(3):
+        assert [got.get((b, k)) for b in range(n_boot)] == [None if v is None else pytest.approx(v) for v in brute_force(rows, draws, n_boot, k)]
+
+
+def test_weights_travel_once_a_stretch(predictions):
+    """However many rows there are, a group's weights go into no more places than tasks run at a time."""
+    rows = [(f"g{i % 5}", "ab"[i % 5 % 2], i / 3000, 1 - i / 3000) for i in range(3000)]
+    df = predictions(rows, ["a", "b"])
+    spark, n_boot = df.sparkSession, 20
+    drawn = B.with_draws(settle(group_summary(df, ["a", "b"])), n_boot, 3)
+    areas = B.replicate_auc(df, drawn, n_boot, ["a", "b"], cell_weights=100)
+    plan = areas._jdf.queryExecution().optimizedPlan().toString()
+    # Stretches times blocks of replicates, of which there is one here.
+    assert 1 < int(re.search(r"RepartitionByExpression \[.*slot.*\], (\d+)", plan)[1]) <= spark.sparkContext.defaultParallelism, plan
+    assert "CoGroups" not in plan
