@@ -53,6 +53,11 @@ def bootstrap_method(groups: DataFrame, label: str = "species") -> DataFrame:
     return strata(groups, label).groupBy("stratum", "method").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def draw_parts(groups: DataFrame, n_boot: int) -> int:
+    """Tasks for the draws of as many groups as there are rows."""
+    return max(groups.sparkSession.sparkContext.defaultParallelism, -(-groups.count() * n_boot // TASK_DRAWS))
+
+
 def group_draws(groups: DataFrame, n_boot: int, seed: int, label: str = "species", group: str = "isolate_id") -> DataFrame:
     """``group, draws ARRAY<INT>``: the replicate number once per time the group was drawn.
 
@@ -61,20 +66,33 @@ def group_draws(groups: DataFrame, n_boot: int, seed: int, label: str = "species
     A group expects ``n_boot`` draws in all, whatever the number of groups."""
     ranked = hashed_rank(strata(groups.select(group, label), label), ["stratum"], group, seed)
     # Every slot becomes n_boot rows: spread the slots first (adaptive execution would otherwise pack the small table into one
-    # task), over more tasks the more draws there are.
-    parts = max(groups.sparkSession.sparkContext.defaultParallelism, -(-groups.count() * n_boot // TASK_DRAWS))
+    # task), and the draws again, over more tasks the more draws there are.
+    parts = draw_parts(groups, n_boot)
     spread = ranked.repartition(parts, "stratum", "ordinal")
     slots = spread.select("stratum", "ordinal", "parent_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     pick = draw_below(F.col("parent_size"), seed, F.col("b"), F.col("stratum"), F.col("ordinal"))
-    picked = slots.select("stratum", pick.alias("ordinal"), "b").groupBy("stratum", "ordinal").agg(
-        F.collect_list("b").alias("draws")
-    )
+    picks = slots.select("stratum", pick.alias("ordinal"), "b").repartition(parts, "stratum", "ordinal")
+    picked = picks.groupBy("stratum", "ordinal").agg(F.collect_list("b").alias("draws"))
     return ranked.join(picked, ["stratum", "ordinal"]).select(group, "draws")
 
 
-def draw_counts(draws: DataFrame, group: str = "isolate_id") -> DataFrame:
-    """Long form ``b, group, m`` with m >= 1."""
-    return draws.select(group, F.explode("draws").alias("b")).groupBy("b", group).agg(F.count(F.lit(1)).alias("m"))
+def draw_counts(draws: DataFrame, group: str = "isolate_id", parts: int | None = None) -> DataFrame:
+    """Long form ``b, group, m`` with m >= 1. A group's draws are counted where they stand; ``parts`` (see ``draw_parts``) tells into how many
+    tasks the counts go, so that none holds more of them with more groups."""
+
+    def count(lists: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((flat, row))
+        row, flat = row[order], flat[order]
+        at = np.flatnonzero(_changes(row, flat))
+        counts = pa.StructArray.from_arrays([pa.array(flat[at], pa.int32()), pa.array(np.diff(at, append=len(row)), pa.int64())], ["b", "m"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(lists) + 1)), pa.int32()), counts)
+
+    counted = F.arrow_udf(count, "array<struct<b:int,m:bigint>>")("draws")
+    rows = draws.select(group, F.explode(counted).alias("c")).select("c.b", group, "c.m")
+    rows = rows if parts is None else rows.repartition(parts, "b", group)
+    return rows.groupBy("b", group).agg(F.sum("m").alias("m"))
 
 
 def packed(draws: Column, n_boot: int) -> Column:

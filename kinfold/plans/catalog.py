@@ -378,7 +378,7 @@ def bootstrap_method(spark, sf_dir):
 @query
 def bootstrap_draws(spark, sf_dir):
     groups = settle(splits.group_table(views.pred_lineitem(spark, sf_dir)))
-    counts = bootstrap.draw_counts(bootstrap.group_draws(groups, N_BOOT, SEED))
+    counts = bootstrap.draw_counts(bootstrap.group_draws(groups, N_BOOT, SEED), parts=bootstrap.draw_parts(groups, N_BOOT))
     return counts.withColumn("b", F.col("b").cast("bigint"))
 
 

@@ -174,3 +174,17 @@ def test_weights_travel_once_a_stretch(predictions):
     # Stretches times blocks of replicates, of which there is one here.
     assert 1 < int(re.search(r"RepartitionByExpression \[.*slot.*\], (\d+)", plan)[1]) <= spark.sparkContext.defaultParallelism, plan
     assert "CoGroups" not in plan
+
+
+def test_draws_are_dealt_over_more_tasks_the_more_there_are(spark, monkeypatch):
+    monkeypatch.setattr(B, "TASK_DRAWS", 100)
+    groups = settle(spark.range(40).select(F.concat(F.lit("g"), F.col("id")).alias("isolate_id"), F.lit("a").alias("species")))
+    parts = B.draw_parts(groups, 30)
+    assert parts == 12
+    counts = B.draw_counts(B.group_draws(groups, 30, 7), parts=parts)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*), 12\), REPARTITION_BY_NUM", plan)
+    # The slots, the draws by the group drawn, and the counts.
+    assert sorted(re.sub(r"#\d+L?", "", d) for d in dealt) == ["b, isolate_id", "stratum, ordinal", "stratum, ordinal"]
+    want = B.group_draws(groups, 30, 7).select("isolate_id", F.explode("draws").alias("b")).groupBy("b", "isolate_id").count()
+    assert counts.exceptAll(want.select("b", "isolate_id", "count")).count() == 0 and counts.agg(F.sum("m")).first()[0] == 40 * 30
