@@ -45,8 +45,7 @@ _IS_GAP = _IS_STOP | np.isin(np.arange(256), [0x20, 0x09])
 def slim(numbers: np.ndarray) -> bytes:
     """Non-negative numbers in as many byte planes as the largest needs."""
     width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
-    raw = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(raw.T).tobytes()
+    return bytes([width]) + b"".join((numbers >> 8 * plane).astype(np.uint8).tobytes() for plane in range(width))
 
 
 def unslim(data: bytes) -> np.ndarray:
@@ -58,7 +57,7 @@ def unslim(data: bytes) -> np.ndarray:
 
 
 def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """The lower-cased words of a block's texts, the place of each (adjacent within a piece, a gap between pieces) and its document."""
+    """The lower-cased words of some texts, the step from the word before to each (1 within a piece, 2 to the next) and its document."""
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     inside = ~_IS_GAP[raw]
@@ -70,21 +69,40 @@ def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArra
     stops = np.zeros(len(raw) + 1, np.int32)
     np.cumsum(_IS_STOP[raw], out=stops[1:])
     apart = (stops[start[1:]] > stops[end[:-1]]) | (doc[1:] != doc[:-1])
-    place = np.arange(len(start)) + np.concatenate([np.zeros(min(1, len(start)), np.int64), np.cumsum(apart)])
+    step = np.full(len(start), 2, np.uint8)
+    step[1:] -= ~apart
     at = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=at[1:])
     letters = _LOWER_CODE[raw[inside]]
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(letters))
-    return words.dictionary_encode(), place, doc
+    return words.dictionary_encode(), step, doc
+
+
+def block_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """``word_places`` of a block, a small piece at a time: only what a word needs stands for the whole block."""
+    found = [(words, step, (doc + first).astype(np.int32)) for first, _, raw, offsets in pieces(texts) for words, step, doc in [word_places(raw, offsets)]]
+    words, step, doc = zip(*found, strict=True)
+    return pa.chunked_array(words).unify_dictionaries().combine_chunks(), np.concatenate(step), np.concatenate(doc)
 
 
 def by_frequency(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the most frequent first, their counts, and the number of each given key among them."""
-    distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    rank = np.argsort(keys)
+    in_order = keys[rank]
+    first = np.ones(len(keys), bool)
+    first[1:] = in_order[1:] != in_order[:-1]
+    distinct, counts = in_order[first], np.diff(np.flatnonzero(first), append=len(keys))
+    del in_order
     order = np.argsort(-counts, kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    return distinct[order], counts[order], number[inverse]
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    of_key = np.empty(len(keys), np.int32)
+    of_key[rank] = np.repeat(number, counts)
+    return distinct[order], counts[order], of_key
+
+
+def _one_list(strings: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings.cast(pa.string()))
 
 
 def _word_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +111,9 @@ def _word_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     end = min(block + (1 << BLOCK_BITS), 1 << (63 - ITEM_BITS))
     for batch in batches:
         langs = batch.column(0)
-        for first, last, raw, offsets in pieces(batch.column(1), BLOCK_BYTES):
-            words, place, doc = word_places(raw, offsets)
-            if not len(place):
+        for first, last, _, _ in pieces(batch.column(1), BLOCK_BYTES):
+            words, step, doc = block_words(batch.column(1).slice(first, last - first))
+            if not len(step):
                 continue
             spoken = langs.slice(first, last - first).dictionary_encode()
             spoken_code = spoken.indices.to_numpy()[doc]
@@ -105,9 +123,9 @@ def _word_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             lang_of, word_of = np.divmod(distinct, len(words.dictionary))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block]), pa.array([slim(np.diff(place, prepend=0))], pa.binary()), pa.array([slim(item)], pa.binary()),
-                    pa.array([spoken.dictionary.take(pa.array(lang_of)).to_pylist()], pa.list_(pa.string())),
-                    pa.array([words.dictionary.take(pa.array(word_of)).to_pylist()], pa.list_(pa.string())), pa.array([slim(counts)], pa.binary()),
+                    pa.array([block]), pa.array([slim(step)], pa.binary()), pa.array([slim(item)], pa.binary()),
+                    _one_list(spoken.dictionary.take(pa.array(lang_of))), _one_list(words.dictionary.take(pa.array(word_of))),
+                    pa.array([slim(counts)], pa.binary()),
                 ],
                 ["block", "at", "item", "langs", "words", "n"],
             )
@@ -160,9 +178,11 @@ def _extended(relation: DataFrame, told: DataFrame, last: bool) -> DataFrame:
             name = np.full(int(item.max(initial=0)) + 1, -1, np.int64)
             name[names["item"].to_numpy()] = names["name"].to_numpy()
             at, number, left, right, counts = join_adjacent(np.cumsum(unslim(blocks["at"][i].as_py())), item, name >= 0)
-            used, where = np.unique(np.concatenate([left, right]), return_inverse=True)
+            used = np.zeros(len(name), bool)
+            used[left] = used[right] = True
+            where = np.cumsum(used, dtype=np.int32) - 1
             places = (b"", b"") if last else (slim(np.diff(at, prepend=0)), slim(number))
-            out.append((blocks["block"][i].as_py(), *places, slim(name[used]), slim(where[: len(left)]), slim(where[len(left) :]), slim(counts)))
+            out.append((blocks["block"][i].as_py(), *places, slim(name[used]), slim(where[left]), slim(where[right]), slim(counts)))
         return pa.table(dict(zip(_PHRASES.names, zip(*out, strict=True) if out else [[]] * len(_PHRASES), strict=True)), schema=_PHRASES)
 
     own = told.select((F.shiftright("own", ITEM_BITS)).alias("block"), F.col("own").bitwiseAND(F.lit((1 << ITEM_BITS) - 1)).alias("item"), "name")

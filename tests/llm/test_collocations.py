@@ -1,7 +1,10 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinfold.llm import collocations
@@ -105,6 +108,38 @@ def test_packed_numbers_come_back():
         assert collocations.unslim(collocations.slim(np.array(numbers, np.int64))).tolist() == numbers
 
 
+def block_texts():
+    """Some 6 MB: more than one small piece, a text beyond a piece, empty ones between."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"{w}{end}" for w in ("Sea", "sky", "är", *range(40_000)) for end in (" ", ", ", "\n")])
+    return ["".join(rng.choice(words, n)) for n in (300_000, 0, 1, 40_000, 90_000, 0, 200_000, 120_000, 150_000, 0)]
+
+
+def test_small_pieces_of_a_block_give_the_whole_block():
+    texts = block_texts()
+    words, step, doc = collocations.block_words(pa.array(texts))
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    assert len(raw) > 5 << 20
+    whole = collocations.word_places(raw, np.cumsum([0, *[len(t.encode()) for t in texts]]))
+    assert words.cast(pa.large_string()).equals(whole[0].cast(pa.large_string()))
+    assert np.array_equal(step, whole[1]) and np.array_equal(doc, whole[2])
+
+
+def test_block_takes_memory_for_its_words_only(monkeypatch):
+    texts = block_texts()
+    monkeypatch.setattr(collocations, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    size = sum(len(t.encode()) for t in texts)
+    tracemalloc.start()
+    try:
+        blocks = list(collocations._word_relation(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(blocks) == 1
+    assert peak < 10 * size, f"{peak / size:.1f} bytes per byte of text"
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").collect()]
     got = op13_collocations(spark, sf_dir).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
